@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, ctw, unigram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_token_counts": unigram.op6_token_counts,
+    "op7_context_tree": ctw.op7_context_tree,
     "op9_bpe_encoding": bpe.op9_bpe_encoding,
 }
 
