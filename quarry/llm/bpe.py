@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import plus, slices, stash, table, texts
 
 #: A bound on the words that are broadcast.
-HOT = 1 << 19
+HOT = 1 << 18
 #: Longer words are never broadcast.
 LONG = 64
 #: A task forgets its own words beyond so many.
-CACHE = 400_000
+CACHE = 150_000
 
 
 @lru_cache(maxsize=2)
@@ -86,25 +86,24 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -
     Repeated rows stay; the order of rows does not matter; a text may have any length.
     """
     spark = docs.sparkSession
-    words = spark.sparkContext.broadcast({bytes(r.word): np.array(r.ids, np.int32) for r in word_table(docs, path, column).select("word", "ids").toLocalIterator()})
+    words = spark.sparkContext.broadcast({bytes(r.word): np.array(r.ids, np.int32).tobytes() for r in word_table(docs, path, column).select("word", "ids").toLocalIterator()})
     keep = docs.drop(ids)
     schema = plus(keep, f"`{ids}` array<int>")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[bytes, np.ndarray] = {}
+        own: dict[bytes, bytes] = {}
         hot = words.value
-        none = np.zeros(0, np.int32)
-        for part in slices(batches, column):
+        for part in slices(batches, column, 1 << 20):
             split = [t.split() for t in texts(part, column)]
             if len(own) > CACHE:
                 own.clear()
             new = list({w for w in chain.from_iterable(split) if w not in hot and w not in own})
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                own.update(zip(some, (np.array(x, np.int32) for x in encode_words(path, some)), strict=True))
-            arrays = [np.concatenate([hot[w] if w in hot else own[w] for w in ws]) if ws else none for ws in split]
-            offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-            found = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays) if arrays else none))
+            for at in range(0, len(new), 4000):
+                some = new[at : at + 4000]
+                own.update(zip(some, (np.array(x, np.int32).tobytes() for x in encode_words(path, some)), strict=True))
+            packed = [b"".join([hot[w] if w in hot else own[w] for w in ws]) for ws in split]
+            offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+            found = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, ids])
 
     return keep.mapInArrow(work, schema)

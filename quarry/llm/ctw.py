@@ -26,8 +26,8 @@ from .common import lowered, row_id, slices, stash, table, texts
 
 #: Preceding bytes of the longest context; a gram is one byte more.
 DEPTH = 3
-HOT = 1 << 19
-CACHE = 400_000
+HOT = 1 << 18
+CACHE = 150_000
 FOLDS, HELD_OUT = 7, 2
 #: The token after each text's last word; no word starts with a blank.
 END = b" "
@@ -77,7 +77,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
         def batch(kind: str, keys: list[bytes], train: np.ndarray, every: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(train), pa.array(every)], ["kind", "key", "n_train", "n_all"])
 
-        for part in slices(batches):
+        for part in slices(batches, limit=2 << 20):
             held = part.column("held").to_pylist()
             for side in (0, 1):
                 data = [t for t, h in zip(texts(part), held, strict=True) if h == bool(side)]
@@ -187,7 +187,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", hot: int = HOT) -> DataFra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_words, hot_codes, hot_logps = shared.value
         last = len(hot_codes) - 1
-        for part in slices(batches, limit=2 << 20):
+        for part in slices(batches, limit=1 << 20):
             uid, ids, held, data = *(part.column(c).to_pylist() for c in ("uid", "doc_id", "held")), texts(part)
             rows: list[tuple] = []
             all_codes = grams(data)

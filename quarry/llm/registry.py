@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, unigram
+from . import bpe, ctw, unigram, urlrules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_rules": urlrules.op3_url_rules,
+    "op4_warc": warc.op4_warc,
     "op6_token_counts": unigram.op6_token_counts,
     "op7_context_tree": ctw.op7_context_tree,
     "op9_bpe_encoding": bpe.op9_bpe_encoding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": warc.OP4_SQL,
+}

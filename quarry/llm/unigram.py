@@ -21,7 +21,7 @@ from .common import plus, slices, table, texts
 
 MARK = "▁"
 #: A task forgets its words beyond so many.
-CACHE = 600_000
+CACHE = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -77,7 +77,7 @@ def count_tokens(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[int, float]] = {}
         scores = vocabulary(path)
-        for part in slices(batches, column):
+        for part in slices(batches, column, 2 << 20):
             split = [t.split() for t in texts(part, column)]
             if len(known) > CACHE:
                 known.clear()
