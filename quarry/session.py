@@ -21,4 +21,6 @@ def ship(spark: SparkSession) -> SparkSession:
                 out.write(path, str(path.relative_to(top.parent)))
         context.addPyFile(target)
         context._quarry_shipped = True
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # long texts: smaller batches than Spark's default
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
