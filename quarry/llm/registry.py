@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, unigram, urlrules, warc
+from . import bpe, ctw, flac, unigram, urlrules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_flac": flac.op1_flac,
     "op3_url_rules": urlrules.op3_url_rules,
     "op4_warc": warc.op4_warc,
     "op6_token_counts": unigram.op6_token_counts,
