@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, flac, lines, toxicity, unigram, urlrules, warc
+from . import bpe, ctw, flac, lines, templates, toxicity, unigram, urlrules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac": flac.op1_flac,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": lines.op5_substring_dedup,
     "op6_token_counts": unigram.op6_token_counts,
     "op7_context_tree": ctw.op7_context_tree,
+    "op8_template_decontamination": templates.op8_template_decontamination,
     "op9_bpe_encoding": bpe.op9_bpe_encoding,
     "op10_toxicity": toxicity.op10_toxicity,
 }
