@@ -1,10 +1,10 @@
 """BPE encoding over a table of distinct words, and decoding by an id-to-piece table.
 
 Texts are split at ASCII white space. The vocabulary's normaliser, pre-tokeniser and special tokens never
-join characters across such white space, so a text's ids are its words' ids in order. Words that make up at
-least 1/HOT of all occurrences are encoded once for the whole cluster and broadcast: there are at most HOT of
-them, whatever the corpus. A rarer word is encoded once in each task that meets it. Either way ids return to
-their texts by position.
+join characters across such white space, so a text's ids are its words' ids in order. Spark counts the distinct
+words; the most frequent, at most HOT of them whatever the corpus, are encoded once for the whole cluster and
+broadcast as flat arrays. A rarer word is encoded in the tasks that meet it. Either way ids return to their texts by
+position.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import plus, slices, stash, table, texts
 
 #: A bound on the words that are broadcast.
-HOT = 1 << 18
+HOT = 1 << 20
 #: Longer words are never broadcast.
 LONG = 64
 #: A task forgets its own words beyond so many.
@@ -41,9 +42,26 @@ def tokenizer(path: str):
     return found
 
 
-def encode_words(path: str, words: list[bytes]) -> list[list[int]]:
+@lru_cache(maxsize=2)
+def separator(path: str) -> tuple[str, int] | None:
+    """A special token that can stand between words: it is cut out of a text before anything else is done to it."""
+    for number, token in sorted(tokenizer(path).get_added_tokens_decoder().items()):
+        if token.special and not (token.normalized or token.single_word or token.lstrip or token.rstrip):
+            return token.content, number
+    return None
+
+
+def encode_words(path: str, words: list[bytes]) -> list[np.ndarray]:
+    """The ids of each word, int32. The words go through the vocabulary as one text, parted by a special token."""
     found = tokenizer(path)
-    return [x.ids for x in found.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+    plain = [w.decode("utf-8", "replace") for w in words]
+    mark, joined = separator(path), "\n".join(plain)
+    special = [t.content for t in found.get_added_tokens_decoder().values()]
+    if mark is None or any(t in joined for t in special):
+        return [np.array(x.ids, np.int32) for x in found.encode_batch(plain, add_special_tokens=False)]
+    ids = np.array(found.encode(mark[0].join(plain), add_special_tokens=False).ids, np.int32)
+    cuts = np.flatnonzero(ids == mark[1])
+    return [ids[a:b] for a, b in zip(np.append(0, cuts + 1), np.append(cuts, len(ids)), strict=True)] if words else []
 
 
 def word_counts(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -68,16 +86,54 @@ def word_counts(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def word_table(docs: DataFrame, path: str, column: str = "text", hot: int = HOT) -> DataFrame:
-    """(word, n, ids array<int>): each frequent word of the corpus, encoded once. At most `hot` rows."""
+    """(word, n, low, high, ids array<int>): the most frequent words of the corpus, each encoded once. At most `hot` rows.
+
+    low and high are the word's 128-bit digest. Words of one count are all in or all out; words met once are out.
+    """
     counts = stash(word_counts(docs, column), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    least, rows = None, 0
+    for n, words in sorted(counts.where("n > 1").groupBy("n").count().collect(), reverse=True):  # a row per distinct count
+        rows += words
+        if rows > hot:
+            break
+        least = n
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = encode_words(path, batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            words = batch.column("word").to_pylist()
+            marks = digests_of(words)
+            ids = pa.array(encode_words(path, words), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks[:, 0].view(np.int64)), pa.array(marks[:, 1].view(np.int64)), ids], ["word", "n", "low", "high", "ids"])
+
+    return counts.where(F.lit(False) if least is None else F.col("n") >= least).mapInArrow(encode, "word binary, n long, low long, high long, ids array<int>")
+
+
+def digests_of(words: list[bytes]) -> np.ndarray:
+    """(words, 2) uint64: 128-bit digests, low half first."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in words), ">u8").reshape(-1, 2)[:, ::-1].astype(np.uint64)
+
+
+class Table:
+    """Ids of words by digest, in four flat arrays."""
+
+    def __init__(self, found: pa.Table):
+        low = found.column("low").to_numpy().view(np.uint64)
+        lists = found.column("ids").combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        order = np.argsort(low)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)[order]
+        self.low, self.high = low[order], found.column("high").to_numpy().view(np.uint64)[order]
+        self.ends = np.cumsum(sizes, dtype=np.int64)
+        self.ids = lists.take(pa.array(order)).flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
-    return counts.where(F.col("n") * hot >= total).where("n > 1").mapInArrow(encode, "word binary, n long, ids array<int>")
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """The packed ids of each word, or None."""
+        if not len(self.low) or not words:
+            return [None] * len(words)
+        marks = digests_of(words)
+        at = np.minimum(np.searchsorted(self.low, marks[:, 0]), len(self.low) - 1)
+        hit = (self.low[at] == marks[:, 0]) & (self.high[at] == marks[:, 1])
+        return [self.ids[self.ends[i - 1] if i else 0 : self.ends[i]].tobytes() if h else None for i, h in zip(at.tolist(), hit.tolist(), strict=True)]
 
 
 def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -> DataFrame:
@@ -86,7 +142,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -
     Repeated rows stay; the order of rows does not matter; a text may have any length.
     """
     spark = docs.sparkSession
-    words = spark.sparkContext.broadcast({bytes(r.word): np.array(r.ids, np.int32).tobytes() for r in word_table(docs, path, column).select("word", "ids").toLocalIterator()})
+    words = spark.sparkContext.broadcast(Table(word_table(docs, path, column).select("low", "high", "ids").toArrow()))
     keep = docs.drop(ids)
     schema = plus(keep, f"`{ids}` array<int>")
 
@@ -97,14 +153,17 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -
             split = [t.split() for t in texts(part, column)]
             if len(own) > CACHE:
                 own.clear()
-            new = list({w for w in chain.from_iterable(split) if w not in hot and w not in own})
-            for at in range(0, len(new), 4000):
-                some = new[at : at + 4000]
-                own.update(zip(some, (np.array(x, np.int32).tobytes() for x in encode_words(path, some)), strict=True))
-            packed = [b"".join([hot[w] if w in hot else own[w] for w in ws]) for ws in split]
+            new = list({w for w in chain.from_iterable(split) if w not in own})
+            found = hot.find(new)
+            own.update(zip(new, found, strict=True))
+            rare = [w for w, x in zip(new, found, strict=True) if x is None]
+            for at in range(0, len(rare), 4000):
+                some = rare[at : at + 4000]
+                own.update(zip(some, (x.tobytes() for x in encode_words(path, some)), strict=True))
+            packed = [b"".join([own[w] for w in ws]) for ws in split]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-            found = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, ids])
+            flat = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_arrays([*part.columns, flat], [*part.schema.names, ids])
 
     return keep.mapInArrow(work, schema)
 
