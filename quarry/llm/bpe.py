@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import ship
+
 from .common import plus, slices, stash, table, texts
 
 #: A bound on the words that are broadcast.
@@ -212,3 +214,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def op9_bpe_encoding(spark, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), default_path())
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document that is left."""
+    ship(spark)
+    return digests(docs, default_path())

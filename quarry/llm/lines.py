@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import ship
+
 from .common import plus, row_id, slices, stash, table, texts
 
 ANCHOR, MIN_UNIT, MIN_RUN, MIN_LINE = 6, 3, 25, 8
@@ -180,6 +182,7 @@ def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with repeated passages taken out; n_chars follows the text. None goes."""
+    ship(spark)
     columns = docs.columns
     done = dedup(docs)
     if "n_chars" in columns:

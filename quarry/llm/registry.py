@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, flac, lines, templates, toxicity, unigram, urlrules, warc
+from . import bpe, ctw, flac, jaccard, lines, templates, toxicity, unigram, urlrules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac": flac.op1_flac,
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_url_rules": urlrules.op3_url_rules,
     "op4_warc": warc.op4_warc,
     "op5_substring_dedup": lines.op5_substring_dedup,

@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import ship
+
 from .common import plus, slices, table, texts
 
 WINDOW, LITERAL, COVERAGE = 8, 3, 0.5
@@ -211,4 +213,5 @@ def op8_template_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item, as they are."""
+    ship(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).where(F.size("items") == 0).select(*docs.columns)
