@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import ids
+from quarry.functions import ids, php, refs
 from quarry.operators import checks, closure, finish, keep, match, profile, seeds
+from quarry.sources import dump
 
 from .bindings import CTE, Tables
 
@@ -425,3 +428,65 @@ def fix_options(t: Tables) -> DataFrame:
     key = F.col("c_custkey")
     own = t.read("customer").select(key.alias("option_id"), F.when(key % 2 == 0, "page_on_front").otherwise("other").alias("name"), (key * 10).cast("string").alias("value"))
     return finish.cleared_options(own, ("page_on_front",), base_keep(t))
+
+
+# Dumps and serialised values --------------------------------------------------------------------------------------
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def dump_roundtrip(t: Tables) -> DataFrame:
+    statements = _dump(t, t.read("supplier").orderBy("s_suppkey"), "supplier")
+    values = F.col("values")
+    rows = dump.named_values(dump.read_rows(statements), statements, ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"))
+    return rows.select(values["s_suppkey"].cast("bigint").alias("s_suppkey"), values["s_name"].alias("s_name"), values["s_nationkey"].cast("int").alias("s_nationkey"), values["s_acctbal"].cast("double").alias("s_acctbal"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def dump_text_roundtrip(t: Tables) -> DataFrame:
+    statements = _dump(t, t.read("documents").select("doc_id", "text"), "documents")
+    rows = dump.named_values(dump.read_rows(statements), statements, ("doc_id", "text"))
+    return rows.select(F.col("values")["doc_id"].cast("bigint").alias("doc_id"), F.col("values")["text"].alias("text"))
+
+
+@query("SELECT 'insert' AS kind, 'orders' AS tbl, count(*) AS rows FROM orders")
+def dump_regroup(t: Tables) -> DataFrame:
+    """Rows packed into statements of at most 4 KB, written, read again and counted."""
+    first = dump.read_rows(_dump(t, t.read("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "orders"))
+    packed = dump.insert_statements(first, 4096).select(F.regexp_replace(F.decode("raw", "UTF-8"), r";\n$", "").alias("value"))
+    again = dump.read_statements(t.spark, _written(t, packed))
+    return dump.read_rows(again).join(again.select("ord", "kind"), "ord").groupBy("kind", "tbl").agg(F.count("*").alias("rows"))
+
+
+def _written(t: Tables, lines: DataFrame) -> str:
+    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-dump-")
+    path = f"{root.rstrip('/')}/dump-{uuid.uuid4().hex}"
+    lines.write.option("lineSep", ";\n").text(path)
+    return path
+
+
+def _dump(t: Tables, df: DataFrame, tbl: str) -> DataFrame:
+    return dump.read_statements(t.spark, _written(t, dump.to_dump(df, tbl)))
+
+
+@query("SELECT event_id, unnest([event_id + 1, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1, 7]) AS ref_id FROM events")
+def php_roundtrip(t: Tables) -> DataFrame:
+    """Ids serialised in the query, one as a string, and decoded again."""
+    e = t.meta.select(F.col("post_id").alias("event_id"), (F.col("post_id") + 1).cast("string").alias("a"), (F.col("ref_id") + 1).cast("string").alias("b"))
+    text = F.concat(F.lit("a:3:{i:0;i:"), "a", F.lit(';s:1:"k";s:'), F.length("b").cast("string"), F.lit(':"'), "b", F.lit('";i:2;a:1:{i:0;i:7;}}'))
+    return e.select("event_id", F.explode(php.php_ids(text)).alias("ref_id"))
+
+
+@query("""SELECT page_id AS id, CAST(k AS BIGINT) AS ref_id, source FROM (SELECT page_id, unnest([page_id + 1, page_id + 2, page_id + 3]) AS k, unnest(['core/image', 'image', 'gallery']) AS source FROM pages)""")
+def content_refs(t: Tables) -> DataFrame:
+    """Block, image and gallery references put around each page's text and found again, each once."""
+    n = [(F.col("page_id") + i).cast("string") for i in (1, 2, 3)]
+    text = F.concat(F.lit('<!-- wp:image {"id":'), n[0], F.lit(',"x":{"y":1}} -->'), "html", F.lit('<img class="wp-image-'), n[1], F.lit('"> [gallery ids="'), n[2], F.lit(", "), n[1], F.lit('"]'))
+    return refs.content_refs(t.read("pages").select(F.col("page_id").alias("id"), text.alias("text")), "id", "text")
+
+
+@query("""SELECT page_id, 's:' || octet_length(encode(replace(url, '//', '//localhost/'))) || ':"' || replace(url, '//', '//localhost/') || '";' AS value FROM pages""")
+def localise_serialised(t: Tables) -> DataFrame:
+    """URLs replaced inside serialised strings, whose lengths follow."""
+    url = F.col("url")
+    text = F.concat(F.lit("s:"), F.octet_length(url).cast("string"), F.lit(':"'), url, F.lit('";'))
+    return t.read("pages").select("page_id", php.php_replace(text, [("//", "//localhost/")]).alias("value"))
