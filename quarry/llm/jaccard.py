@@ -8,12 +8,13 @@ many different texts hold the content. A text plays two parts: in its own band,
 1. Every part's segment digests are dealt out in packed blocks; those that one text alone holds cost nothing
    and are dropped. A part with H + 1 of them has no partner; any other keeps as many of its cheapest shared
    segments as it lacks.
-2. In each kept segment two hubs, the least and the greatest text, are compared with all that share it. Links make
-   components, which mostly settles groups of near copies without comparing all their pairs.
+2. In each kept segment two hubs, the least text and that which shares most of its segments, are compared with all
+   that share it. Links make components, which mostly settles groups of near copies without comparing all their pairs.
 3. Texts of different components that share a kept segment are compared; so none of their links is lost. Where more
    than HOT texts share the segment, these texts choose anew from segments and one-deletion neighbourhoods: a segment
    counts once if its content is looked up, and twice if also contents with one shingle more or less are; the cheapest
-   choice that adds up to H + 1 is taken.
+   choice that adds up to H + 1 is taken. Pairs are
+   weighed by outlines first: bit maps of the shingles' digests, which show how much one text has and the other lacks.
 4. All comparisons are of whole shingle sets.
 
 Texts with equal sets are one class throughout. Shingles are compared by 64-bit digests, classes by 63 bits.
@@ -37,6 +38,8 @@ from .common import lowered, slices, stash, table, texts
 WORDS = 5
 #: So many texts in a segment make it hot.
 HOT = 64
+#: 64-bit words of a text's outline.
+OUTLINE = 16
 #: Segment digests that one task holds.
 TASK_ROWS = 1_500_000
 #: Class keys that are broadcast, at 8 bytes; more are joined by a shuffle.
@@ -314,15 +317,30 @@ def neighbourhood_pairs(sets: DataFrame) -> DataFrame:
     steps = priced.select("part", "number", "need", F.explode(F.array(F.struct(F.col("once").alias("cost"), F.lit(1).alias("step")), F.struct(F.greatest("once", "more").alias("cost"), F.lit(2).alias("step")))).alias("s"))
     order = Window.partitionBy("part").orderBy("s.cost", "s.step", "number")
     chosen = steps.withColumn("rank", F.row_number().over(order)).where("rank <= need").groupBy("part", "number").agg(F.max("s.step").alias("times"))
-    probes = rows.join(chosen, ["part", "number"]).where("whole or times = 2").select("code", "part", "whole", "times")
-    known = sets.select(F.col("key"), "n", "comp")
 
-    def sided(frame: DataFrame, suffix: str) -> DataFrame:
-        key = F.col("part").bitwiseAND(-2)
-        return frame.withColumn("key", key).join(known, "key").select("code", F.col("whole").alias(f"whole{suffix}"), F.col("key").alias(f"key{suffix}"), F.col("n").alias(f"n{suffix}"), F.col("comp").alias(f"comp{suffix}"), *(["times"] if suffix == "1" else []))
-
-    a, b = sided(probes, "1"), sided(rows, "2")
-    met = a.join(b, "code").where("comp1 <> comp2 and " + _fits("n1", "n2") + " and ((whole1 and whole2) or (times = 2 and whole1 <> whole2))")
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = np.zeros((batch.num_rows, 64 * OUTLINE), np.uint8)
+            for i, d in enumerate(batch.column("digests").to_pylist()):
+                maps[i, (mixed(np.frombuffer(d, np.uint64)) >> np.uint64(40)) % np.uint64(64 * OUTLINE)] = 1
+            packed = np.packbits(maps, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(OUTLINE))], ["key", *(f"b{i}" for i in range(OUTLINE))])
+
+    bits = [f"b{i}" for i in range(OUTLINE)]
+    drawn = sets.select("key", "digests").mapInArrow(outlines, "key long, " + ", ".join(f"{b} long" for b in bits))
+    known = stash(sets.select("key", "n", "comp").join(drawn, "key"), "known")
+    keyed = rows.withColumn("key", F.col("part").bitwiseAND(-2)).join(known.select("key", "comp"), "key")
+    across = keyed.groupBy("code").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("code")
+    probes = stash(keyed.join(chosen, ["part", "number"]).where("whole or times = 2").join(across, "code", "left_semi").select("code", "key", "whole", "times"), "probes")
+    index = keyed.join(probes.select("code").distinct(), "code", "left_semi").select("code", "key", "whole")
+
+    def sided(frame: DataFrame, side: int) -> DataFrame:
+        return frame.join(known, "key").select("code", *(F.col(c).alias(f"{c}{side}") for c in ("key", "whole", "n", "comp")), *(F.col(c).alias(f"{c}_{side}") for c in bits), *(["times"] if side == 1 else []))
+
+    # What one text has of the outline and the other has not, it also has of shingles; links leave little room for it.
+    lack = [" + ".join(f"bit_count({b}_{x} & ~{b}_{y})" for b in bits) for x, y in ((1, 2), (2, 1))]
+    room = [f"9 * (n{x} - ({count})) >= 4 * (n1 + n2)" for x, count in zip((1, 2), lack, strict=True)]
+    met = sided(probes, 1).join(sided(index, 2), "code").where(" and ".join(["comp1 <> comp2", _fits("n1", "n2"), "((whole1 and whole2) or (times = 2 and whole1 <> whole2))", *room]))
     return met.select(F.least("key1", "key2").alias("x"), F.greatest("key1", "key2").alias("y")).distinct()
 
 
@@ -343,12 +361,14 @@ def join(docs: DataFrame) -> DataFrame:
     named = shared.withColumn("key", key).join(by_class, "key").withColumn("slack", F.when(F.col("part") == F.col("key"), F.col("slack0")).otherwise(F.col("slack1")))
     whole, order = Window.partitionBy("part"), Window.partitionBy("part").orderBy("freq", "sig")
     kept = named.withColumn("have", F.count("*").over(whole)).where("have > slack").withColumn("rank", F.row_number().over(order)).where("rank <= have - slack")
-    kept = stash(kept.select("sig", "key", "n", "freq").distinct(), "kept")
+    kept = stash(kept.select("sig", "key", "n", "freq", (F.col("have") / F.col("n")).alias("share")), "kept")
     candidates = stash(kept.select("key").distinct(), "candidates")
     sets = stash(sets_of(docs, candidates), "sets")
 
-    hubs = kept.groupBy("sig").agg(F.min(F.struct("key", "n")).alias("least"), F.max(F.struct("key", "n")).alias("most"))
-    stars = kept.join(hubs, "sig").select("key", "n", F.explode(F.array("least", "most")).alias("hub")).where("key <> hub.key and " + _fits("n", "hub.n"))
+    # The text that shares most of its segments lies in the middle of its group; a few edits part it from the others.
+    central = F.max(F.struct("share", "key", "n")).getField
+    hubs = kept.groupBy("sig").agg(F.struct(central("key").alias("key"), central("n").alias("n")).alias("middle"), F.min(F.struct("key", "n")).alias("least"))
+    stars = kept.join(hubs, "sig").select("key", "n", F.explode(F.array("least", "middle")).alias("hub")).where("key <> hub.key and " + _fits("n", "hub.n"))
     stars = stash(stars.select(F.least("key", "hub.key").alias("x"), F.greatest("key", "hub.key").alias("y")).distinct(), "stars")
     links = stash(verified(stars, sets), "star-links")
     comps = components(links)
@@ -384,3 +404,17 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = join(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+#: All pairs that share a shingle are counted, so this is for small tables.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END AS shingles FROM w),
+x AS (SELECT DISTINCT doc_id, unnest(shingles) AS shingle FROM s),
+n AS (SELECT s.doc_id, CAST(count(x.shingle) AS BIGINT) AS n FROM s LEFT JOIN x ON x.doc_id = s.doc_id GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT n.doc_id, n.n AS n_shingles, min(reached) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY 1, 2
+"""

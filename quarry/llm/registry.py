@@ -22,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_jaccard_join": jaccard.OP2_SQL,
     "op4_warc": warc.OP4_SQL,
 }
