@@ -57,3 +57,20 @@ def test_definitions():
     text = "CREATE TABLE `t` (\n  `a` text DEFAULT 'x''y',\n  `b` varchar(9) DEFAULT 'z',\n  `c` longtext DEFAULT NULL,\n  `d` json NOT NULL DEFAULT '{}' COMMENT 'e'\n)"
     assert portable_defaults(text) == text.replace("text DEFAULT 'x''y'", "text DEFAULT ('x''y')").replace("NOT NULL DEFAULT '{}'", "NOT NULL DEFAULT ('{}')")
     assert [n for n, _ in dump.declared_columns(text.encode())] == ["a", "b", "c", "d"]
+
+
+def test_report_and_command(spark, tmp_path, capsys):
+    import json
+
+    from quarry.__main__ import main
+
+    path, out = tmp_path / "dump.sql", tmp_path / "copy.sql"
+    path.write_text(synth.dump(posts=40, seed=5))
+    settings = tmp_path / "site.yml"
+    settings.write_text("post_types: {post: {mode: latest, count: 4}, film: {mode: all}}\nreferences: {extra_meta_keys: [odd]}\ntables: {wp_none: keep}\nsites: {'9': {exclude: true}}")
+    assert main(["build", str(path), "--config", str(settings), "--out", str(out)]) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert 0.8 < found["bytes"] / out.stat().st_size < 1.5 and found["sites"][0]["prefix"] == "wp_"
+    said = "\n".join(found["warnings"])
+    for part in ("post_types.film", "extra_meta_keys: odd", "tables.wp_none", "sites.9", "page: not configured"):
+        assert part in said
