@@ -24,7 +24,7 @@ from quarry.session import ship
 from .common import plus, row_id, slices, stash, table, texts
 
 ANCHOR, MIN_UNIT, MIN_RUN, MIN_LINE = 6, 3, 25, 8
-CACHE = 150_000
+CACHE = 100_000
 
 _TOKEN = re.compile(r"\S+")
 _DROP = re.compile(r"[\W_]+")
@@ -155,7 +155,7 @@ def dedup(docs: DataFrame, column: str = "text") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        for part in slices(batches, column):
+        for part in slices(batches, column, 1 << 20):
             raw, repeats = part.column(column).to_pylist(), part.column("__repeats").to_pylist()
             rows = []
             for text, own in zip(raw, repeats, strict=True):
