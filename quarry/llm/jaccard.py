@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from quarry.session import ship
 
-from .common import lowered, slices, stash, table, texts
+from .common import lowered, slices, stash, table, texts, tidy
 
 WORDS = 5
 #: So many texts in a segment make it hot.
@@ -41,10 +41,10 @@ HOT = 64
 #: 64-bit words of a text's outline.
 OUTLINE = 16
 #: Segment digests that one task holds.
-TASK_ROWS = 1_500_000
+TASK_ROWS = 500_000
 #: Class keys that are broadcast, at 8 bytes; more are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
-CACHE = 150_000
+CACHE = 100_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _32, _29 = np.uint64(32), np.uint64(29)
@@ -65,8 +65,8 @@ def _bounds() -> np.ndarray:
 
 
 UPPER = _bounds()
-#: Segments of each band: a quarter more than texts of the band can differ in, and about one per shingle in short texts.
-SEGMENTS = np.maximum((2 * UPPER // 9 + 1) * 5 // 4 + 2, np.minimum(UPPER, 48))
+#: Segments of each band: a quarter more than texts of the band can differ in, and about one per shingle in the shortest.
+SEGMENTS = np.maximum((2 * UPPER // 9 + 1) * 5 // 4 + 2, np.minimum(UPPER, 12))
 
 
 def parts_of(sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -186,6 +186,7 @@ def shared_segments(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in ends], pa.int32()), pa.array([sig[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([part[a:b].tobytes() for a, b in ends], pa.binary())], ["bucket", "sigs", "parts"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         blocks: dict[int, list[tuple[bytes, bytes]]] = {}
         for batch in batches:
             for bucket, s, p in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "parts")), strict=True):
