@@ -23,7 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     own = parser.parse_args(argv)
     spark = ship(SparkSession.builder.appName("quarry").getOrCreate())
     settings = config.load(open(own.config).read() if own.config else "")
-    index = subset.build_index(spark, own.dump, own.exact)
+    index = subset.build_index(spark, own.dump, own.exact, tuple(c for _, c in settings.tables.values() if c))
     if own.command == "inspect":
         print(json.dumps({k: [r.asDict(True) for r in v.collect()] for k, v in inventory.inventory(index).items()}, indent=2, default=str))
         return 0

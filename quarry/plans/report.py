@@ -8,7 +8,7 @@ from quarry.functions.ids import format_bytes
 from quarry.operators import profile, seeds
 from quarry.sources.config import ALWAYS_DROPPED, Config
 
-from .subset import FOLLOWED, STORED_OPTIONS, Index, Plan
+from .subset import FOLLOWED, STORED_OPTIONS, Index, Plan, filtered_rows
 
 #: Bytes that a table takes beside its rows and definition, and a dump beside its tables.
 PER_TABLE, PER_DUMP = 400, 2048
@@ -17,9 +17,7 @@ PER_TABLE, PER_DUMP = 400, 2048
 def table_sizes(index: Index, plan: Plan) -> list[dict]:
     """Per table: rule, rows and bytes that are kept, and whether these are exact."""
     core = {r.tbl: r for r in _by_table(plan)}
-    filtered = [n for n, r in plan.rules.items() if r.action == "filter"]
-    objects = index.object_rows.where(F.col("tbl").isin(*filtered) if filtered else F.lit(False))
-    kept = objects.join(plan.keep.select("site", F.col("id").alias("object_id")), ["site", "object_id"], "left_semi").groupBy("tbl").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    kept = filtered_rows(index, plan).groupBy("tbl").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     core |= {r.tbl: r for r in kept.collect()}
     out = []
     for t in index.tables.orderBy("tbl").collect():  # a row per table
@@ -76,4 +74,5 @@ def report(index: Index, plan: Plan, config: Config) -> dict:
         "tables": tables,
         "bytes": total,
         "warnings": warnings(index, plan, config, total),
+        "after_import": sorted({f"{r.note}: {n}" for n, r in plan.rules.items() if r.action == "empty" and r.note.startswith("rebuild")}),
     }

@@ -31,7 +31,7 @@ STORED_OPTIONS = ("siteurl", "home", "show_on_front", "sticky_posts", "posts_per
 MENU_KEYS = ("_menu_item_type", "_menu_item_object_id", "_menu_item_object")
 WANTED = (
     "id", "post_author", "post_date", "post_content", "post_excerpt", "post_name", "post_status", "post_parent", "post_type", "post_mime_type", "meta_id", "post_id", "meta_key", "meta_value",
-    "option_id", "option_name", "option_value", "autoload", "term_id", "name", "slug", "term_taxonomy_id", "taxonomy", "parent", "count", "object_id", "umeta_id", "user_id",
+    "option_id", "option_name", "option_value", "autoload", "term_id", "name", "slug", "term_taxonomy_id", "taxonomy", "parent", "count", "object_id", "umeta_id", "user_id", "blog_id",
 )
 #: The columns that a core table is filtered by.
 KEYS = {"posts": "id", "postmeta": "meta_id", "terms": "term_id", "term_taxonomy": "term_taxonomy_id", "termmeta": "meta_id", "options": "option_id", "users": "id", "usermeta": "umeta_id"}
@@ -61,11 +61,11 @@ def _id(name: str) -> Column:
     return _v(name).try_cast("bigint")
 
 
-def build_index(spark: SparkSession, path: str, exact: bool = False) -> Index:
-    """The index of the dump at `path`. Rows of another length than their table's columns are not indexed."""
+def build_index(spark: SparkSession, path: str, exact: bool = False, columns: tuple[str, ...] = ()) -> Index:
+    """The index of the dump at `path`; columns are those of filter_by in the configuration. Rows of another length than their table's columns are not indexed."""
     statements = closure.saved(dump.read_statements(spark, path, exact))
     rows = closure.saved(dump.read_rows(statements))
-    named = dump.named_values(rows, statements, WANTED)
+    named = dump.named_values(rows, statements, WANTED + columns)
     counts = rows.groupBy("tbl").agg(F.count("*").alias("rows"), F.sum(F.length("body")).alias("row_bytes"))
     other = statements.groupBy("tbl").agg(F.max(F.when(F.col("kind") == "create_table", F.decode("raw", "UTF-8"))).alias("create_sql"))
     tables = closure.saved(other.where("tbl is not null").join(counts, "tbl", "full").select("tbl", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("row_bytes", F.lit(0)).alias("row_bytes"), "create_sql"))
@@ -118,6 +118,7 @@ class Plan:
     rules: dict[str, rules.Rule]
     estimate: DataFrame
     warnings: list[str]
+    included: list[int]
 
 
 def type_rules(index: Index, config: Config) -> list[tuple]:
@@ -228,7 +229,20 @@ def make_plan(index: Index, config: Config) -> Plan:
             warnings.append(f"{t.tbl}: unknown table of {ids.format_bytes(t.row_bytes)} emptied")
     warnings += [f"tables.{name}: no such table" for name in config.tables if not set(name) & set("*?[") and name not in found]
     estimate = profile.size_estimate({name: rows for name, rows in kept_rows.items()})
-    return Plan(kept, kept_rows, found, estimate, warnings)
+    return Plan(kept, kept_rows, found, estimate, warnings, included)
+
+
+def filtered_rows(index: Index, plan: Plan) -> DataFrame:
+    """(ord, row, tbl, bytes) of the tables that are filtered: by kept posts of their site, or by sites where the column is blog_id."""
+    by = [(n, r.filter_by) for n, r in plan.rules.items() if r.action == "filter"]
+    out = index.named.where(F.lit(False)).select("ord", "row", "tbl", "bytes")
+    for column in sorted({c for _, c in by}):
+        own = index.named.where(F.col("tbl").isin(*[n for n, c in by if c == column])).select("ord", "row", "tbl", "bytes", "site", _id(column.lower()).alias("object_id"))
+        if column == "blog_id":
+            out = out.unionByName(own.where(F.col("object_id").isin(*plan.included)).drop("site", "object_id"))
+        else:
+            out = out.unionByName(own.join(plan.keep.select("site", F.col("id").alias("object_id")), ["site", "object_id"], "left_semi").drop("site", "object_id"))
+    return out
 
 
 def slim(index: Index, plan: Plan) -> DataFrame:
@@ -243,11 +257,9 @@ def slim(index: Index, plan: Plan) -> DataFrame:
         else:
             key = KEYS[role]
             places.append(own.select("ord", "row", "tbl", _id(key).alias("key")).join(rows.select("tbl", F.col(key).alias("key")), ["tbl", "key"], "left_semi"))
-    by_action = {a: [n for n, r in plan.rules.items() if r.action == a] for a in ("keep", "filter")}
-    places.append(index.rows.where(F.col("tbl").isin(*by_action["keep"])) if by_action["keep"] else index.rows.limit(0))
-    if by_action["filter"]:
-        objects = index.object_rows.where(F.col("tbl").isin(*by_action["filter"]))
-        places.append(objects.join(plan.keep.select("site", F.col("id").alias("object_id")), ["site", "object_id"], "left_semi"))
+    whole = [n for n, r in plan.rules.items() if r.action == "keep"]
+    places.append(index.rows.where(F.col("tbl").isin(*whole) if whole else F.lit(False)))
+    places.append(filtered_rows(index, plan).select("ord", "row"))
     # Links of a site have no key set: they are kept whole.
     places.append(named.where("role = 'links'"))
     every = places[0].select("ord", "row")

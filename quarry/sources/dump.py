@@ -8,6 +8,7 @@ comments and delimiters. Rows keep their bytes: `raw` of all statements in order
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATEMENT = "ord long, raw binary, kind string, tbl string"
-ROW = "ord long, row int, tbl string, columns array<string>, body binary, values array<struct<kind:string,raw:binary>>"
+ROW = "ord long, row int, tbl string, columns array<string>, body binary, values array<struct<kind:string,raw:binary>>, tail binary"
 
 _STRING = rb"'(?:[^'\\]|\\.|'')*'"
 _NAME = rb"(?:`[^`]*`|[\w$]+)(?:\.(?:`[^`]*`|[\w$]+))?"
@@ -38,6 +39,10 @@ _ESCAPE = re.compile(rb"\\(.)|''", re.S)
 _ESCAPES = {b"0": b"\0", b"b": b"\b", b"n": b"\n", b"r": b"\r", b"t": b"\t", b"Z": b"\x1a", b"%": b"\\%", b"_": b"\\_"}
 
 
+#: What may follow an INSERT's tuples: a clause that holds for all of them.
+_TAIL = re.compile(rb"\s*(ON\s.*?|RETURNING\s.*?)\s*;?\s*$", re.I | re.S)
+
+
 class DumpError(ValueError):
     """Text that ends within a statement or a value."""
 
@@ -127,6 +132,12 @@ def tuples(raw: bytes) -> tuple[list[str] | None, Iterator[tuple[bytes, list[tup
     return columns, rows()
 
 
+def tail_of(raw: bytes, bodies: list[bytes]) -> bytes | None:
+    """The clause after an INSERT's tuples, or None."""
+    found = _TAIL.match(raw, raw.rindex(bodies[-1]) + len(bodies[-1])) if bodies else None
+    return found[1] if found else None
+
+
 def statements(text: bytes) -> Iterator[bytes]:
     """The statements of a text, each with its delimiter and what stands before it; the rest of the text comes last."""
     delimiter, start, at = b";", 0, 0
@@ -165,7 +176,8 @@ def read_statements(spark: SparkSession, path: str, exact: bool = False) -> Data
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content").to_pylist():
+            for packed in batch.column("content").to_pylist():
+                content = gzip.decompress(packed) if packed[:2] == b"\x1f\x8b" else packed
                 for number, raw in enumerate(statements(content)):
                     kind, tbl = classify(raw)
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([raw], pa.binary()), pa.array([kind], pa.string()), pa.array([tbl], pa.string())], ["ord", "raw", "kind", "tbl"])
@@ -178,13 +190,15 @@ def read_statements(spark: SparkSession, path: str, exact: bool = False) -> Data
 
 def read_rows(statements_: DataFrame) -> DataFrame:
     """(ord, row, tbl, columns, body, values) of every tuple of every INSERT; columns null where the statement has no list."""
-    layout = pa.schema([("ord", pa.int64()), ("row", pa.int32()), ("tbl", pa.string()), ("columns", pa.list_(pa.string())), ("body", pa.binary()), ("values", pa.list_(pa.struct([("kind", pa.string()), ("raw", pa.binary())])))])
+    layout = pa.schema([("ord", pa.int64()), ("row", pa.int32()), ("tbl", pa.string()), ("columns", pa.list_(pa.string())), ("body", pa.binary()), ("values", pa.list_(pa.struct([("kind", pa.string()), ("raw", pa.binary())]))), ("tail", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, raw, tbl in zip(*(batch.column(c).to_pylist() for c in ("ord", "raw", "tbl")), strict=True):
-                columns, rows = tuples(raw)
-                held = [{"ord": number, "row": i, "tbl": tbl, "columns": columns, "body": body, "values": [{"kind": k, "raw": v} for k, v in found]} for i, (body, found) in enumerate(rows)]
+                columns, found_rows = tuples(raw)
+                rows = list(found_rows)
+                tail = tail_of(raw, [body for body, _ in rows])
+                held = [{"ord": number, "row": i, "tbl": tbl, "columns": columns, "body": body, "values": [{"kind": k, "raw": v} for k, v in found], "tail": tail} for i, (body, found) in enumerate(rows)]
                 for at in range(0, len(held), 2000):
                     yield pa.RecordBatch.from_pylist(held[at : at + 2000], schema=layout)
 
@@ -250,21 +264,25 @@ def named_values(rows: DataFrame, statements_: DataFrame, wanted: tuple[str, ...
 def insert_statements(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
     """(tbl, first_ord, first_row, n, raw): rows (ord, row, tbl, columns, body) packed into INSERTs of at most `most` bytes, one row at least.
 
-    Rows are dealt by ranges of table and place, so each task packs neighbouring rows; rows of one statement list the same columns.
+    Rows are dealt by ranges of table and place, so each task packs neighbouring rows; rows of one statement list the same
+    columns. A clause after the tuples, such as ON DUPLICATE KEY UPDATE, holds for a statement as a whole: one that
+    would have to be cut raises DumpError.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, size, first = None, [], 0, (0, 0)
 
         def out() -> pa.RecordBatch:
-            tbl, columns = key
+            tbl, columns = key[:2]
             names = b"" if columns is None else b" (" + b", ".join(b"`" + c.encode() + b"`" for c in columns) + b")"
-            raw = b"INSERT INTO `" + tbl.encode() + b"`" + names + b" VALUES\n" + b",\n".join(held) + b";\n"
+            raw = b"INSERT INTO `" + tbl.encode() + b"`" + names + b" VALUES\n" + b",\n".join(held) + (b" " + key[2] if key[2] else b"") + b";\n"
             return pa.RecordBatch.from_arrays([pa.array([tbl]), pa.array([first[0]], pa.int64()), pa.array([first[1]], pa.int32()), pa.array([len(held)], pa.int32()), pa.array([raw], pa.binary())], ["tbl", "first_ord", "first_row", "n", "raw"])
 
         for batch in batches:
-            for number, row, tbl, columns, body in zip(*(batch.column(c).to_pylist() for c in ("ord", "row", "tbl", "columns", "body")), strict=True):
-                own = (tbl, None if columns is None else tuple(columns))
+            for number, row, tbl, columns, body, tail in zip(*(batch.column(c).to_pylist() for c in ("ord", "row", "tbl", "columns", "body", "tail")), strict=True):
+                own = (tbl, None if columns is None else tuple(columns), tail, number if tail else None)
+                if held and own == key and tail and size + len(body) + 2 > most:
+                    raise DumpError(f"the clause after the rows of statement {number} allows no cut")
                 if held and (own != key or size + len(body) + 2 > most):
                     yield out()
                     held, size = [], 0
@@ -275,7 +293,7 @@ def insert_statements(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
         if held:
             yield out()
 
-    ordered = rows.repartitionByRange("tbl", "ord", "row").sortWithinPartitions("tbl", "ord", "row").select("ord", "row", "tbl", "columns", "body")
+    ordered = rows.repartitionByRange("tbl", "ord").sortWithinPartitions("tbl", "ord", "row").select("ord", "row", "tbl", "columns", "body", "tail")
     return ordered.mapInArrow(work, "tbl string, first_ord long, first_row int, n int, raw binary")
 
 

@@ -132,3 +132,22 @@ def test_copy_of_a_dump(spark, tmp_path, exact):
     back = dump.read_rows(dump.read_statements(spark, str(again), exact))
     assert back.count() == slimmed.count() and sorted(bytes(r.body) for r in back.collect()) == sorted(bytes(r.body) for r in slimmed.collect())
     assert b"wp_2_" not in out and len(out) < len(text) // 2
+
+
+def test_clause_after_rows(spark, tmp_path):
+    from quarry.session import ship
+
+    ship(spark)
+    path = tmp_path / "edges.sql.gz"
+    import gzip
+
+    path.write_bytes(gzip.compress(EDGES))
+    rows = dump.read_rows(dump.read_statements(spark, str(path), exact=True))
+    assert {bytes(r.tail) for r in rows.where("tail is not null").collect()} == {b"ON DUPLICATE KEY UPDATE id = id"}
+    packed = b"".join(bytes(r.raw) for r in dump.insert_statements(rows, 1000).collect())
+    assert packed.count(b"ON DUPLICATE KEY") == 1 and rows.count() == 7
+    with pytest.raises(Exception, match="allows no cut"):
+        dump.insert_statements(rows, 50).collect()
+    plain = tmp_path / "plain.sql.gz"
+    plain.write_bytes(gzip.compress(synth.dump(posts=8).encode()))
+    assert dump.read_rows(dump.read_statements(spark, str(plain))).count() > 50
