@@ -35,36 +35,50 @@ def word_digest(word: str) -> int:
     return xxhash.xxh3_64_intdigest(_DROP.sub("", word).lower() or word)
 
 
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+def unit_table(data: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the units of texts, one text after the other: digest, word count, line, and first word; and where each text's units begin."""
+    words: list[str] = []
+    in_line: list[int] = []
+    lines_of: list[int] = []
+    for text in data:
+        rows = [line.split() for line in text.split("\n")]
+        in_line += map(len, rows)
+        lines_of.append(len(rows))
+        for row in rows:
+            words += row
+    for w in set(words):
+        if w not in known:
+            known[w] = word_digest(w)
+    values = np.array([known[w] for w in words], np.uint64)
+    counts = np.array(in_line, np.int64)
+    line_starts = np.cumsum(counts) - counts
+    begins = values % np.uint64(ANCHOR) == 0
+    begins[line_starts[counts > 0]] = True
+    first = np.flatnonzero(begins)
+    sizes = np.diff(np.append(first, len(values)))
+    place = np.arange(len(values)) - np.repeat(first, sizes)
+    powers = np.cumprod(np.full(int(place.max()) + 1 if len(place) else 1, _P))
+    sums = np.add.reduceat(values * powers[place], first) if len(first) else np.zeros(0, np.uint64)
+    digests = (sums ^ (sums >> np.uint64(31))) * _P ^ sizes.astype(np.uint64)
+    line = np.searchsorted(line_starts, first, "right") - 1 if len(first) else np.zeros(0, np.int64)
+    text_lines = np.concatenate([[0], np.cumsum(lines_of)]).astype(np.int64)
+    starts = np.searchsorted(line, text_lines)
+    owner = np.repeat(np.arange(len(data)), np.diff(starts))
+    return digests.view(np.int64), sizes, line - text_lines[owner], first, starts
+
+
 class Units:
     """The units of a text: the character span, word count, digest and line of each."""
 
-    def __init__(self, text: str, digests: dict[str, int]):
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-        self.sizes: list[int] = []
-        self.lines: list[int] = []
-        values: list[int] = []
-        at = 0
-        for number, line in enumerate(text.split("\n")):
-            fresh, position = True, 0
-            for word in line.split():
-                value = digests.get(word)
-                if value is None:
-                    value = digests[word] = word_digest(word)
-                position = line.index(word, position)
-                if fresh or value % ANCHOR == 0:
-                    self.starts.append(at + position)
-                    self.ends.append(0)
-                    self.sizes.append(0)
-                    self.lines.append(number)
-                    values.append(0)
-                    fresh = False
-                position += len(word)
-                self.ends[-1] = at + position
-                self.sizes[-1] += 1
-                values[-1] = ((values[-1] * 0x9E3779B97F4A7C15) ^ value) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF
-            at += len(line) + 1
-        self.digests = np.array(values, np.uint64).view(np.int64)
+    def __init__(self, text: str, known: dict[str, int]):
+        self.digests, sizes, lines, first, _ = unit_table([text], known)
+        spans = [m.span() for m in _TOKEN.finditer(text)]
+        self.sizes, self.lines = sizes.tolist(), lines.tolist()
+        self.starts = [spans[i][0] for i in first.tolist()]
+        self.ends = [spans[i + n - 1][1] for i, n in zip(first.tolist(), self.sizes, strict=True)]
 
 
 def removed_spans(units: Units, repeats: set[int]) -> list[tuple[int, int]]:
@@ -122,15 +136,12 @@ def unit_rows(docs: DataFrame, column: str = "text") -> DataFrame:
         known: dict[str, int] = {}
         for part in slices(batches, column, 1 << 20):
             data, ids, uids = texts(part, column), part.column("doc_id").to_pylist(), part.column("uid").to_pylist()
-            digests, places, counts = [], [], []
-            for text in data:
-                units = Units(text.decode("utf-8", "replace"), known)
-                place = np.flatnonzero(np.array(units.sizes, np.int64) >= MIN_UNIT)
-                digests.append(units.digests[place])
-                places.append(place.astype(np.int32))
-                counts.append(len(place))
-            owner = pa.array(np.repeat(np.arange(len(data)), counts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)), pa.array(ids, pa.int64()).take(owner), pa.array(uids, pa.int64()).take(owner), pa.array(np.concatenate(places))], ["digest", "doc_id", "uid", "place"])
+            digests, sizes, _, _, starts = unit_table([t.decode("utf-8", "replace") for t in data], known)
+            use = np.flatnonzero(sizes >= MIN_UNIT)
+            owner = np.searchsorted(starts, use, "right") - 1
+            places = (use - starts[owner]).astype(np.int32)
+            owner = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(digests[use]), pa.array(ids, pa.int64()).take(owner), pa.array(uids, pa.int64()).take(owner), pa.array(places)], ["digest", "doc_id", "uid", "place"])
             if len(known) > CACHE:
                 known.clear()
 
