@@ -138,19 +138,22 @@ class Table:
         return [self.ids[self.ends[i - 1] if i else 0 : self.ends[i]].tobytes() if h else None for i, h in zip(at.tolist(), hit.tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """`docs` with its columns and `ids` array<int>. Null and empty texts have no ids. An `ids` column of docs is replaced.
 
+    With `decoded`, a column of that name holds what decode() makes of the ids, in the same Python worker.
+
     Repeated rows stay; the order of rows does not matter; a text may have any length.
     """
     spark = docs.sparkSession
     words = spark.sparkContext.broadcast(Table(word_table(docs, path, column).select("low", "high", "ids").toArrow()))
-    keep = docs.drop(ids)
-    schema = plus(keep, f"`{ids}` array<int>")
+    keep = docs.drop(ids, *([decoded] if decoded else []))
+    schema = plus(keep, f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else ""))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[bytes, bytes] = {}
         hot = words.value
+        piece = pa.array(pieces(path)) if decoded else None
         for part in slices(batches, column, 1 << 20):
             split = [t.split() for t in texts(part, column)]
             if len(own) > CACHE:
@@ -165,7 +168,8 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -
             packed = [b"".join([own[w] for w in ws]) for ws in split]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([*part.columns, flat], [*part.schema.names, ids])
+            columns = [*part.columns, flat] + ([joined_pieces(flat, piece)] if decoded else [])
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return keep.mapInArrow(work, schema)
 
@@ -176,6 +180,13 @@ def pieces(path: str) -> list[str]:
     return [found.id_to_token(i) or "" for i in range(found.get_vocab_size(with_added_tokens=True))]
 
 
+def joined_pieces(col: pa.ListArray, piece: pa.Array) -> pa.Array:
+    """The pieces of each list of ids, joined by a space; null is empty."""
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), piece.take(col.flatten()))
+    return pc.binary_join(lists, " ").cast(pa.string())
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """`encoded` with column `out`: the pieces of its ids, joined by a space, as this vocabulary's decode() gives them. Null ids: empty."""
     keep = encoded.drop(out)
@@ -186,11 +197,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                col = part.column(ids)
-                flat = piece.take(col.flatten())
-                sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), flat)
-                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(lists, " ").cast(pa.string())], [*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, joined_pieces(part.column(ids), piece)], [*part.schema.names, out])
 
     return keep.mapInArrow(work, schema)
 
@@ -203,8 +210,7 @@ def default_path() -> str:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs."""
-    encoded = encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    return decode(encoded, path).select(
+    return encode(docs.select("doc_id", "text"), path, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
