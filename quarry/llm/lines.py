@@ -1,11 +1,13 @@
-"""Removal of passages that repeat, by hashing of lines and of the units within them.
-
-A line is cut into units before every word whose digest is 0 modulo ANCHOR, so units begin and end at the same
-words wherever a passage stands, and a passage inside longer lines is found too. A unit's words are normalised
-(lower case, only letters and digits) before hashing. Digests are grouped over the whole corpus; the earliest ranked
-occurrence (by doc_id, then by place) stays. In each text, neighbouring units that all occur earlier form a run, in
-which units of under MIN_UNIT words count as their neighbours do; a run goes if it has at least MIN_RUN words or is
-made of whole lines with at least MIN_LINE words each. What is left keeps its order, and its offsets in the original.
+"""Removal of passages that repeat, to the word.
+
+A text's units are all its windows of MIN_RUN words, also over line ends, and its lines of MIN_LINE to MIN_RUN - 1 words.
+Words are normalised (lower case, only letters and digits) before hashing. A unit that occurs earlier goes, so of a
+repeated passage every word goes, wherever it stands. The earliest ranked occurrence (by doc_id, then by place) stays;
+copies that overlap within one text are one occurrence. What is left keeps its order, and its offsets in the original.
+
+Few windows are looked at twice: of the runs of GRAM words in a window the one with the least digest, the leftmost of
+equal ones, is its mark. Equal windows have equal marks, so only windows whose mark is met more than once are compared,
+and about one word in seven begins a mark.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from quarry.session import ship
 
 from .common import plus, row_id, slices, stash, table, texts
 
-ANCHOR, MIN_UNIT, MIN_RUN, MIN_LINE = 6, 3, 25, 8
+GRAM, MIN_RUN, MIN_LINE = 13, 25, 8
+MIN_UNIT = MIN_LINE
 CACHE = 100_000
 
 _TOKEN = re.compile(r"\S+")
@@ -36,83 +39,109 @@ def word_digest(word: str) -> int:
 
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-
-
-def unit_table(data: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the units of texts, one text after the other: digest, word count, line, and first word; and where each text's units begin."""
-    words: list[str] = []
-    in_line: list[int] = []
-    lines_of: list[int] = []
-    for text in data:
-        rows = [line.split() for line in text.split("\n")]
-        in_line += map(len, rows)
-        lines_of.append(len(rows))
-        for row in rows:
-            words += row
-    for w in set(words):
-        if w not in known:
-            known[w] = word_digest(w)
-    values = np.array([known[w] for w in words], np.uint64)
-    counts = np.array(in_line, np.int64)
-    line_starts = np.cumsum(counts) - counts
-    begins = values % np.uint64(ANCHOR) == 0
-    begins[line_starts[counts > 0]] = True
-    first = np.flatnonzero(begins)
-    sizes = np.diff(np.append(first, len(values)))
-    place = np.arange(len(values)) - np.repeat(first, sizes)
-    powers = np.cumprod(np.full(int(place.max()) + 1 if len(place) else 1, _P))
-    sums = np.add.reduceat(values * powers[place], first) if len(first) else np.zeros(0, np.uint64)
-    digests = (sums ^ (sums >> np.uint64(31))) * _P ^ sizes.astype(np.uint64)
-    line = np.searchsorted(line_starts, first, "right") - 1 if len(first) else np.zeros(0, np.int64)
-    text_lines = np.concatenate([[0], np.cumsum(lines_of)]).astype(np.int64)
-    starts = np.searchsorted(line, text_lines)
-    owner = np.repeat(np.arange(len(data)), np.diff(starts))
-    return digests.view(np.int64), sizes, line - text_lines[owner], first, starts
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+class Words:
+    """The words of texts, one text after the other, and the digests of runs of them."""
+
+    def __init__(self, data: list[str], known: dict[str, int]):
+        words: list[str] = []
+        in_line: list[int] = []
+        lines_of: list[int] = []
+        for text in data:
+            rows = [line.split() for line in text.split("\n")]
+            in_line += map(len, rows)
+            lines_of.append(len(rows))
+            for row in rows:
+                words += row
+        for w in set(words):
+            if w not in known:
+                known[w] = word_digest(w)
+        values = np.array([known[w] for w in words], np.uint64)
+        n = len(values)
+        powers, self.inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x)])) for x in (_P, _INVERSE))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers[:n])])
+        line_ends = np.concatenate([[0], np.cumsum(in_line)]).astype(np.int64)
+        text_lines = np.concatenate([[0], np.cumsum(lines_of)]).astype(np.int64)
+        self.begins = line_ends[text_lines]  # of each text, and the end
+        self.text = np.repeat(np.arange(len(data)), np.diff(self.begins))
+        sizes = np.diff(line_ends)
+        lines = np.flatnonzero((sizes >= MIN_LINE) & (sizes < MIN_RUN))
+        self.line_starts, self.line_sizes = line_ends[lines], sizes[lines]
+        self.line_text = np.searchsorted(text_lines, lines, "right") - 1
+        self.lines = lines - text_lines[self.line_text]
+        self.line_digests = self.runs(self.line_starts, self.line_starts + self.line_sizes)
+
+    def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Digests of the words from starts to ends."""
+        out = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        return (out ^ (out >> np.uint64(31))) * _P ^ (ends - starts).astype(np.uint64)
+
+    def windows(self) -> np.ndarray:
+        """Where windows begin: MIN_RUN words of one text."""
+        n = len(self.text) - MIN_RUN + 1
+        return np.flatnonzero(self.text[: max(0, n)] == self.text[MIN_RUN - 1 :])
+
+    def marks(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the mark of each window begins, and its digest."""
+        n = len(self.text) - MIN_RUN + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = np.arange(len(self.text) - GRAM + 1)
+        grams = self.runs(at, at + GRAM)
+        best, place = grams[:n].copy(), at[:n].copy()
+        for j in range(1, MIN_RUN - GRAM + 1):
+            less = grams[j : j + n] < best
+            np.copyto(best, grams[j : j + n], where=less)
+            np.copyto(place, at[j : j + n], where=less)
+        return place[windows], best[windows]
+
+
+def occurrences(digests: np.ndarray, firsts: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows, the number of each one's occurrence, whether that is not its text's first one, and each occurrence's digest.
+
+    Copies of which each overlaps the next are one occurrence: a phrase said over and over is no passage that repeats.
+    """
+    order = np.lexsort((firsts, text, digests))
+    d, f, t = digests[order], firsts[order], text[order]
+    head = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))[: len(d)]
+    starts = head | np.append(True, f[1:] - f[:-1] >= MIN_RUN)[: len(d)]
+    number, later = np.zeros(len(d), np.int64), np.zeros(len(d), bool)
+    number[order] = np.cumsum(starts) - 1
+    later[order] = number[order] > number[order][head][np.cumsum(head) - 1]
+    return number, later, d[starts]
 
 
 class Units:
-    """The units of a text: the character span, word count, digest and line of each."""
+    """The occurrences of units in a text, those of windows before lines: the word count and digest of each."""
 
     def __init__(self, text: str, known: dict[str, int]):
-        self.digests, sizes, lines, first, _ = unit_table([text], known)
-        spans = [m.span() for m in _TOKEN.finditer(text)]
-        self.sizes, self.lines = sizes.tolist(), lines.tolist()
-        self.starts = [spans[i][0] for i in first.tolist()]
-        self.ends = [spans[i + n - 1][1] for i, n in zip(first.tolist(), self.sizes, strict=True)]
+        words = Words([text], known)
+        windows = words.windows()
+        number, _, digests = occurrences(words.runs(windows, windows + MIN_RUN), windows, words.text[windows])
+        self.text = text
+        self.numbers = np.concatenate([number, len(digests) + np.arange(len(words.line_starts))])
+        self.starts = np.concatenate([windows, words.line_starts])
+        self.counts = np.concatenate([np.full(len(windows), MIN_RUN), words.line_sizes])
+        self.sizes = [MIN_RUN] * len(digests) + words.line_sizes.tolist()
+        self.digests = np.concatenate([digests, words.line_digests]).view(np.int64)
+
+
+def spans_of(text: str, firsts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """The character spans of the words that these units cover."""
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    steps = np.zeros(len(spans) + 1, np.int64)
+    np.add.at(steps, firsts, 1)
+    np.add.at(steps, firsts + sizes, -1)
+    edges = np.diff(np.concatenate([[0], np.cumsum(steps[:-1]) > 0, [0]]).astype(np.int8))
+    return [(spans[i][0], spans[j - 1][1]) for i, j in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True)]
 
 
 def removed_spans(units: Units, repeats: set[int]) -> list[tuple[int, int]]:
-    """The spans of the runs that go; repeats are the numbers of the units that occur earlier."""
-    out, n = [], len(units.sizes)
-    line_of, sizes = units.lines, units.sizes
-    i = 0
-    while i < n:
-        if i not in repeats:
-            i += 1
-            continue
-        j = i
-        while j < n and (j in repeats or sizes[j] < MIN_UNIT):
-            j += 1
-        while j - 1 not in repeats and not (j == n or line_of[j] != line_of[j - 1]):
-            j -= 1  # short units at the run's end stay, unless they end a line
-        first = i
-        while first > 0 and sizes[first - 1] < MIN_UNIT and line_of[first - 1] == line_of[i] and first - 1 not in repeats:
-            first -= 1
-        if first > 0 and line_of[first - 1] == line_of[i]:
-            first = i  # the line begins before the short units
-        if sum(sizes[first:j]) >= MIN_RUN:
-            out.append((units.starts[first], units.ends[j - 1]))
-        else:  # whole lines within the run
-            k = first
-            while k < j:
-                end = k
-                while end < n and line_of[end] == line_of[k]:
-                    end += 1
-                if end <= j and (k == 0 or line_of[k - 1] != line_of[k]) and sum(sizes[k:end]) >= MIN_LINE:
-                    out.append((units.starts[k], units.ends[end - 1]))
-                k = end
-        i = j
-    return out
+    """The spans that go; repeats are the numbers of the occurrences that are not the first."""
+    gone = np.isin(units.numbers, np.array(sorted(repeats), np.int64))
+    return spans_of(units.text, units.starts[gone], units.counts[gone])
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
@@ -129,23 +158,58 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[in
     return "".join(text[a:b] for a, b in kept), kept
 
 
+def mark_rows(docs: DataFrame, column: str = "text") -> DataFrame:
+    """(digest, doc_id, uid) of every mark and every short line of docs (doc_id, __uid, text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for part in slices(batches, column, 1 << 20):
+            words = Words([t.decode("utf-8", "replace") for t in texts(part, column)], known)
+            place, digest = words.marks(words.windows())
+            new = np.append(True, place[1:] != place[:-1])[: len(place)]
+            digests = np.concatenate([digest[new], words.line_digests]).view(np.int64)
+            owner = pa.array(np.concatenate([words.text[place[new]], words.line_text]))
+            yield pa.RecordBatch.from_arrays([pa.array(digests), part.column("doc_id").cast(pa.int64()).take(owner), part.column("__uid").take(owner)], ["digest", "doc_id", "uid"])
+            if len(known) > CACHE:
+                known.clear()
+
+    return docs.mapInArrow(work, "digest long, doc_id long, uid long")
+
+
 def unit_rows(docs: DataFrame, column: str = "text") -> DataFrame:
-    """(digest, doc_id, uid, place) of every unit of at least MIN_UNIT words of docs (doc_id, uid, text)."""
+    """(digest, rank, uid, place, own) of the units of docs (__uid, __rank, __marks, text) that have one of the marks.
+
+    place is a window's first word, or -1 - the number of a line; own: the unit stands earlier in the same text.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for part in slices(batches, column, 1 << 20):
-            data, ids, uids = texts(part, column), part.column("doc_id").to_pylist(), part.column("uid").to_pylist()
-            digests, sizes, _, _, starts = unit_table([t.decode("utf-8", "replace") for t in data], known)
-            use = np.flatnonzero(sizes >= MIN_UNIT)
-            owner = np.searchsorted(starts, use, "right") - 1
-            places = (use - starts[owner]).astype(np.int32)
-            owner = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(digests[use]), pa.array(ids, pa.int64()).take(owner), pa.array(uids, pa.int64()).take(owner), pa.array(places)], ["digest", "doc_id", "uid", "place"])
+            words = Words([t.decode("utf-8", "replace") for t in texts(part, column)], known)
+            marks = np.unique(part.column("__marks").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            windows = words.windows()
+            windows = windows[np.isin(words.marks(windows)[1], marks)]
+            lines = np.flatnonzero(np.isin(words.line_digests, marks))
+            digests = words.runs(windows, windows + MIN_RUN)
+            line_digests, line_text = words.line_digests[lines], words.line_text[lines]
+            text = np.concatenate([words.text[windows], line_text])
+            places = np.concatenate([windows - words.begins[words.text[windows]], -1 - words.lines[lines]]).astype(np.int32)
+            own = np.concatenate([occurrences(digests, windows, words.text[windows])[1], occurrences(line_digests, lines * MIN_RUN, line_text)[1]])
+            owner = pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([digests, line_digests]).view(np.int64)), part.column("__rank").take(owner), part.column("__uid").take(owner), pa.array(places), pa.array(own)], ["digest", "rank", "uid", "place", "own"])
             if len(known) > CACHE:
                 known.clear()
 
-    return docs.mapInArrow(work, "digest long, doc_id long, uid long, place int")
+    return docs.mapInArrow(work, "digest long, rank long, uid long, place int, own boolean")
+
+
+def spans_at(text: str, places: list[int]) -> list[tuple[int, int]]:
+    """The spans of the units at these places."""
+    place = np.array(places, np.int64)
+    windows, lines = place[place >= 0], -1 - place[place < 0]
+    sizes = np.array([len(line.split()) for line in text.split("\n")], np.int64) if len(lines) else np.zeros(0, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    return spans_of(text, np.concatenate([windows, starts[lines]]), np.concatenate([np.full(len(windows), MIN_RUN), sizes[lines]]))
 
 
 def dedup(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -156,16 +220,19 @@ def dedup(docs: DataFrame, column: str = "text") -> DataFrame:
     Texts may have any length. Columns of docs named n_removed or kept are replaced.
     """
     own = docs.drop("n_removed", "kept").withColumn("__uid", row_id())
-    rows = unit_rows(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__uid").alias("uid"), F.col(column).alias(column)), column)
-    ranked = rows.select("digest", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "place").alias("rank"))
-    first = ranked.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    first = stash(first, "repeated-units")
-    later = ranked.join(first, "digest").where("rank > first").groupBy(F.col("rank.uid").alias("__uid")).agg(F.collect_list("rank.place").alias("__repeats"))
+    # Every reading of own has all its columns: a plan with fewer could number the rows otherwise.
+    rows = stash(mark_rows(own, column), "marks")
+    met = rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    met = rows.join(met, "digest", "left_semi").groupBy("doc_id", "uid").agg(F.collect_list("digest").alias("__marks"))
+    met = met.orderBy(F.col("doc_id").asc_nulls_last(), "uid").select(F.col("uid").alias("__uid"), row_id().alias("__rank"), "__marks")  # row_id follows the order
+    met = stash(met, "marked-texts")
+    units = stash(unit_rows(own.join(met, "__uid"), column), "units")
+    first = units.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    later = units.join(first, "digest").where("rank > first or own").groupBy(F.col("uid").alias("__uid")).agg(F.collect_list("place").alias("__repeats"))
     marked = own.join(later, "__uid", "left").drop("__uid")
     at = marked.columns.index(column)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for part in slices(batches, column, 1 << 20):
             raw, repeats = part.column(column).to_pylist(), part.column("__repeats").to_pylist()
             rows = []
@@ -173,11 +240,9 @@ def dedup(docs: DataFrame, column: str = "text") -> DataFrame:
                 if text is None:
                     rows.append((None, 0, []))
                     continue
-                spans = removed_spans(Units(text, known), set(own)) if own else []
+                spans = spans_at(text, own) if own else []
                 left, kept = without(text, spans)
                 rows.append((left, len(text) - len(left), [{"start": a, "end": b} for a, b in kept]))
-            if len(known) > CACHE:
-                known.clear()
             columns = [c for c, name in zip(part.columns, part.schema.names, strict=True) if name != "__repeats"]
             columns[at] = pa.array([r[0] for r in rows], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [*(n for n in part.schema.names if n != "__repeats"), "n_removed", "kept"])

@@ -309,6 +309,54 @@ def test_lines_against_plain_version(corpus):
     assert {r.doc_id: r.text for r in lines.dedup(corpus.select("doc_id", "text")).collect()} == want
 
 
+def plain_cover(texts):
+    """Of each text, which words go: a word-by-word matcher of all runs of 25 words against all earlier texts."""
+    seen, out = set(), []
+    for text in texts:
+        words = ["".join(c for c in w.lower() if c.isalnum()) or w for w in text.split()]
+        runs = [tuple(words[i : i + 25]) for i in range(len(words) - 24)]
+        gone = {i + k for i, run in enumerate(runs) if run in seen for k in range(25)}
+        seen.update(runs)
+        out.append([w for i, w in enumerate(text.split()) if i not in gone])
+    return out
+
+
+def test_lines_whole_passages(spark):
+    """Passages of 51 words at random places of other text, few words in all, and a second context, go to the last word."""
+    ship(spark)
+    rng = random.Random(51)
+    say = lambda n, k=3000: " ".join(f"w{rng.randrange(k)}" for _ in range(n))
+    own, passages = [], []
+    for _ in range(150):
+        passages.append(say(51))
+        own.append(say(rng.randrange(40)) + " " + passages[-1] + " " + say(rng.randrange(40)))
+    for p in passages:
+        own.append(say(rng.randrange(60)) + rng.choice([" ", "\n"]) + p.upper() + "; " + say(rng.randrange(60)))
+    one, two = passages[0].split(), passages[1].split()
+    own.append(say(20) + " " + " ".join(one[:30] + two[20:]) + " " + say(20))
+    # The middle stands first in another context; the whole is in a later, yet earlier, text.
+    middle, left, right = say(14), say(20), say(20)
+    own += [f"{say(30)} {middle} {say(30)}", f"{say(9)} {left} {middle} {right} {say(9)}", f"{say(9)} {left} {middle} {right} {say(9)}"]
+    few = " ".join(rng.choice(["la", "lo"]) for _ in range(60))
+    own += [say(20) + " " + few + " " + say(20), say(33) + " " + few + " " + say(9)]
+    found = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(3)).collect()}
+    want = plain_cover(own)
+    assert [found[i].split() for i in range(len(own))] == want
+    assert all(len(want[150 + i]) <= len(own[150 + i].split()) - 51 for i in range(150))
+
+
+def test_lines_within_one_text(spark):
+    """A second copy within a text goes; a phrase said over and over is one occurrence, and goes from a later text."""
+    ship(spark)
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    twice, line, chant = say(40), say(9), "ho hey " * 40
+    own = [(1, f"{twice} {say(3)} {twice}"), (2, f"{line}\n{say(3)}\n{line}"), (3, chant), (4, chant)]
+    found = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    assert found[1].count(twice) == 1 and len(found[1].split()) == 43
+    assert found[2].count(line) == 1 and found[3] == chant and not found[4].strip()
+
+
 # 6 Unigram counts
 
 
