@@ -1,17 +1,21 @@
 """Benchmark decontamination by templates.
 
 A token is a word between white space without its outer punctuation, in lower case. Its template is the token, or a
-typed placeholder: a number; a unit, if it follows a number; a name, if it has a capital within a sentence. Windows of
-WINDOW template tokens of benchmark items are hash-joined with those of texts; a window needs LITERAL tokens that are
-no placeholders. Windows that meet in one alignment of item and text are put together, and their slots are
-compared: within a type, equal values of the item must stand where equal values of the text stand, and unequal ones
-where unequal ones stand. Windows of the largest consistent set count; an item is in a text if these are at least
-COVERAGE of the item's windows. So questions with other numbers, names and units are caught too.
+typed placeholder: a number; a unit, if it follows a number; a name, if it has a capital within a sentence, or at a
+sentence's start if the text has it within one elsewhere. Names side by side are one placeholder, and so are numbers.
+Windows of WINDOW template tokens of benchmark items are hash-joined with those of texts; a window needs LITERAL tokens
+that are no placeholders. Windows are met in three ways: as they are, with placeholders, and with placeholders also for
+every capital at a sentence's start. Windows that meet in order, at shifts of which each is near the next, are put
+together, and their slots are compared: within a type, equal values of the item must stand where equal values of the
+text stand, and unequal ones where unequal ones stand. Windows of the best consistent set found (see `consistent`)
+count, and literal copies always; an item is in a text if these are at least COVERAGE of the item's windows. So questions
+with other numbers, names and units are caught too.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,6 +34,7 @@ WINDOW, LITERAL, COVERAGE = 8, 3, 0.5
 BLOCK_WINDOWS = 500_000
 CACHE = 150_000
 WORD, NUMBER, UNIT, NAME = range(4)
+PLAIN, TEMPLATE, OPEN = range(3)
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers "
     "mg g kg t oz lb lbs gram grams kilogram kilograms ton tons tonne tonnes ounce ounces pound pounds ml cl l litre litres liter liters gallon gallons "
@@ -51,8 +56,35 @@ def _facts(word: str) -> tuple[str, int, bool, bool, bool, bool]:
     return low, xxhash.xxh3_64_intdigest(low), bool(_NUMBER.match(low)), low in UNITS, token[:1].isupper() and (len(token) == 1 or not token.isupper()), ends
 
 
+class Stream:
+    """Tokens of texts, names and numbers side by side in one: where each begins, its kind, text and template digest."""
+
+    def __init__(self, values: list[str], codes: np.ndarray, digests: np.ndarray, kinds: np.ndarray, text: np.ndarray, ends: np.ndarray):
+        n = len(codes)
+        same = np.zeros(n, bool)
+        same[1:] = (kinds[1:] == kinds[:-1]) & ((kinds[1:] == NAME) | (kinds[1:] == NUMBER)) & (text[1:] == text[:-1]) & ~ends[:-1]
+        self.at = np.flatnonzero(~same)
+        self.stops = np.append(self.at[1:], n)
+        self.kinds, self.text = kinds[self.at], text[self.at]
+        self.digests = np.where(self.kinds == WORD, digests[self.at], _PLACES[self.kinds])
+        self.values, self.codes = values, codes
+
+    def value(self, i: int) -> str:
+        return " ".join(self.values[c] for c in self.codes[self.at[i] : self.stops[i]])
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Digests of all windows of so many tokens, and which have enough literal ones and are of one text."""
+        n = max(0, len(self.digests) - size + 1)
+        out, literal = np.full(n, size, np.uint64), np.zeros(n, np.int64)
+        for j in range(size):
+            out = (out * _P) ^ self.digests[j : j + n]
+            out ^= out >> np.uint64(29)
+            literal += self.kinds[j : j + n] == WORD
+        return out, (literal >= min(LITERAL, size)) & (self.text[:n] == self.text[size - 1 : size - 1 + n])
+
+
 class Templates:
-    """The tokens of texts in a row: their values, kinds and template digests."""
+    """The three streams of texts in a row."""
 
     def __init__(self, words: list[str], firsts: np.ndarray, known: dict[str, int], facts: list[tuple]):
         codes = np.empty(len(words), np.int64)
@@ -62,51 +94,90 @@ class Templates:
                 code = known[w] = len(facts)
                 facts.append(_facts(w))
             codes[i] = code
-        used, self.codes = np.unique(codes, return_inverse=True)
+        used, codes = np.unique(codes, return_inverse=True)
         own = [facts[c] for c in used]
-        self.values = [x[0] for x in own]
-        digest = np.array([x[1] for x in own], np.uint64)
-        number, unit, name, ends = (np.array([x[k] for x in own], bool)[self.codes] if own else np.zeros(0, bool) for k in range(2, 6))
-        first = np.zeros(len(words), bool)
-        first[firsts[firsts < len(words)]] = True
-        after_number, after_end = np.zeros(len(words), bool), np.ones(len(words), bool)
+        values = [x[0] for x in own]
+        digests = np.array([x[1] for x in own], np.uint64)[codes]
+        number, unit, name, ends = (np.array([x[k] for x in own], bool)[codes] for k in range(2, 6))
+        n = len(words)
+        first = np.zeros(n, bool)
+        first[firsts[firsts < n]] = True
+        text = np.searchsorted(firsts, np.arange(n), "right") - 1
+        after_number, after_end = np.zeros(n, bool), np.ones(n, bool)
         after_number[1:], after_end[1:] = number[:-1], ends[:-1]
         after_number[first], after_end[first] = False, True
-        self.kinds = np.where(number, NUMBER, np.where(unit & after_number, UNIT, np.where(name & ~after_end, NAME, WORD)))
-        self.digests = np.where(self.kinds == WORD, digest[self.codes] if own else np.zeros(0, np.uint64), _PLACES[self.kinds])
+        other = np.where(number, NUMBER, np.where(unit & after_number, UNIT, WORD))
+        keys = digests ^ ((text.astype(np.uint64) + np.uint64(1)) * _P)
+        within = name & ~after_end
+        starts = np.flatnonzero(name & after_end)
+        named = within.copy()
+        named[starts[np.isin(keys[starts], keys[within])]] = True
+        self.streams = [Stream(values, codes, digests, np.where((other == WORD) & x, NAME, k), text, ends) for x, k in ((np.zeros(n, bool), np.full(n, WORD)), (named, other), (name, other))]
 
-    def value(self, i: int) -> str:
-        return self.values[self.codes[i]]
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Digests of all windows of so many tokens, and which have enough literal ones."""
-        n = max(0, len(self.digests) - size + 1)
-        out, literal = np.full(n, size, np.uint64), np.zeros(n, np.int64)
-        for j in range(size):
-            out = (out * _P) ^ self.digests[j : j + n]
-            out ^= out >> np.uint64(29)
-            literal += self.kinds[j : j + n] == WORD
-        return out, literal >= min(LITERAL, size)
+def consistent(pairs: list[list[tuple[int, str, str]]]) -> int:
+    """How many windows agree with one mapping of slot values; pairs are each window's (kind, item's value, text's value).
 
+    Windows are taken in order, and the choice is made anew beginning with each window that no choice has had yet; the best counts.
+    """
 
-def consistent(pairs: list[list[tuple[int, str, str]]]) -> int:
-    """How many windows, taken in order, agree with one mapping of slot values; pairs are each window's (kind, item's value, text's value)."""
-    there: dict[tuple[int, str], str] = {}
-    back: dict[tuple[int, str], str] = {}
-    count = 0
-    for window in pairs:
-        there_new, back_new, ok = {}, {}, True
-        for kind, a, b in window:
-            x, y = there_new.get((kind, a), there.get((kind, a), b)), back_new.get((kind, b), back.get((kind, b), a))
-            if x != b or y != a:
-                ok = False
-                break
-            there_new[kind, a], back_new[kind, b] = b, a
-        if ok:
-            count += 1
-            there |= there_new
-            back |= back_new
-    return count
+    def chosen(order: list[int]) -> list[int]:
+        there: dict[tuple[int, str], str] = {}
+        back: dict[tuple[int, str], str] = {}
+        out = []
+        for w in order:
+            there_new, back_new, ok = {}, {}, True
+            for kind, a, b in pairs[w]:
+                x, y = there_new.get((kind, a), there.get((kind, a), b)), back_new.get((kind, b), back.get((kind, b), a))
+                if x != b or y != a:
+                    ok = False
+                    break
+                there_new[kind, a], back_new[kind, b] = b, a
+            if ok:
+                out.append(w)
+                there |= there_new
+                back |= back_new
+        return out
+
+    best, had = 0, set()
+    for start in range(len(pairs)):
+        if start not in had:
+            own = chosen([start, *(w for w in range(len(pairs)) if w != start)])
+            had.update(own)
+            best = max(best, len(own))
+    return best
+
+
+def in_order(hits: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The most (item's place, text's place) that rise in both."""
+    tails: list[int] = []
+    last: list[tuple[int, int]] = []
+    before: dict[tuple[int, int], tuple[int, int] | None] = {}
+    for i, p in sorted(hits, key=lambda h: (h[0], -h[1])):
+        at = bisect_left(tails, p)
+        before[i, p] = last[at - 1] if at else None
+        tails[at : at + 1], last[at : at + 1] = [p], [(i, p)]
+    out, hit = [], last[-1] if last else None
+    while hit is not None:
+        out.append(hit)
+        hit = before[hit]
+    return out[::-1]
+
+
+def alignments(hits: set[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Hits of one shift, and those in order over shifts of which each is at most WINDOW from the next."""
+    by_shift: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for i, p in sorted(hits):
+        by_shift[p - i].append((i, p))
+    yield from by_shift.values()
+    shifts = sorted(by_shift)
+    group: list[int] = []
+    for n, shift in enumerate(shifts):
+        group.append(shift)
+        if n + 1 == len(shifts) or shifts[n + 1] - shift > WINDOW:
+            if len(group) > 1:
+                yield in_order({h for g in group for h in by_shift[g]})
+            group = []
 
 
 class Bench:
@@ -114,51 +185,55 @@ class Bench:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
-        self.templates: list[Templates] = []
-        self.sizes: list[int] = []
+        self.streams: list[list[Stream]] = []
+        self.sizes: list[list[int]] = []
         self.counts: list[int] = []
-        rows: list[tuple[int, int, int]] = []
+        self.by_digest: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list) for _ in range(3)]
         for k, (_, text) in enumerate(items):
-            own = Templates(text.split(), np.zeros(1, np.int64), {}, [])
-            size = min(WINDOW, len(own.digests))
-            digests, enough = own.windows(size) if size else (np.zeros(0, np.uint64), np.zeros(0, bool))
-            self.templates.append(own)
-            self.sizes.append(size)
-            self.counts.append(int(enough.sum()))
-            rows += [(int(digests[i]), k, int(i)) for i in np.flatnonzero(enough)]
-        self.by_digest: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for digest, k, i in rows:
-            self.by_digest[digest].append((k, i))
-        self.digests = np.array(sorted(self.by_digest), np.uint64)
-        self.all_sizes = sorted({s for s in self.sizes if s})
+            streams = Templates(text.split(), np.zeros(1, np.int64), {}, []).streams
+            sizes = [min(WINDOW, len(s.digests)) for s in streams]
+            found = [s.windows(n) if n else (np.zeros(0, np.uint64), np.zeros(0, bool)) for s, n in zip(streams, sizes, strict=True)]
+            counted = set(streams[TEMPLATE].at[np.flatnonzero(found[TEMPLATE][1])].tolist())  # windows, by their first word
+            self.streams.append(streams)
+            self.sizes.append(sizes)
+            self.counts.append(len(counted))
+            for way, (digests, enough) in enumerate(found):
+                for i in np.flatnonzero(enough).tolist():
+                    if int(streams[way].at[i]) in counted:
+                        self.by_digest[way][int(digests[i])].append((k, i))
+        self.digests = [np.array(sorted(x), np.uint64) for x in self.by_digest]
+        self.all_sizes = [sorted({s[way] for s in self.sizes if s[way]}) for way in range(3)]
 
     def find(self, own: Templates, begins: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(text's number, item's id, coverage) for texts that begin at these tokens."""
-        met: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for size in self.all_sizes:
-            digests, enough = own.windows(size)
-            if not len(digests):
-                continue
-            at = np.minimum(np.searchsorted(self.digests, digests), len(self.digests) - 1)
-            hits = np.flatnonzero(enough & (self.digests[at] == digests))
-            text = np.searchsorted(begins, hits, "right") - 1
-            inside = hits + size <= begins[text + 1]
-            for p, t in zip(hits[inside].tolist(), text[inside].tolist(), strict=True):
-                for k, i in self.by_digest[int(digests[p])]:
-                    if self.sizes[k] == size:
-                        met[t, k, p - i].append(i)
-        best: dict[tuple[int, int], float] = {}
-        for (t, k, shift), windows in met.items():
-            if len(windows) < COVERAGE * self.counts[k] or len(windows) / self.counts[k] <= best.get((t, k), 0):
+        met: dict[tuple[int, int], dict[tuple[int, int], tuple[int, int, int]]] = defaultdict(dict)
+        for way in range(3):  # of the ways in which two windows meet the first counts
+            stream = own.streams[way]
+            for size in self.all_sizes[way] if len(self.digests[way]) else []:
+                digests, enough = stream.windows(size)
+                if not len(digests):
+                    continue
+                at = np.minimum(np.searchsorted(self.digests[way], digests), len(self.digests[way]) - 1)
+                for p in np.flatnonzero(enough & (self.digests[way][at] == digests)).tolist():
+                    for k, i in self.by_digest[way][int(digests[p])]:
+                        if self.sizes[k][way] == size:
+                            met[int(stream.text[p]), k].setdefault((int(self.streams[k][way].at[i]), int(stream.at[p])), (way, i, p))
+        for (t, k), hits in met.items():
+            least, best = COVERAGE * self.counts[k], 0
+            if len({i for i, _ in hits}) < least:
                 continue
-            item, pairs = self.templates[k], []
-            for i in windows:
-                pairs.append([(int(item.kinds[j]), item.value(j), own.value(j + shift)) for j in range(i, i + self.sizes[k]) if item.kinds[j] != WORD])
-            share = consistent(pairs) / self.counts[k]
-            if share >= COVERAGE:
-                best[t, k] = max(share, best.get((t, k), 0))
-        for (t, k), share in best.items():
-            yield t, self.ids[k], share
+            for aligned in alignments(set(hits)):
+                if len(aligned) < least or len(aligned) <= best:
+                    continue
+                pairs = []
+                for hit in aligned:
+                    way, i, p = hits[hit]
+                    item, stream = self.streams[k][way], own.streams[way]
+                    if way != PLAIN:
+                        pairs.append([(int(item.kinds[i + j]), item.value(i + j), stream.value(p + j)) for j in range(self.sizes[k][way]) if item.kinds[i + j] != WORD])
+                best = max(best, len(aligned) - len(pairs) + consistent(pairs))
+            if best >= least:
+                yield t, self.ids[k], best / self.counts[k]
 
 
 def blocks_of(benchmark: DataFrame, most: int = BLOCK_WINDOWS) -> Iterator[Bench]:
@@ -192,7 +267,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, column: str = "text") -
                 split = [t.decode("utf-8", "replace").split() for t in texts(part, column)]
                 begins = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
                 items: list[dict[int, float]] = [{} for _ in split]
-                if len(bench.digests):
+                if bench.digests[TEMPLATE].size:
                     for t, item, share in bench.find(Templates([w for s in split for w in s], begins[:-1], known, facts), begins):
                         items[t][item] = max(share, items[t].get(item, 0))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in items])], [*part.schema.names, "items", "coverage"])

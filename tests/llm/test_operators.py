@@ -458,6 +458,28 @@ def test_templates(spark):
     assert small[1] == [10, 110]
 
 
+def template_items(spark, item, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = templates.decontaminate(docs, spark.createDataFrame([(10, item)], "item_id long, text string"))
+    return [r["items"] for r in found.orderBy("doc_id").collect()]
+
+
+def test_templates_mappings(spark):
+    """The best mapping counts, not the first; names and numbers of another word count and an added word break nothing."""
+    ship(spark)
+    item = "Anna had 12 kg of ripe apples and gave 5 kg to Bob so how many kg of apples does Anna have left"
+    texts = [
+        "Clara had 30 kg of ripe apples and gave 7 lb to Dan so how many kg of apples does Clara have left",
+        "Anna had 12 kg of ripe apples and gave 12 kg to Anna so how many kg of apples does Bob have left",  # 5 to 12 and both names swapped: 13 of 16
+        "Ask: today Clara had 1 200 kg of ripe apples and gave 7 kg to Mary Ann Lee so how many kg of apples does Clara have left",
+        "today Clara had 30 kg of ripe apples and gave 7 kg to Dan so just how many kg of apples does Clara have left",
+        "Clara had 30 kg of green pears and sold 7 kg to Dan so how much of it does Clara have left",
+    ]
+    assert template_items(spark, item, texts) == [[10]] * 4 + [[]]
+    assert templates.consistent([[(2, "kg", "kg")], [(2, "kg", "lb")], [(2, "kg", "lb")]]) == 2
+    assert templates.in_order({(0, 5), (1, 6), (1, 2), (2, 9), (3, 4)}) == [(0, 5), (1, 6), (2, 9)]
+
+
 def test_templates_blocks(spark, corpus, monkeypatch):
     """Full copies are found, one block or many, and what is found has half of an item's words in order."""
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
