@@ -480,6 +480,16 @@ def test_templates_mappings(spark):
     assert templates.in_order({(0, 5), (1, 6), (1, 2), (2, 9), (3, 4)}) == [(0, 5), (1, 6), (2, 9)]
 
 
+def test_templates_letter_case(spark):
+    """Copies in other letter case are found, and names at the starts of sentences are names."""
+    ship(spark)
+    item = "Anna had 12 kg of ripe apples and gave 5 kg to Bob so how many kg of apples does Anna have left"
+    assert template_items(spark, item, [item.upper(), item.lower(), "x " + item.title()]) == [[10]] * 3
+    item = "Tom has nine red pens in there. Tom gives two of them to us. Tom is glad"
+    assert template_items(spark, item, [item.replace("Tom", "Lucy"), "so Lucy" + item.replace("Tom", "Lucy")[4:]]) == [[10]] * 2
+    assert template_items(spark, "Tom keeps nine red pens in there", ["Lucy keeps nine red pens in there"]) == [[10]]
+
+
 def test_templates_blocks(spark, corpus, monkeypatch):
     """Full copies are found, one block or many, and what is found has half of an item's words in order."""
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
