@@ -31,14 +31,14 @@ CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 THRESHOLD = 0.5
 SHAPES = 5
 CACHE = 100_000
+#: Longer words are whole in every text, but not remembered for the next.
+REMEMBERED = 40
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def of_word(word: str) -> set[str]:
     """A word's features: itself, its first four and five letters, its runs of five letters."""
-    if len(word) > 40:
-        word = word[:40]
     out = {word[i : i + 5] for i in range(len(word) - 4)}
     if len(word) >= 4:
         out |= {"^" + word[:4], "^" + word[:5]}
@@ -167,7 +167,9 @@ def _find(features: dict[str, int], known: dict[str, tuple[int, ...]], text: str
     for word in words_of(text):
         own = known.get(word)
         if own is None:
-            own = known[word] = tuple(features[f] for f in of_word(word) if f in features)
+            own = tuple(features[f] for f in of_word(word) if f in features)
+            if len(word) <= REMEMBERED:
+                known[word] = own
         out.update(own)
     return np.fromiter(sorted(out), np.int64, len(out))
 

@@ -557,6 +557,14 @@ def test_toxicity(spark, docs):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_long_words(spark):
+    """Of words of any length every five-letter run is a feature, and only short ones are remembered."""
+    word = "".join(chr(97 + i % 26) + chr(97 + i // 26) for i in range(200)) + "snarfle"
+    assert {"snarf", "arfle", "=" + word} <= toxicity.of_word(word)
+    known = {}
+    assert toxicity._find({"arfle": 7}, known, "a " + word).tolist() == [7] and set(known) == {"a"}
+
+
 def test_toxicity_held_out(spark):
     """Accuracy on labelled documents that the fit has not seen."""
     ship(spark)
