@@ -243,6 +243,16 @@ def test_url_mining(spark):
     assert matched == pytest.approx({i: max(sure[k] for k in left if set(k[0]) <= own) for i, own in tokens.items() if any(set(k[0]) <= own for k in left)})
 
 
+def test_url_parent_domains(spark):
+    """A parent domain of three labels over hosts that are each too rare, and one of 0.3 % of labelled URLs, have rules."""
+    ship(spark)
+    urls = [f"https://h{i}.b.example.co.uk/p{i}" for i in range(6)] + [f"https://g{i}.other.co.uk/d/q{i}" for i in range(1994)]
+    parts = urlrules.tokenised(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    assert {"host=uk", "host=co.uk", "host=example.co.uk", "host=b.example.co.uk", "host=h0.b.example.co.uk", "sub=h0", "dir=/p0/"} <= set(parts.where("page_id = 0").first().tokens)
+    rules = urlrules.mine(parts.selectExpr("tokens", "page_id < 6 as blocked"))
+    assert {tuple(r.tokens) for r in rules.where("verdict = 'block'").collect()} == {("host=example.co.uk",), ("host=b.example.co.uk",)}
+
+
 # 4 WARC
 
 
