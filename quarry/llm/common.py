@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -73,11 +75,78 @@ def lowered(text: bytes) -> bytes:
     return text.lower()
 
 
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_32, _29 = np.uint64(32), np.uint64(29)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values well mixed, one to one."""
+    x = (x ^ (x >> _32)) * _A
+    x = (x ^ (x >> _29)) * _B
+    return x ^ (x >> _32)
+
+
+#: Bytes hashed at one time, and the longest word that is hashed in array operations.
+_BLOCK, _SHORT = 1 << 20, 64
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_VALUES = mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1))
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2 ** 64, and their inverses."""
+    up, down = (np.full(_BLOCK + _SHORT, x, np.uint64) for x in (int(_A), pow(int(_A), -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def word_codes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit digests of all words [^\\x20\\x09-\\x0D]+ of some texts in lower case (A-Z), and how many each text has.
+
+    A digest is a sum over the word's bytes; words of over 64 bytes are hashed one by one.
+    """
+    raw = np.frombuffer(b" ".join([*data, b""]), np.uint8)
+    edges = np.diff(_SPACE[raw].view(np.int8), prepend=np.int8(1))
+    starts, ends = np.flatnonzero(edges < 0), np.flatnonzero(edges > 0)
+    bounds = np.cumsum([len(t) + 1 for t in data])
+    counts = np.diff(np.searchsorted(starts, bounds), prepend=0) if len(data) else np.zeros(0, np.int64)
+    codes = np.zeros(len(starts), np.uint64)
+    sizes = ends - starts
+    up, down = _powers()
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
+        if stop > at + 1 or sizes[at] <= _SHORT:
+            piece = raw[base : ends[stop - 1]]
+            sums = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_VALUES[piece] * up[: len(piece)], out=sums[1:])
+            first = starts[at:stop] - base
+            codes[at:stop] = mixed((sums[ends[at:stop] - base] - sums[first]) * down[first] + sizes[at:stop].astype(np.uint64))
+        at = stop
+    for i in np.flatnonzero(sizes > _SHORT).tolist():
+        codes[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes().lower())
+    return codes, counts
+
+
 def row_id() -> Column:
     """A key for each row, also where ids repeat or are null."""
     return F.monotonically_increasing_id()
 
 
+#: A key with a share of 1/HOT_KEYS of all rows is hot; so there are HOT_KEYS hot ones at most, few enough to broadcast.
+HOT_KEYS = 1024
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join of `left` (read three times) with `right`, whose `key` is unique; rows of hot keys stay where they are."""
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = left.count()
+    hot = F.broadcast(counts.where(F.col("n") * HOT_KEYS >= total).where("n > 1").select(key))
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(hot, key, "left_semi").join(few, key, "left").unionByName(left.join(hot, key, "left_anti").join(right, key, "left"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,27 +33,22 @@ from pyspark.sql.window import Window
 
 from quarry.session import ship
 
-from .common import lowered, slices, stash, table, texts, tidy
+from .common import mixed, slices, spread_join, stash, table, texts, tidy, word_codes
 
 WORDS = 5
 #: So many texts in a segment make it hot.
 HOT = 64
 #: 64-bit words of a text's outline.
-OUTLINE = 16
+OUTLINE = 64
 #: Segment digests that one task holds.
 TASK_ROWS = 500_000
 #: Class keys that are broadcast, at 8 bytes; more are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
-CACHE = 100_000
+#: Class keys a task remembers, not to deal copies twice.
+CACHE = 400_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_32, _29 = np.uint64(32), np.uint64(29)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _32)) * _A
-    x = (x ^ (x >> _29)) * _B
-    return x ^ (x >> _32)
+_32 = np.uint64(32)
 
 
 def _bounds() -> np.ndarray:
@@ -80,26 +75,26 @@ def parts_of(sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
 class Sets:
     """Shingle sets of texts in a row: flat sorted digests, sizes and class keys (the lowest bit is free)."""
 
-    def __init__(self, data: list[bytes], known: dict[bytes, int]):
-        arrays = []
-        for text in data:
-            words = lowered(text).split()
-            if not words:
-                arrays.append(np.zeros(0, np.uint64))
-                continue
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            codes = np.array([known[w] for w in words], np.uint64)
-            k = min(WORDS, len(words))
-            out = np.full(len(words) - k + 1, k, np.uint64)
-            for j in range(k):
-                out = mixed(out * _A + codes[j : j + len(out)])
-            arrays.append(np.unique(out))
-        self.sizes = np.array([len(a) for a in arrays], np.int64)
-        self.flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-        self.keys = np.array([xxhash.xxh3_64_intdigest(a.tobytes()) for a in arrays], np.uint64) & ~np.uint64(1)
-        self.arrays = arrays
+    def __init__(self, data: list[bytes]):
+        codes, counts = word_codes(data)
+        lengths = np.minimum(counts, WORDS)
+        text = np.repeat(np.arange(len(data)), counts - lengths + (counts > 0))
+        first = np.cumsum(counts - lengths + (counts > 0)) - (counts - lengths + (counts > 0))
+        at = np.arange(len(text)) - first[text] + (np.cumsum(counts) - counts)[text]
+        k = lengths[text]
+        flat = k.astype(np.uint64)
+        for j in range(WORDS):
+            inside = slice(None) if j < k.min(initial=WORDS) else np.flatnonzero(k > j)
+            flat[inside] = mixed(flat[inside] * _A + codes[at[inside] + j])
+        ends = np.cumsum(np.bincount(text, minlength=len(data)))
+        for start, end in zip((ends - np.diff(ends, prepend=0)).tolist(), ends.tolist(), strict=True):
+            flat[start:end].sort()
+        new = np.append(True, (flat[1:] != flat[:-1]) | (text[1:] != text[:-1]))[: len(flat)]
+        self.flat = flat[new]
+        self.sizes = np.bincount(text[new], minlength=len(data))
+        ends = np.cumsum(self.sizes)
+        self.arrays = [self.flat[a:b] for a, b in zip((ends - self.sizes).tolist(), ends.tolist(), strict=True)]
+        self.keys = np.array([xxhash.xxh3_64_intdigest(a.tobytes()) for a in self.arrays], np.uint64) & ~np.uint64(1)
 
 
 class Segments:
@@ -133,16 +128,13 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n int, key long, slack0 int, slack1 int) of each row; slack is how many of a part's segments can be left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for part in slices(batches, limit=2 << 20):
-            own = Sets(texts(part), known)
+            own = Sets(texts(part))
             slack = []
             for number in (0, 1):
                 cut = Segments(own.flat, own.sizes, number)
                 slack.append(pa.array(np.where(cut.use, np.maximum(cut.filled - cut.need, 0), 0).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.sizes.astype(np.int32)), pa.array(own.keys.view(np.int64)), *slack], ["doc_id", "n", "key", "slack0", "slack1"])
-            if len(known) > CACHE:
-                known.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n int, key long, slack0 int, slack1 int")
 
@@ -151,18 +143,15 @@ def shared_segments(docs: DataFrame, buckets: int) -> DataFrame:
     """(sig, part, freq): segment digests that at least two classes hold. part is the class key, its lowest bit the part."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         seen: set[int] = set()
         for batch in slices(batches, limit=2 << 20):
-            own = Sets(texts(batch), known)
+            own = Sets(texts(batch))
             fresh = []
             for i, key in enumerate(own.keys.tolist()):  # copies within the task are dealt once
                 fresh.append(key not in seen)
                 seen.add(key)
-            if len(seen) > 4 * CACHE:
+            if len(seen) > CACHE:
                 seen.clear()
-            if len(known) > CACHE:
-                known.clear()
             pick = np.flatnonzero(fresh)
             if not len(pick):
                 continue
@@ -226,10 +215,9 @@ def sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy()) if few else None)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         seen: set[int] = set()
         for part in slices(batches, limit=2 << 20):
-            own = Sets(texts(part), known)
+            own = Sets(texts(part))
             keys = own.keys.view(np.int64)
             if wanted.value is None:
                 hit = own.sizes > 0
@@ -238,8 +226,6 @@ def sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 hit = wanted.value[at] == keys if len(wanted.value) else np.zeros(len(keys), bool)
             pick = [i for i in np.flatnonzero(hit).tolist() if not (keys[i] in seen or seen.add(keys[i]))]
             yield pa.RecordBatch.from_arrays([pa.array(keys[pick]), pa.array(own.sizes[pick].astype(np.int32)), pa.array([own.arrays[i].tobytes() for i in pick], pa.binary())], ["key", "n", "digests"])
-            if len(known) > CACHE:
-                known.clear()
 
     found = docs.select("text").mapInArrow(work, "key long, n int, digests binary")
     found = found if few else found.join(keys, "key", "left_semi")
@@ -272,9 +258,9 @@ def components(links: DataFrame) -> DataFrame:
     labels = stash(both.groupBy(F.col("x").alias("key")).agg(F.least(F.col("key"), F.min("y")).alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("key").alias("y"), "comp"), "y").groupBy(F.col("x").alias("key")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "key").select("key", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        step = stash(labels.join(near, "key").select("key", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")), "near-labels")
         jump = step.select(F.col("key").alias("comp"), F.col("comp").alias("far"))
-        after = stash(step.join(jump, "comp", "left").select("key", "old", F.coalesce("far", "comp").alias("comp")), "labels")
+        after = stash(spread_join(step, jump, "comp").select("key", "old", F.coalesce("far", "comp").alias("comp")), "labels")
         if after.where("comp <> old").isEmpty():
             return after.select("key", "comp")
         labels = after.select("key", "comp")
@@ -329,19 +315,22 @@ def neighbourhood_pairs(sets: DataFrame) -> DataFrame:
 
     bits = [f"b{i}" for i in range(OUTLINE)]
     drawn = sets.select("key", "digests").mapInArrow(outlines, "key long, " + ", ".join(f"{b} long" for b in bits))
-    known = stash(sets.select("key", "n", "comp").join(drawn, "key"), "known")
-    keyed = rows.withColumn("key", F.col("part").bitwiseAND(-2)).join(known.select("key", "comp"), "key")
-    across = keyed.groupBy("code").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("code")
-    probes = stash(keyed.join(chosen, ["part", "number"]).where("whole or times = 2").join(across, "code", "left_semi").select("code", "key", "whole", "times"), "probes")
-    index = keyed.join(probes.select("code").distinct(), "code", "left_semi").select("code", "key", "whole")
+    sizes = sets.groupBy("comp").agg(F.count("*").alias("size"))
+    known = stash(sets.select("key", "n", "comp").join(sizes, "comp").select("key", "n", F.struct("size", "comp").alias("place")).join(drawn, "key"), "known")
+    keyed = rows.withColumn("key", F.col("part").bitwiseAND(-2)).join(known.select("key", "place"), "key")
+    # Of two components the smaller one looks the larger one up, so texts near the middle of a group look nothing up there.
+    top = keyed.groupBy("code").agg(F.max("place").alias("top"))
+    probes = keyed.join(chosen, ["part", "number"]).where("whole or times = 2").join(top, "code").where("place < top")
+    probes = stash(probes.select("code", "key", "whole", "times", "place"), "probes")
+    index = keyed.join(probes.groupBy("code").agg(F.min("place").alias("low")), "code").where("place > low").select("code", "key", "whole")
 
     def sided(frame: DataFrame, side: int) -> DataFrame:
-        return frame.join(known, "key").select("code", *(F.col(c).alias(f"{c}{side}") for c in ("key", "whole", "n", "comp")), *(F.col(c).alias(f"{c}_{side}") for c in bits), *(["times"] if side == 1 else []))
+        return frame.drop("place").join(known, "key").select("code", *(F.col(c).alias(f"{c}{side}") for c in ("key", "whole", "n", "place")), *(F.col(c).alias(f"{c}_{side}") for c in bits), *(["times"] if side == 1 else []))
 
     # What one text has of the outline and the other has not, it also has of shingles; links leave little room for it.
     lack = [" + ".join(f"bit_count({b}_{x} & ~{b}_{y})" for b in bits) for x, y in ((1, 2), (2, 1))]
     room = [f"9 * (n{x} - ({count})) >= 4 * (n1 + n2)" for x, count in zip((1, 2), lack, strict=True)]
-    met = sided(probes, 1).join(sided(index, 2), "code").where(" and ".join(["comp1 <> comp2", _fits("n1", "n2"), "((whole1 and whole2) or (times = 2 and whole1 <> whole2))", *room]))
+    met = sided(probes, 1).join(sided(index, 2), "code").where(" and ".join(["place1 < place2", _fits("n1", "n2"), "((whole1 and whole2) or (times = 2 and whole1 <> whole2))", *room]))
     return met.select(F.least("key1", "key2").alias("x"), F.greatest("key1", "key2").alias("y")).distinct()
 
 
@@ -389,9 +378,10 @@ def join(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         comps = components(links.union(more))
 
-    comp_of = members.join(comps, "key", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "key")))
+    comp_of = spread_join(members, comps, "key").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "key")))
+    comp_of = stash(comp_of.select("doc_id", "n", "comp"), "comp-of")
     smallest = comp_of.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = comp_of.join(smallest, "comp", "left")
+    out = spread_join(comp_of, smallest, "comp")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
