@@ -8,7 +8,7 @@ import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +89,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 #: Bytes hashed at one time, and the longest word that is hashed in array operations.
 _BLOCK, _SHORT = 1 << 20, 64
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_VALUES = mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1))
+#: What a byte stands for in a digest, with A-Z as a-z, and as it is.
+LOWERED, CASED = (mixed(np.frombuffer(x, np.uint8).astype(np.uint64) + np.uint64(1)) for x in (bytes(range(256)).lower(), bytes(range(256))))
 
 
 @functools.cache
@@ -100,16 +101,17 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def word_codes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit digests of all words [^\\x20\\x09-\\x0D]+ of some texts in lower case (A-Z), and how many each text has.
-
-    A digest is a sum over the word's bytes; words of over 64 bytes are hashed one by one.
-    """
+def word_spans(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as one run of bytes with a blank after each, where their words [^\\x20\\x09-\\x0D]+ start and end, and how many each has."""
     raw = np.frombuffer(b" ".join([*data, b""]), np.uint8)
     edges = np.diff(_SPACE[raw].view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edges < 0), np.flatnonzero(edges > 0)
-    bounds = np.cumsum([len(t) + 1 for t in data])
-    counts = np.diff(np.searchsorted(starts, bounds), prepend=0) if len(data) else np.zeros(0, np.int64)
+    counts = np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in data])), prepend=0) if len(data) else np.zeros(0, np.int64)
+    return raw, starts, ends, counts
+
+
+def span_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """64-bit digests of spans in order. A digest is a sum over the span's bytes; spans of over 64 bytes are hashed one by one."""
     codes = np.zeros(len(starts), np.uint64)
     sizes = ends - starts
     up, down = _powers()
@@ -120,13 +122,43 @@ def word_codes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if stop > at + 1 or sizes[at] <= _SHORT:
             piece = raw[base : ends[stop - 1]]
             sums = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(_VALUES[piece] * up[: len(piece)], out=sums[1:])
+            np.cumsum(values[piece] * up[: len(piece)], out=sums[1:])
             first = starts[at:stop] - base
             codes[at:stop] = mixed((sums[ends[at:stop] - base] - sums[first]) * down[first] + sizes[at:stop].astype(np.uint64))
         at = stop
     for i in np.flatnonzero(sizes > _SHORT).tolist():
-        codes[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes().lower())
-    return codes, counts
+        word = raw[starts[i] : ends[i]].tobytes()
+        codes[i] = xxhash.xxh3_64_intdigest(word.lower() if values is LOWERED else word)
+    return codes
+
+
+def word_codes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit digests of all words of some texts in lower case (A-Z), and how many each text has."""
+    raw, starts, ends, counts = word_spans(data)
+    return span_codes(raw, starts, ends, LOWERED), counts
+
+
+class WordFacts:
+    """What `work` finds of words (arrays, one value a word), kept by digest in a table of 2 ** bits places; newcomers replace."""
+
+    def __init__(self, work: Callable[[list[bytes]], list[np.ndarray]], bits: int = 16):
+        self.work, self.shift = work, np.uint64(64 - bits)
+        self.codes = np.zeros(1 << bits, np.uint64)
+        self.kept = [np.zeros(1 << bits, a.dtype) for a in work([])]
+
+    def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        codes = span_codes(raw, starts, ends, CASED)
+        place = codes >> self.shift
+        missed = np.flatnonzero(self.codes[place] != codes)
+        out = [a[place] for a in self.kept]
+        if len(missed):
+            fresh, first, number = np.unique(codes[missed], return_index=True, return_inverse=True)
+            found = self.work([raw[starts[i] : ends[i]].tobytes() for i in missed[first]])
+            self.codes[fresh >> self.shift] = fresh
+            for values, kept, new in zip(out, self.kept, found, strict=True):
+                values[missed] = new[number]
+                kept[fresh >> self.shift] = new
+        return out
 
 
 def row_id() -> Column:

@@ -8,8 +8,9 @@ that are no placeholders. Windows are met in three ways: as they are, with place
 every capital at a sentence's start. Windows that meet in order, at shifts of which each is near the next, are put
 together, and their slots are compared: within a type, equal values of the item must stand where equal values of the
 text stand, and unequal ones where unequal ones stand. Windows of the best consistent set found (see `consistent`)
-count, and literal copies always; an item is in a text if these are at least COVERAGE of the item's windows. So questions
-with other numbers, names and units are caught too.
+count, and literal copies always; an item is in a text if these are at least COVERAGE of the item's windows, and at least
+AGREEING of those that met with placeholders. So questions with other numbers, names and units are caught too, also where
+numbers are in words and units joined to them, and texts in which one value stands for two of the item's are not.
 """
 
 from __future__ import annotations
@@ -21,18 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import ship
 
-from .common import plus, slices, table, texts
+from .common import LOWERED, WordFacts, plus, slices, span_codes, table, texts, word_spans
 
 WINDOW, LITERAL, COVERAGE = 8, 3, 0.5
+#: Of the windows that meet with placeholders in one alignment so many must agree with one mapping.
+AGREEING = 2 / 3
 #: Item windows that are broadcast at one time; larger benchmarks are met in blocks, one pass over the texts each.
 BLOCK_WINDOWS = 500_000
-CACHE = 150_000
 WORD, NUMBER, UNIT, NAME = range(4)
 PLAIN, TEMPLATE, OPEN = range(3)
 UNITS = frozenset(
@@ -42,35 +43,94 @@ UNITS = frozenset(
     "mph kph km/h m/s hz khz mhz ghz v a w kw mw kwh j kj cal kcal k c f °c °f degree degrees percent % "
     "$ € £ usd eur gbp dollar dollars euro euros cent cents bit bits byte bytes kb mb gb tb".split()
 )
+#: Numbers in words.
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+)
 _OUTER = re.compile(r"^[^\w%°$€£]+|[^\w%°$€£]+$")
 _NUMBER = re.compile(r"^[$€£]?[+-]?\d[\d.,:/]*%?$")
 _P = np.uint64(0x9E3779B97F4A7C15)
+_SIEVE = 20
 _PLACES = np.array([0, 0x6E756D626572, 0x756E6974, 0x6E616D65], np.uint64)
 
 
-def _facts(word: str) -> tuple[str, int, bool, bool, bool, bool]:
-    """The token, its digest, and whether it is a number, may be a unit, may be a name, and ends a sentence."""
-    token = _OUTER.sub("", word)
+_NUMERIC, _NAME, _ENDS = 1, 2, 4
+_STOPS = frozenset(".!?:…")
+_MARKS = _STOPS | frozenset(",;")
+
+
+def _facts(word: str) -> tuple[str, int]:
+    """The token, and flags: whether it is a number, may be a name, and ends a sentence."""
+    if word.isalpha():
+        token, ends = word, False
+    elif word[-1] in _MARKS and word[:-1].isalpha():
+        token, ends = word[:-1], word[-1] in _STOPS
+    else:
+        token, ends = _OUTER.sub("", word), word.rstrip("\"')]}»”’")[-1:] in _STOPS
     low = token.lower() or word
-    ends = word.rstrip("\"')]}»”’")[-1:] in {".", "!", "?", ":", "…"}
-    return low, xxhash.xxh3_64_intdigest(low), bool(_NUMBER.match(low)), low in UNITS, token[:1].isupper() and (len(token) == 1 or not token.isupper()), ends
+    name = token[:1].isupper() and (len(token) == 1 or not token.isupper())
+    number = low in NUMBER_WORDS if token.isalpha() else _NUMBER.match(low)
+    return low, (_NUMERIC if number else 0) | (_NAME if name else 0) | (_ENDS if ends else 0)
+
+
+def _of_words(words: list[bytes]) -> list[np.ndarray]:
+    """Digests of the tokens, and flags."""
+    found = [_facts(w.decode("utf-8", "replace")) for w in words]
+    tokens = [low.encode("utf-8", "replace") for low, _ in found]
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    ends = np.cumsum(sizes)
+    return [span_codes(np.frombuffer(b"".join(tokens), np.uint8), ends - sizes, ends, LOWERED), np.array([f for _, f in found], np.uint8)]
+
+
+_LETTER, _CAPITAL, _END, _MARK = (np.isin(np.arange(256), list(x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".!?:", b".!?:,;"))
+_UNIT_DIGESTS = np.sort(_of_words([u.encode() for u in UNITS])[0])
+_NUMBER_DIGESTS = np.sort(_of_words([w.encode() for w in NUMBER_WORDS])[0])
+#: A number and its unit written as one word.
+_JOINED = re.compile(rb"\b(\d[\d.,]*)(" + b"|".join(sorted((u.encode() for u in UNITS if u.isalpha()), reverse=True)) + rb")\b")
+_BLANKS = re.compile(rb"\xc2\xa0|\xe2\x80[\x80-\x8a]|\xe3\x80\x80")
+
+
+class Tokens:
+    """The words of texts in a row: where they are, the digests and flags of their tokens, and how many each text has."""
+
+    def __init__(self, data: list[bytes], facts: WordFacts):
+        data = [_JOINED.sub(rb"\1 \2", _BLANKS.sub(b" ", t)) for t in data]
+        self.raw, self.starts, self.ends, self.counts = word_spans(data)
+        n = len(self.starts)
+        self.digests, self.flags = np.zeros(n, np.uint64), np.zeros(n, np.uint8)
+        if not n:
+            return
+        # Words of ASCII letters, with one mark after them or none, are done in array operations.
+        letters, capitals = (np.add.reduceat(x[self.raw], self.starts, dtype=np.int64) for x in (_LETTER, _CAPITAL))
+        sizes = self.ends - self.starts
+        last = self.raw[self.ends - 1]
+        plain = (letters > 0) & ((letters == sizes) | ((letters == sizes - 1) & _MARK[last]))
+        at, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        self.digests[at] = span_codes(self.raw, self.starts[at], self.starts[at] + letters[at], LOWERED)
+        name = _CAPITAL[self.raw[self.starts[at]]] & ((letters[at] == 1) | (capitals[at] < letters[at]))
+        self.flags[at] = _NUMERIC * np.isin(self.digests[at], _NUMBER_DIGESTS) + _NAME * name + _ENDS * _END[last[at]]
+        self.digests[rest], self.flags[rest] = facts.of(self.raw, self.starts[rest], self.ends[rest])
+
+    def token(self, i: int) -> str:
+        return _facts(self.raw[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace"))[0]
 
 
 class Stream:
     """Tokens of texts, names and numbers side by side in one: where each begins, its kind, text and template digest."""
 
-    def __init__(self, values: list[str], codes: np.ndarray, digests: np.ndarray, kinds: np.ndarray, text: np.ndarray, ends: np.ndarray):
-        n = len(codes)
+    def __init__(self, tokens: Tokens, kinds: np.ndarray, text: np.ndarray, ends: np.ndarray):
+        n = len(kinds)
         same = np.zeros(n, bool)
         same[1:] = (kinds[1:] == kinds[:-1]) & ((kinds[1:] == NAME) | (kinds[1:] == NUMBER)) & (text[1:] == text[:-1]) & ~ends[:-1]
         self.at = np.flatnonzero(~same)
         self.stops = np.append(self.at[1:], n)
         self.kinds, self.text = kinds[self.at], text[self.at]
-        self.digests = np.where(self.kinds == WORD, digests[self.at], _PLACES[self.kinds])
-        self.values, self.codes = values, codes
+        self.digests = np.where(self.kinds == WORD, tokens.digests[self.at], _PLACES[self.kinds])
+        self.tokens = tokens
 
     def value(self, i: int) -> str:
-        return " ".join(self.values[c] for c in self.codes[self.at[i] : self.stops[i]])
+        return " ".join(self.tokens.token(j) for j in range(self.at[i], self.stops[i]))
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Digests of all windows of so many tokens, and which have enough literal ones and are of one text."""
@@ -86,33 +146,26 @@ class Stream:
 class Templates:
     """The three streams of texts in a row."""
 
-    def __init__(self, words: list[str], firsts: np.ndarray, known: dict[str, int], facts: list[tuple]):
-        codes = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            code = known.get(w)
-            if code is None:
-                code = known[w] = len(facts)
-                facts.append(_facts(w))
-            codes[i] = code
-        used, codes = np.unique(codes, return_inverse=True)
-        own = [facts[c] for c in used]
-        values = [x[0] for x in own]
-        digests = np.array([x[1] for x in own], np.uint64)[codes]
-        number, unit, name, ends = (np.array([x[k] for x in own], bool)[codes] for k in range(2, 6))
-        n = len(words)
+    def __init__(self, data: list[bytes], facts: WordFacts):
+        tokens = Tokens(data, facts)
+        digests, n = tokens.digests, len(tokens.digests)
+        number, name, ends = ((tokens.flags & bit) > 0 for bit in (_NUMERIC, _NAME, _ENDS))
+        firsts = np.cumsum(tokens.counts) - tokens.counts
         first = np.zeros(n, bool)
         first[firsts[firsts < n]] = True
-        text = np.searchsorted(firsts, np.arange(n), "right") - 1
+        text = np.repeat(np.arange(len(firsts)), tokens.counts)
         after_number, after_end = np.zeros(n, bool), np.ones(n, bool)
         after_number[1:], after_end[1:] = number[:-1], ends[:-1]
         after_number[first], after_end[first] = False, True
-        other = np.where(number, NUMBER, np.where(unit & after_number, UNIT, WORD))
+        unit = np.flatnonzero(after_number & ~number)
+        other = np.where(number, NUMBER, WORD)
+        other[unit[np.isin(digests[unit], _UNIT_DIGESTS)]] = UNIT
         keys = digests ^ ((text.astype(np.uint64) + np.uint64(1)) * _P)
         within = name & ~after_end
         starts = np.flatnonzero(name & after_end)
         named = within.copy()
         named[starts[np.isin(keys[starts], keys[within])]] = True
-        self.streams = [Stream(values, codes, digests, np.where((other == WORD) & x, NAME, k), text, ends) for x, k in ((np.zeros(n, bool), np.full(n, WORD)), (named, other), (name, other))]
+        self.streams = [Stream(tokens, np.where((other == WORD) & x, NAME, k), text, ends) for x, k in ((np.zeros(n, bool), np.full(n, WORD)), (named, other), (name, other))]
 
 
 def consistent(pairs: list[list[tuple[int, str, str]]]) -> int:
@@ -189,8 +242,9 @@ class Bench:
         self.sizes: list[list[int]] = []
         self.counts: list[int] = []
         self.by_digest: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list) for _ in range(3)]
+        facts = WordFacts(_of_words)
         for k, (_, text) in enumerate(items):
-            streams = Templates(text.split(), np.zeros(1, np.int64), {}, []).streams
+            streams = Templates([text.encode("utf-8", "replace")], facts).streams
             sizes = [min(WINDOW, len(s.digests)) for s in streams]
             found = [s.windows(n) if n else (np.zeros(0, np.uint64), np.zeros(0, bool)) for s, n in zip(streams, sizes, strict=True)]
             counted = set(streams[TEMPLATE].at[np.flatnonzero(found[TEMPLATE][1])].tolist())  # windows, by their first word
@@ -202,10 +256,13 @@ class Bench:
                     if int(streams[way].at[i]) in counted:
                         self.by_digest[way][int(digests[i])].append((k, i))
         self.digests = [np.array(sorted(x), np.uint64) for x in self.by_digest]
+        self.sieves = [np.zeros(1 << _SIEVE, bool) for _ in range(3)]
+        for sieve, digests in zip(self.sieves, self.digests, strict=True):
+            sieve[digests >> np.uint64(64 - _SIEVE)] = True
         self.all_sizes = [sorted({s[way] for s in self.sizes if s[way]}) for way in range(3)]
 
-    def find(self, own: Templates, begins: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(text's number, item's id, coverage) for texts that begin at these tokens."""
+    def find(self, own: Templates) -> Iterator[tuple[int, int, float]]:
+        """(text's number, item's id, coverage) for texts in a row."""
         met: dict[tuple[int, int], dict[tuple[int, int], tuple[int, int, int]]] = defaultdict(dict)
         for way in range(3):  # of the ways in which two windows meet the first counts
             stream = own.streams[way]
@@ -213,8 +270,9 @@ class Bench:
                 digests, enough = stream.windows(size)
                 if not len(digests):
                     continue
-                at = np.minimum(np.searchsorted(self.digests[way], digests), len(self.digests[way]) - 1)
-                for p in np.flatnonzero(enough & (self.digests[way][at] == digests)).tolist():
+                maybe = np.flatnonzero(enough & self.sieves[way][digests >> np.uint64(64 - _SIEVE)])
+                at = np.minimum(np.searchsorted(self.digests[way], digests[maybe]), len(self.digests[way]) - 1)
+                for p in maybe[self.digests[way][at] == digests[maybe]].tolist():
                     for k, i in self.by_digest[way][int(digests[p])]:
                         if self.sizes[k][way] == size:
                             met[int(stream.text[p]), k].setdefault((int(self.streams[k][way].at[i]), int(stream.at[p])), (way, i, p))
@@ -231,7 +289,9 @@ class Bench:
                     item, stream = self.streams[k][way], own.streams[way]
                     if way != PLAIN:
                         pairs.append([(int(item.kinds[i + j]), item.value(i + j), stream.value(p + j)) for j in range(self.sizes[k][way]) if item.kinds[i + j] != WORD])
-                best = max(best, len(aligned) - len(pairs) + consistent(pairs))
+                agree = consistent(pairs)
+                if agree >= AGREEING * len(pairs):
+                    best = max(best, len(aligned) - len(pairs) + agree)
             if best >= least:
                 yield t, self.ids[k], best / self.counts[k]
 
@@ -258,17 +318,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, column: str = "text") -
         shared = docs.sparkSession.sparkContext.broadcast(bench)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known: dict[str, int] = {}
-            facts: list[tuple] = []
+            facts = WordFacts(_of_words)
             bench = shared.value
             for part in slices(batches, column, 2 << 20):
-                if len(known) > CACHE:
-                    known, facts = {}, []
-                split = [t.decode("utf-8", "replace").split() for t in texts(part, column)]
-                begins = np.concatenate([[0], np.cumsum([len(s) for s in split])]).astype(np.int64)
-                items: list[dict[int, float]] = [{} for _ in split]
+                data = texts(part, column)
+                items: list[dict[int, float]] = [{} for _ in data]
                 if bench.digests[TEMPLATE].size:
-                    for t, item, share in bench.find(Templates([w for s in split for w in s], begins[:-1], known, facts), begins):
+                    for t, item, share in bench.find(Templates(data, facts)):
                         items[t][item] = max(share, items[t].get(item, 0))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in items])], [*part.schema.names, "items", "coverage"])
 

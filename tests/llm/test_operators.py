@@ -500,6 +500,42 @@ def test_templates_letter_case(spark):
     assert template_items(spark, "Tom keeps nine red pens in there", ["Lucy keeps nine red pens in there"]) == [[10]]
 
 
+def test_templates_joined(spark):
+    """Units joined to numbers and numbers in words are placeholders; one value for two of the item's is no copy."""
+    ship(spark)
+    item = "Anna had 12 kg of ripe apples and gave 5 kg to Bob so how many kg of apples does Anna have left"
+    texts = [
+        "Anna had 12kg of ripe apples and gave 5kg to Bob so how many kg of apples does Anna have left",
+        "Clara had thirty kg of ripe apples and gave seven kg to Dan so how many kg of apples does Clara have left",
+        "Clara had 30 kg of ripe apples and gave 30 kg to Clara so how many kg of apples does Clara have left",
+        "Clara\u00a0had\u00a030kg of ripe apples and gave 7\u3000kg to Dan so how many kg of apples does Clara have left",
+    ]
+    assert template_items(spark, item, texts) == [[10], [10], [], [10]]
+
+
+def test_templates_variants(spark):
+    """Of items with names, numbers and units drawn anew nine in ten are found at least, and no text without one."""
+    ship(spark)
+    rng = random.Random(5)
+    names, units, words = ["Ada", "Ben", "Carl", "Dora", "Emil", "Fay", "Mary Ann Lee"], ["kg", "lb", "km", "litres"], [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    items, texts = [], []
+    for k in range(40):
+        body = [f"{{{rng.choice(['a', 'b', 'x', 'y', 'u'])}}}" if rng.random() < 0.25 else rng.choice(words) for _ in range(30)]
+        made = []
+        for _ in range(2):
+            a, b = rng.sample(names, 2)
+            x, y = rng.sample(range(2, 900), 2)
+            unit = rng.choice(units)
+            made.append("we saw " + " ".join(body).format(a=a, b=b, x=f"{x} {unit}", y=f"{y} {unit}", u=unit))
+        items.append((k, made[0]))
+        texts.append(made[1])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    other = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, "Before it. " + t + " and after") for i, t in enumerate(texts + other)], "doc_id long, text string")
+    found = {r.doc_id: r["items"] for r in templates.decontaminate(docs, bench).collect()}
+    assert sum(found[k] == [k] for k in range(40)) >= 36 and not any(found[k] for k in range(40, 80))
+
+
 def test_templates_blocks(spark, corpus, monkeypatch):
     """Full copies are found, one block or many, and what is found has half of an item's words in order."""
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
