@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -304,19 +305,59 @@ def test_lines(spark):
     assert lines.dedup(docs.limit(0)).count() == 0
 
 
-def test_lines_against_plain_version(corpus):
-    """Units that occur earlier, found by one loop over all texts in order."""
-    seen, want = set(), {}
-    for r in sorted(corpus.collect(), key=lambda r: r.doc_id):
-        units = lines.Units(r.text, {})
-        repeats = set()
-        for i, (digest, size) in enumerate(zip(units.digests.tolist(), units.sizes, strict=True)):
-            if size >= lines.MIN_UNIT:
-                if digest in seen:
-                    repeats.add(i)
-                seen.add(digest)
-        want[r.doc_id] = lines.without(r.text, lines.removed_spans(units, repeats))[0]
-    assert {r.doc_id: r.text for r in lines.dedup(corpus.select("doc_id", "text")).collect()} == want
+def plain_dedup(texts):
+    """The texts without units that occur earlier, found word by word in one loop over all texts in order."""
+    seen, out = set(), []
+    for text in texts:
+        words = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+        same = ["".join(c for c in w.group().lower() if c.isalnum()) or w.group() for w in words]
+        units = collections.defaultdict(list)
+        for i in range(len(words) - 24):
+            units[tuple(same[i : i + 25])].append(i)
+        for m in re.finditer(r"[^\n]+", text):
+            own = [i for i, w in enumerate(words) if m.start() <= w.start() < m.end()]
+            if 8 <= len(own) < 25:
+                units[tuple(same[i] for i in own)].append(own[0])
+        gone = set()
+        for unit, starts in units.items():
+            first = unit not in seen
+            for n, at in enumerate(starts):
+                first = first and (n == 0 or at - starts[n - 1] < len(unit))
+                if not first:
+                    gone.update(range(at, at + len(unit)))
+        seen.update(units)
+        spans = []
+        for i in sorted(gone):
+            if spans and i - 1 in gone:
+                spans[-1] = (spans[-1][0], words[i].end())
+            else:
+                spans.append((words[i].start(), words[i].end()))
+        left, at = "", 0
+        for start, end in spans:
+            left, at = left + text[at:start], end
+            if (start == 0 or text[start - 1] == "\n") and text[end : end + 1] == "\n":
+                at += 1
+        out.append(left + text[at:])
+    return out
+
+
+@pytest.mark.parametrize("sample", [64, 1])
+def test_lines_against_plain_version(spark, corpus, monkeypatch, sample):
+    """Real texts, and made ones of few words, lines and blocks, without and with frequent marks, in small batches."""
+    ship(spark)
+    monkeypatch.setattr(lines, "SAMPLE", sample)
+    rows = sorted(corpus.collect(), key=lambda r: r.doc_id)
+    assert {r.doc_id: r.text for r in lines.dedup(corpus.select("doc_id", "text")).collect()} == dict(zip([r.doc_id for r in rows], plain_dedup([r.text for r in rows]), strict=True))
+    rng = random.Random(17)
+    words = ["Él", "été", "a.b", "--", "x", "Über,", "ß", "don't", "ΑΣ", "7", "1,5"] + [f"q{i}" for i in range(40)]
+    blocks = [" ".join(rng.choice(words) for _ in range(rng.choice([9, 14, 26, 40, 70]))) for _ in range(25)]
+    texts = [rng.choice([" ", "\n"]).join(x for _ in range(rng.randrange(1, 6)) for x in (rng.choice(blocks), rng.choice(words))) for _ in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [found[i] for i in range(len(texts))] == plain_dedup(texts)
 
 
 def plain_cover(texts):
