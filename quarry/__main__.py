@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
+import secrets
 import sys
 
 from pyspark.sql import SparkSession
 
-from .plans import inventory, report, subset, validate
+from .operators import closure
+from .plans import finishing, inventory, report, subset, validate
 from .session import ship
 from .sources import config
 
@@ -20,6 +23,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--config", help="YAML; without it the defaults hold")
     parser.add_argument("--out", help="where build writes the copy")
     parser.add_argument("--exact", action="store_true", help="for dumps with DELIMITER blocks or odd line breaks")
+    parser.add_argument("--salt", help="of the stand-ins for names; without it a new one each time")
+    parser.add_argument("--page", type=int, default=10, help="posts on a page of an archive")
     own = parser.parse_args(argv)
     spark = ship(SparkSession.builder.appName("quarry").getOrCreate())
     settings = config.load(open(own.config).read() if own.config else "")
@@ -36,7 +41,13 @@ def main(argv: list[str] | None = None) -> int:
         written = {r.tbl: r["count"] for r in slimmed.groupBy("tbl").count().collect()}
         if planned != written:
             raise SystemExit(f"planned and written rows differ: {sorted(set(planned.items()) ^ set(written.items()))}")
-        validate.export(subset.write_dump(index, plan, slimmed), [], own.out or own.dump + ".slim.sql")
+        copied = closure.saved(finishing.finished(index, plan, slimmed, settings, own.salt or secrets.token_hex(16)))
+        copy = subset.index_of(subset.passed(index, plan), copied)
+        made = validate.reference_checks(copy, index) + validate.plan_checks(copy, index, own.page)
+        made += finishing.personal_data(copy, settings) + finishing.address_check(index, plan, copy, settings) + finishing.page_check(index, plan)
+        print(json.dumps({"checks": [dataclasses.asdict(c) for c in made], "status": validate.status(made)}, indent=2), file=sys.stderr)
+        if not validate.export(subset.write_dump(index, plan, copied), made, own.out or own.dump + ".slim.sql"):
+            return 1
     return 0
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ids import list_ids, parse_id
@@ -24,22 +24,28 @@ def meta_refs(meta: DataFrame, column: str = "value") -> DataFrame:
     return plain.unionByName(packed)
 
 
-def _number_ids(value: Column) -> Column:
+def json_ids(value: Column) -> Column:
     """Ids in a JSON value: a number, a digit string, or an array of them."""
     inner = F.regexp_extract_all(value, F.lit(r'(?:^|[\[,])\s*"?\+?([0-9]+)(?:\.0+)?"?\s*(?=$|[\],])'), 1)
     return F.filter(F.transform(inner, parse_id), lambda x: x.isNotNull())
 
 
 def content_refs(posts: DataFrame, id_column: str, column: str) -> DataFrame:
-    """(id, ref_id, source): ids in block attributes, image classes and galleries, each once per text and id with its first source."""
-    blocks = F.regexp_extract_all(column, F.lit(r"(?s)<!--\s+wp:([a-z][a-z0-9_/-]*\s+\{.*?\})\s+/?-->"), 1)
+    """(id, ref_id, source): ids in block attributes, image classes and galleries, each once per text and source; the first MOST of a text."""
+    blocks = F.regexp_extract_all(column, F.lit(r"(?s)<!-- wp:([^ \t\n>]+[ \t\n]+\{.*?\})\s*/?\s*-->"), 1)
     marked = posts.where(F.col(column).contains("<!-- wp:") | F.col(column).contains("wp-image-") | F.col(column).contains("[gallery"))
     name = F.regexp_extract("b", r"^(\S+)", 1)
     attributes = F.from_json(F.regexp_extract("b", r"(?s)^\S+\s+(.*)$", 1), "map<string,string>")
-    block = marked.select(id_column, F.posexplode(blocks).alias("at", "b")).select(id_column, (F.col("at") * 10).alias("at"), F.when(name.contains("/"), name).otherwise(F.concat(F.lit("core/"), name)).alias("source"), attributes.alias("a"))
-    block = block.select(id_column, "at", "source", F.posexplode(F.array(*[F.col("a")[k] for k in BLOCK_KEYS])).alias("k", "v")).select(id_column, (F.col("at") + F.col("k")).alias("at"), "source", F.posexplode(_number_ids(F.col("v"))).alias("i", "ref_id"))
-    image = marked.select(id_column, F.posexplode(F.regexp_extract_all(column, F.lit("wp-image-([0-9]+)"), 1)).alias("at", "v")).select(id_column, (F.col("at") + 100_000_000).alias("at"), F.lit("image").alias("source"), F.lit(0).alias("i"), parse_id("v").alias("ref_id"))
-    gallery = marked.select(id_column, F.posexplode(F.regexp_extract_all(column, F.lit("\\[gallery[^\\]]*?\\bids=[\"']?([0-9, ]+)"), 1)).alias("at", "v")).select(id_column, (F.col("at") + 200_000_000).alias("at"), F.lit("gallery").alias("source"), F.posexplode(F.split("v", ",")).alias("i", "x")).select(id_column, "at", "source", "i", parse_id(F.trim("x")).alias("ref_id"))
+    named = F.when(name.contains("/"), name).otherwise(F.concat(F.lit("core/"), name))
+    block = marked.select(id_column, F.posexplode(blocks).alias("at", "b")).select(id_column, (F.col("at") * len(BLOCK_KEYS)).alias("at"), named.alias("name"), attributes.alias("a"))
+    values = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(key).alias("key"), F.col("a")[key].alias("v")) for i, key in enumerate(BLOCK_KEYS)])
+    block = block.select(id_column, "at", "name", F.explode(values).alias("x")).select(id_column, (F.col("at") + F.col("x.k")).alias("at"), F.concat(F.lit("block:"), "name", F.lit(":"), "x.key").alias("source"), F.posexplode(json_ids(F.col("x.v"))).alias("i", "ref_id"))
+    image = marked.select(id_column, F.posexplode(F.regexp_extract_all(column, F.lit("wp-image-([0-9]+)"), 1)).alias("at", "v")).select(id_column, (F.col("at") + 100_000_000).alias("at"), F.lit("class:wp-image").alias("source"), F.lit(0).alias("i"), parse_id("v").alias("ref_id"))
+    codes = F.regexp_extract_all(column, F.lit("\\[gallery([^\\]]*)\\]"), 1)
+    held = F.regexp_extract("b", "ids=(?:\"([^\"]*)\"|'([^']*)'|([^\"'][^\\]]*))", 0)
+    gallery = marked.select(id_column, F.posexplode(codes).alias("at", "b")).select(id_column, (F.col("at") + 200_000_000).alias("at"), F.trim(F.regexp_replace(held, "^ids=[\"']?|[\"']$", "")).alias("v"))
+    gallery = gallery.select(id_column, "at", F.lit("shortcode:gallery").alias("source"), F.posexplode(list_ids("v")).alias("i", "ref_id"))
     every = block.unionByName(image).unionByName(gallery).where("ref_id is not null")
-    firsts = every.groupBy(id_column, "ref_id").agg(F.min(F.struct("at", "i", "source")).alias("first"))
-    return firsts.select(id_column, "ref_id", F.col("first.source").alias("source"))
+    firsts = every.groupBy(id_column, "ref_id", "source").agg(F.min(F.struct("at", "i")).alias("first"))
+    order = Window.partitionBy(id_column).orderBy("first")
+    return firsts.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= MOST).select(id_column, "ref_id", "source")

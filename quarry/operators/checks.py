@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 ALLOWED_DOMAINS = ("example.com", "example.org", "example.net")
 EMAIL = "[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(\\.[A-Za-z0-9-]{1,63}){1,8}"
 IPV4 = "^[0-9]{1,3}(\\.[0-9]{1,3}){3}$"
+IP_COLUMN = "(^|_)ip($|_)|ip_?address"
 TEST_NETS = ("192.0.2.", "198.51.100.", "203.0.113.")
 
 PASS, WARNING, FAIL = "pass", "warning", "fail"
@@ -42,7 +43,7 @@ def email_inside(column: Column) -> Column:
 def personal_columns(columns: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
     """The text columns whose names say that they hold an email or an IP address, from (name, type)."""
     texts = [n for n, kind in columns if kind == "string"]
-    return [n for n in texts if "email" in n.lower()], [n for n in texts if re.search(r"(^|_)ip($|_)|ip_?address", n.lower())]
+    return [n for n in texts if "email" in n.lower()], [n for n in texts if re.search(IP_COLUMN, n.lower())]
 
 
 def orphans(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:

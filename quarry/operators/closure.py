@@ -19,7 +19,10 @@ def saved(df: DataFrame) -> DataFrame:
     """`df` in the shared checkpoint folder; its own folder only where the session names none."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
     return df.checkpoint()
 
 
@@ -72,7 +75,7 @@ def edges_of(entity: DataFrame, meta: DataFrame, follow: DataFrame, child_types:
     menu (site, post_id, type, object_id) with a row per menu item.
     """
     parts = [
-        meta.join(F.broadcast(follow), ["site", "meta_key"]).select("site", F.col("post_id").alias("src"), F.col("ref_id").alias("dst"), "reason"),
+        meta.join(follow, ["site", "meta_key"]).select("site", F.col("post_id").alias("src"), F.col("ref_id").alias("dst"), "reason"),
         entity.where((F.col("parent") > 0) & (F.col("type") != attachment)).select("site", F.col("id").alias("src"), F.col("parent").alias("dst"), F.lit("parent").alias("reason")),
         entity.where((F.col("parent") > 0) & F.col("type").isin(*child_types)).select("site", F.col("parent").alias("src"), F.col("id").alias("dst"), F.concat(F.lit("child:"), "type").alias("reason")),
     ]

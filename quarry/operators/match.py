@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def longest_prefix(rows: DataFrame, column: str, prefixes: DataFrame, longest: int = 64) -> DataFrame:
+def longest_prefix(rows: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
     """`rows` with the longest of prefixes (prefix) that `column` begins with, or null.
 
     Each row meets its own prefixes by an equi-join on those lengths that occur, not all prefixes by comparison.
     """
-    lengths = [r[0] for r in prefixes.where(F.length("prefix") <= longest).select(F.length("prefix")).distinct().collect()]  # at most `longest`
+    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect() if r[0] is not None]  # a number per length
     starts = F.array(*[F.when(F.length(column) >= n, F.substring(column, 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
     own = rows.select(column).distinct().select(column, F.explode(starts).alias("prefix")).where("prefix is not null")
     best = own.join(prefixes.select("prefix").distinct(), "prefix").groupBy(column).agg(F.max(F.struct(F.length("prefix").alias("n"), "prefix")).alias("best"))

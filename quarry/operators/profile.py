@@ -53,10 +53,11 @@ def name_patterns(names: DataFrame, least_bytes: int) -> DataFrame:
 
 
 def type_report(entity: DataFrame, keep: DataFrame, meta: DataFrame) -> DataFrame:
-    """Per site and type: rows and bytes, kept rows and bytes, and bytes of meta of kept rows. Meta is summed per row first."""
+    """Per site and type: rows and bytes, kept rows and bytes, and bytes of meta of kept rows. Meta is summed per row first; by site where it has one."""
+    key = ["site", "id"] if "site" in meta.columns else ["id"]
     kept = keep.select("site", "id").distinct().withColumn("kept", F.lit(True))
-    meta_bytes = meta.groupBy(F.col("post_id").alias("id")).agg(F.sum("bytes").alias("meta_bytes"))
-    rows = entity.join(kept, ["site", "id"], "left").join(meta_bytes, "id", "left")
+    meta_bytes = meta.withColumnRenamed("post_id", "id").groupBy(*key).agg(F.sum("bytes").alias("meta_bytes"))
+    rows = entity.join(kept, ["site", "id"], "left").join(meta_bytes, key, "left")
     return rows.groupBy("site", "type").agg(
         F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.count_if("kept").alias("kept_n"), F.coalesce(F.sum(F.when(F.col("kept"), F.col("bytes"))), F.lit(0)).alias("kept_bytes"),
         F.coalesce(F.sum(F.when(F.col("kept"), F.col("meta_bytes"))), F.lit(0)).alias("kept_meta_bytes"),

@@ -80,7 +80,7 @@ def seed_status_extra(t: Tables) -> DataFrame:
 PER_TERM_SQL = """WITH {cte}, eligible AS (SELECT * FROM entity WHERE status IN ('F', 'O')), own AS (SELECT * FROM term WHERE taxonomy = 'PROMO'),
 c AS (SELECT term_id, count(*) AS n FROM relationship JOIN eligible ON id = object_id GROUP BY 1),
 top AS (SELECT term_id FROM own JOIN c USING (term_id) ORDER BY %s LIMIT 10),
-chosen AS (SELECT term_id FROM top UNION SELECT term_id FROM own WHERE term_id %% 97 = 0)
+chosen AS (SELECT term_id FROM top UNION SELECT term_id FROM own WHERE name LIKE 'blue%%')
 SELECT site, id, term_id, rn, 'type:order:per_term:PROMO' AS reason FROM (
   SELECT site, id, r.term_id, row_number() OVER (PARTITION BY r.term_id ORDER BY date DESC NULLS LAST, id DESC) AS rn
   FROM relationship r JOIN chosen USING (term_id) JOIN eligible ON id = object_id) WHERE rn <= 5"""
@@ -88,7 +88,7 @@ SELECT site, id, term_id, rn, 'type:order:per_term:PROMO' AS reason FROM (
 
 def per_term(t: Tables, by_name: bool) -> DataFrame:
     eligible, own = t.entity.where("status in ('F', 'O')"), t.term.where("taxonomy = 'PROMO'")
-    chosen = seeds.top_terms(eligible, t.relationship, own, 10, by_name).select("term_id").union(own.where("term_id % 97 = 0").select("term_id")).distinct()
+    chosen = seeds.top_terms(eligible, t.relationship, own, 10, by_name).select("term_id").union(own.where(F.col("name").startswith("blue")).select("term_id")).distinct()
     return seeds.newest_per_term(eligible, t.relationship, chosen, 5, "type:order:per_term:PROMO")
 
 
@@ -167,11 +167,12 @@ def added_by_reason(t: Tables) -> DataFrame:
     return profile.added_by_reason(closure.closure(base_keep(t), base_edges(t), depth=2))
 
 
-@query("""WITH RECURSIVE {cte}, tree AS (SELECT term_id, 'part' AS taxonomy, parent FROM term), anc AS (SELECT * FROM tree WHERE term_id % 61 = 7
+@query("""WITH RECURSIVE {cte}, {keep}, tree AS (SELECT term_id, 'part' AS taxonomy, parent FROM term), anc AS (SELECT * FROM tree WHERE term_id IN (SELECT term_id FROM relationship JOIN keep ON id = object_id)
   UNION SELECT t.* FROM tree t JOIN anc a ON t.term_id = a.parent AND t.taxonomy = a.taxonomy WHERE a.parent > 0) SELECT * FROM anc""")
 def term_ancestors(t: Tables) -> DataFrame:
     tree = t.term.select("term_id", F.lit("part").alias("taxonomy"), "parent")
-    return closure.ancestors(tree.where("term_id % 61 = 7"), tree)
+    used = t.relationship.join(base_keep(t).select(F.col("id").alias("object_id")), "object_id", "left_semi").select("term_id").distinct()
+    return closure.ancestors(tree.join(used, "term_id", "left_semi"), tree)
 
 
 @query("""WITH {cte}, i AS (SELECT event_id, props, CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN event_id || ',' || (event_id + 1) WHEN 2 THEN '[' || event_id || ',"7"]' ELSE '3,x' END AS value FROM events),
@@ -186,7 +187,8 @@ def list_ids(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS ref_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 0")
 def json_ids(t: Tables) -> DataFrame:
-    return t.meta.where("ref_id > 0").select(F.col("post_id").alias("event_id"), "ref_id")
+    value = F.from_json("props", "map<string,string>")["k"]
+    return t.read("events").select("event_id", F.explode(refs.json_ids(value)).alias("ref_id"))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
@@ -414,11 +416,11 @@ def prefix_match_longest(t: Tables) -> DataFrame:
     return match.longest_prefix(part.select("p_partkey", "p_name"), "p_name", prefixes)
 
 
-@query("""WITH k AS (SELECT p_partkey, replace(p_name, ' ', '_') AS key FROM part), n AS (SELECT split_part(p_name, ' ', 2) AS name, min(p_partkey) AS rank FROM part WHERE p_partkey < 40 GROUP BY 1)
+@query("""WITH k AS (SELECT p_partkey, replace(p_name, ' ', '_') AS key FROM part), n AS (SELECT split_part(p_name, ' ', 2) AS name, min(p_partkey) AS rank FROM part GROUP BY 1)
 SELECT p_partkey, key, (SELECT name FROM n WHERE key = name OR ends_with(key, '_' || name) ORDER BY rank, name LIMIT 1) AS name FROM k""")
 def suffix_match(t: Tables) -> DataFrame:
     part = t.read("part")
-    names = part.where("p_partkey < 40").groupBy(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name")).agg(F.min("p_partkey").alias("rank"))
+    names = part.groupBy(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name")).agg(F.min("p_partkey").alias("rank"))
     return match.first_suffix(part.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("key")), "key", names)
 
 
@@ -476,9 +478,9 @@ def php_roundtrip(t: Tables) -> DataFrame:
     return e.select("event_id", F.explode(php.php_ids(text)).alias("ref_id"))
 
 
-@query("""SELECT page_id AS id, CAST(k AS BIGINT) AS ref_id, source FROM (SELECT page_id, unnest([page_id + 1, page_id + 2, page_id + 3]) AS k, unnest(['core/image', 'image', 'gallery']) AS source FROM pages)""")
+@query("""SELECT page_id AS id, CAST(k AS BIGINT) AS ref_id, source FROM (SELECT page_id, unnest([page_id + 1, page_id + 2, page_id + 3, page_id + 2]) AS k, unnest(['block:core/image:id', 'class:wp-image', 'shortcode:gallery', 'shortcode:gallery']) AS source FROM pages)""")
 def content_refs(t: Tables) -> DataFrame:
-    """Block, image and gallery references put around each page's text and found again, each once."""
+    """Block, image and gallery references put around each page's text and found again, each once a source."""
     n = [(F.col("page_id") + i).cast("string") for i in (1, 2, 3)]
     text = F.concat(F.lit('<!-- wp:image {"id":'), n[0], F.lit(',"x":{"y":1}} -->'), "html", F.lit('<img class="wp-image-'), n[1], F.lit('"> [gallery ids="'), n[2], F.lit(", "), n[1], F.lit('"]'))
     return refs.content_refs(t.read("pages").select(F.col("page_id").alias("id"), text.alias("text")), "id", "text")

@@ -41,6 +41,7 @@ def inventory(index: Index) -> dict[str, DataFrame]:
     resolved = resolved.groupBy("site", "meta_key").agg(F.sum("n").alias("refs"), F.coalesce(F.sum(F.when(F.col("there") == 1, F.col("n"))), F.lit(0)).alias("resolved"))
     content = index.content_refs.join(posts.select("site", F.col("id").alias("ref_id"), F.lit(1).alias("there")), ["site", "ref_id"], "left").groupBy("site", "source").agg(F.count("*").alias("refs"), F.count("there").alias("resolved"))
     options = index.options
+    comments = index.comments.groupBy("site", comment_state("status").alias("status"), F.when(F.col("type") == "", "comment").otherwise(F.coalesce("type", F.lit("comment"))).alias("type")).agg(F.count("*").alias("n"))
     return {
         "tables": index.tables.select("tbl", "site", "role", "rows", "row_bytes").orderBy(F.col("row_bytes").desc(), "tbl"),
         "sites": sizes.groupBy("site").agg(F.sum("bytes").alias("bytes")),
@@ -60,4 +61,6 @@ def inventory(index: Index) -> dict[str, DataFrame]:
         "roles": index.user_roles.groupBy("meta_key", "role").agg(F.count_distinct("user_id").alias("users")),
         "meta_keys": resolved.where("resolved > 0"),
         "content_sources": content,
+        "comments": comments,
+        "network": index.blogs.select("blog_id", "domain", "path"),
     }

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.ids import format_bytes
 from quarry.operators import profile, seeds
-from quarry.sources.config import ALWAYS_DROPPED, Config
+from quarry.sources.config import ALL, ALWAYS_DROPPED, Config
 
+from .rules import REBUILD
 from .subset import FOLLOWED, STORED_OPTIONS, Index, Plan, filtered_rows
 
 #: Bytes that a table takes beside its rows and definition, and a dump beside its tables.
@@ -36,7 +37,7 @@ def _by_table(plan: Plan) -> list:
     return every.collect()
 
 
-def warnings(index: Index, plan: Plan, config: Config, total: int) -> list[str]:
+def warnings(index: Index, plan: Plan, config: Config, total: int, tables: list[dict]) -> list[str]:
     """What a reader of the plan should look at."""
     out = list(plan.warnings)
     sites = set(index.sites)
@@ -54,10 +55,19 @@ def warnings(index: Index, plan: Plan, config: Config, total: int) -> list[str]:
     big = profile.name_patterns(plan.kept["options"].select("name", "bytes"), 1 << 20).orderBy(F.col("bytes").desc(), "pattern").collect()
     out += [f"options like {r.pattern}: {r.n} of {format_bytes(r.bytes)}" for r in big]
     if total > config.target_size_mb * (1 << 20):
-        out.append(f"{format_bytes(total)} is over the target of {config.target_size_mb} MB")
+        biggest = ", ".join(f"{t['table']} {format_bytes(t['bytes'])}" for t in sorted(tables, key=lambda t: (-t["bytes"], t["table"]))[:3])
+        out.append(f"{format_bytes(total)} is over the target of {config.target_size_mb} MB; biggest tables: {biggest}")
     return out
 
 
+def described(config: Config, kind: str) -> dict:
+    """What the configuration says of a type, in words."""
+    rule = config.post_types.get(kind, config.default_post_type)
+    taxonomies = ", ".join(sorted(rule.taxonomies))
+    mode = f"latest {rule.count}" if rule.mode == "latest" else f"{rule.per_term} per term of {taxonomies}" if rule.mode == "per_term" else rule.mode
+    return {"mode": mode, "statuses": ", ".join(s if n == ALL else f"{s} +{n}" for s, n in sorted(rule.statuses.items()) if n == ALL or n > 0)}
+
+
 def report(index: Index, plan: Plan, config: Config) -> dict:
     """All of it, ready for JSON."""
     tables = table_sizes(index, plan)
@@ -68,11 +78,11 @@ def report(index: Index, plan: Plan, config: Config) -> dict:
     for t in tables:
         by_site[t["site"]] = by_site.get(t["site"], 0) + t["bytes"]
     return {
-        "sites": [{"site": s, "prefix": p, "bytes": by_site.get(s, 0), "excluded": config.excluded(s)} for s, p in sorted(index.sites.items())],
-        "types": [r.asDict() for r in types],
+        "sites": [{"site": s, "prefix": p, "bytes": by_site.get(s, 0), "excluded": s not in plan.included} for s, p in sorted(index.sites.items())],
+        "types": [r.asDict() | described(config.for_site(r.site), r.type) for r in types],
         "added": [r.asDict() for r in profile.added_by_reason(plan.keep).orderBy("site", F.col("n").desc(), "reason").collect()],
         "tables": tables,
         "bytes": total,
-        "warnings": warnings(index, plan, config, total),
-        "after_import": sorted({f"{r.note}: {n}" for n, r in plan.rules.items() if r.action == "empty" and r.note.startswith("rebuild")}),
+        "warnings": warnings(index, plan, config, total, tables),
+        "after_import": sorted({t["note"].removeprefix(REBUILD + ": ") for t in tables if t["action"] == "empty" and t["of_rows"] and t["note"].startswith(REBUILD + ": ")}),
     }

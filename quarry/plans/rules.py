@@ -12,10 +12,12 @@ from quarry.sources.config import Config, ConfigError
 SMALL = 1 << 20
 
 REBUILD, PERSONAL, ADDRESSES = "rebuild after import", "personal data", "IP addresses"
+#: What rebuilds an index table.
+YOAST, PRODUCTS = REBUILD + ": wp yoast index", REBUILD + ": wp wc tool run regenerate_product_lookup_tables"
 #: Rules for known plugin tables by glob of the name without prefix; the first that fits counts.
 LIBRARY = (
-    ("yoast_indexable", "empty", REBUILD), ("yoast_indexable_hierarchy", "empty", REBUILD), ("yoast_seo_links", "empty", REBUILD), ("yoast_seo_meta", "empty", REBUILD),
-    ("yoast_primary_term", "empty", REBUILD), ("yoast_migrations", "keep", "state of migrations"), ("wc_product_meta_lookup", "empty", REBUILD),
+    ("yoast_indexable", "empty", YOAST), ("yoast_indexable_hierarchy", "empty", YOAST), ("yoast_seo_links", "empty", YOAST), ("yoast_seo_meta", "empty", YOAST),
+    ("yoast_primary_term", "empty", YOAST), ("yoast_migrations", "keep", "state of migrations"), ("wc_product_meta_lookup", "empty", PRODUCTS),
     ("wc_product_attributes_lookup", "empty", REBUILD), ("wc_category_lookup", "empty", REBUILD), ("wc_reserved_stock", "empty", ""),
     ("actionscheduler_*", "empty", ""), ("redirection_logs", "empty", ""), ("redirection_404", "empty", ""), ("wf*", "empty", ""), ("wfls_*", "empty", ""),
     ("stream", "empty", ""), ("jetpack_sync_queue", "empty", REBUILD), ("vip_search_index_queue", "empty", REBUILD), ("stream_meta", "empty", ""),

@@ -31,7 +31,7 @@ STORED_OPTIONS = ("siteurl", "home", "show_on_front", "sticky_posts", "posts_per
 MENU_KEYS = ("_menu_item_type", "_menu_item_object_id", "_menu_item_object")
 WANTED = (
     "id", "post_author", "post_date", "post_content", "post_excerpt", "post_name", "post_status", "post_parent", "post_type", "post_mime_type", "meta_id", "post_id", "meta_key", "meta_value",
-    "option_id", "option_name", "option_value", "autoload", "term_id", "name", "slug", "term_taxonomy_id", "taxonomy", "parent", "count", "object_id", "umeta_id", "user_id", "blog_id",
+    "option_id", "option_name", "option_value", "autoload", "term_id", "name", "slug", "term_taxonomy_id", "taxonomy", "parent", "count", "object_id", "umeta_id", "user_id", "blog_id", "domain", "path", "comment_id", "comment_post_id", "comment_approved", "comment_type",
 )
 #: The columns that a core table is filtered by.
 KEYS = {"posts": "id", "postmeta": "meta_id", "terms": "term_id", "term_taxonomy": "term_taxonomy_id", "termmeta": "meta_id", "options": "option_id", "users": "id", "usermeta": "umeta_id"}
@@ -64,7 +64,12 @@ def _id(name: str) -> Column:
 def build_index(spark: SparkSession, path: str, exact: bool = False, columns: tuple[str, ...] = ()) -> Index:
     """The index of the dump at `path`; columns are those of filter_by in the configuration. Rows of another length than their table's columns are not indexed."""
     statements = closure.saved(dump.read_statements(spark, path, exact))
-    rows = closure.saved(dump.read_rows(statements))
+    return index_of(statements, closure.saved(dump.read_rows(statements)), columns)
+
+
+def index_of(statements: DataFrame, rows: DataFrame, columns: tuple[str, ...] = ()) -> Index:
+    """The index of a dump's statements and rows."""
+    spark = rows.sparkSession
     named = dump.named_values(rows, statements, WANTED + columns)
     counts = rows.groupBy("tbl").agg(F.count("*").alias("rows"), F.sum(F.length("body")).alias("row_bytes"))
     other = statements.groupBy("tbl").agg(F.max(F.when(F.col("kind") == "create_table", F.decode("raw", "UTF-8"))).alias("create_sql"))
@@ -103,6 +108,9 @@ def build_index(spark: SparkSession, path: str, exact: bool = False, columns: tu
         "users": role("users").select("tbl", _id("id").alias("id"), "bytes"),
         "usermeta": user_meta.drop("value"),
         "user_roles": user_meta.where(F.col("meta_key").endswith("capabilities")).select("user_id", "meta_key", F.explode(php.php_true_keys("value")).alias("role")),
+        "comments": role("comments").select("tbl", "site", _id("comment_id").alias("id"), _id("comment_post_id").alias("post_id"), _v("comment_approved").alias("status"), _v("comment_type").alias("type"), "bytes"),
+        "commentmeta": role("commentmeta").select("tbl", "site", _id("meta_id").alias("meta_id"), _id("comment_id").alias("comment_id"), "bytes"),
+        "blogs": role("blogs").select("tbl", _id("blog_id").alias("blog_id"), _v("domain").alias("domain"), _v("path").alias("path"), "bytes"),
         "object_rows": named.where("role = ''").select("tbl", "site", F.coalesce(_id("post_id"), _id("object_id")).alias("object_id"), "ord", "row", "bytes").where("object_id is not null"),
         "named": named,
     }
@@ -182,7 +190,10 @@ def follow_keys(index: Index, config: Config, included: list[int]) -> DataFrame:
 
 
 def make_plan(index: Index, config: Config) -> Plan:
-    included = [s for s in index.sites if not config.excluded(s)]
+    # Sites that the network no longer lists are left over from deleted ones.
+    listed_sites = {r.blog_id for r in index.blogs.select("blog_id").collect()} if "blogs" in index.frames else set()  # a row per site
+    orphaned = [s for s in index.sites if listed_sites and s != 1 and s not in listed_sites and config.sites.get(str(s), {}).get("exclude") is None]
+    included = [s for s in index.sites if not config.excluded(s) and s not in orphaned]
     excluded = frozenset(index.sites) - frozenset(included)
     posts = closure.saved(seeds.drop_filter(index.posts.where(F.col("site").isin(*included)), ALWAYS_DROPPED))
     start = seeds.keep_seeds(seed_frame(index, config, included), posts)
@@ -220,7 +231,7 @@ def make_plan(index: Index, config: Config) -> Plan:
     }
     prefixes = {0: index.sites[1]} | index.sites
     found: dict[str, rules.Rule] = {}
-    warnings: list[str] = []
+    warnings = [f"sites.{s}: tables but no row in blogs, left over from a deleted site; dropped unless sites.{s}.exclude is false" for s in orphaned]
     listed = index.tables.collect()  # a row per table
     for t in listed:
         columns = tuple(n for n, _ in dump.declared_columns(t.create_sql.encode())) if t.create_sql else ()
@@ -268,9 +279,13 @@ def slim(index: Index, plan: Plan) -> DataFrame:
     return index.rows.join(every.distinct(), ["ord", "row"], "left_semi")
 
 
+def passed(index: Index, plan: Plan) -> DataFrame:
+    """The statements that hold no rows, without those of dropped tables."""
+    dropped = [n for n, r in plan.rules.items() if r.action == "drop"]
+    return index.statements.where("kind <> 'insert'").where(F.col("tbl").isNull() | ~F.col("tbl").isin(*dropped) if dropped else F.lit(True))
+
+
 def write_dump(index: Index, plan: Plan, slimmed: DataFrame, most: int = 1 << 20) -> DataFrame:
     """(place, raw): the statements of the copy in their order; statements of dropped tables are left out, all others pass as they are."""
-    dropped = [n for n, r in plan.rules.items() if r.action == "drop"]
-    passed = index.statements.where("kind <> 'insert'").where(F.col("tbl").isNull() | ~F.col("tbl").isin(*dropped) if dropped else F.lit(True))
     packed = dump.insert_statements(slimmed, most).select(F.struct(F.col("first_ord").alias("ord"), F.col("first_row").alias("row")).alias("place"), F.concat(F.lit(b"\n"), "raw").alias("raw"))
-    return passed.select(F.struct("ord", F.lit(-1).alias("row")).alias("place"), "raw").unionByName(packed).orderBy("place")
+    return passed(index, plan).select(F.struct("ord", F.lit(-1).alias("row")).alias("place"), "raw").unionByName(packed).orderBy("place")

@@ -73,7 +73,7 @@ def plan_checks(copy: Index, source: Index, page: int) -> list[Check]:
     """Lost second pages and references that never led anywhere warn; authors that are gone fail."""
     key = F.struct("site", "term_taxonomy_id")
     lost = checks.second_page(
-        source.term_relationships.select("object_id", key.alias("term_id")), copy.posts.select("id"), source.term_taxonomy.select(key.alias("term_id"), "taxonomy"), page
+        source.term_relationships.select(F.struct("site", "object_id").alias("object_id"), key.alias("term_id")), copy.posts.select(F.struct("site", "id").alias("id")), source.term_taxonomy.select(key.alias("term_id"), "taxonomy"), page
     )
     refs = copy.meta_refs.where("meta_key in ('_thumbnail_id')").select("site", F.col("meta_key").alias("source"), "ref_id").unionByName(copy.content_refs.select("site", "source", "ref_id"))
     never = refs.join(source.posts.select("site", F.col("id").alias("ref_id")), ["site", "ref_id"], "left_anti")
@@ -89,7 +89,9 @@ def status(found: list[Check]) -> str:
 
 
 def export(statements: DataFrame, found: list[Check], path: str) -> bool:
-    """Write the copy's statements (place, raw) as one local file, if no check failed: first beside it, then renamed."""
+    """Write the copy's statements (place, raw) as one local file, if no check failed: first beside it, then renamed. A copy that nothing checked is refused."""
+    if not found:
+        raise ValueError("a copy is written only after checks")
     if status(found) == FAIL:
         return False
     with open(path + ".part", "wb") as out:

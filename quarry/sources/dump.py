@@ -79,6 +79,15 @@ def decode(kind: str, raw: bytes) -> bytes | None:
     raise DumpError(f"a value of kind {kind} can't be decoded")
 
 
+_QUOTE = re.compile(rb"[\0\n\r\x1a'\\]")
+_QUOTES = {b"\0": b"\\0", b"\n": b"\\n", b"\r": b"\\r", b"\x1a": b"\\Z", b"'": b"\\'", b"\\": b"\\\\"}
+
+
+def quoted(text: bytes) -> bytes:
+    """A string as a dump writes it."""
+    return b"'" + _QUOTE.sub(lambda m: _QUOTES[m[0]], text) + b"'"
+
+
 def value(body: bytes, at: int) -> tuple[str, bytes, int]:
     """The kind and bytes of the value at `at`, and where it ends."""
     if found := _VALUE.match(body, at):

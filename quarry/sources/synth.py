@@ -16,12 +16,16 @@ def quote(value: object) -> str:
     return f"'{text}'"
 
 
-def dump(posts: int = 60, seed: int = 1, prefix: str = "wp_", subsite: bool = False, complete: bool = True) -> str:
-    """The dump's text. Posts 1 to `posts`, of which every seventh is a revision, every fifth a page; attachments follow."""
+def dump(posts: int = 60, seed: int = 1, prefix: str = "wp_", subsite: bool = False, complete: bool = True, statement_rows: int = 7, personal: bool = False, triggers: bool = False, hex_blob: bool = False) -> str:
+    """The dump's text. Posts 1 to `posts`, of which every seventh is a revision, every fifth a page; attachments follow.
+
+    complete: INSERTs list their columns; statement_rows: rows of a statement; personal: a plugin's table of addresses;
+    triggers: a DELIMITER block; hex_blob: a table of binary values as 0x literals.
+    """
     rng = random.Random(seed)
     out = ["-- A seeded dump\n/*!40101 SET NAMES utf8mb4 */;\n"]
 
-    def table(name: str, columns: dict[str, str], rows: list[tuple], per: int = 7) -> None:
+    def table(name: str, columns: dict[str, str], rows: list[tuple], per: int = statement_rows) -> None:
         body = ",\n".join(f"  `{c}` {t}" for c, t in columns.items())
         out.append(f"DROP TABLE IF EXISTS `{name}`;\nCREATE TABLE `{name}` (\n{body},\n  PRIMARY KEY (`{next(iter(columns))}`)\n) ENGINE=InnoDB;\nLOCK TABLES `{name}` WRITE;\n")
         names = " (" + ", ".join(f"`{c}`" for c in columns) + ")" if complete else ""
@@ -56,4 +60,10 @@ def dump(posts: int = 60, seed: int = 1, prefix: str = "wp_", subsite: bool = Fa
     table(prefix + "users", {"ID": "bigint", "user_login": "varchar(60)", "user_email": "varchar(100)"}, [(i, f"user{i}", f"user{i}@corp.test") for i in range(1, 6)])
     roles = ["administrator", "editor", "author", "subscriber", "administrator"]
     table(prefix + "usermeta", {"umeta_id": "bigint", "user_id": "bigint", "meta_key": "varchar(255)", "meta_value": "longtext"}, [(i, i, prefix + "capabilities", 'a:1:{s:%d:"%s";b:1;}' % (len(roles[i - 1]), roles[i - 1])) for i in range(1, 6)])
+    if personal:
+        table(prefix + "example_subscribers", {"id": "bigint", "subscriber_email": "varchar(100)", "signup_ip": "varchar(45)"}, [(i, f"reader{i}@corp.test", f"10.0.0.{i}") for i in range(1, 4)])
+    if hex_blob:
+        out.append(f"CREATE TABLE `{prefix}example_blobs` (\n  `blob_id` bigint,\n  `data` varbinary(16)\n);\nINSERT INTO `{prefix}example_blobs` VALUES (1,0x00FF27),(2,0x5C0A3B0A);\n")
+    if triggers:
+        out.append(f"DELIMITER ;;\nCREATE TRIGGER `t` BEFORE INSERT ON `{prefix}posts` FOR EACH ROW BEGIN SET NEW.post_type = 'post'; END ;;\nDELIMITER ;\n")
     return "".join(out)
