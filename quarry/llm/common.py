@@ -140,6 +140,33 @@ def word_codes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return span_codes(raw, starts, ends, LOWERED), counts
 
 
+class Lookup:
+    """Places of 64-bit keys (distinct) by their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        spread = mixed(keys.view(np.uint64))
+        self.order = np.argsort(spread)
+        self.keys = np.append(spread[self.order], np.uint64(0))
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.keys[:-1] >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands, or -1."""
+        spread = mixed(keys.view(np.uint64))
+        lead = (spread >> self.shift).astype(np.int64)
+        at, end = self.starts[lead], self.starts[lead + 1]
+        out = np.full(len(keys), -1, np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            there = self.keys[at[live]] == spread[live]
+            out[live[there]] = self.order[at[live[there]]]
+            live = live[~there]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
+
+
 class WordFacts:
     """What `work` finds of words (arrays, one value a word), kept by digest in a table of 2 ** bits places; newcomers replace."""
 

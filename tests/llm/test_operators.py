@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -444,13 +445,19 @@ def test_ctw(spark, docs):
     words = collections.Counter(w for i, t in rows if not held(i) for w in [*raw(t).lower().split(), b" "])
     n, v, depth = sum(words.values()), len(words), ctw.DEPTH
     counts = collections.defaultdict(lambda: [0, 0])
-    decisions = lambda b: [((1 << k) + (b >> (8 - k)), (b >> (7 - k)) & 1) for k in range(8)]
+    steps = lambda b: [(0, 0)] + [((1 << k) + (b >> (8 - k)), (b >> (7 - k)) & 1) for k in range(8)]
+
+    def events(text):
+        """(context, node, bit) of all decisions of a text; the first of each symbol is whether it is the end."""
+        x = bytes(depth) + raw(text).lower()
+        for j in range(depth, len(x)):
+            yield from ((x[j - depth : j], node, bit) for node, bit in steps(x[j]))
+        yield x[len(x) - depth :], 0, 1
+
     for i, t in rows:
-        x = bytes(depth) + raw(t)
-        for j in range(depth, len(x)) if not held(i) else ():
-            for node, bit in decisions(x[j]):
-                for d in range(depth + 1):
-                    counts[x[j - d : j], node][bit] += 1
+        for ctx, node, bit in events(t) if not held(i) else ():
+            for d in range(depth + 1):
+                counts[ctx[depth - d :], node][bit] += 1
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
     weight, below = {}, collections.defaultdict(float)
     for d in range(depth, -1, -1):
@@ -468,12 +475,11 @@ def test_ctw(spark, docs):
         share = 0.5 if key not in weight else math.exp(math.log(0.5) + kt(a, b) - weight[key])
         return share * own + (1 - share) * one(ctx, node, d + 1)
 
-    for hot in (1 << 18, 1):
+    for hot in (1 << 18, 40, 0):
         for r in ctw.score(df, hot=hot).collect():
             t = dict(rows)[r.doc_id]
             tokens = [*raw(t).lower().split(), b" "]
-            x = bytes(depth) + raw(t)
-            want = sum(math.log10(p if bit else 1 - p) for j in range(depth, len(x)) for node, bit in decisions(x[j]) for p in [one(x[j - depth : j], node)])
+            want = sum(math.log10(p if bit else 1 - p) for ctx, node, bit in events(t) for p in [one(ctx, node)])
             assert r.score == pytest.approx(want, rel=1e-9, abs=1e-9) and r.base_score == pytest.approx(sum(math.log10((words[w] + 1) / (n + v + 1)) for w in tokens))
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(tokens), sum(words[w] > 0 for w in tokens), n)
     found = ctw.score(docs).collect()
@@ -481,6 +487,24 @@ def test_ctw(spark, docs):
     assert ctw.score(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [0, 1, 2, 5])
+def test_ctw_probabilities(spark, depth):
+    """The probabilities of all symbols after a context add up to 1, so those of all texts do to 1 at most, at any depth."""
+    ship(spark)
+    train = [(i, t) for i, t in enumerate(["ab", "abba", "b", "aab", "ba"] * 4)]
+    every = [(1000 + i, t) for i, t in enumerate(x for n in range(5) for x in map("".join, itertools.product("ab", repeat=n)))]
+    found = {r.doc_id: r for r in ctw.score(spark.createDataFrame(train + every, "doc_id long, text string"), depth=depth).collect()}
+    total = sum(10 ** found[i].score for i, _ in every)
+    assert 0.01 < total <= 1
+    codes = [(ctx << 9 | symbol, 0) for ctx in (0, 97, 97 << 8 | 98) for symbol in range(257)] if depth == 2 else []
+    if codes:
+        own = spark.createDataFrame([(c, n + 3 * (c & 511 == 97)) for c, n in codes], "code long, n_train long")
+        sums = collections.Counter()
+        for r in ctw.gram_scores(own, depth).collect():
+            sums[r.code >> 9] += 10**r.logp
+        assert all(v == pytest.approx(1) for v in sums.values()) and len(sums) == 3
+
+
 def test_ctw_learns(corpus):
     """Held-out texts take fewer bits a byte than by single-byte frequencies."""
     found = [r for r in ctw.score(corpus.select("doc_id", "text")).collect() if r.held_out and r.n_bytes]
