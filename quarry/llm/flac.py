@@ -68,11 +68,11 @@ def _crcs(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: in
 
 
 def _frame_number(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Up to four bytes per number in the format's UTF-8-like code, and how many count."""
-    size = 1 + (number >= 1 << 7) + (number >= 1 << 11) + (number >= 1 << 16)
-    out = np.zeros((len(number), 4), np.uint8)
-    lead = np.array([0, 0x00, 0xC0, 0xE0, 0xF0])
-    for i in range(4):
+    """Up to six bytes per number (below 2 ** 31) in the format's UTF-8-like code, and how many count."""
+    size = 1 + (number >= 1 << 7) + (number >= 1 << 11) + (number >= 1 << 16) + (number >= 1 << 21) + (number >= 1 << 26)
+    out = np.zeros((len(number), 6), np.uint8)
+    lead = np.array([0, 0x00, 0xC0, 0xE0, 0xF0, 0xF8, 0xFC])
+    for i in range(6):
         part = number >> np.maximum(0, 6 * (size - 1 - i))
         out[:, i] = np.where(i == 0, np.where(size == 1, number, lead[size] | part), 0x80 | (part & 63))
     return out, size
@@ -158,7 +158,7 @@ def encode_frames(x: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.nd
         out += np.bincount((pos >> 3) + i, (shifted >> shift) & 0xFF, total + 3)
     out = out[:total].astype(np.uint8)
     out[starts], out[starts + 1], out[starts + 2], out[starts + 3] = 0xFF, 0xF8, 0x14, 0x02
-    for i in range(4):
+    for i in range(int(size.max(initial=0))):
         there = size > i
         out[starts[there] + 4 + i] = number[there, i]
     out[starts + head - 1] = _crcs(out, starts, head - 1, 8)
@@ -397,11 +397,19 @@ def _decode_frames(buffer: np.ndarray, body: np.ndarray, blocks: np.ndarray, bit
     return x << waste[:, None], pos
 
 
-def _walk(data: bytes, stream: Stream) -> np.ndarray:
-    """The samples of one stream, frame after frame."""
+def read_at(data: bytes, sample: int, count: int) -> np.ndarray:
+    """`count` samples from `sample` on (fewer at the end), decoded from the last seek point before them; frames before it are not read."""
+    stream = Stream(data)
+    begin, at = stream.seek_to(sample)
+    stop = min(sample + count, stream.samples)
+    return _walk(data, stream, begin, at, stop)[sample - begin : stop - begin] if stop > sample else np.zeros(0, np.int64)
+
+
+def _walk(data: bytes, stream: Stream, got: int = 0, at: int = 0, most: int | None = None) -> np.ndarray:
+    """The samples of one stream, frame after frame; from sample `got` at byte `at`, up to `most`."""
     buffer = np.frombuffer(data + bytes(32), np.uint8)
-    at, parts, got = stream.first, [], 0
-    while got < stream.samples:
+    at, parts, begin, most = at or stream.first, [], got, stream.samples if most is None else most
+    while got < most:
         if at + 6 > len(data):
             raise FlacError("the stream ends early")
         here = np.array([at])
@@ -414,7 +422,7 @@ def _walk(data: bytes, stream: Stream) -> np.ndarray:
             raise FlacError(f"checksum of the frame at byte {at}")
         parts.append(samples[0])
         at, got = stop, got + len(samples[0])
-    return np.concatenate(parts)[: stream.samples] if parts else np.zeros(0, np.int64)
+    return np.concatenate(parts)[: most - begin] if parts else np.zeros(0, np.int64)
 
 
 def decode(media: list[bytes]) -> list[np.ndarray]:
@@ -493,10 +501,11 @@ def read_back(stored: DataFrame, media: str = "media") -> DataFrame:
     """`stored` without its media, with media_bytes, media_sha256 and what decoding gives: payload_bytes, payload_sha256, tail_crc32, feature.
 
     The feature holds the samples' sum, sum of squares, sign changes, least and greatest value. Null media: nulls.
-    A stream that is damaged raises FlacError.
+    A stream that is damaged raises FlacError. Columns of `stored` with these names are replaced.
     """
-    rest = [c for c in stored.columns if c != media]
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    stored = stored.drop(*(n for n in names if n != media))
+    rest = [c for c in stored.columns if c != media]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def facts(stream: bytes, x: np.ndarray) -> tuple:
@@ -521,8 +530,9 @@ def pcm_blocks(stored: DataFrame, media: str = "media", seconds: float = 1.0) ->
     """A row per block of decoded sound: the other columns, block_no int, first_sample long, n_samples int, stream_byte long, pcm binary.
 
     first_sample is the block's place in the stream; stream_byte is where a reader that seeks there begins, by the seek
-    table. PCM is signed and little-endian.
+    table (`read_at` reads from there). PCM is signed and little-endian. Columns of `stored` with these names are replaced.
     """
+    stored = stored.drop(*(n for n in ("block_no", "first_sample", "n_samples", "stream_byte", "pcm") if n != media))
     rest = [c for c in stored.columns if c != media]
     size = max(1, int(RATE * seconds))
 

@@ -3,8 +3,8 @@
 Categories are learnt one after the other, each by a logistic model on presence of words, word beginnings and
 five-letter runs, a few shape measures, and the probabilities of the categories before it. While training, those
 probabilities are out-of-fold: each labelled text is judged by models that have not seen its fold; all texts are
-then judged by models of all folds. The models are fitted on at most `max_labelled` labelled texts, chosen by a
-hash of their id; the features are chosen from these by chi-square. Scoring covers every text whole.
+then judged by models of all folds. Each model's features are chosen from the texts it is fitted on. The models are fitted on at most `max_labelled` labelled texts, chosen by a
+hash of their id; the features are chosen by chi-square. Scoring covers every text whole.
 """
 
 from __future__ import annotations
@@ -99,6 +99,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 12)
     return w
 
 
+def _fold(doc_id: Column) -> Column:
+    return F.pmod(F.pmod(doc_id.cast("long"), F.lit(1_000_003)) * 7919, F.lit(FOLDS)).cast("int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, max_labelled: int = MAX_LABELLED) -> Chain:
     """A chain from docs (doc_id, text) and labels (doc_id and the columns that categories name)."""
     names = [c for c, _ in categories]
@@ -106,60 +110,78 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], .
     known = known.where(" or ".join(f"label_{c} is not null" for c in names))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     own = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows
-    own = stash(own, "labelled")
+    own = stash(own.withColumn("fold", _fold(F.col("doc_id"))), "labelled")
     columns = [f"label_{c}" for c in names]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        cells: list[Counter] = [Counter() for _ in columns]
+        found: list[Counter] = [Counter() for _ in range(FOLDS)]
+        cells: list[Counter] = [Counter() for _ in range(FOLDS * len(columns))]
 
         def out() -> pa.RecordBatch:
-            keys = list(found)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[k] for k in keys], pa.int64()), pa.array([[c[k] for c in cells] for k in keys], pa.list_(pa.int64()))], ["feature", "n", "hits"])
+            keys = list(set().union(*found))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([[c[k] for c in own] for k in keys], pa.list_(pa.int64())) for own in (found, cells))], ["feature", "n", "hits"])
 
         for part in slices(batches):
-            marks = [part.column(c).to_pylist() for c in columns]
+            folds, marks = part.column("fold").to_pylist(), [part.column(c).to_pylist() for c in columns]
             for i, text in enumerate(texts(part)):
                 own = set().union(*map(of_word, words_of(text.decode("utf-8", "replace"))))
-                found.update(own)
-                for cell, mark in zip(cells, marks, strict=True):
+                found[folds[i]].update(own)
+                for c, mark in enumerate(marks):
                     if mark[i]:
-                        cell.update(own)
-            if len(found) > 2 * CACHE:
+                        cells[c * FOLDS + folds[i]].update(own)
+            if sum(map(len, found)) > 2 * CACHE:
                 yield out()
-                found, cells = Counter(), [Counter() for _ in columns]
+                found, cells = [Counter() for _ in range(FOLDS)], [Counter() for _ in cells]
         yield out()
 
-    counted = own.mapInArrow(count, "feature string, n long, hits array<long>").groupBy("feature")
-    counted = stash(counted.agg(F.sum("n").alias("n"), *[F.sum(F.col("hits")[i]).alias(f"hit_{c}") for i, c in enumerate(names)]).where("n >= 3"), "features")
-    sizes = own.agg(F.count("*").alias("n"), *[F.sum(F.col(f"label_{c}").cast("int")).alias(c) for c in names]).first()
+    # Counts by fold: those of the texts outside a fold are sums over the others.
+    counted = own.mapInArrow(count, "feature string, n array<long>, hits array<long>").groupBy("feature")
+    sums = [F.sum(F.col("n")[f]).alias(f"n{f}") for f in range(FOLDS)] + [F.sum(F.col("hits")[c * FOLDS + f]).alias(f"hit{f}_{name}") for c, name in enumerate(names) for f in range(FOLDS)]
+    counted = stash(counted.agg(*sums).where(" + ".join(f"n{f}" for f in range(FOLDS)) + " >= 3"), "features")
+    sizes = {r.fold: r for r in own.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.col(f"label_{c}").cast("int")).alias(c) for c in names]).collect()}
     features: dict[str, int] = {}
-    for c in names:
-        share = (sizes[c] or 0) / max(1, sizes["n"])
-        off = F.col(f"hit_{c}") - F.col("n") * share
-        score = off * off / (F.col("n") * max(share * (1 - share), 1e-9))
-        for row in counted.orderBy(score.desc(), "feature").limit(PER_CATEGORY).collect():
-            features.setdefault(row.feature, len(features))
+
+    def choose(folds: list[int]) -> np.ndarray:
+        """The numbers of the features chosen from texts of these folds."""
+        total, out = sum(sizes[f]["n"] for f in folds if f in sizes), []
+        n = sum((F.col(f"n{f}") for f in folds), F.lit(0))
+        for c in names:
+            share = sum(sizes[f][c] or 0 for f in folds if f in sizes) / max(1, total)
+            off = sum((F.col(f"hit{f}_{c}") for f in folds), F.lit(0)) - n * share
+            score = off * off / (n * max(share * (1 - share), 1e-9))
+            for row in counted.where(n >= 3).orderBy(score.desc(), "feature").limit(PER_CATEGORY).collect():
+                out.append(features.setdefault(row.feature, len(features)))
+        return np.unique(np.array(out, np.int64))
+
+    chosen_by = [choose([f for f in range(FOLDS) if f != held]) for held in range(FOLDS)]
+    chosen_all = choose(list(range(FOLDS)))
     k = len(features)
-    rows = present_in(own.select("doc_id", *columns, "text"), features).drop("text").orderBy("doc_id").collect()
+    rows = present_in(own.select("doc_id", "fold", *columns, "text"), features).drop("text").orderBy("doc_id").collect()
     x = np.zeros((len(rows), k + SHAPES + len(names)))
     for i, row in enumerate(rows):
         x[i, row.present] = 1
         x[i, k : k + SHAPES] = row.shape
-    fold = np.array([int(r.doc_id) % 1_000_003 * 7919 % FOLDS for r in rows], int)
+    fold = np.array([r.fold for r in rows], int)
     biases, weights = [], []
     for c, column in enumerate(columns):
         width = k + SHAPES + c
         there = np.array([r[column] is not None for r in rows], bool)
         y = np.array([float(bool(r[column])) for r in rows])
-        w = logistic(x[there, :width], y[there])
+        used = np.concatenate([chosen_all, np.arange(k, width)])
+        w = logistic(x[np.ix_(there, used)], y[there])
+        whole = np.zeros(width)
+        whole[used] = w[:-1]
         biases.append(float(w[-1]))
-        weights.append(w[:-1])
+        weights.append(whole)
         for f in range(FOLDS):  # what later categories are trained with
             held = fold == f
-            v = logistic(x[there & ~held, :width], y[there & ~held])
-            x[held, width] = 1 / (1 + np.exp(-np.clip(x[held, :width] @ v[:-1] + v[-1], -30, 30)))
-    return Chain(names, features, biases, weights)
+            used = np.concatenate([chosen_by[f], np.arange(k, width)])
+            v = logistic(x[np.ix_(there & ~held, used)], y[there & ~held])
+            x[held, width] = 1 / (1 + np.exp(-np.clip(x[np.ix_(held, used)] @ v[:-1] + v[-1], -30, 30)))
+    # Features that only out-of-fold models have are not looked for any more.
+    kept = {f: i for i, f in enumerate(name for name, j in features.items() if j in set(chosen_all.tolist()))}
+    order = [features[f] for f in kept]
+    return Chain(names, kept, biases, [np.concatenate([w[order], w[k:]]) for w in weights])
 
 
 def _find(features: dict[str, int], known: dict[str, tuple[int, ...]], text: str) -> np.ndarray:
@@ -189,7 +211,7 @@ def present_in(docs: DataFrame, features: dict[str, int], column: str = "text")
 
 
 def judge(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
-    """`docs` with p_<category> double for each category of the chain. Null and empty texts are judged as empty ones."""
+    """`docs` with p_<category> double for each category of the chain; 0.0 for texts that are null, empty or blank."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # a few hundred features
     names = [f"p_{c}" for c in chain.names]
     keep = docs.drop(*names)
@@ -200,6 +222,7 @@ def judge(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
         for part in slices(batches, column):
             data = [t.decode("utf-8", "replace") for t in texts(part, column)]
             p = chain.predict([_find(chain.features, known, t) for t in data], np.array([shapes(t) for t in data]).reshape(len(data), SHAPES))
+            p[[not t or t.isspace() for t in data]] = 0.0
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(p[:, c]) for c in range(p.shape[1]))], [*part.schema.names, *names])
             if len(known) > CACHE:
                 known.clear()
@@ -210,7 +233,7 @@ def judge(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with p_low_quality, p_toxic and is_toxic, each row judged; models from labels. Without labels nothing is toxic.
 
-    A null or empty text has no words and is not toxic. A text with several labels counts once, as toxic if any says so.
+    A null, empty or blank text has no words and is not toxic: its probabilities are 0.0. A text with several labels counts once, as toxic if any says so.
     """
     chain = fit(docs, labels)
     judged = judge(docs.drop("is_toxic"), chain)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,6 +26,9 @@ from .common import row_id, slices, stash, table, texts
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 1 << 20
+#: Bytes that are unpacked at one time, tasks that copies of one payload are dealt to, entries of a range, of a run that
+#: are looked at, and of an output batch.
+_PIECE, SALTS, RANGE_ENTRIES, PEEK, OUT_ROWS = 1 << 14, 32, 1_000_000, 256, 10_000
 FIRST = datetime(2020, 1, 1, tzinfo=timezone.utc)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
@@ -56,10 +60,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def parse(data: bytes) -> Iterator[dict]:
     """The records of an archive's bytes. Raises ValueError where a length or a digest is wrong."""
     at = 0
+    view = memoryview(data)
     while at < len(data):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data[at:]) + member.flush()
-        size = len(data) - at - len(member.unused_data)
+        member, parts, end = zlib.decompressobj(31), [], at
+        while not member.eof and end < len(data):  # piece by piece: what is left over of a piece is copied
+            parts.append(member.decompress(view[end : end + _PIECE]))
+            end = min(len(data), end + _PIECE)
+        raw = b"".join([*parts, member.flush()])
+        size = end - at - len(member.unused_data)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         fields = dict(line.split(": ", 1) for line in lines[1:])
@@ -86,9 +94,10 @@ def write_archives(pages: DataFrame) -> DataFrame:
     own = own.withColumn("digest", F.sha1("html"))
     large = own.where(F.length("html") >= MIN_REVISIT)
     keepers = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("join_key"), "keeper")
-    # A small payload is nobody's copy: its key is its own, so that they are dealt evenly.
+    # A small payload is nobody's copy: its key is its own, so that they are dealt evenly. A payload that repeats often is dealt to SALTS places.
+    keepers = keepers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     key = F.when(F.length("html") >= MIN_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("-"), row_id().cast("string")))
-    marked = own.withColumn("join_key", key).join(keepers, "join_key", "left")
+    marked = own.withColumn("join_key", key).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(keepers, ["join_key", "salt"], "left")
     marked = marked.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,20 +173,36 @@ def loser_tree_merge(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
 
 
 def merge_index(runs: DataFrame) -> DataFrame:
-    """The entries of all runs in the order of (url_key, captured, page_id), range after range."""
-    ranged = runs.repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("archive", "url_key", "captured", "page_id")
+    """The entries of all runs in the order of (url_key, captured, page_id), range after range.
+
+    Ranges are cut by key, time and id, so a range has about RANGE_ENTRIES at most, however often a URL was captured. A
+    task holds its range's parts of the runs as Arrow batches, and of each run the PEEK entries that come next.
+    """
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), runs.count() // RANGE_ENTRIES + 1)
+    ranged = runs.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("archive", "url_key", "captured", "page_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         entries = pa.Table.from_batches(held).combine_chunks()
-        names = entries.column("archive").to_pylist()
-        keys = [entries.column(c).to_pylist() for c in ("url_key", "captured", "page_id")]
-        starts = [0] + [i for i in range(1, len(names)) if names[i] != names[i - 1]] + [len(names)]
-        cursors = [((keys[0][i], keys[1][i], -1 if keys[2][i] is None else keys[2][i], i) for i in range(a, b)) for a, b in zip(starts, starts[1:], strict=False)]
-        order = [x[3] for x in loser_tree_merge(cursors)]
-        yield from entries.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
+        names = entries.column("archive").combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+
+        def run(start: int, end: int) -> Iterator[tuple]:
+            for at in range(start, end, PEEK):
+                part = entries.slice(at, min(PEEK, end - at)).select(["url_key", "captured", "page_id"])
+                for i, (key, time, page) in enumerate(zip(*(c.to_pylist() for c in part.columns), strict=True)):
+                    yield key, time, -1 if page is None else page, at + i
+
+        order: list[int] = []
+        for entry in loser_tree_merge([run(a, b) for a, b in zip(starts, starts[1:], strict=False)]):
+            order.append(entry[3])
+            if len(order) == OUT_ROWS:
+                yield from entries.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
+                order = []
+        if order:
+            yield from entries.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
 
     return ranged.mapInArrow(work, ENTRY)
 
@@ -188,7 +213,7 @@ def captures(pages: DataFrame) -> DataFrame:
     One row per row of pages. Null url: an empty key and no target field. Equal payloads with equal largest ids are all
     responses. An empty table gives no rows; other columns of pages are not archived.
     """
-    return merge_index(read_runs(write_archives(pages)))
+    return merge_index(stash(read_runs(write_archives(pages)), "warc-runs"))
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:

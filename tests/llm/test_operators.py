@@ -124,6 +124,29 @@ def test_flac_blocks(docs):
     assert flac.pcm_blocks(flac.store(docs.limit(0))).count() == 0
 
 
+def test_flac_seeking():
+    """Samples read from a seek point on are those of the whole; frames before the point may be damaged; frame numbers have up to six bytes."""
+    payload = bytes(random.Random(6).choices(range(60, 190), k=192 * 200))
+    media = flac.encode([payload])[0]
+    whole = flac.decode([media])[0]
+    for at, n in ((0, 10), (192 * 64, 192), (192 * 130 + 7, 1000), (192 * 199, 500)):
+        assert (flac.read_at(media, at, n) == whole[at : at + n]).all() and len(flac.read_at(media, at, n)) == min(n, len(whole) - at)
+    first = flac.Stream(media).first
+    broken = media[:first] + b"\0" * 40 + media[first + 40 :]
+    assert (flac.read_at(broken, 192 * 128, 192) == whole[192 * 128 : 192 * 129]).all()
+    with pytest.raises(flac.FlacError):
+        flac.read_at(broken, 0, 1)
+    number, size = flac._frame_number(np.array([127, 128, 1 << 21, (1 << 26) - 1, 1 << 26, (1 << 31) - 1]))
+    assert size.tolist() == [1, 2, 5, 5, 6, 6] and number[2, :5].tolist() == [0xF8, 0x88, 0x80, 0x80, 0x80] and number[5].tolist() == [0xFD, 0xBF, 0xBF, 0xBF, 0xBF, 0xBF]
+
+
+def test_flac_clashing_names(docs):
+    clash = docs.selectExpr("*", "7 as payload_bytes", "'x' as feature", "1 as pcm")
+    for r in flac.read_back(flac.store(clash)).collect():
+        assert r.payload_bytes % 192 == 0 and r.feature != "x" and r.pcm == 1
+    assert flac.pcm_blocks(flac.store(clash)).columns.count("pcm") == 1
+
+
 # 2 Jaccard join
 
 
@@ -668,6 +691,15 @@ def test_toxicity(spark, docs):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_of_nothing(spark):
+    """Where all labels say toxic, texts without words are still not, and a blank one neither."""
+    ship(spark)
+    rows = [(i, f"bad words {i}" if i < 20 else ["", None, " \n ", "bad words"][i - 20]) for i in range(24)]
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(23)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert found[23].is_toxic and not any(found[i].is_toxic or found[i].p_toxic for i in (20, 21, 22))
+
+
 def test_toxicity_long_words(spark):
     """Of words of any length every five-letter run is a feature, and only short ones are remembered."""
     word = "".join(chr(97 + i % 26) + chr(97 + i // 26) for i in range(200)) + "snarfle"
