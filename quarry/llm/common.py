@@ -167,6 +167,18 @@ class Lookup:
         return out
 
 
+def frequent(counts: DataFrame, most: int, column: str = "n_all") -> Column:
+    """Whether a row of counts is among the most frequent ones, `most` of them at most: those above a step of 1/16 of a doubling."""
+    step = F.floor(F.log2(column) * 16)
+    total, least = 0, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.col("step").desc()).collect():  # 1024 at most
+        total += r.n
+        if total > most:
+            break
+        least = r.step
+    return F.lit(False) if least is None else step >= least
+
+
 class WordFacts:
     """What `work` finds of words (arrays, one value a word), kept by digest in a table of 2 ** bits places; newcomers replace."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lookup, lowered, row_id, slices, stash, table, texts, word_codes
+from .common import Lookup, frequent, lowered, row_id, slices, stash, table, texts, word_codes
 
 #: Preceding bytes of the longest context, where a caller says nothing else; 6 at most.
 DEPTH = 3
@@ -144,23 +144,6 @@ def gram_scores(gram_counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return _decisions(gram_counts).join(mixed.select("ctx", "node", "mix"), ["ctx", "node"]).groupBy("code").agg(F.sum(F.log10(p)).alias("logp"))
 
 
-def _frequent(counts: DataFrame, most: int) -> Column:
-    """Whether a row of counts (kind, key, n_all) is one of the most frequent of its kind, `most` of a kind at most."""
-    step = F.floor(F.log2("n_all") * 16)
-    found = counts.groupBy("kind", step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.col("step").desc()).collect()  # 1024 of a kind at most
-    out = F.lit(False)
-    for kind in (GRAM, WORD):
-        total, least = 0, None
-        for r in found:
-            if r.kind == kind and total + r.n <= most:
-                total, least = total + r.n, r.step
-            elif r.kind == kind:
-                break
-        if least is not None:
-            out = out | ((F.col("kind") == kind) & (step >= least))
-    return out
-
-
 def score(docs: DataFrame, id_column: str = "doc_id", hot: int = HOT, depth: int = DEPTH) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
@@ -176,7 +159,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", hot: int = HOT, depth: int
     # The end is a token that every text has.
     n, v = (sums.n or 0) + ends.train, sums.v + (ends.train > 0)
     of_grams = stash(gram_scores(counts.where(f"kind = {GRAM}").select(F.col("key").alias("code"), "n_train"), depth), "lm-grams")
-    marked = counts.withColumn("hot", _frequent(counts, hot))
+    marked = counts.withColumn("hot", (F.col("kind") == WORD) & frequent(counts.where(f"kind = {WORD}"), hot) | (F.col("kind") == GRAM) & frequent(counts.where(f"kind = {GRAM}"), hot))
     values = marked.where(f"kind = {WORD}").select("kind", "key", F.log10(F.col("n_train") + 1.0).alias("value"), (F.col("n_train") > 0).alias("known"), "hot")
     values = values.unionByName(marked.where(f"kind = {GRAM}").join(of_grams.withColumnRenamed("code", "key"), "key").select("kind", "key", F.col("logp").alias("value"), F.lit(False).alias("known"), "hot"))
     values = stash(values, "lm-values")

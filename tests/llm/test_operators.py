@@ -445,13 +445,21 @@ def best_segmentation(word, scores, longest, byte_score):
     return -best[-1][1], best[-1][0]
 
 
-def test_unigram(docs, corpus):
-    scores = unigram.vocabulary(unigram.default_path())
-    for df in (docs.withColumnRenamed("doc_id", "n_tokens").withColumnRenamed("n_tokens", "own"), corpus.where("doc_id < 40").select("text")):
-        for r in unigram.count_tokens(df, unigram.default_path()).collect():
-            one = [best_segmentation("▁" + w.decode(), *scores) for w in raw(r.text)[:20000].split()] if len(raw(r.text)) < 20000 else None
-            if one is not None:
-                assert (r.n_pretokens, r.n_tokens) == (len(one), sum(c for c, _ in one)) and r.token_score == pytest.approx(sum(s for _, s in one))
+@pytest.mark.parametrize("hot", [1 << 20, 50])
+def test_unigram(docs, corpus, hot):
+    """All texts, also the longest, against the segmentation of each word by itself; frequent words by broadcast and all others by join."""
+    ship(docs.sparkSession)
+    scores, known = unigram.vocabulary(unigram.default_path()), {}
+    for df in (docs.withColumnRenamed("doc_id", "n_tokens").selectExpr("n_tokens as own", "text", "1 as n_tokens", "2 as key"), corpus.where("doc_id < 40").selectExpr("doc_id as own", "text")):
+        texts = {r.own: raw(r.text) for r in df.collect()}
+        found = unigram.count_tokens(df, unigram.default_path(), hot=hot).collect()
+        assert len(found) == df.count()
+        for r in found:
+            words = texts[r.own].split()
+            for w in set(words) - known.keys():
+                known[w] = best_segmentation("▁" + w.decode("utf-8", "replace"), *scores)
+            one = [known[w] for w in words]
+            assert (r.n_pretokens, r.n_tokens) == (len(one), sum(c for c, _ in one)) and r.token_score == pytest.approx(sum(s for _, s in one))
     trie = unigram.Trie({"a": -1.0, "ab": -1.5, "b": -1.0}, 2, -9.0)
     assert [trie.count(w) for w in ("ab", "aba", "abb")] == [(1, -1.5), (2, -2.5), (2, -2.5)] and trie.nodes == 4
     assert unigram.count_tokens(docs.limit(0), unigram.default_path()).count() == 0
