@@ -1,9 +1,10 @@
 """SQL text dumps as DataFrames.
 
-Spark's text reader cuts plain and compressed files at the end of statements, in parallel where the file can be split.
-Dump programs escape line breaks within strings, so a semicolon at a line's end is a statement's end; for files
-written by hand, and for those with DELIMITER blocks, `exact=True` walks the text in one task that minds quotes,
-comments and delimiters. Rows keep their bytes: `raw` of all statements in order is the file.
+Spark's text reader cuts plain files at line ends, in parallel where the file can be split; bytes pass as they are. Whether
+a line begins within a string, a comment or a statement depends on the lines before it, so each split first says how it
+ends; then all splits are cut at their statements' ends, and statements that go over splits are put together. Strings may
+hold anything, also semicolons and line breaks. `raw` of all statements in order is the file, which ends in a line break.
+With `exact=True` whole files are walked, one task each: for files whose last line has no line break.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 import gzip
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,8 @@ STATEMENT = "ord long, raw binary, kind string, tbl string"
 ROW = "ord long, row int, tbl string, columns array<string>, body binary, values array<struct<kind:string,raw:binary>>, tail binary"
 
 _STRING = rb"'(?:[^'\\]|\\.|'')*'"
-_NAME = rb"(?:`[^`]*`|[\w$]+)(?:\.(?:`[^`]*`|[\w$]+))?"
+_PART = rb"(?:`(?:[^`]|``)*`|[\w$]+)"
+_NAME = _PART + rb"(?:\." + _PART + rb")?"
 _SKIP = re.compile(rb"(?:\s+|#[^\n]*(?:\n|$)|--(?:[\s][^\n]*)?(?:\n|$)|/\*(?![!M]).*?\*/|/\*M!999999\\-.*?\*/)*", re.S)
 _KINDS = (
     ("create_table", re.compile(rb"(?:/\*!\d*\s*)?CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(" + _NAME + rb")", re.I)),
@@ -30,7 +34,7 @@ _KINDS = (
     ("create_trigger", re.compile(rb"(?:/\*!\d*\s*)?CREATE\s+.*?TRIGGER\s+.*?\sON\s+(" + _NAME + rb")", re.I | re.S)),
     ("delimiter", re.compile(rb"DELIMITER\s()", re.I)),
 )
-_INSERT = re.compile(rb"(?:INSERT|REPLACE)(?:\s+(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE))*(?:\s+INTO)?\s+(" + _NAME + rb")\s*(\((?:\s*(?:`[^`]*`|[\w$]+)\s*,?)*\))?\s*VALUES?\s*(?=\()", re.I)
+_INSERT = re.compile(rb"(?:INSERT|REPLACE)(?:\s+(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE))*(?:\s+INTO)?\s+(" + _NAME + rb")\s*(\((?:\s*" + _PART + rb"\s*,?)*\))?\s*VALUES?\s*(?=\()", re.I)
 _VALUE = re.compile(
     rb"\s*(?:(?P<null>NULL)|(?P<string>(?:_\w+\s*)?(?:" + _STRING + rb'|"(?:[^"\\]|\\.|"")*"))|(?P<hex>0x[0-9A-Fa-f]+|[xX]\'[0-9A-Fa-f]*\')|(?P<bit>0b[01]+|[bB]\'[01]*\')|(?P<number>[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?))\s*(?=[,)])', re.I | re.S
 )
@@ -47,9 +51,15 @@ class DumpError(ValueError):
     """Text that ends within a statement or a value."""
 
 
+def plain_name(name: bytes) -> str:
+    """A name without its backticks; two within are one."""
+    return (name[1:-1].replace(b"``", b"`") if name[:1] == b"`" else name).decode("utf-8", "replace")
+
+
 def unquote_name(name: bytes) -> str:
     """The last part of a qualified name, without backticks."""
-    return name.rpartition(b"`.")[2].rpartition(b".")[2].strip(b"`").decode("utf-8", "replace") if b"`" not in name.strip(b"`") else name.split(b".")[-1].strip(b"`").decode("utf-8", "replace")
+    found = re.findall(_PART, name)
+    return plain_name(found[-1]) if found else ""
 
 
 def classify(raw: bytes) -> tuple[str, str | None]:
@@ -115,7 +125,7 @@ def tuples(raw: bytes) -> tuple[list[str] | None, Iterator[tuple[bytes, list[tup
     head = _INSERT.match(raw, _SKIP.match(raw).end())
     if not head:
         return None, iter(())
-    columns = [c.strip().strip(b"`").decode("utf-8", "replace") for c in head[2].strip(b"() \n").split(b",")] if head[2] else None
+    columns = [plain_name(c) for c in re.findall(_PART, head[2])] if head[2] else None
 
     def rows() -> Iterator[tuple[bytes, list[tuple[str, bytes]]]]:
         at = head.end()
@@ -174,27 +184,159 @@ def statements(text: bytes) -> Iterator[bytes]:
         yield rest
 
 
+_CLOSED = {
+    b"'": re.compile(rb"[^'\\]*+(?:\\.[^'\\]*+)*+'", re.S),
+    b'"': re.compile(rb'[^"\\]*+(?:\\.[^"\\]*+)*+"', re.S),
+    b"`": re.compile(rb"[^`]*+`", re.S),
+    b"/*": re.compile(rb"(?:[^*]++|\*(?!/))*+\*/", re.S),
+}
+_DELIMITER = re.compile(rb"DELIMITER[ \t]+(\S+)[^\n]*\n?", re.I)
+
+
+@cache
+def _plain(delimiter: bytes) -> re.Pattern:
+    """What holds no end of a statement and leaves nothing open."""
+    end, first = re.escape(delimiter), re.escape(delimiter[:1])
+    return re.compile(
+        rb"(?:[^'\"`/#\-" + first + rb"]++|'[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|`[^`]*+`|/\*(?:[^*]++|\*(?!/))*+\*/|#[^\n]*+|--(?=\s)[^\n]*+"
+        rb"|(?!" + end + rb")(?:/(?!\*)|-(?!-\s)|" + (first if first not in (b"'", b'"', b"`") else rb"(?!)") + rb"))*+", re.S
+    )
+
+
+class Cutter:
+    """Cuts lines into statements; what is open and the delimiter go on from line to line."""
+
+    def __init__(self, state: bytes = b"", delimiter: bytes = b";"):
+        self.state, self.delimiter = state, delimiter
+        self.parts: list[bytes] = []
+
+    def feed(self, line: bytes) -> Iterator[bytes]:
+        """The statements that end in this line (with its line break)."""
+        start = at = 0
+        change = None if self.state else _DELIMITER.match(line, len(line) - len(line.lstrip()))
+        if change and _SKIP.fullmatch(b"".join(self.parts)):
+            self.delimiter = change[1]
+            yield b"".join([*self.parts, line])
+            self.parts = []
+            return
+        while at < len(line):
+            if self.state:
+                found = _CLOSED[self.state].match(line, at)
+                if not found:
+                    break
+                self.state, at = b"", found.end()
+                continue
+            at = _plain(self.delimiter).match(line, at).end()
+            if line.startswith(self.delimiter, at):
+                at += len(self.delimiter)
+                if not line[at:].strip():
+                    at = len(line)
+                yield b"".join([*self.parts, line[start:at]])
+                self.parts, start = [], at
+            elif at < len(line):
+                self.state = b"/*" if line[at : at + 1] == b"/" else line[at : at + 1]
+                at += len(self.state)
+        if start < len(line):
+            self.parts.append(line[start:])
+
+
 def read_statements(spark: SparkSession, path: str, exact: bool = False) -> DataFrame:
-    """(ord, raw, kind, tbl) of every statement of the dump at `path`. An empty file has none."""
+    """(ord, raw, kind, tbl) of every statement of the dump at `path`. An empty file has none. A file that ends within a string or a comment raises DumpError."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [x + b";\n" for x in batch.column("value").to_pylist()]
-            kinds = [classify(x) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column("ord"), pa.array(raw, pa.binary()), pa.array([k for k, _ in kinds], pa.string()), pa.array([t for _, t in kinds], pa.string())], ["ord", "raw", "kind", "tbl"])
+    def made(ord_: list[int], raw: list[bytes]) -> pa.RecordBatch:
+        kinds = [classify(x) for x in raw]
+        return pa.RecordBatch.from_arrays([pa.array(ord_, pa.int64()), pa.array(raw, pa.binary()), pa.array([k for k, _ in kinds], pa.string()), pa.array([t for _, t in kinds], pa.string())], ["ord", "raw", "kind", "tbl"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed in batch.column("content").to_pylist():
                 content = gzip.decompress(packed) if packed[:2] == b"\x1f\x8b" else packed
                 for number, raw in enumerate(statements(content)):
-                    kind, tbl = classify(raw)
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([raw], pa.binary()), pa.array([kind], pa.string()), pa.array([tbl], pa.string())], ["ord", "raw", "kind", "tbl"])
+                    yield made([number], [raw])
 
     if exact:
         return spark.read.format("binaryFile").load(path).select("content").mapInArrow(walk, STATEMENT)
-    lines = spark.read.option("lineSep", ";\n").text(path)
-    return lines.select(F.monotonically_increasing_id().alias("ord"), F.encode("value", "UTF-8").alias("value")).mapInArrow(work, STATEMENT)
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"))
+    starts, tails = _split_states(lines)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        cutter, number, first = Cutter(*starts[part][:2]), part << 33, starts[part][2]
+        for batch in batches:
+            ords, raws, pieces = [], [], []
+            for line in batch.column("value").to_pylist():
+                for raw in cutter.feed(line + b"\n"):
+                    if first >= 0:  # the end of a statement that began in a split before
+                        ords.append(first)
+                        pieces.append(part + 1)
+                        first = -1
+                    else:
+                        ords.append(number)
+                        pieces.append(0)
+                        number += 1
+                    raws.append(raw)
+            if raws:
+                yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(pieces, pa.int32()), pa.array(raws, pa.binary())], ["ord", "piece", "raw"])
+        if rest := b"".join(cutter.parts):
+            yield pa.RecordBatch.from_arrays([pa.array([first if first >= 0 else number], pa.int64()), pa.array([part + 1], pa.int32()), pa.array([rest], pa.binary())], ["ord", "piece", "raw"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield made(batch.column("ord").to_pylist(), batch.column("raw").to_pylist())
+
+    pieces = lines.mapInArrow(cut, "ord long, piece int, raw binary")
+    # Pieces of one statement are two splits' ends, or a few splits where a statement is longer than one.
+    whole = pieces.where("piece = 0").select("ord", "raw")
+    if not tails:
+        return whole.mapInArrow(named, STATEMENT)
+    joined = pieces.where("piece > 0").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("piece", "raw"))).alias("own"))
+    joined = joined.select("ord", F.aggregate("own", F.lit(b""), lambda a, x: F.concat(a, x["raw"])).alias("raw"))
+    return whole.unionByName(joined).mapInArrow(named, STATEMENT)
+
+
+def _split_states(lines: DataFrame) -> tuple[dict[int, tuple[bytes, bytes, int]], bool]:
+    """What is open where each split begins, its delimiter, and the statement that goes on there (or -1); and whether any split ends within a statement.
+
+    A split is read for the state that it most likely begins in, which is none; where that proves wrong, it and all after
+    it are read once more for every state.
+    """
+    count = lines.rdd.getNumPartitions()
+    todo = {p: [(b"", b";")] for p in range(count)}
+    known: dict[tuple[int, bytes, bytes], tuple[bytes, bytes, int, bool]] = {}
+    while True:
+
+        def scan(batches: Iterator[pa.RecordBatch], todo=todo) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
+            starts = todo.get(part, [])
+            cutters, numbers = [Cutter(*s) for s in starts], [0] * len(starts)
+            for batch in batches if starts else ():
+                for line in batch.column("value").to_pylist():
+                    for i, cutter in enumerate(cutters):
+                        for _ in cutter.feed(line + b"\n"):
+                            numbers[i] += 1
+            columns = [[part] * len(starts), [s for s, _ in starts], [d for _, d in starts], [c.state for c in cutters], [c.delimiter for c in cutters], numbers, [bool(c.parts) for c in cutters]]
+            kinds = (pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "s", "d", "state", "delimiter", "n", "open"])
+
+        for r in lines.mapInArrow(scan, "part int, s binary, d binary, state binary, delimiter binary, n long, open boolean").collect() if todo else []:  # a few rows per split
+            known[r.part, bytes(r.s), bytes(r.d)] = bytes(r.state), bytes(r.delimiter), r.n, r.open
+        out, state, going, tails = {}, (b"", b";"), -1, False
+        for p in range(count):
+            out[p] = (*state, going)
+            if (p, *state) not in known:
+                break
+            open_state, delimiter, n, is_open = known[p, *state]
+            if is_open and (n or going < 0):
+                going = (p << 33) + n - (going >= 0)
+            elif not is_open and n:
+                going = -1
+            tails = tails or is_open
+            state = open_state, delimiter
+        else:
+            if state[0]:
+                raise DumpError(f"the dump ends within {state[0].decode()}")
+            return out, tails
+        todo = {q: new for q in range(p, count) if (new := [(s, state[1]) for s in (b"", *_CLOSED) if (q, s, state[1]) not in known])}
 
 
 def read_rows(statements_: DataFrame) -> DataFrame:
@@ -222,7 +364,7 @@ def declared_columns(create: bytes) -> list[tuple[str, str]]:
     """(name, type) of a CREATE TABLE's columns; the type is text as it stands."""
     body = create[create.index(b"(") + 1 :]
     depth, start, parts = 0, 0, []
-    for found in re.finditer(_STRING + rb"|`[^`]*`|[(),]", body, re.S):
+    for found in re.finditer(_STRING + rb"|`(?:[^`]|``)*`|[(),]", body, re.S):
         c = found[0]
         depth += (c == b"(") - (c == b")")
         if depth < 0 or (c == b"," and depth == 0):
@@ -232,9 +374,9 @@ def declared_columns(create: bytes) -> list[tuple[str, str]]:
                 break
     out = []
     for part in parts:
-        if part and not _TABLE_KEYS.match(part) and (found := re.match(rb"(`[^`]*`|[\w$]+)\s+(.*)", part, re.S)):
+        if part and not _TABLE_KEYS.match(part) and (found := re.match(rb"(" + _PART + rb")\s+(.*)", part, re.S)):
             kind = _COLUMN_END.split(found[2], maxsplit=1)[0].strip()
-            out.append((found[1].strip(b"`").decode("utf-8", "replace"), kind.decode("utf-8", "replace")))
+            out.append((plain_name(found[1]), kind.decode("utf-8", "replace")))
     return out
 
 
@@ -283,8 +425,8 @@ def insert_statements(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             tbl, columns = key[:2]
-            names = b"" if columns is None else b" (" + b", ".join(b"`" + c.encode() + b"`" for c in columns) + b")"
-            raw = b"INSERT INTO `" + tbl.encode() + b"`" + names + b" VALUES\n" + b",\n".join(held) + (b" " + key[2] if key[2] else b"") + b";\n"
+            names = b"" if columns is None else b" (" + b", ".join(b"`" + c.replace("`", "``").encode() + b"`" for c in columns) + b")"
+            raw = b"INSERT INTO `" + tbl.replace("`", "``").encode() + b"`" + names + b" VALUES\n" + b",\n".join(held) + (b" " + key[2] if key[2] else b"") + b";\n"
             return pa.RecordBatch.from_arrays([pa.array([tbl]), pa.array([first[0]], pa.int64()), pa.array([first[1]], pa.int32()), pa.array([len(held)], pa.int32()), pa.array([raw], pa.binary())], ["tbl", "first_ord", "first_row", "n", "raw"])
 
         for batch in batches:
