@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import ids, php, refs
 from quarry.operators import checks, closure, finish, keep, match, profile, seeds
-from quarry.sources import dump
+from quarry.sources import config, dump
 
+from . import finishing, subset
 from .bindings import CTE, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -470,6 +472,42 @@ def _dump(t: Tables, df: DataFrame, tbl: str) -> DataFrame:
     return dump.read_statements(t.spark, _written(t, dump.to_dump(df, tbl)))
 
 
+@query("SELECT doc_id, text || ';' || chr(10) || chr(13) || chr(10) || '-- ' AS text FROM documents")
+def dump_bytes(t: Tables) -> DataFrame:
+    """Texts with line breaks and statement ends of all kinds within their strings, read in splits."""
+    own = t.read("documents").select("doc_id", F.concat("text", F.lit(";\n\r\n-- ")).alias("text"))
+    statements = dump.read_statements(t.spark, _written(t, dump.to_dump(own, "documents", 50, breaks=True)))
+    rows = dump.named_values(dump.read_rows(statements), statements, ("doc_id", "text"))
+    return rows.select(F.col("values")["doc_id"].cast("bigint").alias("doc_id"), F.col("values")["text"].alias("text"))
+
+
+@query("""WITH k AS (SELECT o_orderkey AS id, o_custkey AS author FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50),
+c AS (SELECT l_partkey AS term, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN k ON id = l_orderkey GROUP BY 1), u AS (SELECT c_custkey AS id, 'user_' || substr(sha256('pepper:' || c_custkey), 1, 12) AS who FROM customer WHERE c_custkey IN (SELECT author FROM k))
+SELECT 'login' AS kind, id, who AS value FROM u UNION ALL SELECT 'email', id, CASE WHEN id % 2 = 0 THEN 'c' || id || '@example.org' ELSE who || '@example.com' END FROM u
+UNION ALL SELECT 'count', p_partkey, CAST(coalesce(n, 0) AS VARCHAR) FROM part LEFT JOIN c ON term = p_partkey WHERE n IS NOT NULL OR (SELECT count(*) FROM part) <= 500""")
+def finish_copy(t: Tables) -> DataFrame:
+    """Orders as posts, customers as users and parts as terms in a dump; the copy's users and counts after the last steps."""
+    nothing = F.lit("")
+    key = F.col("c_custkey")
+    parts = {
+        "wp_posts": t.read("orders").select(F.col("o_orderkey").alias("ID"), F.col("o_custkey").alias("post_author"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("post_date"), nothing.alias("post_content"), F.when(F.col("o_orderstatus") == "F", "publish").otherwise("draft").alias("post_status"), F.lit(0).alias("post_parent"), F.lit("post").alias("post_type")),
+        "wp_users": t.read("customer").select(key.alias("ID"), F.col("c_name").alias("user_login"), F.concat(F.lit("c"), key.cast("string"), F.when(key % 2 == 0, "@example.org").otherwise("@corp.test")).alias("user_email"), F.lit("secret").alias("user_pass")),
+        "wp_term_taxonomy": t.read("part").select(F.col("p_partkey").alias("term_taxonomy_id"), F.col("p_partkey").alias("term_id"), F.lit("post_tag").alias("taxonomy"), F.lit(0).alias("parent"), F.lit(7).alias("count")),
+        "wp_term_relationships": t.relationship.select("object_id", F.col("term_id").alias("term_taxonomy_id"), F.lit(0).alias("term_order")),
+        "wp_options": t.read("region").where("r_regionkey = 0").select(F.lit(1).alias("option_id"), F.lit("siteurl").alias("option_name"), F.lit("https://a.example.org").alias("option_value"), F.lit("yes").alias("autoload")),
+    }
+    every = [dump.to_dump(df, name) for name, df in parts.items()]
+    index = subset.build_index(t.spark, _written(t, reduce(DataFrame.unionByName, every)))
+    settings = config.load("post_types: {post: {mode: latest, count: 50}}")
+    plan = subset.make_plan(index, settings)
+    rows = finishing.finished(index, plan, subset.slim(index, plan), settings, "pepper")
+    v = F.col("values")
+    named = dump.named_values(rows, index.statements, ("id", "user_login", "user_email", "term_taxonomy_id", "count")).where("tbl in ('wp_users', 'wp_term_taxonomy')")
+    made = F.when(F.col("tbl") == "wp_users", F.array(F.struct(F.lit("login").alias("kind"), v["id"].alias("id"), v["user_login"].alias("value")), F.struct(F.lit("email").alias("kind"), v["id"].alias("id"), v["user_email"].alias("value"))))
+    made = made.otherwise(F.array(F.struct(F.lit("count").alias("kind"), v["term_taxonomy_id"].alias("id"), v["count"].alias("value"))))
+    return named.select(F.explode(made).alias("x")).select("x.kind", F.col("x.id").cast("bigint").alias("id"), "x.value")
+
+
 @query("SELECT event_id, unnest([event_id + 1, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1, 7]) AS ref_id FROM events")
 def php_roundtrip(t: Tables) -> DataFrame:
     """Ids serialised in the query, one as a string, and decoded again."""

@@ -448,19 +448,20 @@ def insert_statements(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
     return ordered.mapInArrow(work, "tbl string, first_ord long, first_row int, n int, raw binary")
 
 
-def literal(column: str, kind: str):
-    """A column as a dump's literal, as bytes of text: numbers plain, strings quoted and escaped, null NULL."""
+def literal(column: str, kind: str, breaks: bool = False):
+    """A column as a dump's literal, as bytes of text: numbers plain, strings quoted and escaped (line breaks as they are, if asked for), null NULL."""
     c = F.col(column)
     if kind == "string":
-        text = F.regexp_replace(F.regexp_replace(c, r"([\\'])", r"\\$1"), "\n", r"\\n")
+        text = F.regexp_replace(c, r"([\\'])", r"\\$1")
+        text = text if breaks else F.regexp_replace(text, "\n", r"\\n")
         return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("NULL"))
     return F.coalesce(c.cast("string"), F.lit("NULL"))
 
 
-def to_dump(df: DataFrame, tbl: str, rows_per_statement: int = 500) -> DataFrame:
+def to_dump(df: DataFrame, tbl: str, rows_per_statement: int = 500, breaks: bool = False) -> DataFrame:
     """(value string): statements, without the last semicolon and line break, that hold the rows of df in its column order."""
     kinds = dict(df.dtypes)
-    body = F.concat(F.lit("("), F.concat_ws(",", *[literal(c, kinds[c]) for c in df.columns]), F.lit(")"))
+    body = F.concat(F.lit("("), F.concat_ws(",", *[literal(c, kinds[c], breaks) for c in df.columns]), F.lit(")"))
     numbered = df.select(body.alias("body"), (F.monotonically_increasing_id() / rows_per_statement).cast("long").alias("part"))
     names = ", ".join(f"`{c}`" for c in df.columns)
     return numbered.groupBy("part").agg(F.concat(F.lit(f"INSERT INTO `{tbl}` ({names}) VALUES "), F.array_join(F.collect_list("body"), ",")).alias("value")).select("value")
