@@ -760,3 +760,31 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(after.collect(), after.schema)
     last = {r.doc_id: r.n_tokens for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
     assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SF).collect()} == last
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_edges(spark, tmp_path, empty):
+    """Nulls in any column, empty and very long texts, repeated rows, other columns, and empty tables, through all stages."""
+    import corpus_pipeline
+
+    ship(spark)
+    long = " ".join(f"w{i % 5000}" for i in range(30_000))
+    texts = [None, "", " ", "a", "the same text of eight words or more here", "the same text of eight words or more here", long, long + " more", "x" * 100_000]
+    rows = [(i if i != 3 else None, t, None if i % 2 else "en", "src0" if i % 3 else None, None if t is None else len(t), 1, "k") for i, t in enumerate(texts)]
+    rows += [rows[4], rows[4], (None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, hash int, items string"
+    for name, own, ddl in (
+        ("documents", [] if empty else rows, schema),
+        ("labels", [] if empty else [(0, 0, 1), (4, 1, 0), (None, None, None), (4, 1, 0), (7, None, 0), (8, 1, 0)], "doc_id long, quality int, toxic int"),
+        ("benchmark", [] if empty else [(1, None), (None, "x"), (2, ""), (3, "seven words that no text here has")], "item_id long, text string"),
+    ):
+        spark.createDataFrame(own, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if empty:
+        assert found == []
+        return
+    ids = [r.doc_id for r in found]
+    assert set(ids) <= {0, 1, 2, 4, 6, 8, None} and {1, 2, 6, 8} <= set(ids) and ids.count(4) == 1 and ids.count(None) >= 1
