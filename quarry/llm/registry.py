@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, flac, jaccard, lines, templates, toxicity, unigram, urlrules, warc
+from . import align, bpe, ctw, flac, jaccard, lines, negatives, pieces, templates, toxicity, unigram, urlrules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac": flac.op1_flac,
@@ -19,9 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_template_decontamination": templates.op8_template_decontamination,
     "op9_bpe_encoding": bpe.op9_bpe_encoding,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_token_alignment": align.op11_token_alignment,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": jaccard.OP2_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
 }
