@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import Lookup, frequent, plus, row_id, slices, stash, table, texts
+from .common import Lookup, frequent, plus, row_id, slices, stash, table, texts, tidy
 from .pieces import MARK, ragged
 
 #: Pairs whose counts are broadcast, at 17 bytes.
 HOT = 1 << 20
 #: A task forgets its parts beyond so many characters, and counts so many links at one time.
-CACHE, COUNTED = 2 << 20, 4 << 20
+CACHE, COUNTED = 1 << 20, 1 << 20
 ALIGNED = "n_a long, n_b long, link_a array<int>, link_b array<int>, groups string"
 #: Spaces, and what follows them up to the next single space between others.
 _PARTS = re.compile(r" +[^ ]*(?:(?: {2,}| (?!\S))[^ ]*)*")
@@ -199,9 +199,11 @@ def align(docs: DataFrame, path_a: str, path_b: str, column: str = "text") -> Da
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = aligner(path_a, path_b)
-        for part in slices(batches, column, 1 << 20):
+        for part in slices(batches, column, 1 << 19):
             n_a, n_b, flat, links, groups = found.of(texts(part, column))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n_a), pa.array(n_b), *(pieces._lists(x, links) for x in flat), pa.array(groups, pa.binary()).cast(pa.string())], names)
+        found._forget()
+        tidy()
 
     return own.mapInArrow(work, plus(own, ALIGNED))
 
@@ -228,6 +230,7 @@ def link_counts(linked: DataFrame) -> DataFrame:
                 yield counted()
         if held:
             yield counted()
+        tidy()
 
     counts = linked.select("link_a", "link_b").mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = stash(counts, "link-counts")
