@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import ids, php, refs
 from quarry.operators import checks, closure, finish, keep, match, profile, seeds
-from quarry.sources import config, dump
+from quarry.sources import config, dump, sqldump
 
 from . import finishing, subset
 from .bindings import CTE, Tables
@@ -439,10 +439,9 @@ def fix_options(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def dump_roundtrip(t: Tables) -> DataFrame:
-    statements = _dump(t, t.read("supplier").orderBy("s_suppkey"), "supplier")
-    values = F.col("values")
-    rows = dump.named_values(dump.read_rows(statements), statements, ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"))
-    return rows.select(values["s_suppkey"].cast("bigint").alias("s_suppkey"), values["s_name"].alias("s_name"), values["s_nationkey"].cast("int").alias("s_nationkey"), values["s_acctbal"].cast("double").alias("s_acctbal"))
+    """Read by the data source, with columns and types picked by its schema."""
+    path = _written(t, dump.to_dump(t.read("supplier").orderBy("s_suppkey"), "supplier"))
+    return sqldump.rows(t.spark, path, "s_suppkey bigint, s_name string, s_nationkey bigint, s_acctbal double").withColumn("s_nationkey", F.col("s_nationkey").cast("int"))
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -476,9 +475,7 @@ def _dump(t: Tables, df: DataFrame, tbl: str) -> DataFrame:
 def dump_bytes(t: Tables) -> DataFrame:
     """Texts with line breaks and statement ends of all kinds within their strings, read in splits."""
     own = t.read("documents").select("doc_id", F.concat("text", F.lit(";\n\r\n-- ")).alias("text"))
-    statements = dump.read_statements(t.spark, _written(t, dump.to_dump(own, "documents", 50, breaks=True)))
-    rows = dump.named_values(dump.read_rows(statements), statements, ("doc_id", "text"))
-    return rows.select(F.col("values")["doc_id"].cast("bigint").alias("doc_id"), F.col("values")["text"].alias("text"))
+    return sqldump.rows(t.spark, _written(t, dump.to_dump(own, "documents", 50, breaks=True)), "doc_id bigint, text string")
 
 
 @query("""WITH k AS (SELECT o_orderkey AS id, o_custkey AS author FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50),

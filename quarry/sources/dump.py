@@ -25,7 +25,7 @@ ROW = "ord long, row int, tbl string, columns array<string>, body binary, values
 _STRING = rb"'(?:[^'\\]|\\.|'')*'"
 _PART = rb"(?:`(?:[^`]|``)*`|[\w$]+)"
 _NAME = _PART + rb"(?:\." + _PART + rb")?"
-_SKIP = re.compile(rb"(?:\s+|#[^\n]*(?:\n|$)|--(?:[\s][^\n]*)?(?:\n|$)|/\*(?![!M]).*?\*/|/\*M!999999\\-.*?\*/)*", re.S)
+_SKIP = re.compile(rb"(?:\s+|#[^\n]*(?:\n|$)|--(?:[\s][^\n]*)?(?:\n|$)|/\*(?![!M])(?>.*?\*/)|/\*M!999999\\-(?>.*?\*/))*", re.S)
 _KINDS = (
     ("create_table", re.compile(rb"(?:/\*!\d*\s*)?CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(" + _NAME + rb")", re.I)),
     ("drop_table", re.compile(rb"(?:/\*!\d*\s*)?DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?(" + _NAME + rb")", re.I)),
@@ -120,6 +120,25 @@ def value(body: bytes, at: int) -> tuple[str, bytes, int]:
     raise DumpError(f"a value ends early at byte {at}")
 
 
+def tuple_at(raw: bytes, at: int) -> tuple[list[tuple[str, bytes]], int]:
+    """The values of the tuple that begins at `at`, and where it ends."""
+    at, found = at + 1, []
+    while True:
+        kind, own, at = value(raw, at)
+        found.append((kind, own))
+        while raw[at : at + 1].isspace():
+            at += 1
+        at += 1
+        if raw[at - 1 : at] == b")":
+            return found, at
+
+
+def after_tuple(raw: bytes, end: int) -> int:
+    """Where the next tuple begins after one that ends at `end`; where there is none, the place of what follows."""
+    found = re.compile(rb"\s*,\s*").match(raw, end)
+    return found.end() if found else end
+
+
 def tuples(raw: bytes) -> tuple[list[str] | None, Iterator[tuple[bytes, list[tuple[str, bytes]]]]]:
     """An INSERT's column list, and each tuple's bytes and values."""
     head = _INSERT.match(raw, _SKIP.match(raw).end())
@@ -130,23 +149,9 @@ def tuples(raw: bytes) -> tuple[list[str] | None, Iterator[tuple[bytes, list[tup
     def rows() -> Iterator[tuple[bytes, list[tuple[str, bytes]]]]:
         at = head.end()
         while raw[at : at + 1] == b"(":
-            start, at, found = at, at + 1, []
-            while True:
-                kind, own, at = value(raw, at)
-                found.append((kind, own))
-                at += len(raw[at:]) - len(raw[at:].lstrip()) if raw[at : at + 1].isspace() else 0
-                if raw[at : at + 1] == b")":
-                    at += 1
-                    break
-                at += 1
-            yield raw[start:at], found
-            while raw[at : at + 1].isspace():
-                at += 1
-            if raw[at : at + 1] != b",":
-                return
-            at += 1
-            while raw[at : at + 1].isspace():
-                at += 1
+            found, end = tuple_at(raw, at)
+            yield raw[at:end], found
+            at = after_tuple(raw, end)
 
     return columns, rows()
 
