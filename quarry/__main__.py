@@ -23,12 +23,13 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--config", help="YAML; without it the defaults hold")
     parser.add_argument("--out", help="where build writes the copy")
     parser.add_argument("--exact", action="store_true", help="for dumps with DELIMITER blocks or odd line breaks")
+    parser.add_argument("--index", help="a folder that keeps the index, and the rows it was made from, for the next run")
     parser.add_argument("--salt", help="of the stand-ins for names; without it a new one each time")
     parser.add_argument("--page", type=int, default=10, help="posts on a page of an archive")
     own = parser.parse_args(argv)
     spark = ship(SparkSession.builder.appName("quarry").getOrCreate())
     settings = config.load(open(own.config).read() if own.config else "")
-    index = subset.build_index(spark, own.dump, own.exact, tuple(c for _, c in settings.tables.values() if c))
+    index = subset.build_index(spark, own.dump, own.exact, tuple(c for _, c in settings.tables.values() if c), own.index)
     if own.command == "inspect":
         print(json.dumps({k: [r.asDict(True) for r in v.collect()] for k, v in inventory.inventory(index).items()}, indent=2, default=str))
         return 0

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.ids import glob_matches
 
+from . import closure
+
 
 def any_glob(column: Column, globs: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (glob_matches(column, g) for g in globs), F.lit(False))
@@ -39,9 +41,35 @@ def keep_users(user: DataFrame, entity: DataFrame, keep: DataFrame, roles: tuple
     return user.join(authors.unionByName(holders).distinct(), "id", "left_semi")
 
 
+#: Keys that are broadcast as they are, keys that a filter is made of, and the filter's bits for each.
+BROADCAST_KEYS, FILTERED_KEYS, KEY_BITS = 100_000, 1 << 25, 8
+_MAP_BITS = 1 << 15  # of one row of a bitmap
+
+
 def slim(rows: DataFrame, keep: DataFrame, key: str | list[str]) -> DataFrame:
-    """Rows whose key is kept; Spark broadcasts the keep set if it is small and shuffles it if not."""
-    return rows.join(keep, key, "left_semi")
+    """Rows whose key is kept."""
+    return semi_join(rows, keep, [key] if isinstance(key, str) else key)
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, on: list[str], broadcast: int = BROADCAST_KEYS, filtered: int = FILTERED_KEYS) -> DataFrame:
+    """Rows whose columns `on` are among `keys`; null is never among them.
+
+    Few keys are broadcast. Of more, a filter is: a bitmap of their hashes, KEY_BITS a key, made by an aggregate, which
+    lets an eighth or less of other rows pass, so only what is likely to stay is shuffled for the exact join. Past `filtered` keys both sides are.
+    """
+    keys = closure.saved(keys.select(*on).distinct())
+    n = keys.count()
+    if n <= broadcast:
+        return rows.join(F.broadcast(keys), on, "left_semi")
+    if n > filtered:
+        return rows.join(keys, on, "left_semi")
+    kinds = dict(keys.dtypes)
+    place = F.pmod(F.xxhash64(*(F.col(c).cast(kinds[c]) for c in on)), F.lit(n * KEY_BITS))
+    bucket, bit = F.floor(place / _MAP_BITS).alias("__bucket"), (place % _MAP_BITS).alias("__bit")
+    maps = keys.select(bucket, bit).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))  # n bytes in all
+    byte = F.conv(F.hex(F.substring("__map", (F.floor(F.col("__bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    likely = rows.select("*", bucket, bit).join(F.broadcast(maps), "__bucket").where(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1)
+    return likely.drop("__bucket", "__bit", "__map").join(keys, on, "left_semi").select(*rows.columns)
 
 
 def reconcile(planned: DataFrame, written: DataFrame) -> DataFrame:

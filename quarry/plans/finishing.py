@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import php
-from quarry.operators import checks, finish
+from quarry.operators import checks, closure, finish
 from quarry.sources import dump
 from quarry.sources.config import Config
 
@@ -59,10 +59,10 @@ def lost_pages(index: Index, plan: Plan) -> DataFrame:
 
 def edits(index: Index, plan: Plan) -> DataFrame:
     """(ord, row, edits map<string,string>): new values of columns by lower-case name."""
-    named = index.named.select("ord", "row", "tbl", "role", "values")
-    of_terms = named.where("role = 'term_taxonomy'").select("ord", "row", "tbl", F.col("values")["term_taxonomy_id"].try_cast("bigint").alias("term_taxonomy_id"))
+    named = index.named
+    of_terms = named.where("role = 'term_taxonomy'").select("ord", "row", "tbl", F.col("v_term_taxonomy_id").try_cast("bigint").alias("term_taxonomy_id"))
     of_terms = of_terms.join(counts(index, plan), ["tbl", "term_taxonomy_id"]).select("ord", "row", F.create_map(F.lit("count"), F.col("n").cast("string")).alias("edits"))
-    of_options = named.where("role = 'options'").select("ord", "row", "tbl", F.col("values")["option_id"].try_cast("bigint").alias("option_id"))
+    of_options = named.where("role = 'options'").select("ord", "row", "tbl", F.col("v_option_id").try_cast("bigint").alias("option_id"))
     of_options = of_options.join(lost_pages(index, plan), ["tbl", "option_id"]).select("ord", "row", F.create_map(F.lit("option_value"), "value").alias("edits"))
     return of_terms.unionByName(of_options)
 
@@ -141,8 +141,15 @@ def swaps(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
+#: Roles whose rows a last step may change whatever they hold.
+TOUCHED = ("users", "comments", "usermeta", "options", "sitemeta", "blogs", "site")
+
+
 def finished(index: Index, plan: Plan, rows: DataFrame, config: Config, salt: str) -> DataFrame:
-    """The rows with all last steps done. Values that can't be decoded stay as they are."""
+    """The rows with all last steps done. Values that can't be decoded stay as they are.
+
+    Rows that no step can change pass as they are: those of other roles without edits and, where addresses change, without a //.
+    """
     allowed, emails = checks.ALLOWED_DOMAINS + config.allowed_domains, tuple(e.lower() for e in config.allowed_emails)
     pairs, where, scheme = addresses(index, plan, config)
     exchange = swaps(pairs)
@@ -153,9 +160,11 @@ def finished(index: Index, plan: Plan, rows: DataFrame, config: Config, salt: st
 
     listed = [(t.tbl, t.site, t.role, declare(t.create_sql)) for t in index.tables.collect()]  # a row per table
     tables = index.tables.sparkSession.createDataFrame(listed, "tbl string, site int, role string, declared array<string>")
-    fields = rows.schema
-    given = rows.join(edits(index, plan), ["ord", "row"], "left").join(F.broadcast(tables), "tbl", "left")
-    names = [f.name for f in fields]
+    names = ("ord", "row", "tbl", "columns", "body", "tail")
+    given = closure.saved(rows.select(*names).join(edits(index, plan), ["ord", "row"], "left").join(F.broadcast(tables), "tbl", "left"))
+    touched = F.coalesce(F.col("role"), F.lit("")).isin(*TOUCHED) | F.col("edits").isNotNull()
+    if exchange:
+        touched = touched | F.contains("body", F.lit(b"//")) | F.contains("body", F.lit(b"\\/"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,6 +172,7 @@ def finished(index: Index, plan: Plan, rows: DataFrame, config: Config, salt: st
             for r in batch.to_pylist():
                 columns = r["columns"] or r["declared"] or []
                 low = [c.lower() for c in columns]
+                r["values"] = [{"kind": k, "raw": v} for k, v in dump.tuple_at(r["body"], 0)[0]]
                 if len(low) != len(r["values"]):
                     out.append(r)
                     continue
@@ -200,9 +210,9 @@ def finished(index: Index, plan: Plan, rows: DataFrame, config: Config, salt: st
                 out.append(r)
             yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out], schema=layout)
 
-    layout = pa.schema([("ord", pa.int64()), ("row", pa.int32()), ("tbl", pa.string()), ("columns", pa.list_(pa.string())), ("body", pa.binary()), ("values", pa.list_(pa.struct([("kind", pa.string()), ("raw", pa.binary())]))), ("tail", pa.binary())])
-    layout = pa.schema([layout.field(n) for n in names])
-    return given.mapInArrow(rewrite, fields)
+    layout = pa.schema([("ord", pa.int64()), ("row", pa.int32()), ("tbl", pa.string()), ("columns", pa.list_(pa.string())), ("body", pa.binary()), ("tail", pa.binary())])
+    changed = given.where(touched).mapInArrow(rewrite, "ord long, row int, tbl string, columns array<string>, body binary, tail binary")
+    return given.where(~touched).select(*names).unionByName(changed)
 
 
 def personal_data(copy: Index, config: Config) -> list[Check]:
@@ -213,14 +223,15 @@ def personal_data(copy: Index, config: Config) -> list[Check]:
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for tbl, columns, values in zip(*(batch.column(c).to_pylist() for c in ("tbl", "names", "values")), strict=True):
+            for tbl, columns, body in zip(*(batch.column(c).to_pylist() for c in ("tbl", "names", "body")), strict=True):
+                values = dump.tuple_at(body, 0)[0]
                 if columns and len(columns) == len(values):
-                    for name, v in zip(columns, values, strict=True):
-                        if v["kind"] in ("string", "hex"):
-                            out.append((tbl, name.lower(), dump.decode(v["kind"], v["raw"]).decode("utf-8", "replace")))
+                    for name, (kind, raw) in zip(columns, values, strict=True):
+                        if kind in ("string", "hex"):
+                            out.append((tbl, name.lower(), dump.decode(kind, raw).decode("utf-8", "replace")))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(3)], ["tbl", "name", "value"])
 
-    cells = copy.rows.join(F.broadcast(tables), "tbl", "left").select("tbl", F.coalesce("columns", "declared").alias("names"), "values").mapInArrow(flat, "tbl string, name string, value string").where("value <> ''")
+    cells = copy.rows.join(F.broadcast(tables), "tbl", "left").select("tbl", F.coalesce("columns", "declared").alias("names"), "body").mapInArrow(flat, "tbl string, name string, value string").where("value <> ''")
     email, ip = F.col("name").contains("email"), F.col("name").rlike(checks.IP_COLUMN)
     bad = F.when(email, checks.email_not_allowed(F.col("value"), checks.ALLOWED_DOMAINS + config.allowed_domains, config.allowed_emails)).when(ip, checks.ip_not_allowed(F.col("value"))).otherwise(checks.email_inside(F.col("value")))
     kind = F.when(email, "emails").when(ip, "addresses").otherwise("content")

@@ -96,14 +96,23 @@ CORE = ("term_relationships", "term_taxonomy", "commentmeta", "postmeta", "termm
 NETWORK = ("registration_log", "blog_versions", "usermeta", "sitemeta", "blogmeta", "signups", "blogs", "users", "site")
 
 
+def _prefixes(names: dict[str, int]) -> list[str]:
+    return sorted(n.removesuffix("posts") for n in names if n.endswith("posts") and n.removesuffix("posts") + "options" in names)
+
+
+def main_prefixes(names: dict[str, int]) -> list[str]:
+    """Prefixes that may be the main one."""
+    found = _prefixes(names)
+    return [p for p in found if not any(re.fullmatch(re.escape(q) + r"([2-9]|[1-9]\d+)_", p) for q in found)]
+
+
 def sites_of(names: dict[str, int]) -> dict[int, str]:
     """Site prefixes by number, from table names and their row counts.
 
     A prefix has posts and options. The main one is no other's with a number behind; of several that with most posts,
     then the first by name. Its numbered prefixes are the other sites.
     """
-    found = sorted(n.removesuffix("posts") for n in names if n.endswith("posts") and n.removesuffix("posts") + "options" in names)
-    mains = [p for p in found if not any(re.fullmatch(re.escape(q) + r"([2-9]|[1-9]\d+)_", p) for q in found)]
+    found, mains = _prefixes(names), main_prefixes(names)
     if not mains:
         raise ValueError("no site: no prefix has both posts and options")
     main = max(mains, key=lambda p: (names[p + "posts"], [-ord(c) for c in p]))

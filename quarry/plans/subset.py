@@ -1,19 +1,22 @@
 """From a dump to a small, closed copy: index, plan, slim, scrub, check, write.
 
-The index holds ids, types, sizes and references as DataFrames, no texts and no personal data. The plan works on it
-alone; slimming goes back to the dump's rows and keeps their bytes.
+A dump is parsed once, into Parquet by role. The index's frames hold ids, types, sizes and references, no texts and no
+personal data, and read only their role's files and columns; the plan works on them alone. Slimming goes back to the stored
+rows, which are the dump's with their bytes.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.functions import ids, php, refs
 from quarry.operators import closure, keep, profile, seeds
-from quarry.sources import dump
+from quarry.sources import dump, sqldump, store
 from quarry.sources.config import ALL, ALWAYS_DROPPED, ALWAYS_KEPT, Config
 
 from . import rules
@@ -54,30 +57,88 @@ class Index:
 
 
 def _v(name: str) -> Column:
-    return F.col("values")[name]
+    return F.col("v_" + name)
 
 
 def _id(name: str) -> Column:
     return _v(name).try_cast("bigint")
 
 
-def build_index(spark: SparkSession, path: str, exact: bool = False, columns: tuple[str, ...] = ()) -> Index:
-    """The index of the dump at `path`; columns are those of filter_by in the configuration. Rows of another length than their table's columns are not indexed."""
-    statements = closure.saved(dump.read_statements(spark, path, exact))
-    return index_of(statements, closure.saved(dump.read_rows(statements)), columns)
+#: What a row has beside its values (v_ and a column's name, in lower case).
+PLACE = {"_ord": "ord", "_row": "row", "_tbl": "tbl", "_bytes": "bytes", "_columns": "columns", "_body": "body", "_tail": "tail", "_fit": "fit"}
+
+
+def row_columns(columns: tuple[str, ...] = ()) -> str:
+    """The columns of a dump's rows that the index wants, for the data source."""
+    return f"{sqldump.BASE.replace(' long', ' bigint')}, " + ", ".join(f"`{c}` string" for c in dict.fromkeys(WANTED + tuple(c.lower() for c in columns)))
+
+
+def placed_rows(rows: DataFrame, tables: list[str]) -> tuple[DataFrame, dict[int, str]]:
+    """Rows of the data source with their site and role, and the sites' prefixes."""
+    counts = {t: 0 for t in tables}
+    if len(rules.main_prefixes(counts)) > 1:  # the one with most posts is the main one
+        counts |= {r["_tbl"]: r["count"] for r in rows.where(F.col("_tbl").endswith("posts")).groupBy("_tbl").count().collect()}
+    sites = rules.sites_of(counts)
+    placed = rows.sparkSession.createDataFrame([(n, *rules.place(n, sites)) for n in tables], "tbl string, site int, role string")  # a row per table
+    named = rows.select(*(F.col(c).alias(PLACE.get(c, "v_" + c)) for c in rows.columns))
+    return named.join(F.broadcast(placed), "tbl"), sites
+
+
+def build_index(spark: SparkSession, path: str, exact: bool = False, columns: tuple[str, ...] = (), folder: str | None = None) -> Index:
+    """The index of the dump at `path`; columns are those of filter_by in the configuration. Rows of another length than their table's columns are not indexed.
+
+    The dump is parsed once, into Parquet by role in `folder` (one of its own in the shared folder without one). An index in
+    `folder` that is complete and fits the dump's size and time is used as it is. It holds the dump's rows, texts included: `store.drop` deletes it.
+    """
+    where = folder or f"{store.shared(spark)}/index-{uuid.uuid4().hex}"
+    stamp = store.stamp(spark, path, WANTED + tuple(columns), exact)
+    if not (folder and store.complete(spark, where, stamp)):
+        store.drop(spark, where)
+        if exact or not sqldump.reached(path):
+            found = closure.saved(dump.read_statements(spark, path, exact))
+            rows = sqldump.parsed(dump.read_rows(found), sqldump.declared_of(found), row_columns(columns))
+            tables = [r.tbl for r in found.where("tbl is not null and kind in ('insert', 'create_table')").select("tbl").distinct().collect()]  # a row per table
+            statements = found.where("kind <> 'insert'")
+        else:
+            layout = sqldump.scan(spark, path)
+            rows, tables = sqldump.rows(spark, path, row_columns(columns), layout), layout.tables
+            statements = sqldump.statements(spark, path, False, layout)
+        rows, sites = placed_rows(rows, sorted(tables))
+        store.put(statements, f"{where}/statements")
+        store.put(rows, f"{where}/rows", "role")
+        index = _framed(_stored(spark, where, rows.schema), store.get(spark, f"{where}/statements", statements.schema), sites)
+        for name in DERIVED:
+            store.put(index.frames[name], f"{where}/{name}")
+        store.commit(spark, where, stamp, sites, rows.schema)
+    sites, schema = store.known(spark, where)
+    index = _framed(_stored(spark, where, schema), store.get(spark, f"{where}/statements"), sites)
+    return Index(index.rows, index.statements, sites, index.frames | {name: store.get(spark, f"{where}/{name}") for name in DERIVED})
+
+
+def _stored(spark: SparkSession, where: str, schema: StructType) -> DataFrame:
+    return store.get(spark, f"{where}/rows", schema).withColumn("role", F.coalesce("role", F.lit("")))  # a folder's name can't be empty
+
+
+#: Frames that are worked out from texts: these are kept.
+DERIVED = ("tables", "meta_refs", "menu", "content_refs", "fields", "user_roles")
 
 
 def index_of(statements: DataFrame, rows: DataFrame, columns: tuple[str, ...] = ()) -> Index:
-    """The index of a dump's statements and rows."""
-    spark = rows.sparkSession
-    named = dump.named_values(rows, statements, WANTED + columns)
-    counts = rows.groupBy("tbl").agg(F.count("*").alias("rows"), F.sum(F.length("body")).alias("row_bytes"))
-    other = statements.groupBy("tbl").agg(F.max(F.when(F.col("kind") == "create_table", F.decode("raw", "UTF-8"))).alias("create_sql"))
-    tables = closure.saved(other.where("tbl is not null").join(counts, "tbl", "full").select("tbl", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("row_bytes", F.lit(0)).alias("row_bytes"), "create_sql"))
-    names = {r.tbl: r.rows for r in tables.select("tbl", "rows").collect()}  # a row per table
-    sites = rules.sites_of(names)
-    placed = spark.createDataFrame([(n, *rules.place(n, sites)) for n in names], "tbl string, site int, role string")
-    named = closure.saved(named.where("values is not null").join(F.broadcast(placed), "tbl"))
+    """The index of a dump's statements and rows, such as a copy's."""
+    declared = sqldump.declared_of(statements)
+    tables = sorted(set(declared) | {r.tbl for r in rows.select("tbl").distinct().collect()})  # a row per table
+    found, sites = placed_rows(sqldump.parsed(rows, declared, row_columns(columns)), tables)
+    return _framed(closure.saved(found), statements, sites)
+
+
+def _framed(rows: DataFrame, statements: DataFrame, sites: dict[int, str]) -> Index:
+    """The frames of placed rows."""
+    counts = rows.groupBy("tbl", "site", "role").agg(F.count("*").alias("rows"), F.sum("bytes").alias("row_bytes"))
+    creates = statements.where("tbl is not null").groupBy("tbl").agg(F.max(F.when(F.col("kind") == "create_table", F.decode("raw", "UTF-8"))).alias("create_sql"))
+    place = F.udf(lambda n: rules.place(n, sites), "site int, role string")  # a row per table
+    tables = creates.join(counts, "tbl", "full").withColumn("placed", place("tbl"))
+    tables = tables.select("tbl", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("row_bytes", F.lit(0)).alias("row_bytes"), "create_sql", F.coalesce("site", "placed.site").alias("site"), F.coalesce("role", "placed.role").alias("role"))
+    named = rows.where("fit")
 
     def role(name: str) -> DataFrame:
         return named.where(F.col("role") == name)
@@ -93,7 +154,7 @@ def index_of(statements: DataFrame, rows: DataFrame, columns: tuple[str, ...] =
     options = role("options").select("tbl", "site", _id("option_id").alias("option_id"), _v("option_name").alias("name"), F.when(_v("option_name").isin(*STORED_OPTIONS), _v("option_value")).alias("value"), "bytes")
     user_meta = role("usermeta").select("tbl", _id("umeta_id").alias("umeta_id"), _id("user_id").alias("user_id"), _v("meta_key").alias("meta_key"), _v("meta_value").alias("value"), "bytes")
     frames = {
-        "tables": tables.join(placed, "tbl"),
+        "tables": tables,
         "posts": posts,
         "postmeta": meta.drop("value"),
         "meta_refs": refs.meta_refs(meta.select("site", "meta_id", "post_id", "meta_key", "value")),
@@ -112,7 +173,7 @@ def index_of(statements: DataFrame, rows: DataFrame, columns: tuple[str, ...] =
         "commentmeta": role("commentmeta").select("tbl", "site", _id("meta_id").alias("meta_id"), _id("comment_id").alias("comment_id"), "bytes"),
         "blogs": role("blogs").select("tbl", _id("blog_id").alias("blog_id"), _v("domain").alias("domain"), _v("path").alias("path"), "bytes"),
         "object_rows": named.where("role = ''").select("tbl", "site", F.coalesce(_id("post_id"), _id("object_id")).alias("object_id"), "ord", "row", "bytes").where("object_id is not null"),
-        "named": named,
+        "named": named.withColumn("values", F.create_map(*[x for c in rows.columns if c.startswith("v_") for x in (F.lit(c[2:]), F.col(c))])),
     }
     return Index(rows, statements, sites, frames)
 
@@ -244,39 +305,51 @@ def make_plan(index: Index, config: Config) -> Plan:
 
 
 def filtered_rows(index: Index, plan: Plan) -> DataFrame:
-    """(ord, row, tbl, bytes) of the tables that are filtered: by kept posts of their site, or by sites where the column is blog_id."""
+    """The rows of the tables that are filtered: by kept posts of their site, or by sites where the column is blog_id."""
     by = [(n, r.filter_by) for n, r in plan.rules.items() if r.action == "filter"]
-    out = index.named.where(F.lit(False)).select("ord", "row", "tbl", "bytes")
+    out = index.named.where(F.lit(False))
     for column in sorted({c for _, c in by}):
-        own = index.named.where(F.col("tbl").isin(*[n for n, c in by if c == column])).select("ord", "row", "tbl", "bytes", "site", _id(column.lower()).alias("object_id"))
+        own = index.named.where(F.col("tbl").isin(*[n for n, c in by if c == column])).withColumn("object_id", _id(column.lower()))
         if column == "blog_id":
-            out = out.unionByName(own.where(F.col("object_id").isin(*plan.included)).drop("site", "object_id"))
+            out = out.unionByName(own.where(F.col("object_id").isin(*plan.included)).drop("object_id"))
         else:
-            out = out.unionByName(own.join(plan.keep.select("site", F.col("id").alias("object_id")), ["site", "object_id"], "left_semi").drop("site", "object_id"))
+            out = out.unionByName(keep.semi_join(own, plan.keep.select("site", F.col("id").alias("object_id")), ["site", "object_id"]).drop("object_id"))
     return out
 
 
-def slim(index: Index, plan: Plan) -> DataFrame:
-    """The dump's rows (as read_rows gives them) that the plan keeps, by semi-joins on table and key."""
-    named = index.named.select("ord", "row", "tbl", "site", "role", "values")
-    places = []
+def kept_keys(plan: Plan) -> DataFrame:
+    """(tbl, key, other): what the core tables keep; other is a relationship's second key, else 0."""
+    out = None
     for role, rows in plan.kept.items():
-        own = named.where(F.col("role") == role)
-        if role == "term_relationships":
-            own = own.select("ord", "row", "tbl", _id("object_id").alias("object_id"), _id("term_taxonomy_id").alias("term_taxonomy_id"))
-            places.append(own.join(rows.select("tbl", "object_id", "term_taxonomy_id"), ["tbl", "object_id", "term_taxonomy_id"], "left_semi"))
-        else:
-            key = KEYS[role]
-            places.append(own.select("ord", "row", "tbl", _id(key).alias("key")).join(rows.select("tbl", F.col(key).alias("key")), ["tbl", "key"], "left_semi"))
+        key, other = ("object_id", F.col("term_taxonomy_id")) if role == "term_relationships" else (KEYS[role], F.lit(0).cast("long"))
+        own = rows.select("tbl", F.col(key).alias("key"), other.alias("other"))
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
+def slim(index: Index, plan: Plan) -> DataFrame:
+    """The dump's rows (ord, row, tbl, columns, body, tail) that the plan keeps.
+
+    The rows of all core tables meet the keys once, with their bytes beside them: a filter of the keys that each task
+    holds leaves few rows for the exact semi-join. Other tables' rows pass by their rule.
+    """
+    key = F.lit(None).cast("long")
+    for role, name in KEYS.items():
+        key = F.when(F.col("role") == role, _id(name)).otherwise(key)
+    link = F.col("role") == "term_relationships"
+    core = index.named.where(F.col("role").isin(*plan.kept)).withColumn("key", F.when(link, _id("object_id")).otherwise(key)).withColumn("other", F.when(link, _id("term_taxonomy_id")).otherwise(0))
+    places = [keep.semi_join(core, kept_keys(plan), ["tbl", "key", "other"])]
     whole = [n for n, r in plan.rules.items() if r.action == "keep"]
-    places.append(index.rows.where(F.col("tbl").isin(*whole) if whole else F.lit(False)))
-    places.append(filtered_rows(index, plan).select("ord", "row"))
     # Links of a site have no key set: they are kept whole.
-    places.append(named.where("role = 'links'"))
-    every = places[0].select("ord", "row")
+    places.append(index.rows.where((F.col("tbl").isin(*whole) if whole else F.lit(False)) & ~F.col("role").isin(*plan.kept) | (F.col("role") == "links") & F.col("fit")))
+    filtered = [n for n, r in plan.rules.items() if r.action == "filter"]
+    if filtered:
+        places.append(filtered_rows(index, plan).where(~F.col("role").isin(*plan.kept, "links")))
+    wanted = ("ord", "row", "tbl", "columns", "body", "tail")
+    every = places[0].select(*wanted)
     for p in places[1:]:
-        every = every.unionByName(p.select("ord", "row"))
-    return index.rows.join(every.distinct(), ["ord", "row"], "left_semi")
+        every = every.unionByName(p.select(*wanted))
+    return every
 
 
 def passed(index: Index, plan: Plan) -> DataFrame:

@@ -74,3 +74,56 @@ def test_report_and_command(spark, tmp_path, capsys):
     said = "\n".join(found["warnings"])
     for part in ("post_types.film", "extra_meta_keys: odd", "tables.wp_none", "sites.9", "page: not configured"):
         assert part in said
+
+
+def test_index_is_used_again(spark, tmp_path, monkeypatch):
+    """A second build parses nothing; another dump, other columns or an index without its mark are parsed."""
+    from quarry.sources import sqldump
+
+    ship(spark)
+    path, folder = tmp_path / "dump.sql", str(tmp_path / "kept")
+    path.write_text(synth.dump(posts=30, seed=6))
+    settings = config.load("post_types: {post: {mode: latest, count: 4}}")
+    first = subset.build_index(spark, str(path), folder=folder)
+    slimmed = sorted((r.ord, r.row, bytes(r.body)) for r in subset.slim(first, subset.make_plan(first, settings)).collect())
+    calls = []
+    real = sqldump.scan
+    monkeypatch.setattr(sqldump, "scan", lambda *a, **k: calls.append(1) or real(*a, **k))
+    again = subset.build_index(spark, str(path), folder=folder)
+    assert not calls and again.sites == first.sites
+    assert sorted((r.ord, r.row, bytes(r.body)) for r in subset.slim(again, subset.make_plan(again, settings)).collect()) == slimmed
+    plan = again.posts.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(coalesce(role" in plan and "v_meta_value" not in plan and "body" not in plan
+    subset.build_index(spark, str(path), columns=("message",), folder=folder)
+    assert len(calls) == 1
+    path.write_text(synth.dump(posts=31, seed=6))
+    subset.build_index(spark, str(path), columns=("message",), folder=folder)
+    assert len(calls) == 2
+    store.drop(spark, folder)
+    assert not store.complete(spark, folder, {}) and not (tmp_path / "kept" / "rows").exists()
+    subset.build_index(spark, str(path), columns=("message",), folder=folder)
+    assert len(calls) == 3
+
+
+def test_exact_reading_gives_the_same_index(spark, tmp_path):
+    ship(spark)
+    path = tmp_path / "dump.sql"
+    path.write_text(synth.dump(posts=30, seed=8, complete=False, triggers=True))
+    one, other = subset.build_index(spark, str(path)), subset.build_index(spark, str(path), exact=True)
+    for name in ("posts", "postmeta", "meta_refs", "term_relationships", "tables"):
+        first, second = (x.frames[name].drop("create_sql").collect() for x in (one, other))  # the walk leaves a line break to the next statement
+        assert sorted(map(str, first)) == sorted(map(str, second)), name
+
+
+@pytest.mark.parametrize(("broadcast", "filtered"), [(1000, 1000), (0, 1000), (0, 0)])
+def test_semi_joins(spark, broadcast, filtered):
+    """By broadcast, by the filter, by a shuffle: the same rows."""
+    from quarry.operators import keep
+
+    ship(spark)
+    rows = spark.range(3000).selectExpr("cast(id % 7 as int) as site", "if(id % 11 = 0, null, id) as id", "id as payload")
+    keys = spark.range(0, 6000, 9).selectExpr("cast(id % 7 as int) as site", "cast(id as int) as id").union(spark.createDataFrame([(1, None), (0, 0)], "site int, id int"))
+    found = keep.semi_join(rows, keys, ["site", "id"], broadcast, filtered)
+    assert found.columns == rows.columns
+    assert sorted(r.payload for r in found.collect()) == [i for i in range(3000) if i % 9 == 0 and i % 11]
+    assert keep.semi_join(rows, keys.limit(0), ["site", "id"], broadcast, filtered).count() == 0
