@@ -13,7 +13,7 @@ frequent have their windows dealt one by one, by the window's own digest; the sa
 result. What a slice of texts repeats within itself is settled there. Each place has its rows in rank order, so a unit's
 first row is its earliest occurrence, and a task holds no more than the windows of one mark that it has seen.
 
-Texts are known by doc_id and a 32-bit hash, so nothing depends on the order of rows. Words are parted by ASCII white space.
+Texts are known by doc_id and, where ids repeat or are null, by a 128-bit digest, so nothing depends on the order of rows. Words are parted by ASCII white space.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ class Rows:
         self.digests = pa.Array.from_buffers(pa.binary(), len(self.at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(short.tobytes())])
 
 
-_ROW = "at long, doc long, hash int, place int, size int, done int, digests binary"
+_ROW = "at long, doc long, hash long, more long, place int, size int, done int, digests binary"
 
 
 def rows_of(docs: DataFrame, frequent, column: str = "text") -> DataFrame:
@@ -171,17 +171,17 @@ def rows_of(docs: DataFrame, frequent, column: str = "text") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         facts = WordFacts(_of_words)
         for part in slices(batches, column, 1 << 20):
-            doc, key = (part.column(c).to_numpy() for c in ("__doc", "__hash"))
-            ids, rank = np.unique(np.stack([doc, key], axis=1), axis=0, return_inverse=True)
+            keys = [part.column(c).to_numpy() for c in ("__doc", "__hash", "__more")]
+            ids, rank = np.unique(np.stack(keys, axis=1), axis=0, return_inverse=True)
             _, first = np.unique(rank, return_index=True)  # a row that repeats is looked at once
             rank = rank.reshape(-1)[first]
             data = texts(part.take(pa.array(first)), column)
             rows = Rows(Words(data, facts), rank, frequent.value)
             owner = first[rows.text]
-            columns = [pa.array(rows.at.view(np.int64)), pa.array(doc[owner]), pa.array(key[owner]), *(pa.array(x.astype(np.int32)) for x in (rows.place, rows.size, rows.done)), rows.digests]
-            yield pa.RecordBatch.from_arrays(columns, ["at", "doc", "hash", "place", "size", "done", "digests"])
+            columns = [pa.array(rows.at.view(np.int64)), *(pa.array(k[owner]) for k in keys), *(pa.array(x.astype(np.int32)) for x in (rows.place, rows.size, rows.done)), rows.digests]
+            yield pa.RecordBatch.from_arrays(columns, ["at", "doc", "hash", "more", "place", "size", "done", "digests"])
 
-    return docs.select("__doc", "__hash", column).mapInArrow(work, _ROW)
+    return docs.select("__doc", "__hash", "__more", column).mapInArrow(work, _ROW)
 
 
 def frequent_marks(docs: DataFrame, column: str = "text"):
@@ -194,20 +194,21 @@ def frequent_marks(docs: DataFrame, column: str = "text"):
             place, mark = words.marks(words.windows())
             yield pa.RecordBatch.from_arrays([pa.array(mark[np.append(True, place[1:] != place[:-1])[: len(place)]].view(np.int64))], ["mark"])
 
-    found = docs.where(F.pmod("__hash", F.lit(SAMPLE)) == 0).select(column).mapInArrow(work, "mark long").groupBy("mark").agg(F.count("*").alias("n"))
+    found = docs.where(F.pmod(F.xxhash64("__doc", column), F.lit(SAMPLE)) == 0).select(column).mapInArrow(work, "mark long").groupBy("mark").agg(F.count("*").alias("n"))
     total = found.agg(F.sum("n")).first()[0] or 0
     marks = found.where(f"n >= {SEEN} and n * {FREQUENT} >= {total}").select("mark").toArrow().column("mark").to_numpy().view(np.uint64)
     return docs.sparkSession.sparkContext.broadcast(np.sort(marks))
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, hash, place, size, done) of rows in the order of at, doc and hash; done has a bit for each unit that goes."""
+    """(doc, hash, more, place, size, done) of rows in the order of at, doc, hash and more; done has a bit for each unit that goes."""
     tidy()
-    last, seen, owner = None, np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)  # the first owner of each digest of the place at hand
+    last, seen, owner = None, np.zeros(0, np.uint64), np.zeros((0, 3), np.int64)  # the first owner of each digest of the place at hand
     for batch in batches:
         if not batch.num_rows:
             continue
-        at, doc, key, done = (batch.column(c).to_numpy() for c in ("at", "doc", "hash", "done"))
+        at, doc, key, more, done = (batch.column(c).to_numpy() for c in ("at", "doc", "hash", "more", "done"))
+        who = np.stack([doc, key, more], axis=1)
         digests = batch.column("digests")
         counts = np.asarray(pc.binary_length(digests)) // SHORT
         short = np.zeros((int(counts.sum()), 8), np.uint8)
@@ -220,19 +221,19 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, r = unit[order], row[order]
         head = np.append(True, (u[1:] != u[:-1]) | (group[r][1:] != group[r][:-1]))[: len(u)]
         first = r[head][np.cumsum(head) - 1]
-        gone = (doc[r] != doc[first]) | (key[r] != key[first])
+        gone = (who[r] != who[first]).any(axis=1)
         if len(seen):  # the place goes on from the batch before
             on = np.flatnonzero(group[r] == 0)
             slot = np.minimum(np.searchsorted(seen, u[on]), len(seen) - 1)
             hit = seen[slot] == u[on]
-            gone[on] = np.where(hit, (doc[r[on]] != owner[slot, 0]) | (key[r[on]] != owner[slot, 1]), gone[on])
+            gone[on] = np.where(hit, (who[r[on]] != owner[slot]).any(axis=1), gone[on])
         bits = np.zeros(len(unit), np.int64)
         bits[order] = gone
         within = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
         marks = done.astype(np.int64)
         np.bitwise_or.at(marks, row, bits << within)
         tail = np.flatnonzero(head & (group[r] == group[-1]))
-        fresh, fresh_owner = u[tail], np.stack([doc[r[tail]], key[r[tail]]], axis=1)
+        fresh, fresh_owner = u[tail], who[r[tail]]
         if group[-1] == 0 and len(seen):
             new = ~np.isin(fresh, seen)
             fresh, fresh_owner = np.concatenate([seen, fresh[new]]), np.concatenate([owner, fresh_owner[new]])
@@ -240,7 +241,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh, fresh_owner = fresh[by], fresh_owner[by]
         last, seen, owner = at[-1], fresh, fresh_owner
         out = pa.array(np.flatnonzero(marks))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(out) for c in ("doc", "hash", "place", "size")), pa.array(marks.astype(np.int32)).take(out)], ["doc", "hash", "place", "size", "done"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(out) for c in ("doc", "hash", "more", "place", "size")), pa.array(marks.astype(np.int32)).take(out)], ["doc", "hash", "more", "place", "size", "done"])
 
 
 def spans_of(words: Words, text: int, firsts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -294,17 +295,22 @@ def dedup(docs: DataFrame, column: str = "text") -> DataFrame:
     """`docs` with `column` cleaned, n_removed long (characters) and kept array<struct<start:int,end:int>> (original offsets).
 
     Every row stays, also one whose text is emptied; a null text stays null, with nothing kept. Rows are ranked by
-    doc_id, nulls last, and rows of one doc_id by a hash of the text; of rows with one doc_id and one text one keeps it.
+    doc_id, nulls last, and rows of one doc_id by a digest of the text; of rows with one doc_id and one text one keeps it.
     Texts may have any length. Columns of docs named n_removed or kept are replaced.
     """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__doc"), F.hash(F.coalesce(column, F.lit(""))).alias("__hash")]
-    own = docs.drop("n_removed", "kept").select("*", *key)
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    text = F.coalesce(column, F.lit(""))
+    # Where every id is there and stands once it is a row's key by itself.
+    once = docs.groupBy(doc.alias("doc")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    digest = [F.lit(0).cast("long")] * 2 if once else [F.xxhash64(text), F.xxhash64(text, F.lit(1))]
+    keys = ["__doc", "__hash", "__more"]
+    own = docs.drop("n_removed", "kept").select("*", *(c.alias(k) for c, k in zip([doc, *digest], keys, strict=True)))
     rows = rows_of(own, frequent_marks(own, column), column)
-    found = rows.repartition("at").sortWithinPartitions("at", "doc", "hash").mapInArrow(settle, "doc long, hash int, place int, size int, done int")
-    found = found.groupBy(F.col("doc").alias("__doc"), F.col("hash").alias("__hash")).agg(F.collect_list(F.struct("place", "size", "done")).alias("__repeats"))
-    marked = own.join(found, ["__doc", "__hash"], "left")
-    number = F.row_number().over(Window.partitionBy("__doc", "__hash").orderBy("__doc"))
-    marked = marked.select(*own.columns, "__repeats", (number > 1).alias("__again")).drop("__doc", "__hash")
+    found = rows.repartition("at").sortWithinPartitions("at", "doc", "hash", "more").mapInArrow(settle, "doc long, hash long, more long, place int, size int, done int")
+    found = found.groupBy(*(F.col(k[2:]).alias(k) for k in keys)).agg(F.collect_list(F.struct("place", "size", "done")).alias("__repeats"))
+    marked = own.join(found, keys, "left")
+    again = F.lit(False) if once else F.row_number().over(Window.partitionBy(*keys).orderBy("__doc")) > 1
+    marked = marked.select(*own.columns, "__repeats", again.alias("__again")).drop(*keys)
     at = marked.columns.index(column)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
