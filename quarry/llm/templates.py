@@ -2,7 +2,8 @@
 
 A token is a word between white space without its outer punctuation, in lower case. Its template is the token, or a
 typed placeholder: a number; a unit, if it follows a number; a name, if it has a capital within a sentence, or at a
-sentence's start if the text has it within one elsewhere. Names side by side are one placeholder, and so are numbers.
+sentence's start if the text has it within one elsewhere. Where the capitals around follow determiners, as nouns do in
+German, a capital alone is no name: two side by side are. Names side by side are one placeholder, and so are numbers.
 Windows of WINDOW template tokens of benchmark items are hash-joined with those of texts; a window needs LITERAL tokens
 that are no placeholders. Windows are met in three ways: as they are, with placeholders, and with placeholders also for
 every capital at a sentence's start. Windows that meet in order, at shifts of which each is near the next, are put
@@ -48,6 +49,13 @@ NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 )
+#: Determiners, and prepositions joined to them, of the language that writes nouns with capitals.
+DETERMINERS = frozenset(
+    "der die das den dem des ein eine einen einem einer eines kein keine keinen keinem keiner mein meine meinen meinem meiner dein deine sein seine seinen seinem "
+    "seiner ihr ihre ihren ihrem ihrer unser unsere unseren unserem dieser diese dieses diesen diesem jeder jede jedes jeden jedem im am zum zur vom beim ins ans".split()
+)
+#: Words to either side that tell whether nouns have capitals there.
+AROUND = 24
 _OUTER = re.compile(r"^[^\w%°$€£]+|[^\w%°$€£]+$")
 _NUMBER = re.compile(r"^[$€£]?[+-]?\d[\d.,:/]*%?$")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +94,7 @@ def _of_words(words: list[bytes]) -> list[np.ndarray]:
 _LETTER, _CAPITAL, _END, _MARK = (np.isin(np.arange(256), list(x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".!?:", b".!?:,;"))
 _UNIT_DIGESTS = np.sort(_of_words([u.encode() for u in UNITS])[0])
 _NUMBER_DIGESTS = np.sort(_of_words([w.encode() for w in NUMBER_WORDS])[0])
+_DETERMINER_DIGESTS = np.sort(_of_words([w.encode() for w in DETERMINERS])[0])
 #: A number and its unit written as one word.
 _JOINED = re.compile(rb"\b(\d[\d.,]*)(" + b"|".join(sorted((u.encode() for u in UNITS if u.isalpha()), reverse=True)) + rb")\b")
 _BLANKS = re.compile(rb"\xc2\xa0|\xe2\x80[\x80-\x8a]|\xe3\x80\x80")
@@ -160,6 +169,21 @@ class Templates:
         unit = np.flatnonzero(after_number & ~number)
         other = np.where(number, NUMBER, WORD)
         other[unit[np.isin(digests[unit], _UNIT_DIGESTS)]] = UNIT
+        # Capitals of which most around follow a determiner, next to it or with one word between, are nouns.
+        within = name & ~after_end
+        if within.any():
+            determiner = np.isin(digests, _DETERMINER_DIGESTS) & ~ends
+            follows = np.zeros(n, bool)
+            follows[1:] = determiner[:-1]
+            follows[2:] |= determiner[:-2] & ~name[1:-1] & ~ends[1:-1]
+            left = np.maximum(np.arange(n) - AROUND, np.repeat(firsts, tokens.counts))
+            right = np.minimum(np.arange(n) + AROUND + 1, np.repeat(firsts + tokens.counts, tokens.counts))
+            around, nouns = (np.concatenate([[0], np.cumsum(x)]) for x in (within, within & follows))
+            german = (nouns[right] - nouns[left] >= 2) & (2 * (nouns[right] - nouns[left]) >= around[right] - around[left])
+            beside = np.zeros(n, bool)
+            beside[1:] = name[:-1] & ~ends[:-1] & ~first[1:]
+            beside[:-1] |= name[1:] & ~ends[:-1] & ~first[1:]
+            name = name & (~german | beside)
         keys = digests ^ ((text.astype(np.uint64) + np.uint64(1)) * _P)
         within = name & ~after_end
         starts = np.flatnonzero(name & after_end)
@@ -233,6 +257,26 @@ def alignments(hits: set[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
             group = []
 
 
+def apart(digests: np.ndarray, places: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
+    """Which windows to look at (places ascending): of equal ones that overlap again and again, those that stand free of the last one looked at, and the last of all."""
+    order = np.lexsort((places, digests))
+    d, p, t = digests[order], places[order], text[order]
+    over = (d[1:] == d[:-1]) & (p[1:] - p[:-1] < size) & (t[1:] == t[:-1])
+    keep = np.ones(len(p), bool)
+    if over.any():
+        edges = np.diff(np.concatenate([[0], over.astype(np.int8), [0]]))
+        for start, stop in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
+            last = int(p[start])
+            for i in range(start + 1, stop):  # the chain's last stays
+                if p[i] - last < size:
+                    keep[i] = False
+                else:
+                    last = int(p[i])
+    out = np.empty(len(p), bool)
+    out[order] = keep
+    return out
+
+
 class Bench:
     """Windows of benchmark items, by their digests."""
 
@@ -247,7 +291,9 @@ class Bench:
             streams = Templates([text.encode("utf-8", "replace")], facts).streams
             sizes = [min(WINDOW, len(s.digests)) for s in streams]
             found = [s.windows(n) if n else (np.zeros(0, np.uint64), np.zeros(0, bool)) for s, n in zip(streams, sizes, strict=True)]
-            counted = set(streams[TEMPLATE].at[np.flatnonzero(found[TEMPLATE][1])].tolist())  # windows, by their first word
+            # Windows, by their first word. Of equal windows the first counts: a phrase said over and over is said once.
+            places = np.flatnonzero(found[TEMPLATE][1])
+            counted = set(streams[TEMPLATE].at[places[np.unique(found[TEMPLATE][0][places], return_index=True)[1]]].tolist())
             self.streams.append(streams)
             self.sizes.append(sizes)
             self.counts.append(len(counted))
@@ -272,7 +318,8 @@ class Bench:
                     continue
                 maybe = np.flatnonzero(enough & self.sieves[way][digests >> np.uint64(64 - _SIEVE)])
                 at = np.minimum(np.searchsorted(self.digests[way], digests[maybe]), len(self.digests[way]) - 1)
-                for p in maybe[self.digests[way][at] == digests[maybe]].tolist():
+                there = maybe[self.digests[way][at] == digests[maybe]]
+                for p in there[apart(digests[there], there, stream.text[there], size)].tolist():
                     for k, i in self.by_digest[way][int(digests[p])]:
                         if self.sizes[k][way] == size:
                             met[int(stream.text[p]), k].setdefault((int(self.streams[k][way].at[i]), int(stream.at[p])), (way, i, p))
