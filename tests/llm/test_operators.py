@@ -278,6 +278,27 @@ def test_url_parent_domains(spark):
     assert {tuple(r.tokens) for r in rules.where("verdict = 'block'").collect()} == {("host=example.co.uk",), ("host=b.example.co.uk",)}
 
 
+def test_url_mining_of_long_urls(spark):
+    """Long URLs, alone and in copies, and tokens of a hundred different sets in one URL, end soon and keep their rules."""
+    import time
+
+    ship(spark)
+    long = "https://deep.example.org/" + "/".join(f"s{i}" for i in range(60))
+    urls = [f"https://h{i % 7}.example.org/{'bad' if i % 3 == 0 else 'fine'}/{i}" for i in range(100)] + [long] + [long + "?copy=1"] * 5
+    urls += [f"https://trap.example.org/{'/'.join(f't{k}' for k in range(i + 1))}" for i in range(40)]
+    parts = urlrules.tokenised(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    began = time.time()
+    rules = urlrules.mine(parts.selectExpr("tokens", "page_id between 0 and 99 and page_id % 3 = 0 or page_id between 100 and 105 as blocked")).collect()
+    assert time.time() - began < 60
+    sure = {tuple(r.tokens): (r.verdict, r.confidence) for r in rules}
+    assert sure[("path=bad",)] == ("block", 1.0) and sure[("dir=/bad/",)] == ("block", 1.0)
+    assert all(sure[(f"path=s{i}",)] == ("block", 1.0) for i in range(60)) and sure[("sub=trap",)] == ("allow", 1.0)
+    repeated = spark.createDataFrame([(1, "https://a.b/c"), (1, "https://a.b/c"), (2, "https://a.b/" + "x/" * 20000)], "page_id long, url string").selectExpr("*", "1 as verdict", "2 as tokens", "3 as uid")
+    marks = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    found = urlrules.judge(repeated, marks).collect()
+    assert sorted(r.page_id for r in found) == [1, 1, 2] and len({tuple(r) for r in found if r.page_id == 1}) == 1
+
+
 # 4 WARC
 
 
@@ -365,6 +386,19 @@ def plain_dedup(texts):
     return out
 
 
+@pytest.mark.parametrize("ids", [(None, None), (7, 7)])
+def test_lines_of_texts_without_ids(spark, monkeypatch, ids):
+    """Texts of one id, or none, are told apart by 128 bits: texts that agree in 32 or 64 of them keep all that is their own."""
+    ship(spark)
+    rng = random.Random(2)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    docs = spark.createDataFrame([(ids[i % 2], t) for i, t in enumerate(own)] + [(ids[0], own[0])], "doc_id long, text string")
+    real = lines.F.xxhash64
+    monkeypatch.setattr(lines.F, "xxhash64", lambda *c: real(*c) if len(c) > 1 and not isinstance(c[0], str) else lines.F.lit(5).cast("long"))
+    found = [r.text for r in lines.dedup(docs).collect()]
+    assert sorted(found) == sorted([*own, ""])
+
+
 @pytest.mark.parametrize("sample", [64, 1])
 def test_lines_against_plain_version(spark, corpus, monkeypatch, sample):
     """Real texts, and made ones of few words, lines and blocks, without and with frequent marks, in small batches."""
@@ -596,6 +630,32 @@ def test_templates_letter_case(spark):
     assert template_items(spark, "Tom keeps nine red pens in there", ["Lucy keeps nine red pens in there"]) == [[10]]
 
 
+def test_templates_german_nouns(spark):
+    """Where nouns have capitals other nouns make another text; names of two words still stand for each other, also of English."""
+    ship(spark)
+    item = "Gestern hat der Hund über die Straße den Ball gesehen und dann das Haus neben dem Baum gefunden."
+    other = "Gestern hat der Mann über die Brücke den Zug gesehen und dann das Auto neben dem Wald gefunden."
+    english = "Yesterday Anna Berger saw the old dog that Peter had left beside the house near the river, and Anna Berger took it home."
+    same = english.replace("Anna Berger", "Maria Lind").replace("Peter", "Karl")
+    named = "Am Montag hat Frau Anna Berger in der Schule die Kinder gefragt, wie man mit dem Zug nach Hause kommt."
+    bench = spark.createDataFrame([(1, item), (2, english), (3, named)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, other), (2, "Vorher. " + item + " Nachher."), (3, same), (4, named.replace("Anna Berger", "Eva Maier"))], "doc_id long, text string")
+    assert {r.doc_id: r["items"] for r in templates.decontaminate(docs, bench).collect()} == {1: [], 2: [1], 3: [2], 4: [3]}
+
+
+def test_templates_said_over_and_over(spark):
+    """Equal words by the hundred thousand, alone and in turn, take neither the product of places nor long."""
+    import time
+
+    ship(spark)
+    item, turns = "again " * 200, "to and fro " * 60
+    bench = spark.createDataFrame([(1, item), (2, turns), (3, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "again " * 1_000_000), (2, "to and fro " * 100_000), (3, "again " * 50), (4, "to and fro " * 20 + "alpha beta gamma delta epsilon zeta eta theta iota kappa " + "again " * 9)], "doc_id long, text string")
+    began = time.time()
+    assert {r.doc_id: r["items"] for r in templates.decontaminate(docs, bench).collect()} == {1: [1], 2: [2], 3: [1], 4: [1, 2, 3]}
+    assert time.time() - began < 90
+
+
 def test_templates_joined(spark):
     """Units joined to numbers and numbers in words are placeholders; one value for two of the item's is no copy."""
     ship(spark)
