@@ -30,10 +30,10 @@ def glob_matches(column: Column, glob: str) -> Column:
 
 
 def list_ids(column: Column | str) -> Column:
-    """Ids of an integer, or of a list such as 1,2,3 or [1,"2"] with at least one comma; one bad element gives none. At most 1000."""
+    """Ids of an integer, or of a list such as 1,2,3 or [1,"2",'3'] with at least one comma; one bad element gives none. At most 1000."""
     c = F.trim(F.col(column) if isinstance(column, str) else column)
     bare = F.when(c.startswith("[") & c.endswith("]"), F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
-    parts = F.transform(F.split(bare, ","), lambda x: F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"))
+    parts = F.transform(F.split(bare, ","), lambda x: F.regexp_replace(F.trim(x), "^[\"']+|[\"']+$", ""))
     ids = F.transform(parts, parse_id)
     many = F.when(c.contains(",") & F.forall(ids, lambda x: x.isNotNull()), F.slice(ids, 1, 1000))
     one = parse_id(c)

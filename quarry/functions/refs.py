@@ -24,10 +24,31 @@ def meta_refs(meta: DataFrame, column: str = "value") -> DataFrame:
     return plain.unionByName(packed)
 
 
+#: Arrays within arrays are followed so deep.
+NESTED = 8
+
+
 def json_ids(value: Column) -> Column:
-    """Ids in a JSON value: a number, a digit string, or an array of them."""
-    inner = F.regexp_extract_all(value, F.lit(r'(?:^|[\[,])\s*"?\+?([0-9]+)(?:\.0+)?"?\s*(?=$|[\],])'), 1)
-    return F.filter(F.transform(inner, parse_id), lambda x: x.isNotNull())
+    """Ids in JSON text: see variant_ids. Text that is no JSON has none."""
+    return variant_ids(F.try_parse_json(value))
+
+
+def variant_ids(value: Column) -> Column:
+    """Ids in a JSON value: a whole number over 0 however it is written, a string of digits with or without a sign, or an array of such, MOST at most."""
+    nothing = F.array().cast("array<variant>")
+    every = F.when(value.isNotNull(), F.array(value)).otherwise(nothing)
+    for _ in range(NESTED):
+        inner = F.transform(every, lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v)))
+        every = F.flatten(inner)
+
+    def whole(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
+        of_number = F.when((number == F.floor(number)) & (number < 2.0**63), number.cast("bigint"))
+        of_text = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
+        return F.when(kind == "STRING", of_text).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), of_number)
+
+    return F.slice(F.filter(F.transform(every, whole), lambda x: x > 0), 1, MOST)
 
 
 def content_refs(posts: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -35,11 +56,11 @@ def content_refs(posts: DataFrame, id_column: str, column: str) -> DataFrame:
     blocks = F.regexp_extract_all(column, F.lit(r"(?s)<!-- wp:([^ \t\n>]+[ \t\n]+\{.*?\})\s*/?\s*-->"), 1)
     marked = posts.where(F.col(column).contains("<!-- wp:") | F.col(column).contains("wp-image-") | F.col(column).contains("[gallery"))
     name = F.regexp_extract("b", r"^(\S+)", 1)
-    attributes = F.from_json(F.regexp_extract("b", r"(?s)^\S+\s+(.*)$", 1), "map<string,string>")
+    attributes = F.try_parse_json(F.regexp_extract("b", r"(?s)^\S+\s+(.*)$", 1))
     named = F.when(name.contains("/"), name).otherwise(F.concat(F.lit("core/"), name))
     block = marked.select(id_column, F.posexplode(blocks).alias("at", "b")).select(id_column, (F.col("at") * len(BLOCK_KEYS)).alias("at"), named.alias("name"), attributes.alias("a"))
-    values = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(key).alias("key"), F.col("a")[key].alias("v")) for i, key in enumerate(BLOCK_KEYS)])
-    block = block.select(id_column, "at", "name", F.explode(values).alias("x")).select(id_column, (F.col("at") + F.col("x.k")).alias("at"), F.concat(F.lit("block:"), "name", F.lit(":"), "x.key").alias("source"), F.posexplode(json_ids(F.col("x.v"))).alias("i", "ref_id"))
+    values = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(key).alias("key"), F.try_variant_get("a", f"$.{key}", "variant").alias("v")) for i, key in enumerate(BLOCK_KEYS)])
+    block = block.select(id_column, "at", "name", F.explode(values).alias("x")).select(id_column, (F.col("at") + F.col("x.k")).alias("at"), F.concat(F.lit("block:"), "name", F.lit(":"), "x.key").alias("source"), F.posexplode(variant_ids(F.col("x.v"))).alias("i", "ref_id"))
     image = marked.select(id_column, F.posexplode(F.regexp_extract_all(column, F.lit("wp-image-([0-9]+)"), 1)).alias("at", "v")).select(id_column, (F.col("at") + 100_000_000).alias("at"), F.lit("class:wp-image").alias("source"), F.lit(0).alias("i"), parse_id("v").alias("ref_id"))
     codes = F.regexp_extract_all(column, F.lit("\\[gallery([^\\]]*)\\]"), 1)
     held = F.regexp_extract("b", "ids=(?:\"([^\"]*)\"|'([^']*)'|([^\"'][^\\]]*))", 0)

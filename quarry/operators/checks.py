@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Domains that the scrubber leaves, and addresses that are no one's.
 ALLOWED_DOMAINS = ("example.com", "example.org", "example.net")
-EMAIL = "[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(\\.[A-Za-z0-9-]{1,63}){1,8}"
+EMAIL = "[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(\\.[A-Za-z0-9-]{1,63}){0,8}\\.[A-Za-z]{2,24}"
 IPV4 = "^[0-9]{1,3}(\\.[0-9]{1,3}){3}$"
 IP_COLUMN = "(^|_)ip($|_)|ip_?address"
 TEST_NETS = ("192.0.2.", "198.51.100.", "203.0.113.")

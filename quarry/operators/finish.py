@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +30,11 @@ def scrub_users(user: DataFrame, salt: str, allowed_domains: tuple[str, ...] = (
 
 
 def redact(column: Column | str) -> Column:
-    """Quoted values that are no identifiers as '…', and addresses as <email>."""
-    quoted = F.regexp_replace(column, "'[^']*[^A-Za-z0-9_'.-][^']*'", "'…'")
-    return F.regexp_replace(quoted, "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "<email>")
+    """Quoted values that are no identifiers of 1 to 64 letters as '…', and addresses as <email>. A quote without an end quotes nothing."""
+    parts = F.split(column, "'")
+    last = F.size(parts) - 1
+    kept = F.transform(parts, lambda x, i: F.when((i % 2 == 1) & (i < last) & ~x.rlike("^[A-Za-z0-9_$.-]{1,64}$"), F.lit("…")).otherwise(x))
+    return F.regexp_replace(F.array_join(kept, "'"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")
 
 
 def recount(term: DataFrame, relationship: DataFrame, entity: DataFrame, status: str) -> DataFrame:
@@ -63,15 +66,25 @@ def slug(domain: str) -> str:
     return next((re.sub(r"[^a-z0-9-]+", "-", x).strip("-") or "site" for x in labels[:-1] if x not in ENVIRONMENTS), "site")
 
 
+def local_address(url: str) -> str:
+    """Host and path of a local URL. It needs a scheme and a host, and has neither query nor fragment."""
+    parts = urlsplit(url.strip())
+    if parts.scheme not in ("http", "https") or not parts.netloc:
+        raise ValueError(f"{url!r} is no URL such as https://news.local")
+    if parts.query or parts.fragment:
+        raise ValueError(f"{url!r} has a query or a fragment")
+    return (parts.netloc + parts.path).strip("/")
+
+
 def targets(sites: list[tuple[int, str, str]], local: str, overrides: dict[int, str] | None = None) -> dict[int, str]:
     """The local host and path of each site (id, domain, path): the main one itself, others under their path or slug; a name taken twice gets the id."""
     overrides, out, taken = overrides or {}, {}, set()
-    base = local.removeprefix("https://").removeprefix("http://").strip("/")
+    base = local_address(local)
     main = sites[0][1] if sites else ""
     for number, (site, domain, path) in enumerate(sites):
         tail = path.strip("/")
         if site in overrides:
-            found = overrides[site].removeprefix("https://").removeprefix("http://").strip("/")
+            found = local_address(overrides[site])
             if found in taken:
                 raise ValueError(f"site {site}: {found} is taken")
         elif number == 0:

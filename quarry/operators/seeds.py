@@ -39,6 +39,29 @@ def newest_per_term(eligible: DataFrame, relationship: DataFrame, chosen: DataFr
     return rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_term).select("site", "id", "term_id", F.col("rn").cast("long").alias("rn"), F.lit(reason).alias("reason"))
 
 
+def per_term(entity: DataFrame, relationship: DataFrame, term: DataFrame, linked: DataFrame, rules: DataFrame) -> DataFrame:
+    """(site, id, reason): the newest of each chosen term, for all sites, types and taxonomies in one plan.
+
+    rules (site, type, taxonomy, statuses, per_term, max_terms, by_name, linked_too, reason), max_terms null for all; entity (site,
+    id, type, status, date), relationship (site, object_id, term_taxonomy_id), term (site, term_taxonomy_id, taxonomy, name),
+    linked (site, taxonomy, term_taxonomy_id): terms that menus name. How many rows a window keeps is in the rule's row.
+    """
+    own = F.broadcast(rules)  # a row per site, type and taxonomy of the configuration
+    eligible = entity.join(own, ["site", "type"]).where(F.array_contains("statuses", F.col("status"))).withColumnRenamed("id", "object_id")
+    placed = relationship.join(term.select("site", "term_taxonomy_id", "taxonomy"), ["site", "term_taxonomy_id"])
+    pairs = placed.join(eligible, ["site", "taxonomy", "object_id"])
+    group = ["site", "type", "taxonomy"]
+    counted = pairs.groupBy(*group, "term_taxonomy_id").agg(F.count("*").alias("n")).join(own.select(*group, "max_terms", "by_name"), group)
+    counted = counted.join(term.select("site", "term_taxonomy_id", "name"), ["site", "term_taxonomy_id"])
+    order = Window.partitionBy(*group).orderBy(F.when(F.col("by_name"), F.col("name").isNull()), F.when(F.col("by_name"), F.col("name")), F.when(~F.col("by_name"), -F.col("n")), "term_taxonomy_id")
+    chosen = counted.withColumn("place", F.row_number().over(order)).where("max_terms is null or place <= max_terms").select(*group, "term_taxonomy_id")
+    named = linked.join(own.where("linked_too").select(*group), ["site", "taxonomy"]).select(*group, "term_taxonomy_id")
+    chosen = chosen.union(named).distinct()
+    newest_first = Window.partitionBy(*group, "term_taxonomy_id").orderBy(F.col("date").desc_nulls_last(), F.col("object_id").desc())
+    rows = pairs.join(chosen, [*group, "term_taxonomy_id"]).withColumn("rn", F.row_number().over(newest_first)).where("rn <= per_term")
+    return rows.select("site", F.col("object_id").alias("id"), "reason").distinct()
+
+
 def drop_filter(entity: DataFrame, dropped: tuple[str, ...], draft: str = "auto-draft") -> DataFrame:
     """Rows of types that may be kept. A null type is dropped, a null status is not."""
     return entity.where(~F.col("type").isin(*dropped) & (F.coalesce("status", F.lit("")) != draft))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import ids, php, refs
 from quarry.operators import checks, closure, finish, keep, match, profile, seeds
-from quarry.sources import config, dump, sqldump
+from quarry.sources import config, dump, sqldump, store
 
 from . import finishing, subset
 from .bindings import CTE, Tables
@@ -193,6 +192,17 @@ def json_ids(t: Tables) -> DataFrame:
     return t.read("events").select("event_id", F.explode(refs.json_ids(value)).alias("ref_id"))
 
 
+@query("""SELECT event_id, unnest(CASE event_id % 6 WHEN 0 THEN [event_id * 1000] WHEN 1 THEN [event_id, 7] WHEN 2 THEN [event_id, event_id + 1, 3] WHEN 5 THEN [event_id] END) AS ref_id FROM events WHERE event_id > 0 AND event_id % 6 IN (0, 1, 2, 5)""")
+def json_values(t: Tables) -> DataFrame:
+    """Whole numbers with exponents, strings with signs, nested arrays; lists within strings, fractions and words are no ids."""
+    s = F.col("event_id").cast("string")
+    kinds = [F.concat(s, F.lit("e3")), F.concat(F.lit("["), s, F.lit(',"+7",-5,"x,7",0]')), F.concat(F.lit("[["), s, F.lit(',["'), (F.col("event_id") + 1).cast("string"), F.lit('"]],[[3.0]],{"a":4}]')), F.concat(F.lit('"'), s, F.lit(',7"')), F.concat(s, F.lit(".5")), F.concat(F.lit('"'), s, F.lit('"'))]
+    value = F.lit(None).cast("string")
+    for i, kind in enumerate(kinds):
+        value = F.when(F.col("event_id") % 6 == i, kind).otherwise(value)
+    return t.read("events").where("event_id > 0").select("event_id", F.explode(refs.json_ids(value)).alias("ref_id"))
+
+
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def extract_hrefs(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
@@ -235,6 +245,42 @@ def slim_semijoin(t: Tables) -> DataFrame:
     return keep.slim(t.read("lineitem"), base_keep(t).select(F.col("id").alias("l_orderkey")), "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+@query("WITH {cte}, k AS (SELECT DISTINCT site, id FROM entity WHERE type = '2-HIGH' AND id % 3 > 0) SELECT e.site, e.id, e.status FROM entity e WHERE (e.site, e.id) IN (SELECT site, id FROM k)")
+def slim_filter(t: Tables) -> DataFrame:
+    """Rows by (site, id), with the bitmap of the keys in front of the exact join whatever their number."""
+    keys = t.entity.where("type = '2-HIGH' and id % 3 > 0").select("site", "id")
+    return keep.semi_join(t.entity.select("site", "id", "status"), keys, ["site", "id"], broadcast=0)
+
+
+@query("""WITH p AS (SELECT r_regionkey + 1 AS site, CASE WHEN r_regionkey = 0 THEN 'wp_' ELSE 'wp_' || (r_regionkey + 1) || '_' END AS prefix FROM region), b AS (SELECT n_nationkey AS site, n_name AS domain, '/' AS path, n_nationkey % 2 = 0 AS public, n_nationkey % 5 = 0 AS deleted FROM nation WHERE n_nationkey <> 2)
+SELECT coalesce(p.site, b.site) AS site, coalesce(prefix, CASE WHEN b.site = 1 THEN 'wp_' ELSE 'wp_' || b.site || '_' END) AS prefix, domain, path, public, CASE WHEN b.site IS NOT NULL THEN false END AS archived, deleted, CASE WHEN b.site IS NOT NULL THEN false END AS spam, p.site IS NOT NULL AS has_tables FROM p FULL JOIN b ON p.site = b.site""")
+def site_frame(t: Tables) -> DataFrame:
+    """Regions as sites that have tables, nations as the network's list of sites."""
+    number, region = F.col("n_nationkey"), F.col("r_regionkey") + 1
+    prefixes = t.read("region").select(region.alias("site"), F.when(region == 1, "wp_").otherwise(F.concat(F.lit("wp_"), region.cast("string"), F.lit("_"))).alias("prefix"))
+    blogs = t.read("nation").where("n_nationkey <> 2").select(number.alias("site"), F.col("n_name").alias("domain"), F.lit("/").alias("path"), (number % 2 == 0).alias("public"), F.lit(False).alias("archived"), (number % 5 == 0).alias("deleted"), F.lit(False).alias("spam"))
+    return subset.sites_frame(prefixes, blogs, "wp_")
+
+
+TERM_RULES = [(s, k, x, ["F", "O"] if s % 2 else ["F"], 2 + s % 3, 3 if x == "PROMO" else None, s % 2 == 0, x == "PROMO", f"type:{k}:per_term:{x}") for s in range(5) for k in ("1-URGENT", "5-LOW") for x in ("PROMO", "SMALL")]
+
+
+@query("""WITH {cte}, rules AS (SELECT s AS site, k AS type, x AS taxonomy, CASE WHEN s % 2 = 1 THEN ['F', 'O'] ELSE ['F'] END AS statuses, 2 + s % 3 AS per_term, CASE WHEN x = 'PROMO' THEN 3 END AS max_terms, s % 2 = 0 AS by_name, x = 'PROMO' AS linked_too
+  FROM range(5) a(s), (VALUES ('1-URGENT'), ('5-LOW')) b(k), (VALUES ('PROMO'), ('SMALL')) c(x)),
+pairs AS (SELECT u.*, e.id, e.date, m.term_id, m.name FROM rules u JOIN entity e ON e.site = u.site AND e.type = u.type AND list_contains(u.statuses, e.status) JOIN relationship r ON r.object_id = e.id JOIN term m ON m.term_id = r.term_id AND m.taxonomy = u.taxonomy),
+counted AS (SELECT site, type, taxonomy, term_id, any_value(name) AS name, any_value(by_name) AS by_name, any_value(max_terms) AS max_terms, count(*) AS n FROM pairs GROUP BY 1, 2, 3, 4),
+placed AS (SELECT *, row_number() OVER (PARTITION BY site, type, taxonomy ORDER BY CASE WHEN by_name THEN name IS NULL END, CASE WHEN by_name THEN name END, CASE WHEN NOT by_name THEN -n END, term_id) AS place FROM counted),
+chosen AS (SELECT site, type, taxonomy, term_id FROM placed WHERE max_terms IS NULL OR place <= max_terms UNION SELECT site, type, u.taxonomy, term_id FROM rules u JOIN term m ON m.taxonomy = u.taxonomy AND starts_with(m.name, 'blue') WHERE linked_too),
+ranked AS (SELECT site, id, type, taxonomy, per_term, row_number() OVER (PARTITION BY site, type, taxonomy, term_id ORDER BY date DESC NULLS LAST, id DESC) AS rn FROM pairs JOIN chosen USING (site, type, taxonomy, term_id))
+SELECT DISTINCT site, id, 'type:' || type || ':per_term:' || taxonomy AS reason FROM ranked WHERE rn <= per_term""")
+def seed_per_term_rules(t: Tables) -> DataFrame:
+    """Rules of several sites, types and taxonomies, each with its own counts and order, in one plan."""
+    own = t.spark.createDataFrame(TERM_RULES, "site int, type string, taxonomy string, statuses array<string>, per_term int, max_terms int, by_name boolean, linked_too boolean, reason string")
+    rel = t.relationship.join(t.entity.select("site", F.col("id").alias("object_id")), "object_id").withColumnRenamed("term_id", "term_taxonomy_id")
+    terms = rel.select("site", "term_taxonomy_id").distinct().join(t.term.select(F.col("term_id").alias("term_taxonomy_id"), "taxonomy", "name"), "term_taxonomy_id")
+    return seeds.per_term(t.entity, rel, terms, terms.where(F.col("name").startswith("blue")).select("site", "taxonomy", "term_taxonomy_id"), own)
+
+
 @query("""WITH {cte}, {keep}, p AS (SELECT 'orders' AS tbl, count(*) AS planned FROM keep UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT id FROM keep) UNION ALL SELECT 'events', count(*) FROM events),
 w AS (SELECT 'orders' AS tbl, count(*) AS written FROM orders WHERE o_orderkey IN (SELECT id FROM keep) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT id FROM keep))
 SELECT coalesce(p.tbl, w.tbl) AS tbl, coalesce(planned, 0) AS planned, coalesce(written, 0) AS written, coalesce(planned, 0) = coalesce(written, 0) AS ok FROM p FULL JOIN w ON p.tbl = w.tbl""")
@@ -360,7 +406,7 @@ def recount_terms(t: Tables) -> DataFrame:
     return finish.recount(t.term, t.relationship, t.entity, "F")
 
 
-EMAIL_SQL = "regexp_matches(text, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(\\.[A-Za-z0-9-]{1,63}){1,8}')"
+EMAIL_SQL = "regexp_matches(text, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(\\.[A-Za-z0-9-]{1,63}){0,8}\\.[A-Za-z]{2,24}')"
 
 
 @query(f"SELECT doc_id FROM documents WHERE text LIKE '%@%' AND {EMAIL_SQL}")
@@ -389,7 +435,8 @@ def pii_breakdown(t: Tables) -> DataFrame:
     return checks.breakdown(t.read("documents"), {"documents.email": checks.email_inside(text), "documents.long": F.length(text) > 5000, "documents.none": F.length(text) < 0})
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(text, '''[^'']*[^A-Za-z0-9_''.-][^'']*''', '''…''', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '<email>', 'g') AS text FROM documents""")
+@query("""SELECT doc_id, regexp_replace(array_to_string(list_transform(x, lambda v, i: CASE WHEN i % 2 = 0 AND i < len(x) AND NOT regexp_full_match(v, '[A-Za-z0-9_$.-]{1,64}') THEN '…' ELSE v END), ''''),
+  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g') AS text FROM (SELECT doc_id, string_split(text, '''') AS x FROM documents)""")
 def redact_docs(t: Tables) -> DataFrame:
     return t.read("documents").select("doc_id", finish.redact("text").alias("text"))
 
@@ -461,8 +508,7 @@ def dump_regroup(t: Tables) -> DataFrame:
 
 
 def _written(t: Tables, lines: DataFrame) -> str:
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-dump-")
-    path = f"{root.rstrip('/')}/dump-{uuid.uuid4().hex}"
+    path = f"{store.shared(t.spark)}/dump-{uuid.uuid4().hex}"
     lines.write.option("lineSep", ";\n").text(path)
     return path
 
@@ -478,6 +524,17 @@ def dump_bytes(t: Tables) -> DataFrame:
     return sqldump.rows(t.spark, _written(t, dump.to_dump(own, "documents", 50, breaks=True)), "doc_id bigint, text string")
 
 
+@query("""WITH g AS (SELECT count(*) AS n, sum(octet_length(encode('(' || c_custkey || ',''' || c_name || ''')'))) AS b FROM customer), w AS (SELECT count(*) AS n, sum(octet_length(encode('(' || s_suppkey || ')'))) AS b FROM supplier)
+SELECT 'customer' AS tbl, g.n + w.n AS statements, g.n + w.n AS rows, w.n AS bad_rows, g.b + w.b AS row_bytes, (g.n + w.n) * length('INSERT INTO `customer` (`c_custkey`, `c_name`) VALUES ;.') AS other_bytes FROM g, w
+UNION ALL SELECT 'part', 1, 0, 0, 0, length('DROP TABLE `part`;.') UNION ALL SELECT '', count(*), 0, 0, 0, count(*) * length('SET @a = 1;.') FROM nation""")
+def dump_statistics(t: Tables) -> DataFrame:
+    """Customers one a statement, suppliers as rows that lack a value, and statements of a table and of none, counted in one reading."""
+    good = dump.to_dump(t.read("customer").select("c_custkey", "c_name"), "customer", 1)
+    bad = t.read("supplier").select(F.concat(F.lit("INSERT INTO `customer` (`c_custkey`, `c_name`) VALUES ("), F.col("s_suppkey").cast("string"), F.lit(")")).alias("value"))
+    other = t.read("region").where("r_regionkey = 0").select(F.lit("DROP TABLE `part`").alias("value")).unionByName(t.read("nation").select(F.lit("SET @a = 1").alias("value")))
+    return sqldump.statistics(t.spark, _written(t, good.unionByName(bad).unionByName(other)))
+
+
 @query("""WITH k AS (SELECT o_orderkey AS id, o_custkey AS author FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50),
 c AS (SELECT l_partkey AS term, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN k ON id = l_orderkey GROUP BY 1), u AS (SELECT c_custkey AS id, 'user_' || substr(sha256('pepper:' || c_custkey), 1, 12) AS who FROM customer WHERE c_custkey IN (SELECT author FROM k))
 SELECT 'login' AS kind, id, who AS value FROM u UNION ALL SELECT 'email', id, CASE WHEN id % 2 = 0 THEN 'c' || id || '@example.org' ELSE who || '@example.com' END FROM u

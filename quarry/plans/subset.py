@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.functions import ids, php, refs
+from quarry.functions import ddl, ids, php, refs
 from quarry.operators import closure, keep, profile, seeds
 from quarry.sources import dump, sqldump, store
 from quarry.sources.config import ALL, ALWAYS_DROPPED, ALWAYS_KEPT, Config
@@ -34,7 +34,7 @@ STORED_OPTIONS = ("siteurl", "home", "show_on_front", "sticky_posts", "posts_per
 MENU_KEYS = ("_menu_item_type", "_menu_item_object_id", "_menu_item_object")
 WANTED = (
     "id", "post_author", "post_date", "post_content", "post_excerpt", "post_name", "post_status", "post_parent", "post_type", "post_mime_type", "meta_id", "post_id", "meta_key", "meta_value",
-    "option_id", "option_name", "option_value", "autoload", "term_id", "name", "slug", "term_taxonomy_id", "taxonomy", "parent", "count", "object_id", "umeta_id", "user_id", "blog_id", "domain", "path", "comment_id", "comment_post_id", "comment_approved", "comment_type",
+    "option_id", "option_name", "option_value", "autoload", "term_id", "name", "slug", "term_taxonomy_id", "taxonomy", "parent", "count", "object_id", "umeta_id", "user_id", "blog_id", "domain", "path", "public", "archived", "deleted", "spam", "comment_id", "comment_post_id", "comment_approved", "comment_type",
 )
 #: The columns that a core table is filtered by.
 KEYS = {"posts": "id", "postmeta": "meta_id", "terms": "term_id", "term_taxonomy": "term_taxonomy_id", "termmeta": "meta_id", "options": "option_id", "users": "id", "usermeta": "umeta_id"}
@@ -65,7 +65,7 @@ def _id(name: str) -> Column:
 
 
 #: What a row has beside its values (v_ and a column's name, in lower case).
-PLACE = {"_ord": "ord", "_row": "row", "_tbl": "tbl", "_bytes": "bytes", "_columns": "columns", "_body": "body", "_tail": "tail", "_fit": "fit"}
+PLACE = {"_ord": "ord", "_row": "row", "_tbl": "tbl", "_bytes": "bytes", "_columns": "columns", "_body": "body", "_tail": "tail", "_fit": "fit", "_size": "size"}
 
 
 def row_columns(columns: tuple[str, ...] = ()) -> str:
@@ -96,7 +96,8 @@ def build_index(spark: SparkSession, path: str, exact: bool = False, columns: tu
         store.drop(spark, where)
         if exact or not sqldump.reached(path):
             found = closure.saved(dump.read_statements(spark, path, exact))
-            rows = sqldump.parsed(dump.read_rows(found), sqldump.declared_of(found), row_columns(columns))
+            rows = sqldump.parsed(dump.read_rows(found), sqldump.declared_of(found), row_columns(columns)).drop("_size")
+            rows = rows.join(found.select(F.col("ord").alias("_ord"), F.lit(0).alias("_row"), F.length("raw").cast("long").alias("_size")), ["_ord", "_row"], "left")
             tables = [r.tbl for r in found.where("tbl is not null and kind in ('insert', 'create_table')").select("tbl").distinct().collect()]  # a row per table
             statements = found.where("kind <> 'insert'")
         else:
@@ -119,6 +120,17 @@ def _stored(spark: SparkSession, where: str, schema: StructType) -> DataFrame:
     return store.get(spark, f"{where}/rows", schema).withColumn("role", F.coalesce("role", F.lit("")))  # a folder's name can't be empty
 
 
+SITE_FLAGS = ("public", "archived", "deleted", "spam")
+
+
+def sites_frame(prefixes: DataFrame, blogs: DataFrame, main: str) -> DataFrame:
+    """(site, prefix, domain, path, public, archived, deleted, spam, has_tables): every site that has tables (site, prefix) or that the network lists (site, domain, path and flags), by a full join."""
+    listed = blogs.where("site is not null").dropDuplicates(["site"])
+    both = prefixes.withColumn("has_tables", F.lit(True)).join(listed, "site", "full")
+    named = F.when(F.col("site") == 1, F.lit(main)).otherwise(F.concat(F.lit(main), F.col("site").cast("string"), F.lit("_")))
+    return both.select("site", F.coalesce("prefix", named).alias("prefix"), "domain", "path", *SITE_FLAGS, F.coalesce("has_tables", F.lit(False)).alias("has_tables"))
+
+
 #: Frames that are worked out from texts: these are kept.
 DERIVED = ("tables", "meta_refs", "menu", "content_refs", "fields", "user_roles")
 
@@ -133,11 +145,11 @@ def index_of(statements: DataFrame, rows: DataFrame, columns: tuple[str, ...] =
 
 def _framed(rows: DataFrame, statements: DataFrame, sites: dict[int, str]) -> Index:
     """The frames of placed rows."""
-    counts = rows.groupBy("tbl", "site", "role").agg(F.count("*").alias("rows"), F.sum("bytes").alias("row_bytes"))
-    creates = statements.where("tbl is not null").groupBy("tbl").agg(F.max(F.when(F.col("kind") == "create_table", F.decode("raw", "UTF-8"))).alias("create_sql"))
+    counts = rows.groupBy("tbl", "site", "role").agg(F.count("*").alias("rows"), F.sum("bytes").alias("row_bytes"), F.count_if(~F.col("fit")).alias("bad_rows"), (F.coalesce(F.sum("size"), F.lit(0)) - F.sum("bytes")).alias("between"))
+    creates = statements.where("tbl is not null").groupBy("tbl").agg(F.max(F.when(F.col("kind") == "create_table", F.decode("raw", "UTF-8"))).alias("create_sql"), F.sum(F.length("raw")).alias("beside"))
     place = F.udf(lambda n: rules.place(n, sites), "site int, role string")  # a row per table
     tables = creates.join(counts, "tbl", "full").withColumn("placed", place("tbl"))
-    tables = tables.select("tbl", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("row_bytes", F.lit(0)).alias("row_bytes"), "create_sql", F.coalesce("site", "placed.site").alias("site"), F.coalesce("role", "placed.role").alias("role"))
+    tables = tables.select("tbl", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("row_bytes", F.lit(0)).alias("row_bytes"), F.coalesce("bad_rows", F.lit(0)).alias("bad_rows"), (F.coalesce("between", F.lit(0)) + F.coalesce("beside", F.lit(0))).alias("other_bytes"), "create_sql", F.coalesce("site", "placed.site").alias("site"), F.coalesce("role", "placed.role").alias("role"))
     named = rows.where("fit")
 
     def role(name: str) -> DataFrame:
@@ -172,6 +184,7 @@ def _framed(rows: DataFrame, statements: DataFrame, sites: dict[int, str]) -> In
         "comments": role("comments").select("tbl", "site", _id("comment_id").alias("id"), _id("comment_post_id").alias("post_id"), _v("comment_approved").alias("status"), _v("comment_type").alias("type"), "bytes"),
         "commentmeta": role("commentmeta").select("tbl", "site", _id("meta_id").alias("meta_id"), _id("comment_id").alias("comment_id"), "bytes"),
         "blogs": role("blogs").select("tbl", _id("blog_id").alias("blog_id"), _v("domain").alias("domain"), _v("path").alias("path"), "bytes"),
+        "sites": sites_frame(rows.sparkSession.createDataFrame(list(sites.items()), "site int, prefix string"), role("blogs").select(_id("blog_id").cast("int").alias("site"), *(_v(c).alias(c) for c in ("domain", "path")), *((_v(c) == "1").alias(c) for c in SITE_FLAGS)), sites[1]),
         "object_rows": named.where("role = ''").select("tbl", "site", F.coalesce(_id("post_id"), _id("object_id")).alias("object_id"), "ord", "row", "bytes").where("object_id is not null"),
         "named": named.withColumn("values", F.create_map(*[x for c in rows.columns if c.startswith("v_") for x in (F.lit(c[2:]), F.col(c))])),
     }
@@ -218,22 +231,16 @@ def seed_frame(index: Index, config: Config, included: list[int]) -> DataFrame:
     found = found.unionByName(seeds.option_seeds(options, OPTION_REFS))
     sticky = F.udf(lambda x: php.ids_in(x, ints_only=True), "array<bigint>")  # one row per site
     found = found.unionByName(options.where("name = 'sticky_posts'").select("site", F.explode(sticky("value")).alias("id"), F.lit("option:sticky_posts").alias("reason")))
-    for site in included:
-        for kind, rule in config.for_site(site).post_types.items():
-            if rule.mode != "per_term":
-                continue
-            statuses = [s for s, n in rule.statuses.items() if n == ALL]
-            eligible = posts.where((F.col("site") == site) & (F.col("type") == kind) & (F.col("status").isin(*statuses) if statuses else F.lit(False)))
-            relationship = index.term_relationships.where(F.col("site") == site).select("object_id", F.col("term_taxonomy_id").alias("term_id"))
-            for taxonomy, pick in rule.taxonomies.items():
-                tt = index.term_taxonomy.where((F.col("site") == site) & (F.col("taxonomy") == taxonomy))
-                names = index.terms.where(F.col("site") == site).select(F.col("term_id").alias("t"), "name")
-                term = tt.join(names, F.col("term_id") == F.col("t"), "left").select(F.col("term_taxonomy_id").alias("term_id"), "name")
-                chosen = seeds.top_terms(eligible, relationship, term, None if pick.max_terms == ALL else pick.max_terms, pick.order == "name").select("term_id")
-                if pick.include_menu_terms:
-                    linked = index.menu.where((F.col("site") == site) & (F.col("type") == "taxonomy") & (F.col("object") == taxonomy)).select(F.col("object_id").try_cast("bigint").alias("term_id"))
-                    chosen = chosen.union(tt.join(linked, "term_id", "left_semi").select(F.col("term_taxonomy_id"))).distinct()
-                found = found.unionByName(seeds.newest_per_term(eligible, relationship, chosen, rule.per_term, f"type:{kind}:per_term:{taxonomy}").select("site", "id", "reason"))
+    wanted = [
+        (site, kind, taxonomy, [s for s, n in rule.statuses.items() if n == ALL], rule.per_term, None if pick.max_terms == ALL else pick.max_terms, pick.order == "name", bool(pick.include_menu_terms), f"type:{kind}:per_term:{taxonomy}")
+        for site in included for kind, rule in config.for_site(site).post_types.items() if rule.mode == "per_term" for taxonomy, pick in rule.taxonomies.items()
+    ]
+    if wanted:
+        own = spark.createDataFrame(wanted, "site int, type string, taxonomy string, statuses array<string>, per_term int, max_terms int, by_name boolean, linked_too boolean, reason string")
+        terms = index.term_taxonomy.join(index.terms.select("site", "term_id", "name"), ["site", "term_id"], "left").select("site", "term_taxonomy_id", "term_id", "taxonomy", "name")
+        linked = index.menu.where("type = 'taxonomy'").select("site", F.col("object").alias("taxonomy"), F.col("object_id").try_cast("bigint").alias("term_id"))
+        linked = terms.join(linked, ["site", "taxonomy", "term_id"], "left_semi").select("site", "taxonomy", "term_taxonomy_id")
+        found = found.unionByName(seeds.per_term(posts, index.term_relationships, terms, linked, own))
     return found
 
 
@@ -241,13 +248,18 @@ def follow_keys(index: Index, config: Config, included: list[int]) -> DataFrame:
     """(site, meta_key, reason): fixed and configured keys, and keys of fields that hold ids, also as parts of other fields."""
     spark = index.posts.sparkSession
     fixed = spark.createDataFrame([(s, k, "meta:" + k) for s in included for k in FOLLOWED + config.for_site(s).extra_meta_keys], "site int, meta_key string, reason string")
+    return fixed.unionByName(field_keys(index, FIELD_TYPES).select("site", "meta_key", F.concat(F.lit("acf:"), "meta_key").alias("reason"))).groupBy("site", "meta_key").agg(F.min("reason").alias("reason"))
+
+
+def field_keys(index: Index, types: tuple[str, ...]) -> DataFrame:
+    """(site, meta_key): keys of fields of these types, also as parts of other fields."""
     by_id = index.fields.select("site", F.col("id").alias("parent"), F.lit(True).alias("sub"))
-    names = index.fields.where(F.col("field_type").isin(*FIELD_TYPES)).join(by_id, ["site", "parent"], "left").select("site", "name", F.coalesce("sub", F.lit(False)).alias("sub"))
+    names = index.fields.where(F.col("field_type").isin(*types)).join(by_id, ["site", "parent"], "left").select("site", "name", F.coalesce("sub", F.lit(False)).alias("sub"))
     keys = index.postmeta.where("meta_key is not null and not startswith(meta_key, '_')").select("site", "meta_key").distinct()
     parts = F.split("meta_key", "_")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_"))
     found = keys.select("site", "meta_key", F.explode(ends).alias("name")).join(names, ["site", "name"]).where("meta_key = name or sub")
-    return fixed.unionByName(found.select("site", "meta_key", F.concat(F.lit("acf:"), "meta_key").alias("reason"))).groupBy("site", "meta_key").agg(F.min("reason").alias("reason"))
+    return found.select("site", "meta_key").distinct()
 
 
 def make_plan(index: Index, config: Config) -> Plan:
@@ -352,6 +364,12 @@ def slim(index: Index, plan: Plan) -> DataFrame:
     return every
 
 
+def portable(statements: DataFrame) -> DataFrame:
+    """The statements with definitions that more servers accept."""
+    rewrite = F.udf(lambda raw: ddl.portable_defaults(bytes(raw).decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape"), "binary")  # a row per table
+    return statements.withColumn("raw", F.when(F.col("kind") == "create_table", rewrite("raw")).otherwise(F.col("raw")))
+
+
 def passed(index: Index, plan: Plan) -> DataFrame:
     """The statements that hold no rows, without those of dropped tables."""
     dropped = [n for n, r in plan.rules.items() if r.action == "drop"]
@@ -359,6 +377,6 @@ def passed(index: Index, plan: Plan) -> DataFrame:
 
 
 def write_dump(index: Index, plan: Plan, slimmed: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """(place, raw): the statements of the copy in their order; statements of dropped tables are left out, all others pass as they are."""
+    """(place, raw): the statements of the copy in their order; statements of dropped tables are left out, definitions are made portable, all others pass as they are."""
     packed = dump.insert_statements(slimmed, most).select(F.struct(F.col("first_ord").alias("ord"), F.col("first_row").alias("row")).alias("place"), F.concat(F.lit(b"\n"), "raw").alias("raw"))
-    return passed(index, plan).select(F.struct("ord", F.lit(-1).alias("row")).alias("place"), "raw").unionByName(packed).orderBy("place")
+    return portable(passed(index, plan)).select(F.struct("ord", F.lit(-1).alias("row")).alias("place"), "raw").unionByName(packed).orderBy("place")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators import checks
+from quarry.operators import checks, closure
 from quarry.operators.checks import FAIL, PASS, WARNING
 
-from .subset import Index
+from .subset import Index, field_keys
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,8 @@ def reference_checks(copy: Index, source: Index) -> list[Check]:
     out.append(_counted("term relationships point at existing posts", placed.join(of_posts, ["site", "taxonomy"], "left_semi").join(objects, ["site", "object_id"], "left_anti"), FAIL, "relationships of posts that are not in the copy"))
     thumbnails = copy.meta_refs.where("meta_key = '_thumbnail_id'").select("site", "ref_id")
     targets = copy.menu.where("type = 'post_type'").select("site", F.col("object_id").try_cast("bigint").alias("ref_id")).where("ref_id > 0")
-    for name, refs in (("featured images exist", thumbnails), ("menu item targets exist", targets)):
+    media = copy.meta_refs.join(field_keys(source, ("image", "file")), ["site", "meta_key"], "left_semi").select("site", "ref_id")
+    for name, refs in (("featured images exist", thumbnails), ("menu item targets exist", targets), ("image and file fields exist", media)):
         lost = refs.distinct().join(posts.withColumnRenamed("id", "ref_id"), ["site", "ref_id"], "left_anti")
         found = lost.join(source.posts.select("site", F.col("id").alias("ref_id"), F.lit(1).alias("was")), ["site", "ref_id"], "left").agg(F.count("was").alias("was"), F.count("*").alias("n")).first()
         never = found.n - found.was
@@ -94,8 +98,38 @@ def export(statements: DataFrame, found: list[Check], path: str) -> bool:
         raise ValueError("a copy is written only after checks")
     if status(found) == FAIL:
         return False
-    with open(path + ".part", "wb") as out:
-        for row in statements.orderBy("place").select("raw").toLocalIterator():  # a copy is small by design
-            out.write(bytes(row.raw))
-    os.replace(path + ".part", path)
+    write_in_order(statements, path)
     return True
+
+
+def write_in_order(statements: DataFrame, path: str) -> int:
+    """Write `raw` by `place` as the file `path`, by all tasks at once; its size.
+
+    Partitions hold ranges of places. Their sizes, a number each, tell where each begins; every task writes its bytes at
+    its place of one file beside `path`, which is renamed when all are done. A task that runs again writes the same
+    bytes. On a cluster the folder must be one that driver and executors share.
+    """
+    ordered = closure.saved(statements.select("place", "raw").repartitionByRange("place").sortWithinPartitions("place"))
+    sizes = ordered.select(F.spark_partition_id().alias("part"), F.length("raw").alias("size")).groupBy("part").agg(F.sum("size").alias("size")).collect()  # a row per partition
+    starts, total = {}, 0
+    for r in sorted(sizes, key=lambda r: r.part):
+        starts[r.part], total = total, total + r.size
+    aside = path + ".part"
+    with open(aside, "wb") as out:
+        out.truncate(total)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        if part in starts:
+            with open(aside, "r+b") as out:
+                out.seek(starts[part])
+                for batch in batches:
+                    for raw in batch.column("raw").to_pylist():
+                        n += out.write(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    written = sum(r.n for r in ordered.select("raw").mapInArrow(put, "n long").collect())
+    if written != total:
+        raise OSError(f"{written} of {total} bytes are written")
+    os.replace(aside, path)
+    return total

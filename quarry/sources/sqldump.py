@@ -8,7 +8,7 @@ range and the names of tables and columns come to the driver. Without a scan eac
 Tasks hold a block and the statement at hand. A tuple is one match of a pattern made for its table, which captures only the
 columns that are asked for; they are decoded as Arrow arrays, not value by value. Tuples with expressions are walked.
 
-Options: `layout`, what `scan` found; `what`, rows (the default) or statements; `inserts`, false to leave INSERTs out of the
+Options: `layout`, what `scan` found; `others`, true to have statements without tuples among the rows; `what`, rows (the default) or statements; `inserts`, false to leave INSERTs out of the
 statements. A schema of one's own picks columns: those of BASE, and any other name is a table's column in lower case,
 as string, binary, bigint or double (null where it has no such value).
 
@@ -29,13 +29,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from . import dump
 from .dump import DumpError
 
-BASE = "_ord long, _row int, _tbl string, _bytes long, _columns array<string>, _body binary, _tail binary, _fit boolean"
+BASE = "_ord long, _row int, _tbl string, _bytes long, _columns array<string>, _body binary, _tail binary, _fit boolean, _size long"
 #: Bytes read at one time, rows and bytes in a batch, and the most ranges of a scan.
 BLOCK, BATCH_ROWS, BATCH_BYTES, MOST_RANGES = 4 << 20, 4000, 8 << 20, 20_000
 #: The places of a file's statements are this far from those of the next file.
@@ -397,14 +398,14 @@ def decoded(raws: list[bytes], kind: pa.DataType) -> pa.Array:
 class Rows:
     """Record batches of tuples; rows of one table and column list are decoded together."""
 
-    def __init__(self, schema: pa.Schema, declared: dict[str, list[str]]):
-        self.schema, self.declared = schema, declared
+    def __init__(self, schema: pa.Schema, declared: dict[str, list[str]], whole: bool = True):
+        self.schema, self.declared, self.sized = schema, declared, whole
         self.values = [f.name for f in schema if not f.name.startswith("_")]
         self.key: tuple = ()
         self.clear()
 
     def clear(self) -> None:
-        self.ords, self.numbers, self.groups, self.fits, self.size = [], [], [], [], 0
+        self.ords, self.numbers, self.groups, self.fits, self.whole, self.size = [], [], [], [], [], 0
 
     def insert(self, ord_: int, raw: bytes, number: int = 0) -> Iterator[pa.RecordBatch]:
         """Take an INSERT's tuples in, of which the first is the number-th of its statement."""
@@ -443,21 +444,28 @@ class Rows:
             self.numbers.append(number)
             self.groups.append(group)
             self.fits.append(fit)
+            self.whole.append(len(raw) if number == first and self.sized else None)  # of the statement, at its first row
             self.size += len(group[0])
             number += 1
             if not late and (len(self.groups) >= BATCH_ROWS or self.size >= BATCH_BYTES):
                 yield from self.out()
         if late and number > first and (tail := dump._TAIL.match(raw, at)):
-            own = [x[before:] for x in (self.ords, self.numbers, self.groups, self.fits)]
-            del self.ords[before:], self.numbers[before:], self.groups[before:], self.fits[before:]
+            own = [x[before:] for x in (self.ords, self.numbers, self.groups, self.fits, self.whole)]
+            del self.ords[before:], self.numbers[before:], self.groups[before:], self.fits[before:], self.whole[before:]
             yield from self.out()
-            self.ords, self.numbers, self.groups, self.fits = own
+            self.ords, self.numbers, self.groups, self.fits, self.whole = own
             self.key = (*key, tail[1])
             yield from self.out()
             self.key = (*key, None)
         elif len(self.groups) >= BATCH_ROWS or self.size >= BATCH_BYTES:
             yield from self.out()
 
+    def other(self, ord_: int, raw: bytes) -> Iterator[pa.RecordBatch]:
+        """A statement without tuples, as row -1 of its table with its bytes."""
+        yield from self.out()
+        made = {"_ord": ord_, "_row": -1, "_tbl": dump.classify(raw)[1], "_body": raw, "_size": len(raw)}
+        yield pa.RecordBatch.from_arrays([pa.array([made.get(f.name)], f.type) for f in self.schema], schema=self.schema)
+
     def out(self) -> Iterator[pa.RecordBatch]:
         n = len(self.groups)
         if not n:
@@ -474,6 +482,7 @@ class Rows:
             "_body": lambda: pa.array(by[0], pa.binary()),
             "_tail": lambda: pa.array([tail], pa.binary()).take(pa.array(np.zeros(n, np.int32))),
             "_fit": lambda: pa.array(self.fits, pa.bool_()),
+            "_size": lambda: pa.array(self.whole, pa.int64()),
         }
         arrays = []
         for f in self.schema:
@@ -495,7 +504,7 @@ def parsed(rows: DataFrame, declared: dict[str, list[str]], ddl: str) -> DataFra
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = Rows(arrow, declared)
+            made = Rows(arrow, declared, False)
             for ord_, row, tbl, columns, body, tail in zip(*(batch.column(c).to_pylist() for c in ("ord", "row", "tbl", "columns", "body", "tail")), strict=True):
                 names = "" if columns is None else " (" + ",".join("`" + c.replace("`", "``") + "`" for c in columns) + ")"
                 yield from made.insert(ord_, b"INSERT INTO `" + tbl.replace("`", "``").encode() + b"`" + names.encode() + b" VALUES " + body + (b" " + tail if tail else b""), row)
@@ -548,13 +557,16 @@ class SqlDumpReader(DataSourceReader):
         if self.options.get("what") == "statements":
             yield from self._statements(partition)
             return
-        rows = Rows(self.schema, dict(self.declared))
+        rows, others = Rows(self.schema, dict(self.declared)), self.options.get("others", "false").lower() == "true"
         for ord_, raw in statements_of(partition):
             if not self.scanned and not dump._INSERT.match(raw, dump._SKIP.match(raw).end()):
                 kind, tbl = dump.classify(raw)
                 if kind == "create_table" and tbl:
                     rows.declared[tbl] = [n for n, _ in dump.declared_columns(raw)]
-            yield from rows.insert(ord_, raw)
+            if others and not dump._INSERT.match(raw, dump._SKIP.match(raw).end()):
+                yield from rows.other(ord_, raw)
+            else:
+                yield from rows.insert(ord_, raw)
         yield from rows.out()
 
     def _statements(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -606,6 +618,20 @@ def rows(spark: SparkSession, path: str, columns: str = BASE, layout: Layout | N
     return source(spark, path, layout or scan(spark, path)).schema(columns).load()
 
 
+def statistics(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFrame:
+    """(tbl, statements, rows, bad_rows, row_bytes, other_bytes) of each table, '' for statements of none, counted as the dump goes by.
+
+    Bad rows have another length than their columns; other bytes are all of a table's statements that are not its rows.
+    """
+    reader = source(spark, path, layout or scan(spark, path)).option("others", "true")
+    found = reader.schema("_row int, _tbl string, _bytes long, _fit boolean, _size long").load()
+    tuples = F.col("_row") >= 0
+    return found.groupBy(F.coalesce("_tbl", F.lit("")).alias("tbl")).agg(
+        F.count("_size").alias("statements"), F.count_if(tuples).alias("rows"), F.count_if(tuples & ~F.col("_fit")).alias("bad_rows"),
+        F.coalesce(F.sum("_bytes"), F.lit(0)).alias("row_bytes"), (F.sum("_size") - F.coalesce(F.sum("_bytes"), F.lit(0))).alias("other_bytes"),
+    )
+
+
 def statements(spark: SparkSession, path: str, inserts: bool = True, layout: Layout | None = None) -> DataFrame:
     """(ord, raw, kind, tbl) of the dump's statements in place of `dump.read_statements`; ord is the place in the file."""
     return source(spark, path, layout or scan(spark, path)).option("what", "statements").option("inserts", str(inserts).lower()).load()

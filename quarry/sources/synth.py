@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import dump as dumps
+
 HOSTILE = ("O'Brien; DROP TABLE x;--", 'back\\slash "quoted"', "line\nbreak\ttab", "emoji \U0001f600 ünï", "(1,2),(3,4)", "/* no comment */ -- nor this", "")
 
 
@@ -67,3 +72,37 @@ def dump(posts: int = 60, seed: int = 1, prefix: str = "wp_", subsite: bool = Fa
     if triggers:
         out.append(f"DELIMITER ;;\nCREATE TRIGGER `t` BEFORE INSERT ON `{prefix}posts` FOR EACH ROW BEGIN SET NEW.post_type = 'post'; END ;;\nDELIMITER ;\n")
     return "".join(out)
+
+
+def _drawn(salt: int, n: int) -> Column:
+    """A number under n that a row's counter and a salt give."""
+    return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+
+
+def frames(spark: SparkSession, posts: int, words: int = 120, metas: int = 4) -> dict[str, DataFrame]:
+    """The tables of a site of so many posts, made by all tasks: each value follows from the row's counter, whatever the partitions."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(5000)).cast("string"), F.when(i % 17 == 0, F.lit("'s\n")).otherwise(F.lit("")))), " ")
+    ref = F.concat(F.lit('<!-- wp:image {"id":'), (_drawn(1, posts) + 1).cast("string"), F.lit("} -->"))
+    day = F.date_format(F.timestamp_seconds(F.lit(1_500_000_000) + _drawn(2, 200_000_000)), "yyyy-MM-dd HH:mm:ss")
+    kind = F.when(F.col("id") % 7 == 0, "revision").when(F.col("id") % 5 == 0, "page").when(F.col("id") % 11 == 0, "attachment").otherwise("post")
+    row = spark.range(1, posts + 1)
+    table = {
+        "posts": row.select(F.col("id").alias("ID"), (_drawn(3, 50) + 1).alias("post_author"), day.alias("post_date"), F.concat(ref, text).alias("post_content"), F.lit("").alias("post_excerpt"), F.when(_drawn(4, 4) > 0, "publish").otherwise("draft").alias("post_status"), F.floor(F.col("id") / 10).alias("post_parent"), kind.alias("post_type"), F.lit("").alias("post_mime_type")),
+        "postmeta": spark.range(1, posts * metas + 1).select(F.col("id").alias("meta_id"), (F.floor((F.col("id") - 1) / metas) + 1).alias("post_id"), F.when(F.col("id") % metas == 0, "_thumbnail_id").otherwise(F.concat(F.lit("_key_"), (F.col("id") % 40).cast("string"))).alias("meta_key"), F.when(F.col("id") % metas == 0, (_drawn(5, posts) + 1).cast("string")).otherwise(F.concat(F.lit("value "), _drawn(6, 10**6).cast("string"))).alias("meta_value")),
+        "terms": spark.range(1, 201).select(F.col("id").alias("term_id"), F.concat(F.lit("Term "), "id").alias("name"), F.concat(F.lit("term-"), "id").alias("slug")),
+        "term_taxonomy": spark.range(1, 201).select(F.col("id").alias("term_taxonomy_id"), F.col("id").alias("term_id"), F.when(F.col("id") < 40, "category").otherwise("post_tag").alias("taxonomy"), F.lit(0).alias("parent"), F.lit(0).alias("count")),
+        "term_relationships": spark.range(1, posts * 2 + 1).select((F.floor((F.col("id") + 1) / 2)).alias("object_id"), (F.pmod(F.xxhash64(F.floor((F.col("id") + 1) / 2)), F.lit(100)) * 2 + F.col("id") % 2 + 1).alias("term_taxonomy_id"), F.lit(0).alias("term_order")),
+        "options": spark.range(1, 4).select(F.col("id").alias("option_id"), F.element_at(F.array(*map(F.lit, ("siteurl", "page_on_front", "posts_per_page"))), F.col("id").cast("int")).alias("option_name"), F.element_at(F.array(*map(F.lit, ("https://wp.example.org", "5", "10"))), F.col("id").cast("int")).alias("option_value"), F.lit("yes").alias("autoload")),
+    }
+    return table | {"users": spark.range(1, 51).select(F.col("id").alias("ID"), F.concat(F.lit("user"), "id").alias("user_login"), F.concat(F.lit("user"), "id", F.lit("@corp.test")).alias("user_email"))}
+
+
+def write(spark: SparkSession, path: str, posts: int, prefix: str = "wp_", words: int = 120) -> None:
+    """A dump of a site of so many posts as the folder `path`: definitions, and INSERTs of 500 rows by all tasks."""
+    made = frames(spark, posts, words)
+    kinds = {"bigint": "bigint", "int": "int", "string": "longtext"}
+    creates = [(f"CREATE TABLE `{prefix}{name}` (" + ", ".join(f"`{c}` {kinds[k]}" for c, k in df.dtypes) + ")",) for name, df in made.items()]
+    every = spark.createDataFrame(creates, "value string").coalesce(1)
+    for name, df in made.items():
+        every = every.unionByName(dumps.to_dump(df, prefix + name))
+    every.write.option("lineSep", ";\n").text(path)

@@ -102,7 +102,7 @@ def test_values_and_types(spark, tmp_path):
         assert [(r.id, r.s, r.x) for r in found] == [(1, "a'b'c\n", 1.5), (-2, None, None), (3, "AB", -1000.0), (4, "x", 7.0), (5, None, None), (6, None, None), (7, "é", 0.5), (8, 'd"q', 9.0), (None, None, None)]
         assert [bytes(r._tail) if r._tail else None for r in found][4:6] == [b"ON DUPLICATE KEY UPDATE id = values(id)"] * 2 and found[0]._tail is None
     base = sqldump.source(spark, str(path)).load()
-    assert base.columns == ["_ord", "_row", "_tbl", "_bytes", "_columns", "_body", "_tail", "_fit"] and base.count() == 10
+    assert base.columns == ["_ord", "_row", "_tbl", "_bytes", "_columns", "_body", "_tail", "_fit", "_size"] and base.count() == 10
     assert base.where("_columns is not null").select("_columns").first()[0] == ["x", "id"]
 
 
