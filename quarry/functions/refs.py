@@ -16,7 +16,7 @@ MOST = 1000
 def meta_refs(meta: DataFrame, column: str = "value") -> DataFrame:
     """(site, meta_id, post_id, meta_key, ref_id): a row per id in each value. Only serialised values leave the JVM."""
     c = F.trim(column)
-    short = meta.where((F.length(column) <= 1 << 20) & c.rlike(r"^[0-9\[aO]"))
+    short = meta.where((F.length(column) <= 1 << 20) & c.rlike("^[0-9\\[aO\"']"))
     php = c.rlike("^[aO]:") & (F.length(c) >= 3)
     keep = [x for x in ("site", "meta_id", "post_id", "meta_key") if x in meta.columns]
     plain = short.where(~php).select(*keep, F.explode(list_ids(column)).alias("ref_id"))
