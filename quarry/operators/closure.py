@@ -7,12 +7,15 @@ checkpoint folder: the lineage stays short and a lost executor costs no more tha
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXEMPT_REASONS = ("parent", "menu:target")
 EXEMPT_ROUNDS = 100
+#: Rounds after which what is kept is written as one.
+MOST_PARTS = 8
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -38,8 +41,8 @@ def closure(keep: DataFrame, edges: DataFrame, depth: int = 2, exempt_rounds: in
     edges are followed, from the last round alone, as all edges of earlier rows have been followed.
     """
     exempt = edges.where(is_exempt())
-    kept = saved(keep.select("site", "id", F.col("depth").cast("int").alias("depth"), "reason"))
-    last = kept
+    parts = [saved(keep.select("site", "id", F.col("depth").cast("int").alias("depth"), "reason"))]  # one a round: what is kept is not written again
+    kept = last = parts[0]
     for number in range(1, depth + exempt_rounds + 1):
         if number == depth + 1:
             last = kept  # rows of the last full round lead on, by exempt edges
@@ -52,7 +55,10 @@ def closure(keep: DataFrame, edges: DataFrame, depth: int = 2, exempt_rounds: in
                 break
             last = fresh
             continue
-        kept, last = saved(kept.unionByName(fresh)), fresh
+        parts.append(fresh)
+        if len(parts) > MOST_PARTS:
+            parts = [saved(reduce(DataFrame.unionByName, parts))]
+        kept, last = reduce(DataFrame.unionByName, parts), fresh
     return kept
 
 

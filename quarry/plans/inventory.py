@@ -10,6 +10,8 @@ from quarry.operators import profile
 from .subset import Index
 
 LARGE_OPTION = 100 << 10
+#: What says that an option is always loaded.
+AUTOLOADED = ("yes", "on", "auto", "auto-on")
 #: Comment states by their codes.
 COMMENT_STATES = {"1": "approved", "0": "pending"}
 
@@ -31,20 +33,15 @@ def inventory(index: Index) -> dict[str, DataFrame]:
     linked = index.menu.where("type = 'taxonomy'").select("site", F.col("object_id").try_cast("bigint").alias("term_id"), F.col("object").alias("taxonomy"))
     used = joined.select(F.col("term_taxonomy_id"), "site", "object_id")
     named = tt.join(index.terms.select("site", "term_id", F.coalesce("slug", "name").alias("slug")), ["site", "term_id"], "left")
-    per_site = []
-    for name in ("posts", "postmeta", "term_relationships", "options"):
-        per_site.append(getattr(index, name).select("site", "bytes"))
-    sizes = per_site[0]
-    for one in per_site[1:]:
-        sizes = sizes.unionByName(one)
     resolved = index.meta_refs.groupBy("site", "meta_key", "ref_id").agg(F.count("*").alias("n")).join(posts.select("site", F.col("id").alias("ref_id"), F.lit(1).alias("there")), ["site", "ref_id"], "left")
     resolved = resolved.groupBy("site", "meta_key").agg(F.sum("n").alias("refs"), F.coalesce(F.sum(F.when(F.col("there") == 1, F.col("n"))), F.lit(0)).alias("resolved"))
     content = index.content_refs.join(posts.select("site", F.col("id").alias("ref_id"), F.lit(1).alias("there")), ["site", "ref_id"], "left").groupBy("site", "source").agg(F.count("*").alias("refs"), F.count("there").alias("resolved"))
     options = index.options
+    transient = F.col("name").startswith("_transient_") | F.col("name").startswith("_site_transient_")
     comments = index.comments.groupBy("site", comment_state("status").alias("status"), F.when(F.col("type") == "", "comment").otherwise(F.coalesce("type", F.lit("comment"))).alias("type")).agg(F.count("*").alias("n"))
     return {
-        "tables": index.tables.select("tbl", "site", "role", "rows", "row_bytes").orderBy(F.col("row_bytes").desc(), "tbl"),
-        "sites": sizes.groupBy("site").agg(F.sum("bytes").alias("bytes")),
+        "tables": index.tables.select("tbl", "site", "role", "rows", "bad_rows", "row_bytes", (F.col("row_bytes") + F.col("other_bytes")).alias("bytes")).orderBy(F.col("bytes").desc(), "tbl"),
+        "sites": index.frames["sites"].join(index.tables.groupBy("site").agg(F.sum(F.col("row_bytes") + F.col("other_bytes")).alias("bytes")), "site", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0))).orderBy("site"),
         "users": index.users.agg(F.count("*").alias("n")),
         "post_types": profile.type_profile(posts).join(meta_bytes, ["site", "type"], "left"),
         "statuses": profile.status_profile(posts),
@@ -55,8 +52,8 @@ def inventory(index: Index) -> dict[str, DataFrame]:
             used.select(F.struct("site", "term_taxonomy_id").alias("term_id"), "object_id"),
             named.select(F.struct("site", "term_taxonomy_id").alias("term_id"), F.concat_ws(":", F.col("site").cast("string"), "taxonomy").alias("taxonomy"), F.col("slug").alias("name")),
         ),
-        "options": options.groupBy("site").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.count_if(F.col("name").startswith("_transient_")).alias("transients")),
-        "large_options": options.where(F.col("bytes") > LARGE_OPTION).select("site", "name", "bytes"),
+        "options": options.groupBy("site").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.count_if(transient).alias("transients"), F.coalesce(F.sum(F.when(transient, F.col("bytes"))), F.lit(0)).alias("transient_bytes"), F.coalesce(F.sum(F.when(F.col("autoload").isin(*AUTOLOADED), F.col("bytes"))), F.lit(0)).alias("autoload_bytes")),
+        "large_options": options.where(F.col("bytes") > LARGE_OPTION).select("site", "name", "bytes").orderBy("site", F.col("bytes").desc(), "name"),
         "stored_options": options.where("value is not null").select("site", "name", "value"),
         "roles": index.user_roles.groupBy("meta_key", "role").agg(F.count_distinct("user_id").alias("users")),
         "meta_keys": resolved.where("resolved > 0"),

@@ -9,7 +9,7 @@ from quarry.operators import profile, seeds
 from quarry.sources.config import ALL, ALWAYS_DROPPED, Config
 
 from .rules import REBUILD
-from .subset import FOLLOWED, STORED_OPTIONS, Index, Plan, filtered_rows
+from .subset import FOLLOWED, Index, Plan, filtered_rows
 
 #: Bytes that a table takes beside its rows and definition, and a dump beside its tables.
 PER_TABLE, PER_DUMP = 400, 2048
@@ -37,6 +37,12 @@ def _by_table(plan: Plan) -> list:
     return every.collect()
 
 
+def page_sizes(index: Index) -> dict[int, int]:
+    """Posts on a page of each site that says so: the largest number of its rows of that option."""
+    own = index.options.where(F.col("name") == "posts_per_page").groupBy("site").agg(F.max(F.trim("value").try_cast("bigint")).alias("n"))
+    return {r.site: r.n for r in own.collect() if r.n}  # a row per site
+
+
 def warnings(index: Index, plan: Plan, config: Config, total: int, tables: list[dict]) -> list[str]:
     """What a reader of the plan should look at."""
     out = list(plan.warnings)
@@ -49,9 +55,11 @@ def warnings(index: Index, plan: Plan, config: Config, total: int, tables: list[
     out += [f"{k}: not configured, newest {config.default_post_type.count} kept" for k in by_default]
     used = {r.meta_key for r in index.meta_refs.select("meta_key").distinct().where(F.col("meta_key").isin(*(config.extra_meta_keys or ("",)))).collect()}
     out += [f"references.extra_meta_keys: {k} holds no ids" for k in config.extra_meta_keys if k not in used and k not in FOLLOWED]
-    stored = index.options.where(F.col("name").isin(*STORED_OPTIONS) & (F.col("name") == "posts_per_page")).select("value").collect()
-    page = next((int(r.value) for r in stored if (r.value or "").isdigit()), 10)
-    out += [f"post_types.{k}: per_term of {t.per_term} leaves no second page of {page}" for k, t in config.post_types.items() if t.mode == "per_term" and t.per_term <= page]
+    pages = page_sizes(index)
+    for site in sorted(plan.included):
+        page = pages.get(site)
+        own = config.for_site(site).post_types
+        out += [f"site {site}: post_types.{k}: per_term of {t.per_term} leaves no second page of {page}" for k, t in sorted(own.items()) if page and t.mode == "per_term" and t.per_term <= page]
     big = profile.name_patterns(plan.kept["options"].select("name", "bytes"), 1 << 20).orderBy(F.col("bytes").desc(), "pattern").collect()
     out += [f"options like {r.pattern}: {r.n} of {format_bytes(r.bytes)}" for r in big]
     if total > config.target_size_mb * (1 << 20):
@@ -77,8 +85,12 @@ def report(index: Index, plan: Plan, config: Config) -> dict:
     by_site: dict[int, int] = {}
     for t in tables:
         by_site[t["site"]] = by_site.get(t["site"], 0) + t["bytes"]
+    posts_of, kept_of = ({r.site: r["count"] for r in df.groupBy("site").count().collect()} for df in (index.posts, plan.keep))  # a row per site
     return {
-        "sites": [{"site": s, "prefix": p, "bytes": by_site.get(s, 0), "excluded": s not in plan.included} for s, p in sorted(index.sites.items())],
+        "sites": [
+            {"site": r.site, "prefix": r.prefix, "domain": r.domain, "path": r.path, "bytes": by_site.get(r.site, 0), "posts": posts_of.get(r.site, 0), "kept_posts": kept_of.get(r.site, 0), "has_tables": r.has_tables, "excluded": r.site not in plan.included}
+            for r in index.frames["sites"].orderBy("site").collect()  # a row per site
+        ],
         "types": [r.asDict() | described(config.for_site(r.site), r.type) for r in types],
         "added": [r.asDict() for r in profile.added_by_reason(plan.keep).orderBy("site", F.col("n").desc(), "reason").collect()],
         "tables": tables,

@@ -163,7 +163,7 @@ def _framed(rows: DataFrame, statements: DataFrame, sites: dict[int, str]) -> In
     contents = refs.content_refs(content.select(F.struct("site", "id").alias("key"), "content"), "key", "content").select("key.site", F.col("key.id").alias("post_id"), "ref_id", "source")
     menu = meta.where(F.col("meta_key").isin(*MENU_KEYS)).groupBy("site", "post_id").pivot("meta_key", list(MENU_KEYS)).agg(F.min("value"))
     menu = menu.select("site", "post_id", F.col("_menu_item_type").alias("type"), F.col("_menu_item_object_id").alias("object_id"), F.col("_menu_item_object").alias("object"))
-    options = role("options").select("tbl", "site", _id("option_id").alias("option_id"), _v("option_name").alias("name"), F.when(_v("option_name").isin(*STORED_OPTIONS), _v("option_value")).alias("value"), "bytes")
+    options = role("options").select("tbl", "site", _id("option_id").alias("option_id"), _v("option_name").alias("name"), F.when(_v("option_name").isin(*STORED_OPTIONS), _v("option_value")).alias("value"), _v("autoload").alias("autoload"), "bytes")
     user_meta = role("usermeta").select("tbl", _id("umeta_id").alias("umeta_id"), _id("user_id").alias("user_id"), _v("meta_key").alias("meta_key"), _v("meta_value").alias("value"), "bytes")
     frames = {
         "tables": tables,

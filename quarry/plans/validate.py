@@ -39,6 +39,7 @@ def reference_checks(copy: Index, source: Index) -> list[Check]:
         _counted("post meta points at existing posts", copy.postmeta.join(posts.withColumnRenamed("id", "post_id"), ["site", "post_id"], "left_anti"), FAIL, "meta rows of posts that are not in the copy"),
         _counted("term relationships point at existing terms", copy.term_relationships.join(copy.term_taxonomy.select("site", "term_taxonomy_id"), ["site", "term_taxonomy_id"], "left_anti"), FAIL, "relationships of terms that are not in the copy"),
     ]
+    out.append(_counted("comments are removed", copy.comments.select("site").unionByName(copy.commentmeta.select("site")), FAIL, "rows of comments or of their meta"))
     # Only taxonomies that have posts as objects: others relate terms to other rows.
     placed = copy.term_relationships.join(copy.term_taxonomy.select("site", "term_taxonomy_id", "taxonomy"), ["site", "term_taxonomy_id"]).where("taxonomy <> 'link_category'")
     objects = posts.withColumnRenamed("id", "object_id")
