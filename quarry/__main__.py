@@ -1,4 +1,4 @@
-"""python -m quarry inspect|plan|build DUMP ...: profile a dump, show what a configuration keeps, or write the copy."""
+"""python -m quarry inspect|suggest|plan|build DUMP ...: profile a dump, suggest a configuration, show what one keeps, or write the copy."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from .sources import config
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quarry", description=__doc__)
-    parser.add_argument("command", choices=("inspect", "plan", "build"))
+    parser.add_argument("command", choices=("inspect", "suggest", "plan", "build"))
     parser.add_argument("dump")
     parser.add_argument("--config", help="YAML; without it the defaults hold")
     parser.add_argument("--out", help="where build writes the copy")
@@ -33,6 +33,10 @@ def main(argv: list[str] | None = None) -> int:
     if own.command == "inspect":
         print(json.dumps({k: [r.asDict(True) for r in v.collect()] for k, v in inventory.inventory(index).items()}, indent=2, default=str))
         return 0
+    if own.command == "suggest":
+        made = {"post_types": inventory.suggestion(index)} | {"sites": {str(s): {"post_types": inventory.suggestion(index, s)} for s in index.sites if s != 1}}
+        print(json.dumps({k: v for k, v in made.items() if v}, indent=2))  # JSON is YAML
+        return 0
     plan = subset.make_plan(index, settings)
     found = report.report(index, plan, settings)
     print(json.dumps(found, indent=2, default=str))

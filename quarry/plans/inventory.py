@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import profile
+from quarry.sources.config import ALWAYS_DROPPED, ALWAYS_KEPT
 
+from .rules import suggest
 from .subset import Index
 
 LARGE_OPTION = 100 << 10
@@ -61,3 +63,18 @@ def inventory(index: Index) -> dict[str, DataFrame]:
         "comments": comments,
         "network": index.blogs.select("blog_id", "domain", "path"),
     }
+
+
+def suggestion(index: Index, site: int = 1) -> dict[str, dict]:
+    """What a configuration may say of a site's types, from how many posts they have published, their taxonomies and menus."""
+    posts = index.posts.where((F.col("site") == site) & F.col("type").isNotNull() & ~F.col("type").isin(*ALWAYS_KEPT, *ALWAYS_DROPPED, "attachment"))
+    published = {r.type: r.n for r in posts.groupBy("type").agg(F.count_if(F.col("status") == "publish").alias("n")).collect()}  # a row per type
+    terms = index.term_taxonomy.where(F.col("site") == site)
+    of_types = index.term_relationships.join(terms.select("site", "term_taxonomy_id", "taxonomy"), ["site", "term_taxonomy_id"]).join(posts.select("site", F.col("id").alias("object_id"), "type"), ["site", "object_id"])
+    linked = index.menu.where((F.col("site") == site) & (F.col("type") == "taxonomy")).select(F.col("object_id").try_cast("bigint").alias("term_id"), F.col("object").alias("taxonomy"))
+    menus = {r.taxonomy: r["count"] for r in terms.join(linked, ["term_id", "taxonomy"], "left_semi").groupBy("taxonomy").count().collect()}  # a row per taxonomy
+    taxonomies: dict[str, dict[str, int]] = {kind: {} for kind in published}
+    for r in of_types.select("type", "taxonomy").distinct().collect():  # a row per type and taxonomy
+        taxonomies[r.type][r.taxonomy] = menus.get(r.taxonomy, 0)
+    page = next((int(r.value) for r in index.options.where((F.col("site") == site) & (F.col("name") == "posts_per_page")).select("value").collect() if (r.value or "").isdigit()), 10)
+    return suggest([{"type": kind, "published": n, "taxonomies": taxonomies[kind]} for kind, n in sorted(published.items())], page)

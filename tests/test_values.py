@@ -131,6 +131,24 @@ def test_made_dump(spark, tmp_path):
     assert pairs.count() == pairs.distinct().count()
 
 
+def test_suggestions(spark, tmp_path, capsys):
+    """The suggested configuration is one that loads, and keeps large types by category or the newest of them."""
+    import json
+
+    from quarry.__main__ import main
+
+    path = tmp_path / "d.sql"
+    path.write_text(synth.dump(posts=400, seed=3, statement_rows=100))
+    assert main(["suggest", str(path)]) == 0
+    made = json.loads(capsys.readouterr().out)
+    assert made == {"post_types": {"page": {"mode": "latest", "count": 20}, "post": {"mode": "per_term", "per_term": 11, "taxonomies": {"category": {"max_terms": 10, "include_menu_terms": True}}}}}
+    settings = config.load(json.dumps(made))
+    assert settings.post_types["post"].mode == "per_term"
+    index = subset.build_index(spark, str(path))
+    kept = subset.make_plan(index, settings).keep
+    assert kept.where("reason = 'type:page:latest'").count() == 20 and kept.where("reason like 'type:post:per_term:%'").count() > 0
+
+
 def test_field_checks(spark, tmp_path):
     """Fields that hold images or files are checked like featured images."""
     ship(spark)
