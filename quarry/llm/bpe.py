@@ -219,6 +219,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op9_bpe_encoding(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded text of every document. Null and empty texts have no tokens; repeated rows stay."""
     return digests(table(spark, sf_dir, "documents"), default_path())
 
 

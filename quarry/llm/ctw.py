@@ -234,4 +234,5 @@ def score(docs: DataFrame, id_column: str = "doc_id", hot: int = HOT, depth: int
 
 
 def op7_context_tree(spark, sf_dir: str) -> DataFrame:
+    """Scores of every document. Null and empty texts are one end; repeated rows stay and are learned from as often as they stand there. What `score` says of null ids holds."""
     return score(table(spark, sf_dir, "documents"))

@@ -553,5 +553,6 @@ def pcm_blocks(stored: DataFrame, media: str = "media", seconds: float = 1.0) ->
 
 
 def op1_flac(spark, sf_dir: str) -> DataFrame:
+    """The stored stream's facts for every document, read back. Null and empty texts are 192 blanks; repeated rows stay, and equal texts have equal values."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return read_back(store(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

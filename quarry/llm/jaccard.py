@@ -386,6 +386,7 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document. Null, empty and blank texts have no shingles and are linked with nothing; repeated rows stay, linked with their copies. What `join` says of null ids holds."""
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

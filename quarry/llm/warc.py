@@ -217,6 +217,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
+    """One row per page, read back from the archives. Null html is empty; rows that repeat each have their record, and of equal large payloads that with the largest page_id is the response."""
     return captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
