@@ -25,7 +25,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, on documents."""
+    """All stages, one after the other, on documents.
+
+    Rows with a null or empty text, null ids and repeated rows go through as each stage has it: nothing is not toxic, copies of
+    one text count as a group of which one stays (and all rows without id), and null texts stay null. An empty table gives none.
+    """
     docs = table(ship(spark), sf_dir, "documents")
     for name, function in STAGES[:-1]:
         docs = stash(function(spark, docs, sf_dir), name)

@@ -7,13 +7,14 @@ import dataclasses
 import json
 import secrets
 import sys
+import uuid
 
 from pyspark.sql import SparkSession
 
 from .operators import closure
 from .plans import finishing, inventory, report, subset, validate
 from .session import ship
-from .sources import config
+from .sources import config, store
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -29,7 +30,16 @@ def main(argv: list[str] | None = None) -> int:
     own = parser.parse_args(argv)
     spark = ship(SparkSession.builder.appName("quarry").getOrCreate())
     settings = config.load(open(own.config).read() if own.config else "")
-    index = subset.build_index(spark, own.dump, own.exact, tuple(c for _, c in settings.tables.values() if c), own.index)
+    folder = own.index or f"{store.shared(spark)}/index-{uuid.uuid4().hex}"
+    try:
+        return _run(spark, own, settings, folder)
+    finally:
+        if not own.index:
+            store.drop(spark, folder)  # it holds the dump's texts
+
+
+def _run(spark: SparkSession, own: argparse.Namespace, settings: config.Config, folder: str) -> int:
+    index = subset.build_index(spark, own.dump, own.exact, tuple(c for _, c in settings.tables.values() if c), folder)
     if own.command == "inspect":
         print(json.dumps({k: [r.asDict(True) for r in v.collect()] for k, v in inventory.inventory(index).items()}, indent=2, default=str))
         return 0

@@ -94,6 +94,8 @@ def files(path: str) -> list[tuple[str, int]]:
     """(path, size) of a file, or of a folder's files in order of name, without those that begin with _ or a dot."""
     system, own = _at(path)
     scheme = path[: path.index("://") + 3] if "://" in path else ""
+    if scheme and path.rstrip("/").endswith(own.rstrip("/")):
+        scheme = path.rstrip("/")[: -len(own.rstrip("/"))]  # with the host, where the system's own paths leave it out
     info = system.get_file_info(own)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
