@@ -14,6 +14,7 @@ parts between such spaces are independent, and a task aligns each distinct part
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -58,6 +59,7 @@ class Aligner:
     """Two vocabularies, and the parts that a task has aligned already."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work; threads would hold memory of their own
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(path_a), pieces.vocabulary(path_b)
