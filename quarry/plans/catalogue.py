@@ -555,7 +555,7 @@ def finish_copy(t: Tables) -> DataFrame:
     settings = config.load("post_types: {post: {mode: latest, count: 50}}")
     plan = subset.make_plan(index, settings)
     rows = finishing.finished(index, plan, subset.slim(index, plan), settings, "pepper")
-    named = sqldump.parsed(rows, sqldump.declared_of(index.statements), "_tbl string, id string, user_login string, user_email string, term_taxonomy_id string, count string").where("_tbl in ('wp_users', 'wp_term_taxonomy')")
+    named = sqldump.parsed(rows, sqldump.declared_of(index.others), "_tbl string, id string, user_login string, user_email string, term_taxonomy_id string, count string").where("_tbl in ('wp_users', 'wp_term_taxonomy')")
     made = F.when(F.col("_tbl") == "wp_users", F.array(F.struct(F.lit("login").alias("kind"), "id", F.col("user_login").alias("value")), F.struct(F.lit("email").alias("kind"), "id", F.col("user_email").alias("value"))))
     made = made.otherwise(F.array(F.struct(F.lit("count").alias("kind"), F.col("term_taxonomy_id").alias("id"), F.col("count").alias("value"))))
     return named.select(F.explode(made).alias("x")).select("x.kind", F.col("x.id").cast("bigint").alias("id"), "x.value")

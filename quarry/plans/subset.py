@@ -94,26 +94,29 @@ def build_index(spark: SparkSession, path: str, exact: bool = False, columns: tu
     stamp = store.stamp(spark, path, WANTED + tuple(columns), exact)
     if not (folder and store.complete(spark, where, stamp)):
         store.drop(spark, where)
+        layout = None
         if exact or not sqldump.reached(path):
             found = closure.saved(dump.read_statements(spark, path, exact))
             rows = sqldump.parsed(dump.read_rows(found), sqldump.declared_of(found), row_columns(columns)).drop("_size")
             rows = rows.join(found.select(F.col("ord").alias("_ord"), F.lit(0).alias("_row"), F.length("raw").cast("long").alias("_size")), ["_ord", "_row"], "left")
             tables = [r.tbl for r in found.where("tbl is not null and kind in ('insert', 'create_table')").select("tbl").distinct().collect()]  # a row per table
-            statements = found.where("kind <> 'insert'")
+            others = found.where("kind <> 'insert'")
         else:
             layout = sqldump.scan(spark, path)
             rows, tables = sqldump.rows(spark, path, row_columns(columns), layout), layout.tables
-            statements = sqldump.statements(spark, path, False, layout)
+            others = sqldump.statements(spark, path, False, layout)
         rows, sites = placed_rows(rows, sorted(tables))
-        store.put(statements, f"{where}/statements")
+        store.put(others, f"{where}/statements")
         store.put(rows, f"{where}/rows", "role")
-        index = _framed(_stored(spark, where, rows.schema), store.get(spark, f"{where}/statements", statements.schema), sites)
+        index = _framed(_stored(spark, where, rows.schema), store.get(spark, f"{where}/statements", others.schema), sites)
         for name in DERIVED:
             store.put(index.frames[name], f"{where}/{name}")
-        store.commit(spark, where, stamp, sites, rows.schema)
-    sites, schema = store.known(spark, where)
+        store.commit(spark, where, stamp, sites, rows.schema, layout.packed() if layout else "")
+    sites, schema, packed = store.known(spark, where)
     index = _framed(_stored(spark, where, schema), store.get(spark, f"{where}/statements"), sites)
-    return Index(index.rows, index.statements, sites, index.frames | {name: store.get(spark, f"{where}/{name}") for name in DERIVED})
+    # All statements with their bytes are the dump's: they are read only where they are asked for.
+    statements = sqldump.statements(spark, path, layout=sqldump.Layout.unpacked(packed)) if packed else dump.read_statements(spark, path, exact)
+    return Index(index.rows, statements, sites, index.frames | {name: store.get(spark, f"{where}/{name}") for name in DERIVED})
 
 
 def _stored(spark: SparkSession, where: str, schema: StructType) -> DataFrame:
@@ -167,6 +170,7 @@ def _framed(rows: DataFrame, statements: DataFrame, sites: dict[int, str]) -> In
     user_meta = role("usermeta").select("tbl", _id("umeta_id").alias("umeta_id"), _id("user_id").alias("user_id"), _v("meta_key").alias("meta_key"), _v("meta_value").alias("value"), "bytes")
     frames = {
         "tables": tables,
+        "others": statements,
         "posts": posts,
         "postmeta": meta.drop("value"),
         "meta_refs": refs.meta_refs(meta.select("site", "meta_id", "post_id", "meta_key", "value")),
@@ -373,7 +377,7 @@ def portable(statements: DataFrame) -> DataFrame:
 def passed(index: Index, plan: Plan) -> DataFrame:
     """The statements that hold no rows, without those of dropped tables."""
     dropped = [n for n, r in plan.rules.items() if r.action == "drop"]
-    return index.statements.where("kind <> 'insert'").where(F.col("tbl").isNull() | ~F.col("tbl").isin(*dropped) if dropped else F.lit(True))
+    return index.others.where("kind <> 'insert'").where(F.col("tbl").isNull() | ~F.col("tbl").isin(*dropped) if dropped else F.lit(True))
 
 
 def write_dump(index: Index, plan: Plan, slimmed: DataFrame, most: int = 1 << 20) -> DataFrame:

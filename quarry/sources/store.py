@@ -90,9 +90,9 @@ def get(spark: SparkSession, path: str, schema: StructType | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
-def commit(spark: SparkSession, path: str, stamp_: dict[str, str], sites_: dict[int, str], schema: StructType) -> None:
+def commit(spark: SparkSession, path: str, stamp_: dict[str, str], sites_: dict[int, str], schema: StructType, layout: str) -> None:
     """Mark an index as complete: the last thing that is written of it."""
-    held = stamp_ | {"sites": ";".join(f"{k}={v}" for k, v in sites_.items()), "rows": schema.json()}
+    held = stamp_ | {"sites": ";".join(f"{k}={v}" for k, v in sites_.items()), "rows": schema.json(), "layout": layout}
     put(spark.createDataFrame(list(held.items()), "key string, value string").coalesce(1), f"{path}/info")
 
 
@@ -106,10 +106,10 @@ def _info(spark: SparkSession, path: str) -> dict[str, str]:
     return {r.key: r.value for r in spark.read.parquet(f"{path}/info").collect()}  # a few rows
 
 
-def known(spark: SparkSession, path: str) -> tuple[dict[int, str], StructType]:
-    """A complete index's sites, and the schema of its rows."""
+def known(spark: SparkSession, path: str) -> tuple[dict[int, str], StructType, str]:
+    """A complete index's sites, the schema of its rows, and the layout of its dump, if it was read by one."""
     found = _info(spark, path)
-    return {int(k): v for k, v in (x.split("=", 1) for x in found["sites"].split(";") if x)}, StructType.fromJson(json.loads(found["rows"]))
+    return {int(k): v for k, v in (x.split("=", 1) for x in found["sites"].split(";") if x)}, StructType.fromJson(json.loads(found["rows"])), found["layout"]
 
 
 def drop(spark: SparkSession, path: str) -> None:
