@@ -190,6 +190,13 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
+def _rest() -> None:
+    """Put the tokenizers of a worker that now counts away."""
+    aligner.cache_clear()
+    pieces.vocabulary.cache_clear()
+    tidy()
+
+
 def align(docs: DataFrame, path_a: str, path_b: str, column: str = "text") -> DataFrame:
     """`docs` with n_a and n_b (tokens), link_a and link_b (ids of the tokens that end together, in order) and groups.
 
@@ -219,6 +226,7 @@ def link_counts(linked: DataFrame) -> DataFrame:
     """(pair long, n long, best boolean) of all links; pair is the id of A times 2 ** 32 plus that of B, best says that no other A id is linked with the B id more often."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _rest()
         held: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
@@ -251,6 +259,7 @@ def score_links(linked: DataFrame, counts: DataFrame, hot: int = HOT) -> DataFra
     rest = [c for c in given.columns if c not in ("link_a", "link_b")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _rest()
         pairs, n, best = shared.value
         lookup = Lookup(pairs)
         for batch in batches:
