@@ -12,8 +12,10 @@ stream whose frames can't be located that way is walked frame by frame.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,7 +216,7 @@ class Stream:
             if kind == 0:
                 info = body
             elif kind == 3:
-                self.seek = [p[:2] for i in range(0, len(body), 18) if (p := struct.unpack(">QQH", body[i : i + 18]))[0] != (1 << 64) - 1]
+                self.seek = sorted(p[:2] for i in range(0, len(body), 18) if (p := struct.unpack(">QQH", body[i : i + 18]))[0] != (1 << 64) - 1)
             at += 4 + size
         if info is None or len(info) < 34:
             raise FlacError("no stream info")
@@ -226,7 +228,8 @@ class Stream:
 
     def seek_to(self, sample: int) -> tuple[int, int]:
         """The last seek point at or before a sample: its sample, and its byte in the stream."""
-        sample_at, offset = max((p for p in self.seek if p[0] <= sample), default=(0, 0))
+        at = bisect_right(self.seek, (sample, math.inf)) - 1
+        sample_at, offset = self.seek[at] if at >= 0 else (0, 0)
         return sample_at, self.first + offset
 
 
@@ -497,10 +500,18 @@ def store(docs: DataFrame, column: str = "text", media: str = "media") -> DataFr
     return keep.mapInArrow(work, plus(keep.drop(column), f"n_bytes long, `{media}` binary"))
 
 
-def read_back(stored: DataFrame, media: str = "media") -> DataFrame:
+def blocks_of(media: bytes, samples: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first sample, byte of the stream where a reader that seeks there begins, samples) of each PCM block of `size` samples."""
+    stream = Stream(media)
+    for at in range(0, len(samples), size):
+        yield at, stream.seek_to(at)[1], samples[at : at + size]
+
+
+def read_back(stored: DataFrame, media: str = "media", seconds: float = 1.0) -> DataFrame:
     """`stored` without its media, with media_bytes, media_sha256 and what decoding gives: payload_bytes, payload_sha256, tail_crc32, feature.
 
-    The feature holds the samples' sum, sum of squares, sign changes, least and greatest value. Null media: nulls.
+    All are gathered from the stream's PCM blocks in order. The feature holds the samples' sum, sum of squares, sign changes,
+    least and greatest value, the number of blocks, and the last block's first sample and stream byte. Null media: nulls.
     A stream that is damaged raises FlacError. Columns of `stored` with these names are replaced.
     """
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -508,11 +519,22 @@ def read_back(stored: DataFrame, media: str = "media") -> DataFrame:
     rest = [c for c in stored.columns if c != media]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def facts(stream: bytes, x: np.ndarray) -> tuple:
-        payload = (x + 128).astype(np.uint8).tobytes()
-        turns = int(np.count_nonzero(np.signbit(x[1:]) != np.signbit(x[:-1])))
-        feature = f"sum={int(x.sum())};energy={int((x * x).sum())};turns={turns};min={int(x.min())};max={int(x.max())}" if len(x) else ""
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature
+    size = max(1, int(RATE * seconds))
+
+    def facts(stream: bytes, samples: np.ndarray) -> tuple:
+        digest, tail, total, energy, turns, blocks, last, low, high = hashlib.sha256(), b"", 0, 0, 0, 0, None, [], []
+        first = seek = 0
+        for first, seek, x in blocks_of(stream, samples, size):
+            payload = (x + 128).astype(np.uint8).tobytes()
+            digest.update(payload)
+            tail = (tail + payload)[-16:]
+            minus = np.signbit(x)
+            turns += int(np.count_nonzero(minus[1:] != minus[:-1])) + (last is not None and bool(minus[0] != last))
+            blocks, last, total, energy = blocks + 1, minus[-1], total + int(x.sum()), energy + int((x * x).sum())
+            low.append(int(x.min()))
+            high.append(int(x.max()))
+        feature = f"sum={total};energy={energy};turns={turns};min={min(low)};max={max(high)};blocks={blocks};last={first}@{seek}" if blocks else ""
+        return len(samples), digest.hexdigest(), zlib.crc32(tail), len(stream), hashlib.sha256(stream).hexdigest(), feature
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, media, BATCH):
@@ -542,8 +564,8 @@ def pcm_blocks(stored: DataFrame, media: str = "media", seconds: float = 1.0) ->
             rows = []
             there = [i for i, m in enumerate(raw) if m is not None]
             for i, x in zip(there, decode([raw[i] for i in there]) if there else [], strict=True):
-                stream = Stream(raw[i])
-                rows += [(i, at // size, at, len(x[at : at + size]), stream.seek_to(at)[1], _pcm(x[at : at + size], stream.bits)) for at in range(0, len(x), size)]
+                bits = Stream(raw[i]).bits
+                rows += [(i, at // size, at, len(own), seek, _pcm(own, bits)) for at, seek, own in blocks_of(raw[i], x, size)]
             if rows:
                 own = list(zip(*rows, strict=True))
                 which = pa.array(own[0], pa.int64())
