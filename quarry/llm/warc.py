@@ -3,9 +3,9 @@
 Payloads of at least MIN_REVISIT bytes that occur more than once are stored with the largest page id alone; the other
 captures become revisit records that refer to it. Each task writes archives of about ARCHIVE_BYTES, a gzip member
 per record, into a table in the shared folder. Reading parses the stored bytes again and checks lengths and
-digests. Each archive gives a run of index entries, sorted by URL key and time; the runs are dealt out by ranges of
-(key, time, id), and in each range a loser tree merges what every run has there. Range after range this is the
-order of all captures, a URL's history lies together, and a hot URL is spread by its times.
+digests. Each archive gives a run of index entries, sorted by URL key and time and numbered; the runs are dealt out by
+ranges of (key, time, id) and are not sorted again: in each range a loser tree merges what every run has there. Range
+after range this is the order of all captures, a URL's history lies together, and a hot URL is spread by its times.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .common import row_id, slices, stash, table, texts
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 1 << 20
+#: Digests of repeated payloads that are broadcast: with as many or fewer no html is shuffled. More are joined.
+BROADCAST_KEEPERS = 1 << 18
 #: Bytes that are unpacked at one time, tasks that copies of one payload are dealt to, entries of a range, of a run that
 #: are looked at, and of an output batch.
 _PIECE, SALTS, RANGE_ENTRIES, PEEK, OUT_ROWS = 1 << 14, 32, 1_000_000, 256, 10_000
@@ -93,11 +95,15 @@ def write_archives(pages: DataFrame) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
     own = own.withColumn("digest", F.sha1("html"))
     large = own.where(F.length("html") >= MIN_REVISIT)
-    keepers = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("join_key"), "keeper")
-    # A small payload is nobody's copy: its key is its own, so that they are dealt evenly. A payload that repeats often is dealt to SALTS places.
-    keepers = keepers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    key = F.when(F.length("html") >= MIN_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("-"), row_id().cast("string")))
-    marked = own.withColumn("join_key", key).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(keepers, ["join_key", "salt"], "left")
+    keepers = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("digest", "keeper")
+    keepers = stash(keepers, "warc-keepers")
+    if keepers.count() <= BROADCAST_KEEPERS:
+        marked = own.join(F.broadcast(keepers), "digest", "left")
+    else:
+        # A small payload is nobody's copy: its key is its own, so that they are dealt evenly. A payload that repeats often is dealt to SALTS places.
+        dealt = keepers.select(F.col("digest").alias("join_key"), "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        key = F.when(F.length("html") >= MIN_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("-"), row_id().cast("string")))
+        marked = own.withColumn("join_key", key).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(dealt, ["join_key", "salt"], "left")
     marked = marked.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +127,13 @@ def write_archives(pages: DataFrame) -> DataFrame:
     return stash(marked.mapInArrow(work, "archive string, data binary"), "warc")
 
 
-ENTRY = "url_key string, captured string, page_id long, archive string, offset long, length long, record_type string, payload_bytes long, payload_digest string, refers_to long"
+#: An index entry; `place` is its place in its archive's run.
+ENTRY = "url_key string, captured string, page_id long, archive string, offset long, length long, record_type string, payload_bytes long, payload_digest string, refers_to long, place long"
+
+
+def order_of(url_key: str, captured: str, page_id: int | None) -> tuple:
+    """What captures are ordered by; null ids come first."""
+    return url_key, captured, page_id is not None, page_id or 0
 
 
 def read_runs(archives: DataFrame) -> DataFrame:
@@ -131,8 +143,8 @@ def read_runs(archives: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "data", ARCHIVE_BYTES):
             for archive, data in zip(part.column("archive").to_pylist(), part.column("data").to_pylist(), strict=True):
-                run = sorted((x | {"archive": archive} for x in parse(data)), key=lambda x: (x["url_key"], x["captured"], x["page_id"] or -1))
-                yield pa.RecordBatch.from_pylist(run, schema=layout)
+                run = sorted(parse(data), key=lambda x: order_of(x["url_key"], x["captured"], x["page_id"]))
+                yield pa.RecordBatch.from_pylist([x | {"archive": archive, "place": n} for n, x in enumerate(run)], schema=layout)
 
     return archives.mapInArrow(work, ENTRY)
 
@@ -176,10 +188,11 @@ def merge_index(runs: DataFrame) -> DataFrame:
     """The entries of all runs in the order of (url_key, captured, page_id), range after range.
 
     Ranges are cut by key, time and id, so a range has about RANGE_ENTRIES at most, however often a URL was captured. A
-    task holds its range's parts of the runs as Arrow batches, and of each run the PEEK entries that come next.
+    task holds its range's parts of the runs as Arrow batches, puts each run's entries side by side by archive and place
+    (two numbers), and looks at the PEEK entries of each run that come next. Keys are compared by the loser tree alone.
     """
     ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), runs.count() // RANGE_ENTRIES + 1)
-    ranged = runs.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("archive", "url_key", "captured", "page_id")
+    ranged = runs.repartitionByRange(ranges, "url_key", "captured", "page_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -187,24 +200,27 @@ def merge_index(runs: DataFrame) -> DataFrame:
             return
         entries = pa.Table.from_batches(held).combine_chunks()
         names = entries.column("archive").combine_chunks().dictionary_encode().indices.to_numpy()
+        by_run = np.lexsort((entries.column("place").to_numpy(), names))
+        names = names[by_run]
         starts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
 
         def run(start: int, end: int) -> Iterator[tuple]:
             for at in range(start, end, PEEK):
-                part = entries.slice(at, min(PEEK, end - at)).select(["url_key", "captured", "page_id"])
-                for i, (key, time, page) in enumerate(zip(*(c.to_pylist() for c in part.columns), strict=True)):
-                    yield key, time, -1 if page is None else page, at + i
+                rows = by_run[at : min(at + PEEK, end)]
+                part = entries.select(["url_key", "captured", "page_id"]).take(pa.array(rows))
+                for row, *fields in zip(rows.tolist(), *(c.to_pylist() for c in part.columns), strict=True):
+                    yield *order_of(*fields), row
 
         order: list[int] = []
         for entry in loser_tree_merge([run(a, b) for a, b in zip(starts, starts[1:], strict=False)]):
-            order.append(entry[3])
+            order.append(entry[-1])
             if len(order) == OUT_ROWS:
                 yield from entries.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
                 order = []
         if order:
             yield from entries.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
 
-    return ranged.mapInArrow(work, ENTRY)
+    return ranged.mapInArrow(work, ENTRY).drop("place")
 
 
 def captures(pages: DataFrame) -> DataFrame:
