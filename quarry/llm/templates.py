@@ -175,7 +175,7 @@ class Templates:
             determiner = np.isin(digests, _DETERMINER_DIGESTS) & ~ends
             follows = np.zeros(n, bool)
             follows[1:] = determiner[:-1]
-            follows[2:] |= determiner[:-2] & ~name[1:-1] & ~ends[1:-1]
+            follows[2:] |= determiner[:-2] & ~name[1:-1] & ~ends[1:-1] & ~first[1:-1]
             left = np.maximum(np.arange(n) - AROUND, np.repeat(firsts, tokens.counts))
             right = np.minimum(np.arange(n) + AROUND + 1, np.repeat(firsts + tokens.counts, tokens.counts))
             around, nouns = (np.concatenate([[0], np.cumsum(x)]) for x in (within, within & follows))
