@@ -45,6 +45,23 @@ def test_flac_facts(docs):
     for r, text in zip(sorted(found, key=lambda r: (r.n_rows is None, r.n_rows))[: len(TEXTS)], [*TEXTS[:7], TEXTS[6], *TEXTS[7:-1]], strict=True):
         payload = flac._padded(raw(text))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw(text)), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        samples = [b - 128 for b in payload]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:], strict=False))
+        want = f"sum={sum(samples)};energy={sum(x * x for x in samples)};turns={turns};min={min(samples)};max={max(samples)}"
+        last = (len(samples) - 1) // flac.RATE * flac.RATE
+        facts, blocks, place = r.feature.rsplit(";", 2)
+        assert facts == want and blocks == f"blocks={last // flac.RATE + 1}" and place.startswith(f"last={last}@")
+
+
+def test_flac_facts_by_small_blocks(docs):
+    """Facts do not depend on the blocks' size, and a reader that seeks to the last block's byte finds its frame there."""
+    stored = flac.store(docs).where("doc_id is not null")
+    whole, small = ({r.doc_id: r for r in flac.read_back(stored, seconds=s).collect()} for s in (1e6, 0.01))
+    media = {r.doc_id: r.media for r in stored.collect()}
+    for i, r in small.items():
+        assert r.feature.rsplit(";", 2)[0] == whole[i].feature.rsplit(";", 2)[0] and (r.payload_sha256, r.tail_crc32) == (whole[i].payload_sha256, whole[i].tail_crc32)
+        first, byte = map(int, r.feature.rpartition("last=")[2].split("@"))
+        assert media[i][byte : byte + 2] == b"\xff\xf8" and flac.Stream(media[i]).seek_to(first)[1] == byte
 
 
 def test_flac_streams():
@@ -302,7 +319,9 @@ def test_url_mining_of_long_urls(spark):
 # 4 WARC
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("keepers", [1 << 18, 0])
+def test_warc(spark, monkeypatch, keepers):
+    monkeypatch.setattr(warc, "BROADCAST_KEEPERS", keepers)
     ship(spark)
     big, huge = "x" * 1000, "é" * 40000
     rows = [(1, "http://b.org/2", big), (2, "http://a.org/1", big), (3, None, big), (4, "http://a.org/1", "small"), (5, "http://a.org/1", "small"), (6, "odd \r\n url", None), (7, "", ""), (8, "http://a.org", huge), (8, "http://a.org", huge)]
@@ -314,6 +333,9 @@ def test_warc(spark):
     for page, _, html in rows:
         assert (by[page].payload_bytes, by[page].payload_digest) == (len(raw(html)), hashlib.sha1(raw(html)).hexdigest())
     assert warc.captures(pages.limit(0)).count() == 0
+    odd = [(None, "http://a.org/1", big), (0, "http://a.org/1", big), (-3, "http://a.org/1", ""), (None, "http://a.org/1", None)] * 3
+    ids = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in warc.captures(spark.createDataFrame(odd, "page_id long, url string, html string").repartition(5)).collect()]
+    assert len(ids) == 12 and ids == sorted(ids)
     rng = random.Random(2)
     for k in (1, 2, 3, 7, 16):
         runs = [sorted((rng.randrange(50),) for _ in range(rng.randrange(40))) for _ in range(k)]
