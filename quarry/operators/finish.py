@@ -37,10 +37,10 @@ def redact(column: Column | str) -> Column:
     return F.regexp_replace(F.array_join(kept, "'"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")
 
 
-def recount(term: DataFrame, relationship: DataFrame, entity: DataFrame, status: str) -> DataFrame:
-    """Terms with the number of their entities of a status; 0 where there is none."""
-    counted = relationship.join(entity.where(F.col("status") == status).select(F.col("id").alias("object_id")), "object_id", "left_semi").groupBy("term_id").agg(F.count("*").alias("n"))
-    return term.join(counted, "term_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def recount(term: DataFrame, relationship: DataFrame, counted: DataFrame, key: str = "term_id", scope: tuple[str, ...] = ()) -> DataFrame:
+    """Terms with n, the number of their relationships with entities that count (id); 0 where there is none. `scope` as in `keep`."""
+    n = relationship.join(counted.select(*scope, F.col("id").alias("object_id")), [*scope, "object_id"], "left_semi").groupBy(*scope, key).agg(F.count("*").alias("n"))
+    return term.join(n, [*scope, key], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def cleared_options(options: DataFrame, names: tuple[str, ...], kept: DataFrame) -> DataFrame:

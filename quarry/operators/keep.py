@@ -1,4 +1,4 @@
-"""What every other table keeps, given the kept entities."""
+"""What every other table keeps, given the kept entities (id). Where tables of several sites lie together, `scope` names the columns that tell them apart."""
 
 from __future__ import annotations
 
@@ -16,28 +16,31 @@ def any_glob(column: Column, globs: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (glob_matches(column, g) for g in globs), F.lit(False))
 
 
-def keep_meta(meta: DataFrame, keep: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+def keep_meta(meta: DataFrame, keep: DataFrame, exclude: tuple[str, ...] = (), key: str = "post_id", scope: tuple[str, ...] = ()) -> DataFrame:
     """Meta rows of kept entities, without keys that match a glob. A null key counts as empty."""
-    return meta.where(~any_glob(F.coalesce("meta_key", F.lit("")), exclude)).join(keep.select(F.col("id").alias("post_id")), "post_id", "left_semi")
+    return meta.where(~any_glob(F.coalesce("meta_key", F.lit("")), exclude)).join(keep.select(*scope, F.col("id").alias(key)), [*scope, key], "left_semi")
 
 
-def prune_terms(term: DataFrame, relationship: DataFrame, keep: DataFrame, over: int) -> DataFrame:
+def prune_terms(term: DataFrame, relationship: DataFrame, keep: DataFrame, over: int, key: str = "term_id", scope: tuple[str, ...] = ()) -> DataFrame:
     """All terms, but of a flat taxonomy with more than `over` terms only those that kept entities use. Taxonomies without any parent value count as not flat, as SQL's three values have it."""
-    flat = term.groupBy("taxonomy").agg(F.count("*").alias("n"), F.bool_or(F.col("parent") > 0).alias("tree")).where((F.col("n") > over) & ~F.col("tree")).select("taxonomy", F.lit(True).alias("big_flat"))
-    used = relationship.join(keep.select(F.col("id").alias("object_id")), "object_id", "left_semi").select("term_id").distinct().withColumn("used", F.lit(True))
-    return term.join(F.broadcast(flat), "taxonomy", "left").join(used, "term_id", "left").where("big_flat is null or used").select(*term.columns)
+    kind = [*scope, "taxonomy"]
+    flat = term.groupBy(*kind).agg(F.count("*").alias("n"), F.bool_or(F.col("parent") > 0).alias("tree")).where((F.col("n") > over) & ~F.col("tree")).select(*kind, F.lit(True).alias("big_flat"))
+    used = relationship.join(keep.select(*scope, F.col("id").alias("object_id")), [*scope, "object_id"], "left_semi").select(*scope, key).distinct().withColumn("used", F.lit(True))
+    return term.join(flat, kind, "left").join(used, [*scope, key], "left").where("big_flat is null or used").select(*term.columns)
 
 
-def keep_relationships(relationship: DataFrame, terms: DataFrame, keep: DataFrame, whole_taxonomy: str) -> DataFrame:
-    """Relationships of kept terms with kept entities, or of a taxonomy whose objects are all kept."""
-    flag = keep.select(F.col("id").alias("object_id")).distinct().withColumn("kept", F.lit(True))
-    return relationship.join(terms.select("term_id", "taxonomy"), "term_id").join(flag, "object_id", "left").where((F.col("taxonomy") == whole_taxonomy) | F.col("kept")).select("object_id", "term_id", "taxonomy")
+def keep_relationships(relationship: DataFrame, terms: DataFrame, keep: DataFrame, whole_taxonomy: str, key: str = "term_id", scope: tuple[str, ...] = ()) -> DataFrame:
+    """Relationships of kept terms, with their taxonomy: those with kept entities, and all of a taxonomy whose objects are all kept."""
+    flag = keep.select(*scope, F.col("id").alias("object_id")).distinct().withColumn("kept", F.lit(True))
+    kinds = terms.select(*scope, key, "taxonomy").distinct()
+    own = relationship.select(*(c for c in relationship.columns if c != "taxonomy"))
+    found = own.join(kinds, [*scope, key]).join(flag, [*scope, "object_id"], "left").where((F.col("taxonomy") == whole_taxonomy) | F.col("kept"))
+    return found.select(*own.columns, "taxonomy")
 
 
-def keep_users(user: DataFrame, entity: DataFrame, keep: DataFrame, roles: tuple[str, ...]) -> DataFrame:
-    """Authors of kept entities, and users with a listed role."""
-    authors = entity.join(keep.select("id"), "id", "left_semi").select(F.col("author").alias("id"))
-    holders = user.where(F.col("role").isin(*roles)).select("id")
+def keep_users(user: DataFrame, entity: DataFrame, keep: DataFrame, holders: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Authors of kept entities, and the holders (id) of listed roles."""
+    authors = entity.join(keep.select(*scope, "id"), [*scope, "id"], "left_semi").select(F.col("author").alias("id"))
     return user.join(authors.unionByName(holders).distinct(), "id", "left_semi")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,14 +18,18 @@ def longest_prefix(rows: DataFrame, column: str, prefixes: DataFrame) -> DataFra
     return rows.join(best.select(column, F.col("best.prefix").alias("prefix")), column, "left")
 
 
+def suffixes(column: str) -> Column:
+    """The whole of a key, and what follows each of its underscores."""
+    parts = F.split(column, "_")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_"))
+
+
 def first_suffix(keys: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """`keys` matched with names (name, rank): equal, or ending in _name; the least rank counts, then the name.
 
     A key's suffixes after each underscore are looked up by an equi-join.
     """
-    parts = F.split(column, "_")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_"))
-    own = keys.select(column).distinct().select(column, F.explode(suffixes).alias("name"))
+    own = keys.select(column).distinct().select(column, F.explode(suffixes(column)).alias("name"))
     order = Window.partitionBy(column).orderBy("rank", "name")
     best = own.join(names, "name").withColumn("rn", F.row_number().over(order)).where("rn = 1").select(column, "name")
     return keys.join(best, column, "left")

@@ -229,7 +229,7 @@ def keep_relationships(t: Tables) -> DataFrame:
 
 @query("""WITH {cte}, {keep} SELECT id, role, site FROM member WHERE id IN (SELECT author FROM entity e JOIN keep k ON k.id = e.id) OR id IN (SELECT id FROM member WHERE role IN ('MACHINERY'))""")
 def keep_users(t: Tables) -> DataFrame:
-    return keep.keep_users(t.user, t.entity, base_keep(t), ("MACHINERY",))
+    return keep.keep_users(t.user, t.entity, base_keep(t), t.user.where("role = 'MACHINERY'").select("id"))
 
 
 @query("""WITH {cte}, {keep}, x AS (SELECT meta_id, post_id, CASE WHEN meta_id % 13 = 0 THEN NULL WHEN meta_id % 5 = 0 THEN '_edit_' || meta_key ELSE meta_key END AS meta_key FROM meta)
@@ -403,7 +403,7 @@ def second_page(t: Tables) -> DataFrame:
 @query("""WITH {cte}, c AS (SELECT term_id, count(*) AS n FROM relationship JOIN entity e ON e.id = object_id WHERE e.status = 'F' GROUP BY 1)
 SELECT t.term_id, t.taxonomy, t.name, t.parent, coalesce(n, 0) AS n FROM term t LEFT JOIN c USING (term_id)""")
 def recount_terms(t: Tables) -> DataFrame:
-    return finish.recount(t.term, t.relationship, t.entity, "F")
+    return finish.recount(t.term, t.relationship, t.entity.where("status = 'F'"))
 
 
 EMAIL_SQL = "regexp_matches(text, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(\\.[A-Za-z0-9-]{1,63}){0,8}\\.[A-Za-z]{2,24}')"

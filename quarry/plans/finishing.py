@@ -35,13 +35,12 @@ EMPTIED_META_STARTS = ("billing_", "shipping_")
 
 def counts(index: Index, plan: Plan) -> DataFrame:
     """(tbl, site, term_taxonomy_id, n): each kept term's posts that count, of taxonomies that have nothing but kept posts."""
-    posts = plan.kept["posts"].select("site", F.col("id").alias("object_id"), "type", "status")
+    posts = plan.kept["posts"].select("site", "id", "type", "status")
     terms = plan.kept["term_taxonomy"].where("taxonomy <> 'link_category'").select("tbl", "site", "term_taxonomy_id", "taxonomy")
-    placed = plan.kept["term_relationships"].select("site", "object_id", "term_taxonomy_id").join(terms.drop("tbl"), ["site", "term_taxonomy_id"]).join(posts.withColumn("there", F.lit(True)), ["site", "object_id"], "left")
-    counted = F.col("there") & ((F.col("status") == "publish") | ((F.col("type") == "attachment") & (F.col("status") == "inherit")) | F.col("type").isin(*GENERIC_TYPES))
-    n = placed.groupBy("site", "term_taxonomy_id").agg(F.count_if(counted).alias("n"))
-    other = placed.where("there is null").select("site", "taxonomy").distinct()
-    return terms.join(other, ["site", "taxonomy"], "left_anti").join(n, ["site", "term_taxonomy_id"], "left").select("tbl", "site", "term_taxonomy_id", F.coalesce("n", F.lit(0)).alias("n"))
+    placed = plan.kept["term_relationships"].select("site", "object_id", "term_taxonomy_id")
+    other = placed.join(posts.select("site", F.col("id").alias("object_id")), ["site", "object_id"], "left_anti").join(terms.drop("tbl"), ["site", "term_taxonomy_id"]).select("site", "taxonomy").distinct()
+    counted = posts.where((F.col("status") == "publish") | ((F.col("type") == "attachment") & (F.col("status") == "inherit")) | F.col("type").isin(*GENERIC_TYPES))
+    return finish.recount(terms.join(other, ["site", "taxonomy"], "left_anti"), placed, counted, "term_taxonomy_id", ("site",)).select("tbl", "site", "term_taxonomy_id", "n")
 
 
 def lost_pages(index: Index, plan: Plan) -> DataFrame:

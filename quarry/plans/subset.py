@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.functions import ddl, ids, php, refs
-from quarry.operators import closure, keep, profile, seeds
+from quarry.operators import closure, keep, match, profile, seeds
 from quarry.sources import dump, sqldump, store
 from quarry.sources.config import ALL, ALWAYS_DROPPED, ALWAYS_KEPT, Config
 
@@ -260,9 +260,7 @@ def field_keys(index: Index, types: tuple[str, ...]) -> DataFrame:
     by_id = index.fields.select("site", F.col("id").alias("parent"), F.lit(True).alias("sub"))
     names = index.fields.where(F.col("field_type").isin(*types)).join(by_id, ["site", "parent"], "left").select("site", "name", F.coalesce("sub", F.lit(False)).alias("sub"))
     keys = index.postmeta.where("meta_key is not null and not startswith(meta_key, '_')").select("site", "meta_key").distinct()
-    parts = F.split("meta_key", "_")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_"))
-    found = keys.select("site", "meta_key", F.explode(ends).alias("name")).join(names, ["site", "name"]).where("meta_key = name or sub")
+    found = keys.select("site", "meta_key", F.explode(match.suffixes("meta_key")).alias("name")).join(names, ["site", "name"]).where("meta_key = name or sub")
     return found.select("site", "meta_key").distinct()
 
 
@@ -276,24 +274,19 @@ def make_plan(index: Index, config: Config) -> Plan:
     start = seeds.keep_seeds(seed_frame(index, config, included), posts)
     edges = closure.saved(closure.edges_of(posts, index.meta_refs, follow_keys(index, config, included), CHILD_TYPES, content=index.content_refs, menu=index.menu))
     kept = closure.closure(start, edges, config.dependency_depth)
-    objects = kept.select("site", F.col("id").alias("object_id"))
+    site = ("site",)
     tt = index.term_taxonomy.where(F.col("site").isin(*included))
-    flat = tt.groupBy("site", "taxonomy").agg(F.count("*").alias("n"), F.bool_or(F.col("parent") > 0).alias("tree")).where((F.col("n") > config.prune_unused_flat_terms_over) & ~F.col("tree")).select("site", "taxonomy", F.lit(True).alias("flat"))
-    used = index.term_relationships.join(objects, ["site", "object_id"], "left_semi").select("site", "term_taxonomy_id").distinct().withColumn("used", F.lit(True))
-    base = tt.join(flat, ["site", "taxonomy"], "left").join(used, ["site", "term_taxonomy_id"], "left").where("flat is null or used")
+    base = keep.prune_terms(tt, index.term_relationships, kept, config.prune_unused_flat_terms_over, "term_taxonomy_id", site)
     # Taxonomies of one site are apart from those of another.
     tagged = lambda df: df.select("term_id", F.concat_ws(":", F.col("site").cast("string"), "taxonomy").alias("taxonomy"), "parent")
     lines = closure.ancestors(tagged(base), tagged(tt)).select("term_id", "taxonomy")
     keep_tt = closure.saved(tt.withColumn("key", F.concat_ws(":", F.col("site").cast("string"), "taxonomy")).join(lines.withColumnRenamed("taxonomy", "key"), ["term_id", "key"], "left_semi").select("site", "term_taxonomy_id", "term_id", "taxonomy"))
-    meta = index.postmeta.join(kept.select("site", F.col("id").alias("post_id")), ["site", "post_id"], "left_semi").where(~keep.any_glob(F.coalesce("meta_key", F.lit("")), config.meta_exclude_keys))
-    whole = keep_tt.where("taxonomy = 'link_category'").select("site", "term_taxonomy_id")
-    relationships = index.term_relationships.join(keep_tt, ["site", "term_taxonomy_id"], "left_semi")
-    relationships = relationships.join(objects, ["site", "object_id"], "left_semi").unionByName(relationships.join(whole, ["site", "term_taxonomy_id"], "left_semi")).distinct()
-    roles = index.user_roles.where(F.col("role").isin(*config.include_roles))
-    authors = index.posts.join(kept.select("site", "id"), ["site", "id"], "left_semi").select(F.col("author").alias("id"))
-    users = index.users.join(authors.union(roles.select("user_id")).distinct(), "id", "left_semi")
+    meta = keep.keep_meta(index.postmeta, kept, config.meta_exclude_keys, scope=site)
+    relationships = keep.keep_relationships(index.term_relationships, keep_tt, kept, "link_category", "term_taxonomy_id", site).drop("taxonomy").distinct()
+    holders = index.user_roles.where(F.col("role").isin(*config.include_roles)).select(F.col("user_id").alias("id"))
+    users = keep.keep_users(index.users, index.posts, kept, holders, site)
     gone = tuple(index.sites[s] + "*" for s in excluded)
-    user_meta = index.usermeta.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi").where(~keep.any_glob(F.coalesce("meta_key", F.lit("")), gone))
+    user_meta = keep.keep_meta(index.usermeta, users, gone, "user_id")
     options = index.options.where(F.col("site").isin(*included)).where(~keep.any_glob(F.col("name"), DROPPED_OPTIONS + config.options_exclude))
     kept_rows = {
         "posts": index.posts.join(kept.select("site", "id"), ["site", "id"], "left_semi"),
