@@ -1,10 +1,12 @@
 """URL filter by association rules that FP-growth mines from labelled URLs.
 
 A URL's tokens: its host and all the host's parent domains, its first label, path segments, the first directory, query
-keys and key=value pairs, the fragment and the file extension. Labelled URLs, with their class as one more token, are mined by
-Spark's FP-growth. Tokens that stand in exactly the same labelled URLs are mined as one and told apart again in the rules, so
-a long URL's tokens do not make subsets of each other; of a URL's groups of tokens the MOST_ITEMS that say most of the class
-are mined. Rules of at most LONGEST tokens that end in a class are kept from `min_support` (LEAST URLs at least) and
+keys and key=value pairs, the fragment and the file extension. Tokens that stand in exactly the same labelled URLs are mined as
+one and told apart again in the rules, so a long URL's tokens do not make subsets of each other. Tokens of one class only make a
+rule each, which longer ones never beat. Labelled URLs' other tokens, with their class as one more, are mined by Spark's
+FP-growth, which has no bound on the length of its sets: a token that is beyond the MOST_ITEMS most frequent of some URL is
+crowded, and sets with crowded tokens are counted size by size, so every set of up to LONGEST tokens has its exact counts.
+Rules of at most LONGEST tokens that end in a class are kept from `min_support` (LEAST URLs at least) and
 `min_confidence` on, unless leaving out one token gives a rule as sure. Rules match through an inverted index: a rule is listed under its rarest token,
 meets the URLs that have it, and fires when all its tokens are there. Of the rules that fire the surest counts, then the best supported, then
 the smallest id; where none fires, the class that most labels have.
@@ -17,6 +19,7 @@ import math
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import row_id, stash, table
 
@@ -24,7 +27,7 @@ from .common import row_id, stash, table
 LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 BLOCK, ALLOW = "class=block", "class=allow"
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
-#: The fewest labelled URLs of a rule, the most groups of tokens of one URL that are mined, and the most tokens of a rule.
+#: The fewest labelled URLs of a rule, the most groups of tokens of one URL that FP-growth gets, and the most tokens of a rule.
 LEAST, MOST_ITEMS, LONGEST = 3, 12, 4
 #: Rules that are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 200_000
@@ -80,25 +83,69 @@ def tokenised(pages: DataFrame) -> DataFrame:
     return parts.select("page_id", "host", "path", tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
 
 
+def crowded_sets(ones: DataFrame, singles: DataFrame, least: int) -> list[DataFrame]:
+    """[(nos, times, bad)] for 2 to LONGEST tokens: how many labelled URLs hold all tokens of a set with a crowded one, and how many of these are blocked.
+
+    ones (uid, blocked, no) and singles (no, times) have tokens by number, below 0 where they are crowded; nos are in order. A set grows by
+    one token as long as it has both classes, stands in fewer URLs than without any of its tokens, and one class has `least` of its
+    URLs: of any other set, no set that has more tokens makes a rule that stays.
+    """
+    out = []
+    held = ones.join(ones.where("no < 0").select("uid").distinct(), "uid", "left_semi").select("uid", "blocked", F.array().cast("array<long>").alias("head"), F.col("no").alias("last"))
+    growing = singles.select(F.array("no").alias("nos"), "times")
+    for size in range(2, LONGEST + 1):
+        left, right = held.where("last < 0") if size == 2 else held, held.select("uid", "head", F.col("last").alias("next"))
+        met = left.join(right, ["uid", "head"]).where("last < next").select("uid", "blocked", F.array_append("head", F.col("last")).alias("head"), F.col("next").alias("last"))
+        sets = met.groupBy("head", "last").agg(F.count("*").alias("times"), F.sum("blocked").alias("bad")).where(f"greatest(bad, times - bad) >= {least}")
+        sets = stash(sets.withColumn("nos", F.array_append("head", F.col("last"))), "url-sets")
+        less = sets.select("nos", "times", F.explode("nos").alias("out")).select("nos", "times", F.array_remove("nos", F.col("out")).alias("less"))
+        less = less if size == 2 else less.where(F.element_at("less", 1) < 0)  # sets without a crowded token are FP-growth's
+        less = less.join(growing.select(F.col("nos").alias("less"), F.col("times").alias("without")), "less", "left")
+        less = less.groupBy("nos").agg(F.min(F.coalesce("without", F.lit(0))).alias("without"))
+        sets = stash(sets.join(less, "nos").where("without > 0"), "url-sets-counted")
+        out.append(sets.select("nos", "times", "bad"))
+        alive = sets.where("without > times and bad > 0 and bad < times")
+        if size == LONGEST or alive.isEmpty():
+            break
+        growing = alive.select("nos", "times")
+        held = stash(met.join(alive.select("head", "last"), ["head", "last"], "left_semi").select("uid", "blocked", "head", "last"), "url-sets-held")
+    return out
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(rule_id, tokens, rarest, verdict, confidence, support) from (tokens, blocked boolean). No rows where there are no labels."""
     base = stash(labelled.where("blocked is not null").select(row_id().alias("uid"), F.array_distinct("tokens").alias("tokens"), F.col("blocked").cast("int").alias("blocked")), "url-labelled")
-    total, share = base.agg(F.count("*"), F.avg("blocked")).first()
-    least = max(LEAST, math.ceil(min_support * (total or 0) - 1e-9))
+    total = base.count()
+    least = max(LEAST, math.ceil(min_support * total - 1e-9))
     met = base.select("uid", "blocked", F.explode("tokens").alias("token"))
     # Tokens with one set of URLs: the digests of their URLs add up to the same.
     single = met.groupBy("token").agg(F.count("*").alias("times"), F.sum("blocked").alias("bad"), F.bit_xor(F.xxhash64("uid")).alias("a"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("b")).where(F.col("times") >= least)
     groups = single.groupBy("times", "bad", "a", "b").agg(F.min("token").alias("item"), F.array_sort(F.collect_set("token")).alias("alike"))
-    score = F.abs(F.col("bad") - F.col("times") * F.lit(share or 0.0)) / F.sqrt("times")
-    groups = stash(groups.select("item", "alike", "times", score.alias("score")), "url-tokens-alike")
-    # One token of a group stands for all of them.
-    items = met.join(groups.select(F.col("item").alias("token"), (-F.col("score")).alias("unlike")), "token").groupBy("uid", "blocked").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("unlike", "token"))), lambda x: x["token"]), 1, MOST_ITEMS).alias("tokens"))
-    baskets = items.select(F.concat("tokens", F.array(F.when(F.col("blocked") == 1, F.lit(BLOCK)).otherwise(F.lit(ALLOW)))).alias("items"))
-    bare = base.join(items.select("uid"), "uid", "left_anti").select(F.array(F.when(F.col("blocked") == 1, F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (least - 0.5) / max(1, total))), minConfidence=min_confidence).fit(baskets.unionByName(bare))
+    groups = stash(groups.select("item", "alike", "times", "bad"), "url-tokens-alike")
+    # One token of a group stands for all of them. A rule of one class's token is as sure as any that has more tokens.
+    mixed = groups.where(f"bad > 0 and bad < times and greatest(bad, times - bad) >= {least}").select("item", "times", "bad")
+    placed = met.join(mixed.select(F.col("item").alias("token"), (-F.col("times")).alias("rare")), "token")
+    placed = stash(placed.withColumn("place", F.row_number().over(Window.partitionBy("uid").orderBy("rare", "token"))).select("uid", "blocked", "token", "place"), "url-items")
+    crowded = placed.where(F.col("place") > MOST_ITEMS).select(F.col("token").alias("item")).distinct().withColumn("crowded", F.lit(True))
+    numbered = mixed.join(crowded, "item", "left").select("item", "times", "bad", F.when(F.col("crowded"), -1 - row_id()).otherwise(row_id()).alias("no"))
+    numbered = stash(numbered, "url-numbered")  # below 0: crowded
+    items = placed.join(numbered.where("no >= 0").select(F.col("item").alias("token")), "token").groupBy("uid").agg(F.collect_list("token").alias("tokens"))
+    own_class = F.array(F.when(F.col("blocked") == 1, F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
+    baskets = base.select("uid", "blocked").join(items, "uid", "left").select(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), own_class).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (least - 0.5) / max(1, total))), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & F.element_at("consequent", 1).isin(BLOCK, ALLOW) & (F.size("antecedent") <= LONGEST))
     rules = rules.where(~F.array_contains("antecedent", BLOCK) & ~F.array_contains("antecedent", ALLOW))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.when(F.element_at("consequent", 1) == BLOCK, "block").otherwise("allow").alias("verdict"), "confidence", "support")
+    counted = groups.where("bad = 0 or bad = times").select(F.array("item").alias("tokens"), "times", "bad")
+    if not numbered.where("no < 0").isEmpty():
+        counted = counted.unionByName(numbered.where("no < 0").select(F.array("item").alias("tokens"), "times", "bad"))
+        ones = placed.join(numbered.select(F.col("item").alias("token"), "no"), "token").select("uid", "blocked", "no")
+        for sets in crowded_sets(ones, numbered.select("no", "times"), least):
+            named = sets.select("nos", "times", "bad", F.explode("nos").alias("no")).join(numbered.select("no", "item"), "no")
+            counted = counted.unionByName(named.groupBy("nos", "times", "bad").agg(F.array_sort(F.collect_list("item")).alias("tokens")).drop("nos"))
+    for verdict, hits in (("block", F.col("bad")), ("allow", F.col("times") - F.col("bad"))):
+        sure = counted.where((hits >= least) & (hits / F.col("times") >= min_confidence))
+        rules = rules.unionByName(sure.select("tokens", F.lit(verdict).alias("verdict"), (hits / F.col("times")).alias("confidence"), (hits / F.lit(max(1, total))).alias("support")))
     rules = stash(rules.withColumn("rule_id", F.sha2(F.concat_ws("\x01", "verdict", "tokens"), 256)), "url-rules")
     # A rule goes if leaving out one of its tokens gives a rule as sure.
     shorter = rules.where(F.size("tokens") > 1).select("rule_id", "verdict", "confidence", F.explode("tokens").alias("out"), "tokens")

@@ -316,6 +316,38 @@ def test_url_mining_of_long_urls(spark):
     assert sorted(r.page_id for r in found) == [1, 1, 2] and len({tuple(r) for r in found if r.page_id == 1}) == 1
 
 
+@pytest.mark.parametrize("most", [12, 5, 0])
+def test_url_mining_of_crowded_urls(spark, monkeypatch, most):
+    """URLs of more tokens than FP-growth gets have all rules of up to four tokens, with exact counts."""
+    import itertools
+
+    ship(spark)
+    monkeypatch.setattr(urlrules, "MOST_ITEMS", most)
+    rng = random.Random(8)
+    names = [f"path=t{k}" for k in range(17)]
+    own = [[t for k, t in enumerate(names) if rng.random() < (0.9 if i < 25 else 0.3)] + [f"host=h{i % 3}"] for i in range(90)]
+    own += [["path=only", "path=twin", "path=t0"]] * 4 + [[]] * 3
+    # Two of the rarer tokens of the long URLs say the class together.
+    bad = [(("path=t15" in o) != ("path=t16" in o)) if rng.random() < 0.9 else rng.random() < 0.5 for o in own]
+    bad[90:94] = [True] * 4
+    every, blocked = collections.Counter(), collections.Counter()
+    for o, b in zip(own, bad, strict=True):
+        for n in range(1, 5):
+            for some in itertools.combinations(sorted(o), n):
+                every[some] += 1
+                blocked[some] += b
+    sure = {}
+    for some, n in every.items():
+        for verdict, hits in (("block", blocked[some]), ("allow", n - blocked[some])):
+            if hits >= 5 and hits / n >= 0.8:
+                sure[some, verdict] = (hits / n, hits / len(own))
+    left = {k: c for k, c in sure.items() if not any(sure.get((tuple(t for t in k[0] if t != out), k[1]), (-1,))[0] >= c[0] for out in k[0] if len(k[0]) > 1)}
+    assert max(len(o) for o in own) > 12 and max(len(k[0]) for k in left) > 2
+    rules = urlrules.mine(spark.createDataFrame(list(zip(own, bad, strict=True)), "tokens array<string>, blocked boolean"), 0.05, 0.8).collect()
+    assert len(rules) == len({(tuple(r.tokens), r.verdict) for r in rules})
+    assert {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in rules} == left
+
+
 # 4 WARC
 
 
