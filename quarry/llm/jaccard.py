@@ -15,7 +15,8 @@ many different texts hold the content. A text plays two parts: in its own band,
    counts once if its content is looked up, and twice if also contents with one shingle more or less are; the cheapest
    choice that adds up to H + 1 is taken. Pairs are
    weighed by outlines first: bit maps of the shingles' digests, which show how much one text has and the other lacks.
-4. All comparisons are of whole shingle sets.
+4. All comparisons are of whole shingle sets; pairs whose sketches, bit maps of a few bits a shingle, show too many
+   differences for a link are left out before.
 
 Texts with equal sets are one class throughout. Shingles are compared by 64-bit digests, classes by 63 bits.
 """
@@ -44,6 +45,8 @@ OUTLINE = 64
 TASK_ROWS = 500_000
 #: Class keys that are broadcast, at 8 bytes; more are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
+#: Keys of sets to compare that are broadcast, so that other sets do not travel; more are joined by a shuffle.
+NEEDED_KEYS = 1_000_000
 #: Class keys a task remembers, not to deal copies twice.
 CACHE = 400_000
 
@@ -232,8 +235,51 @@ def sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return found.dropDuplicates(["key"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) of class keys whose sets have 100 * intersection >= 80 * union."""
+def sketches(sets: DataFrame) -> DataFrame:
+    """(key, n, bits binary): bit maps of the sets' digests, four to eight bits a shingle and a power of two long (2 MB at most)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for d in batch.column("digests").to_pylist():
+                own = np.frombuffer(d, np.uint64)
+                bits = np.zeros(min(1 << 24, max(64, 1 << (4 * len(own) - 1).bit_length())), np.uint8)
+                bits[(mixed(own) >> np.uint64(40)) % np.uint64(len(bits))] = 1
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(out, pa.binary())], ["key", "n", "bits"])
+
+    return sets.select("key", "n", "digests").mapInArrow(work, "key long, n int, bits binary")
+
+
+def likely(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The pairs (x, y) of class keys that their sketches (key, n, bits) leave room for a link; no link is lost."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b, n, m in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb")), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                short = min(len(x), len(y))  # a longer map's parts laid upon each other are the shorter map
+                x, y = (np.bitwise_or.reduce(v.reshape(-1, short), axis=0) for v in (x, y))
+                # What one map has and the other has not, its text has of shingles that the other has not.
+                common = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+                keep.append(9 * common >= 4 * (n + m))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(mask), batch.column("y").filter(mask)], ["x", "y"])
+
+    left = drawn.select(F.col("key").alias("x"), F.col("n").alias("na"), F.col("bits").alias("a"))
+    right = drawn.select(F.col("key").alias("y"), F.col("n").alias("nb"), F.col("bits").alias("b"))
+    return pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "a", "b", "na", "nb").mapInArrow(work, "x long, y long")
+
+
+def among(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """The sets whose key is in keys (key, distinct)."""
+    few = keys.count() <= NEEDED_KEYS
+    return sets.join(F.broadcast(keys) if few else keys, "key", "left_semi")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The pairs (x, y) of class keys whose sets have 100 * intersection >= 80 * union; sets travel for pairs that their sketches `drawn` leave."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,9 +293,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(mask), batch.column("y").filter(mask)], ["x", "y"])
 
+    pairs = stash(likely(pairs, drawn), "likely")
+    sets = among(sets, pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct())
     left = sets.select(F.col("key").alias("x"), F.col("digests").alias("a"))
     right = sets.select(F.col("key").alias("y"), F.col("digests").alias("b"))
-    return pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(work, "x long, y long")
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(work, "x long, y long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -349,18 +397,20 @@ def join(docs: DataFrame) -> DataFrame:
 
     key = F.col("part").bitwiseAND(-2)
     named = shared.withColumn("key", key).join(by_class, "key").withColumn("slack", F.when(F.col("part") == F.col("key"), F.col("slack0")).otherwise(F.col("slack1")))
-    whole, order = Window.partitionBy("part"), Window.partitionBy("part").orderBy("freq", "sig")
+    whole = Window.partitionBy("key", "part")  # rows of a key are in one place since the join
+    order = whole.orderBy("freq", "sig")
     kept = named.withColumn("have", F.count("*").over(whole)).where("have > slack").withColumn("rank", F.row_number().over(order)).where("rank <= have - slack")
     kept = stash(kept.select("sig", "key", "n", "freq", (F.col("have") / F.col("n")).alias("share")), "kept")
     candidates = stash(kept.select("key").distinct(), "candidates")
     sets = stash(sets_of(docs, candidates), "sets")
+    drawn = stash(sketches(sets), "sketches")
 
     # The text that shares most of its segments lies in the middle of its group; a few edits part it from the others.
     central = F.max(F.struct("share", "key", "n")).getField
     hubs = kept.groupBy("sig").agg(F.struct(central("key").alias("key"), central("n").alias("n")).alias("middle"), F.min(F.struct("key", "n")).alias("least"))
     stars = kept.join(hubs, "sig").select("key", "n", F.explode(F.array("least", "middle")).alias("hub")).where("key <> hub.key and " + _fits("n", "hub.n"))
     stars = stash(stars.select(F.least("key", "hub.key").alias("x"), F.greatest("key", "hub.key").alias("y")).distinct(), "stars")
-    links = stash(verified(stars, sets), "star-links")
+    links = stash(verified(stars, sets, drawn), "star-links")
     comps = components(links)
 
     placed = kept.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
@@ -371,10 +421,10 @@ def join(docs: DataFrame) -> DataFrame:
     rest = a.join(b, "sig").where("x < y and cx <> cy and " + _fits("nx", "ny")).select("x", "y").distinct()
     needy = open_.where(f"freq > {HOT}").select("key").distinct()
     if not needy.isEmpty():
-        own = sets.join(needy, "key", "left_semi").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        own = among(sets, needy).join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         rest = rest.union(neighbourhood_pairs(stash(own, "needy"))).distinct()
     rest = rest.join(stars, ["x", "y"], "left_anti")
-    more = stash(verified(rest, sets), "rest-links")
+    more = stash(verified(rest, sets, drawn), "rest-links")
     if not more.isEmpty():
         comps = components(links.union(more))
 

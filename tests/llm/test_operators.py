@@ -240,6 +240,28 @@ def test_jaccard_edges(spark, docs):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_sketches(spark):
+    """Sketches lose no link, of sets whose maps differ in length either, and full sets travel only for pairs they leave."""
+    ship(spark)
+    rng = random.Random(4)
+    own: dict[int, set[int]] = {}
+    for i in range(0, 120, 3):
+        size = rng.choice([1, 3, 14, 16, 18, 120, 128, 140, 600])
+        base = {rng.getrandbits(63) for _ in range(size)}
+        own[i] = base
+        own[i + 1] = base | {rng.getrandbits(63) for _ in range(size // 4)}  # just linked, wherever 4 divides the size
+        own[i + 2] = set(sorted(base)[: size // 2]) | {rng.getrandbits(63) for _ in range(size // 2)}
+    rows = [(k, len(v), bytearray(np.sort(np.array(list(v), np.uint64)).tobytes())) for k, v in own.items()]
+    sets = spark.createDataFrame(rows, "key long, n int, digests binary").cache()
+    pairs = [(a, b) for a in own for b in own if a < b]
+    table = spark.createDataFrame(pairs, "x long, y long")
+    links = {(a, b) for a, b in pairs if 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])}
+    drawn = jaccard.sketches(sets).cache()
+    left = {(r.x, r.y) for r in jaccard.likely(table, drawn).collect()}
+    assert links <= left and len(left) < len(pairs) // 20
+    assert {(r.x, r.y) for r in jaccard.verified(table, sets, drawn).collect()} == links
+
+
 # 3 URL rules
 
 
