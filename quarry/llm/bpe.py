@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.session import ship
 
-from .common import plus, slices, stash, table, texts
+from .common import plus, slices, stash, table, texts, tidy
 
 #: A bound on the words that are broadcast.
 HOT = 1 << 20
@@ -147,6 +147,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids", d
     """
     spark = docs.sparkSession
     words = spark.sparkContext.broadcast(Table(word_table(docs, path, column).select("low", "high", "ids").toArrow()))
+    tidy()  # the driver's memory
     keep = docs.drop(ids, *([decoded] if decoded else []))
     schema = plus(keep, f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else ""))
 

@@ -355,14 +355,16 @@ def neighbourhood_pairs(sets: DataFrame) -> DataFrame:
 
     def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maps = np.zeros((batch.num_rows, 64 * OUTLINE), np.uint8)
+            maps, sizes = np.zeros((batch.num_rows, 64 * OUTLINE), np.uint8), np.zeros(batch.num_rows, np.int64)
             for i, d in enumerate(batch.column("digests").to_pylist()):
-                maps[i, (mixed(np.frombuffer(d, np.uint64)) >> np.uint64(40)) % np.uint64(64 * OUTLINE)] = 1
-            packed = np.packbits(maps, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(OUTLINE))], ["key", *(f"b{i}" for i in range(OUTLINE))])
+                own = np.frombuffer(d, np.uint64)
+                maps[i, (mixed(own) >> np.uint64(40)) % np.uint64(64 * OUTLINE)] = 1
+                sizes[i] = len(own)
+            words = pa.array(np.packbits(maps, axis=1).view(np.int64).ravel())
+            outline = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, OUTLINE), pa.int32()), words)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes - maps.sum(axis=1, dtype=np.int64)), outline], ["key", "spare", "outline"])
 
-    bits = [f"b{i}" for i in range(OUTLINE)]
-    drawn = sets.select("key", "digests").mapInArrow(outlines, "key long, " + ", ".join(f"{b} long" for b in bits))
+    drawn = sets.select("key", "digests").mapInArrow(outlines, "key long, spare long, outline array<long>")
     sizes = sets.groupBy("comp").agg(F.count("*").alias("size"))
     known = stash(sets.select("key", "n", "comp").join(sizes, "comp").select("key", "n", F.struct("size", "comp").alias("place")).join(drawn, "key"), "known")
     keyed = rows.withColumn("key", F.col("part").bitwiseAND(-2)).join(known.select("key", "place"), "key")
@@ -373,12 +375,13 @@ def neighbourhood_pairs(sets: DataFrame) -> DataFrame:
     index = keyed.join(probes.groupBy("code").agg(F.min("place").alias("low")), "code").where("place > low").select("code", "key", "whole")
 
     def sided(frame: DataFrame, side: int) -> DataFrame:
-        return frame.drop("place").join(known, "key").select("code", *(F.col(c).alias(f"{c}{side}") for c in ("key", "whole", "n", "place")), *(F.col(c).alias(f"{c}_{side}") for c in bits), *(["times"] if side == 1 else []))
+        return frame.drop("place").join(known, "key").select("code", *(F.col(c).alias(f"{c}{side}") for c in ("key", "whole", "n", "place", "spare", "outline")), *(["times"] if side == 1 else []))
 
-    # What one text has of the outline and the other has not, it also has of shingles; links leave little room for it.
-    lack = [" + ".join(f"bit_count({b}_{x} & ~{b}_{y})" for b in bits) for x, y in ((1, 2), (2, 1))]
-    room = [f"9 * (n{x} - ({count})) >= 4 * (n1 + n2)" for x, count in zip((1, 2), lack, strict=True)]
-    met = sided(probes, 1).join(sided(index, 2), "code").where(" and ".join(["place1 < place2", _fits("n1", "n2"), "((whole1 and whole2) or (times = 2 and whole1 <> whole2))", *room]))
+    # What one text has of the outline and the other has not, it also has of shingles; links leave little room for it. One column
+    # of words, not a column a word: Spark's driver plans and compiles this join anew whenever a part of it is done.
+    shared = "aggregate(zip_with(outline1, outline2, (a, b) -> bit_count(a & b)), 0, (s, c) -> s + c)"
+    room = f"9 * (least(spare1, spare2) + {shared}) >= 4 * (n1 + n2)"
+    met = sided(probes, 1).join(sided(index, 2), "code").where(" and ".join(["place1 < place2", _fits("n1", "n2"), "((whole1 and whole2) or (times = 2 and whole1 <> whole2))", room]))
     return met.select(F.least("key1", "key2").alias("x"), F.greatest("key1", "key2").alias("y")).distinct()
 
 

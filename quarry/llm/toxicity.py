@@ -17,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import ship
 
-from .common import plus, slices, stash, table, texts
+from .common import plus, slices, stash, table, texts, tidy
 
 #: The documented bounds of the fit: labelled texts, folds, features per category.
 MAX_LABELLED, FOLDS, PER_CATEGORY = 10_000, 3, 128
@@ -157,28 +158,36 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], .
     chosen_by = [choose([f for f in range(FOLDS) if f != held]) for held in range(FOLDS)]
     chosen_all = choose(list(range(FOLDS)))
     k = len(features)
-    rows = present_in(own.select("doc_id", "fold", *columns, "text"), features).drop("text").orderBy("doc_id").collect()
-    x = np.zeros((len(rows), k + SHAPES + len(names)))
-    for i, row in enumerate(rows):
-        x[i, row.present] = 1
-        x[i, k : k + SHAPES] = row.shape
-    fold = np.array([r.fold for r in rows], int)
+    rows = present_in(own.select("doc_id", "fold", *columns, "text"), features).drop("text").orderBy("doc_id").toArrow()
+    present = rows.column("present").combine_chunks()
+    has = np.zeros((rows.num_rows, k), np.uint8)
+    has[np.repeat(np.arange(rows.num_rows), pc.list_value_length(present).to_numpy()), present.flatten().to_numpy()] = 1
+    rest = np.zeros((rows.num_rows, SHAPES + len(names)))
+    rest[:, :SHAPES] = rows.column("shape").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, SHAPES)
+    fold = rows.column("fold").to_numpy()
+    marks = {column: rows.column(column).to_pylist() for column in columns}
+    del rows, present
+
+    def x(which: np.ndarray, used: np.ndarray, width: int) -> np.ndarray:
+        """Of these texts the features used, the shapes and the probabilities before."""
+        return np.hstack([has[np.ix_(which, used)], rest[which, : width - k]])
+
     biases, weights = [], []
     for c, column in enumerate(columns):
         width = k + SHAPES + c
-        there = np.array([r[column] is not None for r in rows], bool)
-        y = np.array([float(bool(r[column])) for r in rows])
-        used = np.concatenate([chosen_all, np.arange(k, width)])
-        w = logistic(x[np.ix_(there, used)], y[there])
+        there = np.array([m is not None for m in marks[column]], bool)
+        y = np.array([float(bool(m)) for m in marks[column]])
+        w = logistic(x(there, chosen_all, width), y[there])
         whole = np.zeros(width)
-        whole[used] = w[:-1]
+        whole[np.concatenate([chosen_all, np.arange(k, width)])] = w[:-1]
         biases.append(float(w[-1]))
         weights.append(whole)
         for f in range(FOLDS):  # what later categories are trained with
             held = fold == f
-            used = np.concatenate([chosen_by[f], np.arange(k, width)])
-            v = logistic(x[np.ix_(there & ~held, used)], y[there & ~held])
-            x[held, width] = 1 / (1 + np.exp(-np.clip(x[np.ix_(held, used)] @ v[:-1] + v[-1], -30, 30)))
+            v = logistic(x(there & ~held, chosen_by[f], width), y[there & ~held])
+            rest[held, width - k] = 1 / (1 + np.exp(-np.clip(x(held, chosen_by[f], width) @ v[:-1] + v[-1], -30, 30)))
+    del has, rest, marks
+    tidy()  # the driver's memory
     # Features that only out-of-fold models have are not looked for any more.
     kept = {f: i for i, f in enumerate(name for name, j in features.items() if j in set(chosen_all.tolist()))}
     order = [features[f] for f in kept]

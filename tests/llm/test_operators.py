@@ -233,6 +233,13 @@ def test_jaccard_neighbourhoods_alone(spark):
     assert links and links <= {(r.x, r.y) for r in jaccard.neighbourhood_pairs(sets).collect()}
 
 
+def test_jaccard_outlines_are_one_column(spark):
+    """The driver plans and compiles this join anew after each of its stages, so it must not hold an expression for every word of an outline."""
+    sets = spark.createDataFrame([(2 * i, 3, np.arange(i, i + 3, dtype=np.uint64).tobytes(), 2 * i) for i in range(4)], "key long, n int, digests binary, comp long")
+    plan = jaccard.neighbourhood_pairs(sets)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("bit_count") <= 4
+
+
 def test_jaccard_edges(spark, docs):
     found = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs).collect())
     assert found[(0, 0, 0)] == found[(1, 0, 1)] == found[(2, 0, 2)] == 1
